@@ -1,0 +1,616 @@
+"""Every operator applied to the given tables, with DuckDB SQL that gives the same rows.
+
+``embeddings`` stand in for clouds (first three numbers: a point; ``label``: its object),
+``events`` for detections, ``lineitem`` for depth pixels and ``orders`` for boxes.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from voxelar.config import MapConfig
+from voxelar.functions import color, detection, geometry
+from voxelar.operators import asof, boxes, layout, projection, semantics, spatial, voxels
+from voxelar.plans.components import connected_components
+from voxelar.streaming import tracker
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+VOXEL, RADIUS, CAMERA = 0.1, 0.1, {"fx": 500.0, "fy": 480.0, "cx": 320.0, "cy": 240.0}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "embeddings")
+    return e.select("vec_id", "label", *[F.get("embedding", i).cast("double").alias(a) for i, a in enumerate("xyz")])
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events")
+    ns = (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ns")
+    return e.select("event_id", "user_id", "event_type", "value", "props", ns)
+
+
+def rounded(*names: str, digits: int = 6) -> list[Column]:
+    """Rounded numbers without negative zeros."""
+    return [(F.round(F.col(n).cast("double"), digits) + 0.0).alias(n) for n in names]
+
+
+def micrometres(name: str) -> Column:
+    """A sum of whole millionths, which no order of addition can change."""
+    return F.sum(F.rint(F.col(name) * 1e6).cast("long"))
+
+
+P = "pts as (select vec_id, label, embedding[1]::double as x, embedding[2]::double as y, embedding[3]::double as z from embeddings)"
+V = f"vox as (select *, floor(x / {VOXEL}::double)::bigint as kx, floor(y / {VOXEL}::double)::bigint as ky, floor(z / {VOXEL}::double)::bigint as kz from pts)"
+B = """bounds as (select label, avg(x) as c_x, avg(y) as c_y, avg(z) as c_z, min(x) as lo_x, min(y) as lo_y, min(z) as lo_z,
+  max(x) as hi_x, max(y) as hi_y, max(z) as hi_z, count(*) as n from pts group by label)"""
+E = "ev as (select event_id, user_id, event_type, value, props, epoch_us(ts) * 1000 as ns from events)"
+
+
+def r(*names: str, digits: int = 6) -> str:
+    return ", ".join(f"round({n}, {digits}) + 0.0 as {n.split('.')[-1]}" for n in names)
+
+
+@query(f"with {P}, {V} select label, kx, ky, kz, round(avg(x), 6) + 0.0 as x, round(avg(y), 6) + 0.0 as y, round(avg(z), 6) + 0.0 as z, count(*) as n from vox group by label, kx, ky, kz")
+def voxel_mean(spark, sf_dir):
+    return voxels.voxel_mean(points(spark, sf_dir), VOXEL, ["label"]).select("label", *voxels.CELLS, *rounded("x", "y", "z"), "n")
+
+
+@query(f"with {P}, {V} select vec_id, label, x, y, z from (select *, row_number() over (partition by kx, ky, kz order by vec_id) as k from vox) where k = 1")
+def voxel_first(spark, sf_dir):
+    return voxels.voxel_first(points(spark, sf_dir), VOXEL, "vec_id")
+
+
+@query(f"with {P}, {B} select label, {r('c_x', 'c_y', 'c_z', 'lo_x', 'lo_y', 'lo_z', 'hi_x', 'hi_y', 'hi_z')}, n from bounds")
+def cloud_bounds(spark, sf_dir):
+    b = spatial.cloud_bounds(points(spark, sf_dir), ["label"])
+    return b.select("label", *rounded(*[f"{p}_{a}" for p in ("c", "lo", "hi") for a in "xyz"]), "n")
+
+
+def _clean_objects(spark, sf_dir):
+    return voxels.voxel_mean(points(spark, sf_dir), VOXEL, ["label"])
+
+
+_CLEAN = f"""with {P}, {V}, vm as (select label, avg(x) as x, avg(y) as y, avg(z) as z from vox group by label, kx, ky, kz),
+b as (select label, avg(x) as c_x, avg(y) as c_y, avg(z) as c_z, min(x) as lo_x, min(y) as lo_y, min(z) as lo_z,
+  max(x) as hi_x, max(y) as hi_y, max(z) as hi_z, count(*) as n from vm group by label)"""
+
+
+@query(f"""{_CLEAN} select 'class_' || label || '_' || label as id, label as track_id, 'class_' || label as name, 'batch' as source,
+  round(c_x, 6) + 0.0 as x, round(c_y, 6) + 0.0 as y, round(c_z, 6) + 0.0 as z, round(hi_x - lo_x, 6) + 0.0 as size_x,
+  round(hi_y - lo_y, 6) + 0.0 as size_y, round(hi_z - lo_z, 6) + 0.0 as size_z, n as point_count from b""")
+def object_records(spark, sf_dir):
+    name = F.concat(F.lit("class_"), F.col("label").cast("string"))
+    found = layout.object_records(_clean_objects(spark, sf_dir), "label", name)
+    return found.select("id", "track_id", F.col("label").alias("name"), "source", *rounded("x", "y", "z", "size_x", "size_y", "size_z"), "point_count")
+
+
+@query(f"""{_CLEAN} select label as track_id, greatest(round(hi_x - lo_x, 6), 0.02) + 0.0 as box_x, greatest(round(hi_y - lo_y, 6), 0.02) + 0.0 as box_y,
+  greatest(round(hi_z - lo_z, 6), 0.02) + 0.0 as box_z, 'class_' || label || ' #' || label as text from b""")
+def object_markers(spark, sf_dir):
+    name = F.concat(F.lit("class_"), F.col("label").cast("string"))
+    found = layout.markers(layout.object_records(_clean_objects(spark, sf_dir), "label", name))
+    return found.select("track_id", *rounded("box_x", "box_y", "box_z"), "text")
+
+
+_LAYOUT = """lim as (select min(x) - 0.5 as min_x, max(x) + 0.5 as max_x, min(y) - 0.5 as min_y, max(y) + 0.5 as max_y from pts),
+sc as (select *, least(180.0::double, 2399 / greatest(max_x - min_x, 0.001::double), 2399 / greatest(max_y - min_y, 0.001::double)) as scale from lim),
+cv as (select *, greatest(max_x - min_x, 0.001::double) * scale as cw, greatest(max_y - min_y, 0.001::double) * scale as ch from sc),
+lay as (select *, ceil(greatest(700.0::double, cw + 1))::integer as width, ceil(greatest(700.0::double, ch + 1))::integer as height from cv),
+fit as (select min_x, min_y, max_x, max_y, scale, width, height, (width - 1 - cw) * 0.5::double as offset_x, (height - 1 - ch) * 0.5::double as offset_y from lay)"""
+
+
+@query(f"with {P}, {_LAYOUT} select {r('min_x', 'min_y', 'max_x', 'max_y', 'scale', 'offset_x', 'offset_y')}, width, height from fit")
+def layout_fit(spark, sf_dir):
+    return layout.fit_layout(points(spark, sf_dir)).select(*rounded("min_x", "min_y", "max_x", "max_y", "scale", "offset_x", "offset_y"), "width", "height")
+
+
+@query(f"""with {P}, {_LAYOUT} select vec_id,
+  greatest(0, least(width - 1, round_even((x - min_x) * scale + offset_x, 0)))::integer as u,
+  greatest(0, least(height - 1, round_even(height - 1 - ((y - min_y) * scale + offset_y), 0)))::integer as v from pts, fit""")
+def world_to_pixel(spark, sf_dir):
+    p = points(spark, sf_dir)
+    placed = p.crossJoin(F.broadcast(layout.fit_layout(p)))  # one row
+    return placed.select("vec_id", *[c.alias(n) for n, c in geometry.to_pixel(F.col("x"), F.col("y")).items()])
+
+
+_PAIR = "sqrt((a.c_x - b.c_x) ** 2 + (a.c_y - b.c_y) ** 2 + (a.c_z - b.c_z) ** 2)"
+_NEAR = " and ".join(f"a.lo_{k} <= b.hi_{k} + 0.04::double and b.lo_{k} <= a.hi_{k} + 0.04::double" for k in "xyz")
+_BOX = (
+    " * ".join(f"greatest(0, least(a.hi_{k}, b.hi_{k}) - greatest(a.lo_{k}, b.lo_{k}))" for k in "xyz")
+    + " / least("
+    + ", ".join(" * ".join(f"greatest({p}.hi_{k} - {p}.lo_{k}, 0.02::double)" for k in "xyz") for p in "ab")
+    + ")"
+)
+
+
+@query(f"""with {P}, {B} select a.label as a, b.label as b, round({_PAIR}, 6) as distance, round({_BOX}, 6) + 0.0 as box_overlap
+  from bounds a join bounds b on a.label < b.label where {_PAIR} <= 0.75 and {_NEAR}""")
+def aabb_overlap_pairs(spark, sf_dir):
+    pairs = spatial.box_pairs(spatial.cloud_bounds(points(spark, sf_dir), ["label"]), "label", 0.04, 0.75)
+    return pairs.select(F.col("a_label").alias("a"), F.col("b_label").alias("b"), *rounded("distance", "box_overlap"))
+
+
+_DIST2 = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)"
+_HITS = f"""hit as (select a.label as a, b.label as b, count(distinct a.vec_id) as hits from pts a join pts b on a.label <> b.label and
+  {_DIST2} <= {RADIUS}::double * {RADIUS}::double group by 1, 2), sz as (select label, count(*) as n from pts group by label),
+  sh as (select a, b, hits, n, hits / n as share from hit join sz on a = label)"""
+
+
+@query(f"with {P}, {_HITS} select a, b, hits, n, round(share, 9) as share from sh")
+def nn_overlap_pairs(spark, sf_dir):
+    return spatial.overlap_pairs(points(spark, sf_dir), RADIUS, "label", "vec_id").select("a", "b", "hits", "n", *rounded("share", digits=9))
+
+
+@query(f"with {P}, {_HITS} select least(a, b) as a, greatest(a, b) as b, round(max(share), 9) as overlap from sh group by 1, 2")
+def cloud_overlap(spark, sf_dir):
+    return spatial.cloud_overlap(points(spark, sf_dir), RADIUS, "label", "vec_id").select("a", "b", *rounded("overlap", digits=9))
+
+
+@query(f"""with {P}, {V}, c as (select distinct label, kx, ky, kz from vox), s as (select label, count(*) as n from c group by label)
+select a.label as a, b.label as b, count(*) as shared, round(greatest(count(*) / any_value(x.n), count(*) / any_value(y.n)), 9) as overlap
+from c a join c b using (kx, ky, kz) join s x on x.label = a.label join s y on y.label = b.label where a.label < b.label group by 1, 2""")
+def voxel_jaccard_pairs(spark, sf_dir):
+    return voxels.shared_cells(points(spark, sf_dir), VOXEL, "label").select("a", "b", "shared", *rounded("overlap", digits=9))
+
+
+_KNN = f"""knn as (select * from (select a.vec_id as a, b.vec_id as b, a.label, {_DIST2} as d2,
+  row_number() over (partition by a.vec_id order by {_DIST2}, b.vec_id) as rank from pts a join pts b on a.label = b.label
+  where {_DIST2} < 0.12::double * 0.12::double) where rank <= 32)"""
+
+
+@query(f"with {P}, {_KNN} select label, a, b, round(d2, 9) as d2, rank::integer as rank from knn")
+def knn_bounded(spark, sf_dir):
+    return spatial.bounded_knn(points(spark, sf_dir), 0.12, 32, "vec_id", ["label"]).select("label", "a", "b", *rounded("d2", digits=9), "rank")
+
+
+@query(f"""with recursive {P}, {_KNN}, core as (select a from knn group by a having count(*) >= 4),
+link as (select k.a, k.b from knn k join core x on k.a = x.a join core y on k.b = y.a),
+edge as (select a, b from link union select b, a from link),
+reach(a, b) as (select a, a from core union select r.a, e.b from reach r join edge e on r.b = e.a),
+lab as (select a, min(b) as label_ from reach group by a),
+bord as (select a, min_by(b, (d2, b)) as c from (select k.a, k.b, k.d2 from knn k join core y on k.b = y.a where k.a not in (select a from core)) group by a),
+every as (select * from lab union all select bord.a, lab.label_ from bord join lab on bord.c = lab.a),
+named as (select vec_id, pts.label, label_ from pts left join every on vec_id = a),
+sz as (select label, label_, count(*) as m from named where label_ is not null group by 1, 2),
+best as (select label, max_by(label_, (m, -label_)) as top, max(m) as m from sz group by label),
+tot as (select label, count(*) as n from pts group by label)
+select named.label, vec_id, (top is null or m < 5 or n < 4 or coalesce(label_ = top, false)) as kept
+from named join tot on named.label = tot.label left join best on named.label = best.label""")
+def largest_cluster(spark, sf_dir):
+    return spatial.largest_cluster(points(spark, sf_dir), 0.12, 4, "vec_id", ["label"])
+
+
+@query(f"""with recursive {P}, e as (select a.vec_id as a, b.vec_id as b from pts a join pts b on a.vec_id <> b.vec_id and {_DIST2} <= 0.05::double * 0.05::double),
+reach(a, b) as (select vec_id, vec_id from pts union select r.a, e.b from reach r join e on r.b = e.a)
+select a as vec_id, min(b) as component from reach group by a""")
+def duplicate_groups(spark, sf_dir):
+    p = points(spark, sf_dir).select("vec_id", "x", "y", "z")
+    near = spatial.radius_pairs(p, p, 0.05).where("a_vec_id < b_vec_id").select(F.col("a_vec_id").alias("a"), F.col("b_vec_id").alias("b"))
+    found = connected_components(near).withColumnRenamed("node", "vec_id")
+    return p.select("vec_id").join(found, "vec_id", "left").select("vec_id", F.coalesce("component", "vec_id").alias("component"))
+
+
+@query(f"""with {P}, n as (select *, row_number() over (partition by label order by vec_id) - 1 as p, count(*) over (partition by label) as n from pts),
+i as (select distinct label, floor(i * ((n - 1) / 15.0::double))::bigint as p from n, range(16) t(i) where n > 16)
+select n.vec_id, n.label from n left join i on n.label = i.label and n.p = i.p where n.n <= 16 or i.p is not null""")
+def even_subsample(spark, sf_dir):
+    return spatial.even_subsample(points(spark, sf_dir), 16, "vec_id", ["label"]).select("vec_id", "label")
+
+
+@query(f"""with {P}, {V}, vm as (select label % 2 as side, kx, ky, kz, avg(x) as x, avg(y) as y, avg(z) as z from vox group by all),
+a as (select * from vm where side = 0), b as (select * from vm where side = 1)
+select coalesce(a.kx, b.kx) as kx, coalesce(a.ky, b.ky) as ky, coalesce(a.kz, b.kz) as kz, a.x is not null and b.x is not null as shared,
+  {", ".join(f"round(coalesce((a.{k} + b.{k}) * 0.5::double, a.{k}, b.{k}), 6) + 0.0 as {k}" for k in "xyz")}
+from a full join b on a.kx = b.kx and a.ky = b.ky and a.kz = b.kz""")
+def voxel_outer_merge(spark, sf_dir):
+    p = points(spark, sf_dir)
+    side = [voxels.voxel_mean(p.where(F.col("label") % 2 == i), VOXEL).drop("n") for i in (0, 1)]
+    keyed = [s.select(*voxels.CELLS, *geometry.AXES) for s in side]
+    # Means keep their cell, so the merge joins on the cells they came from.
+    a, b = (k.select(*voxels.CELLS, *[F.col(x).alias(f"{n}_{x}") for x in geometry.AXES]) for n, k in zip("ab", keyed, strict=True))
+    both = a.join(b, list(voxels.CELLS), "full_outer")
+    merged = [(F.round(F.coalesce((F.col(f"a_{x}") + F.col(f"b_{x}")) * 0.5, f"a_{x}", f"b_{x}"), 6) + 0.0).alias(x) for x in geometry.AXES]
+    return both.select(*voxels.CELLS, (F.col("a_x").isNotNull() & F.col("b_x").isNotNull()).alias("shared"), *merged)
+
+
+@query(f"""with {P}, {V}, f as (select kx, ky, kz, vec_id // 50 as frame, avg(x) as x, avg(y) as y, avg(z) as z from vox group by all),
+h as (select kx, ky, kz, count(*) as frames, {", ".join(f"list({k} order by frame) as h{k}" for k in "xyz")} from f group by all)
+select kx, ky, kz, frames, {", ".join(f"round(list_reduce(h{k}, lambda a, p: (a + p) * 0.5::double), 6) + 0.0 as {k}" for k in "xyz")} from h""")
+def voxel_fold(spark, sf_dir):
+    p = points(spark, sf_dir).withColumn("frame", F.floor(F.col("vec_id") / 50))
+    return voxels.fold_clouds(p, VOXEL, "frame").select(*voxels.CELLS, "frames", *rounded("x", "y", "z"))
+
+
+@query(f"""with {E}, l as (select * from ev where event_type = 'error'), w as (select * from ev where event_type = 'view'),
+j as (select l.event_id, w.event_id as match_id, abs(w.ns - l.ns) as gap_ns, row_number() over (partition by l.event_id order by
+  abs(w.ns - l.ns), (w.ns < l.ns)::integer, case when w.ns < l.ns then -w.event_id else w.event_id end) as k
+  from l join w on abs(w.ns - l.ns) <= 150000000000)
+select event_id, match_id, gap_ns from j where k = 1""")
+def asof_nearest_tolerance(spark, sf_dir):
+    e = events(spark, sf_dir)
+    left = e.where("event_type = 'error'").select("event_id", "ns")
+    right = e.where("event_type = 'view'").select(F.col("event_id").alias("match_id"), F.col("ns").alias("match_ns"))
+    found = asof.nearest_join(left, right, "event_id", "ns", "match_ns", "match_id", 150_000_000_000)
+    return found.select("event_id", "match_id", "gap_ns")
+
+
+@query(f"""with {E}, l as (select * from ev where event_type = 'error'), w as (select * from ev where event_type = 'view'),
+j as (select l.event_id, w.event_id as match_id, row_number() over (partition by l.event_id order by abs(w.ns - l.ns), w.event_id) as k
+  from l join w on l.user_id = w.user_id and abs(w.ns - l.ns) <= 3600000000000)
+select l.event_id, j.match_id from l left join j on l.event_id = j.event_id and j.k = 1""")
+def asof_live_left(spark, sf_dir):
+    e = events(spark, sf_dir)
+    left = e.where("event_type = 'error'").select("event_id", "user_id", "ns")
+    right = e.where("event_type = 'view'").select("user_id", F.col("event_id").alias("match_id"), F.col("ns").alias("match_ns"))
+    found = asof.nearest_join(left, right, "event_id", "ns", "match_ns", "match_id", 3_600_000_000_000, ["user_id"], "arrival", "left")
+    return found.select("event_id", "match_id")
+
+
+@query(f"""with {E}, p as (select user_id as pose_user, ns as pose_ns, value from ev where event_type = 'view'),
+q as (select l.event_id, l.ns, max(p.pose_ns) filter (p.pose_ns <= l.ns) as lo, min(p.pose_ns) filter (p.pose_ns >= l.ns) as hi
+  from (select * from ev where event_type = 'error') l left join p on abs(p.pose_ns - l.ns) <= 60000000000 group by 1, 2)
+select event_id, round(a.value + (b.value - a.value) * case when hi = lo then 0 else (ns - lo) / (hi - lo) end, 6) + 0.0 as value
+from q left join p a on a.pose_ns = lo left join p b on b.pose_ns = hi""")
+def pose_interpolation(spark, sf_dir):
+    e = events(spark, sf_dir)
+    left = e.where("event_type = 'error'").select("event_id", "ns")
+    poses = e.where("event_type = 'view'").select(F.col("ns").alias("pose_ns"), "value")
+    return asof.interpolated_pose(left, poses, "event_id", "ns", "pose_ns", ["value"], 60_000_000_000).select("event_id", *rounded("value"))
+
+
+@query(f"""with {E} select a.ns, a.event_id as cloud_id, b.event_id as meta_id, json_extract_string(b.props, '$.k')::integer as k
+from ev a join ev b on a.ns = b.ns""")
+def stamp_equi_join(spark, sf_dir):
+    e = events(spark, sf_dir)
+    cloud, meta = e.select("ns", "event_id"), e.select("ns", "event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    joined = asof.stamp_join(cloud, meta, "ns", "event_id")
+    return joined.select("ns", F.col("a.event_id").alias("cloud_id"), F.col("b.event_id").alias("meta_id"), F.col("b.k").alias("k"))
+
+
+@query("""select event_id, coalesce(value, 0) / 500 >= 0.25 and lower(event_type) <> 'person' as offline,
+  not (coalesce(value, 0) / 500 < 0.25 or lower(trim(event_type)) in ('error', 'click')) as online from events""")
+def detection_filter(spark, sf_dir):
+    e = events(spark, sf_dir).withColumn("confidence", F.coalesce("value", F.lit(0.0)) / 500)
+    out = detection.excluded_online(F.col("event_type"), F.lit(0), F.col("confidence"), 0.25, [" Error", "CLICK"])
+    return e.select("event_id", detection.accepted_offline(F.col("event_type"), F.col("confidence"), None, 0.25).alias("offline"), (~out).alias("online"))
+
+
+def _boxes(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    c = F.col("o_custkey")
+    return o.select("o_orderkey", (c % 1280).cast("double").alias("x1"), (c * 7 % 960).cast("double").alias("y1"), ((c * 3 + 17) % 1280).cast("double").alias("x2"), ((c * 11 + 5) % 960).cast("double").alias("y2"))
+
+
+_BOXES = """bx as (select o_orderkey, (o_custkey % 1280)::double as x1, (o_custkey * 7 % 960)::double as y1,
+  ((o_custkey * 3 + 17) % 1280)::double as x2, ((o_custkey * 11 + 5) % 960)::double as y2 from orders),
+sc as (select *, greatest(0, least(640, floor(least(x1, x2) * 0.5::double)))::integer as l, greatest(0, least(480, floor(least(y1, y2) * 0.5::double)))::integer as t,
+  greatest(0, least(640, ceil(greatest(x1, x2) * 0.5::double)))::integer as r, greatest(0, least(480, ceil(greatest(y1, y2) * 0.5::double)))::integer as b from bx)"""
+
+
+def _scaled(spark, sf_dir):
+    corners = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
+    box = geometry.scaled_box(corners, [F.lit(1280), F.lit(960)], [F.lit(640), F.lit(480)])
+    return _boxes(spark, sf_dir).withColumn("box", box)
+
+
+@query(f"with {_BOXES} select o_orderkey, case when r > l and b > t then l end as \"left\", case when r > l and b > t then t end as top, case when r > l and b > t then r end as \"right\", case when r > l and b > t then b end as bottom from sc")
+def bbox_scale_clip(spark, sf_dir):
+    return _scaled(spark, sf_dir).select("o_orderkey", *[F.col(f"box.{c}").alias(c) for c in ("left", "top", "right", "bottom")])
+
+
+def _pixels(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem")
+    return li.groupBy(
+        (F.col("l_orderkey") % 16).alias("frame_id"), (F.col("l_partkey") % 640).cast("int").alias("u"), (F.col("l_suppkey") * 37 % 480).cast("int").alias("v")
+    ).agg((F.min("l_quantity") / 10).alias("depth"))
+
+
+_PIXELS = """px as (select l_orderkey % 16 as frame_id, (l_partkey % 640)::integer as u, (l_suppkey * 37 % 480)::integer as v, min(l_quantity) / 10 as depth
+from lineitem group by 1, 2, 3)"""
+
+
+@query(f"""with {_BOXES}, {_PIXELS}, few as (select o_orderkey % 16 as frame_id, o_orderkey as detection_id, l, t, r, b from sc where o_orderkey % 50 = 0 and r > l and b > t)
+select frame_id, detection_id, count(*) as n, sum(round_even((u - 320) * depth / 500 * 1000000, 0)::bigint)::bigint as sx,
+  sum(round_even((v - 240) * depth / 480 * 1000000, 0)::bigint)::bigint as sy, min(depth) as near, max(depth) as far
+from few join px using (frame_id) where u >= l and u < r and v >= t and v < b and (u - l) % 2 = 0 and (v - t) % 2 = 0 and depth between 0.3 and 5.0
+group by 1, 2""")
+def bbox_project(spark, sf_dir):
+    """Every fiftieth order is a detection, as a frame has far fewer boxes than pixels."""
+    few = _scaled(spark, sf_dir).where("o_orderkey % 50 = 0 and box is not null")
+    few = few.select((F.col("o_orderkey") % 16).alias("frame_id"), F.col("o_orderkey").alias("detection_id"), "box.*")
+    found = projection.project_boxes(few, _pixels(spark, sf_dir), CAMERA)
+    return found.groupBy("frame_id", "detection_id").agg(
+        F.count("*").alias("n"), micrometres("x").alias("sx"), micrometres("y").alias("sy"), F.min("depth").alias("near"), F.max("depth").alias("far")
+    )
+
+
+def _masks(spark, sf_dir):
+    return _pixels(spark, sf_dir).where("depth < 4").select("frame_id", F.lit(0).alias("detection_id"), "u", "v")
+
+
+@query(f"""with {_PIXELS} select frame_id, u, v, round((u - 320) * depth / 500, 6) + 0.0 as x, round((v - 240) * depth / 480, 6) + 0.0 as y, round(depth, 6) as z
+from px where depth < 4 and u % 2 = 0 and v % 2 = 0 and depth between 0.1 and 10.0""")
+def mask_project(spark, sf_dir):
+    found = projection.project_masks(_masks(spark, sf_dir), _pixels(spark, sf_dir), CAMERA)
+    return found.select("frame_id", "u", "v", *rounded("x", "y", "z"))
+
+
+_COARSE = f"""{_PIXELS}, mk as (select distinct frame_id % 2 as frame_id, u // 40 as u, v // 40 as v from px where depth < 4)"""
+
+
+def _coarse(spark, sf_dir):
+    m = _masks(spark, sf_dir)
+    return m.select((F.col("frame_id") % 2).alias("frame_id"), "detection_id", F.expr("u div 40").alias("u"), F.expr("v div 40").alias("v")).distinct()
+
+
+@query(f"""with {_COARSE} select m.frame_id, m.u, m.v from mk m join mk n on m.frame_id = n.frame_id and abs(m.u - n.u) <= 1 and abs(m.v - n.v) <= 1
+group by 1, 2, 3 having count(*) = (least(m.u + 1, 15) - greatest(m.u - 1, 0) + 1) * (least(m.v + 1, 11) - greatest(m.v - 1, 0) + 1)""")
+def mask_erode(spark, sf_dir):
+    return projection.erode_masks(_coarse(spark, sf_dir), 16, 12, 1).select("frame_id", *[F.col(c).cast("int").alias(c) for c in "uv"])
+
+
+@query(f"""with {_COARSE} select frame_id, p.i::integer as u, q.i::integer as v from mk join range(24) p(i) on floor(p.i * 16 / 24) = u join range(18) q(i) on floor(q.i * 12 / 18) = v""")
+def mask_resize(spark, sf_dir):
+    return projection.resize_masks(_coarse(spark, sf_dir), (16, 12), (24, 18)).select("frame_id", "u", "v")
+
+
+POSE = (0.8, -0.6, 0.0, 1.5, 0.6, 0.8, 0.0, -2.0, 0.0, 0.0, 1.0, 0.25)
+
+
+@query(f"""with {P} select vec_id, round(0.8::double * x - 0.6::double * y + 1.5, 6) + 0.0 as x, round(0.6::double * x + 0.8::double * y - 2.0, 6) + 0.0 as y,
+  round(z + 0.25, 6) + 0.0 as z from pts""")
+def rigid_transform(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return p.select("vec_id", *[c.alias(a) for a, c in geometry.apply_matrix(F.col("x"), F.col("y"), F.col("z"), POSE).items()]).select("vec_id", *rounded("x", "y", "z"))
+
+
+@query("""with q as (select vec_id, embedding[1]::double as x, embedding[2]::double as y, embedding[3]::double as z, embedding[4]::double as w,
+  embedding[5]::double as px, embedding[6]::double as py, embedding[7]::double as pz from embeddings),
+s as (select *, case when x*x + y*y + z*z + w*w < 1e-12 then 0 else 2 / (x*x + y*y + z*z + w*w) end as s from q)
+select vec_id, round((1 - s*(y*y + z*z))*px + s*(x*y - z*w)*py + s*(x*z + y*w)*pz + 1, 6) + 0.0 as x,
+  round(s*(x*y + z*w)*px + (1 - s*(x*x + z*z))*py + s*(y*z - x*w)*pz + 2, 6) + 0.0 as y,
+  round(s*(x*z - y*w)*px + s*(y*z + x*w)*py + (1 - s*(x*x + y*y))*pz + 3, 6) + 0.0 as z from s""")
+def quat_matrix(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    at = [F.get("embedding", i).cast("double") for i in range(7)]
+    moved = geometry.apply_quaternion(at[4:7], at[:4], [F.lit(1.0), F.lit(2.0), F.lit(3.0)])
+    return e.select("vec_id", *[c.alias(a) for a, c in moved.items()]).select("vec_id", *rounded("x", "y", "z"))
+
+
+@query("""select p_partkey, ((p_partkey % 256) << 16) | ((p_size * 5 % 256)::bigint << 8) | (p_partkey * 7 % 256) as packed,
+  (p_partkey % 256)::integer as r, (p_size * 5 % 256)::integer as g, (p_partkey * 7 % 256)::integer as b from part""")
+def color_pack(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    packed = p.select("p_partkey", color.pack_rgb(F.col("p_partkey") % 256, F.col("p_size") * 5 % 256, F.col("p_partkey") * 7 % 256).alias("packed"))
+    return packed.select("p_partkey", "packed", *[c.alias(n) for n, c in color.unpack_rgb(F.col("packed")).items()])
+
+
+@query("""with h as (select p_partkey, (p_partkey * 2654435761) & 4294967295 as m from part)
+select p_partkey, (64 + ((m >> 16) & 191))::integer as r, (64 + ((m >> 8) & 191))::integer as g, (64 + (m & 191))::integer as b from h""")
+def stable_color(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    return p.select("p_partkey", *[c.alias(n) for n, c in color.stable_color(F.col("p_partkey")).items()])
+
+
+_HUE = """with h as (select p_partkey, ((p_partkey * 0.618033988749895::double) % 1) * 6 as h from part),
+f as (select *, h - floor(h) as f, floor(h)::integer as i, 0.86::double as t, 0.86::double * (1 - 0.78::double) as lo from h),
+c as (select *, t * (1 - 0.78::double * f) as dn, t * (1 - 0.78::double * (1 - f)) as up from f)
+select p_partkey, round_even([t, dn, lo, lo, up, t][i + 1] * 255, 0)::integer as r, round_even([up, t, t, dn, lo, lo][i + 1] * 255, 0)::integer as g,
+  round_even([lo, lo, up, t, t, dn][i + 1] * 255, 0)::integer as b from c"""
+
+
+@query(_HUE)
+def hue_color(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    return p.select("p_partkey", *[c.alias(n) for n, c in color.hue_color(F.col("p_partkey")).items()])
+
+
+@query(f"""with {_PIXELS} select frame_id, u, v, greatest(0, least(319, round_even((u + 0.5::double) * 320 / 640 - 0.5::double, 0)))::integer as nearest,
+  greatest(0, least(319, floor((u + 0.5::double) * 320 / 640)))::integer as cell from px""")
+def pixel_color_sample(spark, sf_dir):
+    p = _pixels(spark, sf_dir)
+    at = (F.col("u"), F.lit(320.0), F.lit(640.0))
+    return p.select("frame_id", "u", "v", color.sample_nearest(*at, up=True).alias("nearest"), color.sample_nearest(*at).alias("cell"))
+
+
+_HIST = """hist as (select user_id, event_type, sum(greatest(value, 0)) as score, count(*) as n, min(event_id) as first_order from events group by 1, 2)"""
+
+
+def _history(spark, sf_dir):
+    return semantics.class_history(read(spark, sf_dir, "events"), "user_id", "event_type", "value", "event_id")
+
+
+@query("""select user_id, round(avg(value), 6) as confidence, count(*) as observations, epoch_us(min(ts)) as first_seen, epoch_us(max(ts)) as last_seen,
+  case when count(*) >= 60 then 'confirmed' else 'candidate' end as status from events group by user_id""")
+def confidence_mean(spark, sf_dir):
+    e = read(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    return semantics.track_summary(e, "user_id", "value", "us", 60).select("user_id", *rounded("confidence"), "observations", "first_seen", "last_seen", "status")
+
+
+@query("""with t as (select user_id, avg(value) as c, count(*) as n, min(epoch_us(ts)) as a, max(epoch_us(ts)) as b from events group by user_id)
+select user_id % 10 as grp, round(sum(c * n) / sum(n), 6) as confidence, sum(n)::bigint as observations, min(a) as first_seen, max(b) as last_seen from t group by 1""")
+def merged_confidence(spark, sf_dir):
+    e = read(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    tracks = semantics.track_summary(e, "user_id", "value", "us", 60).withColumn("grp", F.col("user_id") % 10)
+    return semantics.merged_summary(tracks, "grp").select("grp", *rounded("confidence"), "observations", "first_seen", "last_seen")
+
+
+@query(f"with {_HIST} select user_id, event_type, round(score, 4) as score, n, first_order from hist")
+def semantic_histogram(spark, sf_dir):
+    return _history(spark, sf_dir).select("user_id", "event_type", *rounded("score", digits=4), "n", "first_order")
+
+
+@query(f"with {_HIST} select user_id, max_by(event_type, (score, -first_order)) as event_type, round(max(score), 4) as score from hist group by user_id")
+def dominant_class(spark, sf_dir):
+    return semantics.dominant_class(_history(spark, sf_dir), "user_id", "event_type").select("user_id", "event_type", *rounded("score", digits=4))
+
+
+@query(f"""with {_HIST}, t as (select user_id, sum(score) as total, count(*) as k from hist group by 1)
+select user_id, event_type, round(case when total > 0 then score / total else 1.0 / k end, 6) as share from hist join t using (user_id)""")
+def semantic_similarity(spark, sf_dir):
+    return semantics.class_shares(_history(spark, sf_dir), "user_id", "event_type").select("user_id", "event_type", *rounded("share"))
+
+
+_GROW = " and ".join(
+    f"greatest(a.hi_{k}, b.hi_{k}) - least(a.lo_{k}, b.lo_{k}) <= greatest(a.hi_{k} - a.lo_{k}, 0.02::double) * 1.5::double + 0.04::double" for k in "xyz"
+)
+
+
+@query(f"with {P}, {B} select a.label as a, b.label as b, {_GROW} as valid from bounds a join bounds b on a.label < b.label where {_PAIR} <= 0.75 and {_NEAR}")
+def extent_growth(spark, sf_dir):
+    pairs = spatial.box_pairs(spatial.cloud_bounds(points(spark, sf_dir), ["label"]), "label", 0.04, 0.75)
+    return pairs.select(F.col("a_label").alias("a"), F.col("b_label").alias("b"), geometry.growth_valid("a_", "b_", 0.02, 1.5, 0.04).alias("valid"))
+
+
+@query("""with s as (select distinct user_id, event_id // 20 as frame from events where event_type = 'error'),
+g as (select *, coalesce((frame - lag(frame) over w - 1 > 30)::integer, 0) as cut from s window w as (partition by user_id order by frame)),
+i as (select *, sum(cut) over (partition by user_id order by frame) as isl from g),
+k as (select *, row_number() over (partition by user_id, isl order by frame) as k from i),
+n as (select *, least(isl, coalesce(min(case when k >= 3 then isl end) over (partition by user_id), isl)) + 1 as life from k)
+select user_id, life::bigint as life, min(frame) as first_frame, max(frame) as last_frame, count(*) as sightings,
+  case when count(*) >= 3 then 'confirmed' else 'candidate' end as status from n group by 1, 2""")
+def track_expiry(spark, sf_dir):
+    e = read(spark, sf_dir, "events").where("event_type = 'error'")
+    return semantics.lives(e.select("user_id", F.expr("event_id div 20").alias("frame")).distinct(), "user_id", "frame", 30, 3)
+
+
+@query("""with recursive t as (select distinct user_id, epoch_us(ts) as us from events),
+k(user_id, us) as (select user_id, min(us) from t group by 1 union all
+  select k.user_id, (select min(us) from t where t.user_id = k.user_id and t.us >= k.us + 86400000000) from k
+  where exists (select 1 from t where t.user_id = k.user_id and t.us >= k.us + 86400000000))
+select * from k""")
+def snapshot_throttle(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return semantics.throttled(e, "us", 86_400_000_000, ["user_id"])
+
+
+@query("""with n as (select event_id, user_id, row_number() over (partition by user_id order by event_id) as k,
+  lag(event_id, 2) over (partition by user_id order by event_id) as delayed_id from events)
+select event_id, user_id, delayed_id from n where (k - 1) % 3 = 0""")
+def processing_delay(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("event_id", "user_id")
+    lagged = e.withColumn("delayed_id", asof.delayed(e, "event_id", 2, "event_id", ["user_id"]))
+    return asof.every_nth(lagged, 2, "event_id", ["user_id"])
+
+
+@query(f"""with {_HIST}, t as (select user_id as track_id, count(*) as observations, avg(value) as c from events group by 1),
+d as (select user_id, max_by(event_type, (score, -first_order)) as class_name from hist group by 1)
+select track_id, class_name, observations from t join d on user_id = track_id where observations >= 50 order by observations desc, track_id limit 20""")
+def topk_objects(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    named = semantics.dominant_class(_history(spark, sf_dir), "user_id", "event_type").select("user_id", F.col("event_type").alias("class_name"))
+    tracks = semantics.track_summary(e, "user_id", "value", "event_id", 50).join(named, "user_id").withColumnRenamed("user_id", "track_id")
+    return semantics.top_objects(tracks, 20, confirmed=True).select("track_id", "class_name", "observations")
+
+
+@query("""with d as (select distinct user_id, ts::date as day, event_type from events), m as (select max(day) as day from d)
+select distinct user_id, event_type from d where day = (select day from m) - 1 except select user_id, event_type from d where day = (select day from m)""")
+def removed_ids(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("user_id", "event_type", F.to_date("ts").alias("day"))
+    last = F.broadcast(e.agg(F.max("day").alias("last")))  # one row
+    dated = e.crossJoin(last)
+    return semantics.removed(dated.where("day = date_sub(last, 1)"), dated.where("day = last"), ["user_id", "event_type"])
+
+
+_STAGES = ("click", "error", "purchase", "view", "signup", "idle")
+
+
+@query(f"""with s as (select unnest([{', '.join(repr(x) for x in _STAGES)}]) as stage, unnest(range({len(_STAGES)})) as position),
+t as (select event_type as stage, sum(value) as total, count(*) as n from events group by 1)
+select position::integer as position, stage, round(coalesce(total, 0), 6) as total_seconds, round(100 * coalesce(total, 0) / 100000, 3) as share_percent,
+  coalesce(n, 0) as calls, round(coalesce(1000 * total / n, 0), 3) as avg_ms_per_call, round(1000 * coalesce(total, 0) / 2000, 3) as avg_ms_per_frame
+from s left join t using (stage)""")
+def timing_report(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), F.col("value").alias("seconds"), F.lit(1).alias("calls"))
+    return semantics.timing_report(e, _STAGES, 100000.0, 2000)
+
+
+@query("""select event_id, regexp_replace(event_type || ' é/' || event_id, '[^\\p{L}\\p{N}_-]', '_', 'g') as file_name,
+  trim(lower(regexp_replace('_' || event_type || '!', '[^\\p{L}\\p{N}_-]', '_', 'g')), '_') as key_name from events""")
+def safe_names(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    text = F.concat("event_type", F.lit(" é/"), F.col("event_id").cast("string"))
+    return e.select("event_id", detection.safe_name(text).alias("file_name"), detection.safe_name(F.concat(F.lit("_"), "event_type", F.lit("!")), key=True).alias("key_name"))
+
+
+@query("""with b as (select o_orderkey, (640 + o_custkey % 1280)::double as w, (480 + o_custkey % 720)::double as h from orders),
+l as (select *, least(640 / w, 640 / h) as ratio, 1024 / greatest(w, h) as s from b)
+select o_orderkey, round(ratio, 9) as ratio, floor((640 - round_even(w * ratio, 0)) / 2) as pad_x, floor((640 - round_even(h * ratio, 0)) / 2) as pad_y,
+  floor(w * s + 0.5)::integer as width, floor(h * s + 0.5)::integer as height from l""")
+def image_fit(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select("o_orderkey", (640 + F.col("o_custkey") % 1280).cast("double").alias("w"), (480 + F.col("o_custkey") % 720).cast("double").alias("h"))
+    box, side = geometry.letterbox(F.col("w"), F.col("h"), 640), geometry.longest_side(F.col("w"), F.col("h"), 1024)
+    return o.select("o_orderkey", *[c.alias(n) for n, c in box.items()], *[side[c].alias(c) for c in ("width", "height")]).withColumns(
+        {"ratio": F.round("ratio", 9)}
+    )
+
+
+@query("""with g as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, 8 * (1 << (l_linenumber % 3)) as s, l_partkey % 80 as gx, l_suppkey % 80 as gy from lineitem)
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, (gx + 0.5::double - l_quantity / 10) * s as x1, (gy + 0.5::double - l_quantity / 20) * s as y1,
+  (gx + 0.5::double + l_quantity / 10) * s as x2, (gy + 0.5::double + l_quantity / 20) * s as y2 from g""")
+def anchor_decode(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem")
+    s, q = F.lit(8) * F.shiftleft(F.lit(1), 0) * F.pow(F.lit(2), F.col("l_linenumber") % 3), F.col("l_quantity")
+    corners = geometry.decoded_box(F.col("l_partkey") % 80, F.col("l_suppkey") % 80, q / 10, q / 20, q / 10, q / 20, s)
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", *[c.alias(n) for n, c in zip(("x1", "y1", "x2", "y2"), corners, strict=True)])
+
+
+@query("""select l_orderkey, min_by(l_linenumber, (-l_quantity, l_linenumber)) as class_id, max(l_quantity) as score from lineitem group by l_orderkey""")
+def best_class(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("class_id"), F.col("l_quantity").alias("score"))
+    return boxes.best_class(li, ["l_orderkey"])
+
+
+@query()
+def nms(spark, sf_dir):
+    b = _boxes(spark, sf_dir).join(read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority"), "o_orderkey")
+    found = b.select(
+        F.expr("o_orderkey div 64").alias("frame_id"), F.col("o_orderpriority").alias("class_name"), F.col("o_orderkey").alias("ord"), F.col("o_totalprice").alias("confidence"),
+        F.least("x1", "x2").alias("x1"), F.least("y1", "y2").alias("y1"), F.greatest("x1", "x2").alias("x2"), F.greatest("y1", "y2").alias("y2"),
+    )
+    return boxes.suppress(found, 0.45, ["frame_id", "class_name"])
+
+
+@query()
+def assignment(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(F.expr("event_id div 40").alias("frame"), F.col("user_id"), "event_type", "value")
+    pairs = e.groupBy("frame", (F.col("user_id") % 12).alias("observation"), F.hash("event_type").alias("track")).agg(F.max("value").alias("score"))
+    return boxes.assignment(pairs, "frame", "observation", "track", "score")
+
+
+def _observations(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    triples = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.struct(*[F.get("embedding", 3 * i + k).cast("float").alias(a) for k, a in enumerate("xyz")]))
+    return e.select(
+        (F.col("label") % 4).cast("string").alias("session"), F.expr("vec_id div 20").alias("frame"), F.col("vec_id").alias("observation"), F.col("label").cast("int").alias("class_id"),
+        F.concat(F.lit("class_"), F.col("label").cast("string")).alias("class_name"), F.lit(0.9).alias("confidence"), (F.expr("vec_id div 20") / 10 + 1).alias("stamp"), triples.alias("points"),
+    )
+
+
+TRACKING = MapConfig(voxel_size=0.05, overlap_radius=0.15, association_threshold=0.4, merge_interval=10, min_confirmed=2, max_extent_growth=3.0)
+
+
+@query()
+def tracker_batch(spark, sf_dir):
+    found = tracker.track_batch(_observations(spark, sf_dir), TRACKING)
+    return found.select("session", "frame", "observation", "track_id", *rounded("score", "overlap", "similarity", "box_overlap"), "is_new")
