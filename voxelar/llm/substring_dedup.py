@@ -321,10 +321,12 @@ def _later(by: list[str]):
     return here > F.first(here).over(order)
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
+def repeated_windows(docs: DataFrame, dealt: DataFrame) -> DataFrame:
     """``(doc, check, place)`` of all windows of ``docs(doc, check, text)`` that occur earlier.
 
-    ``place`` packs the first word and the number of consecutive windows.
+    ``place`` packs the first word and the number of consecutive windows. ``dealt`` has
+    the same rows, partitioned by document for joins; the first pass reads ``docs`` as
+    they are stored.
     """
     rows = docs.mapInArrow(_super_rows, _ROW)
     settled = F.col("place").bitwiseAND(_DUP) == _DUP
@@ -338,7 +340,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     check = F.shiftright("place", _HASH).bitwiseAND((1 << _START - _HASH) - 1).alias("check")
     found = marked.where("repeat").select("doc", check, "place")
     unsure = marked.where("not repeat").groupBy("doc", check).agg(F.collect_list("place").alias("places"))
-    windows = docs.join(unsure, ["doc", "check"]).select("doc", "check", "text", "places").mapInArrow(_window_rows, _ROW)
+    windows = dealt.join(unsure, ["doc", "check"]).select("doc", "check", "text", "places").mapInArrow(_window_rows, _ROW)
     windows = windows.select("*", (settled | _later(["key", "content"])).alias("repeat"))
     return found.unionByName(windows.where("repeat").select("doc", check, "place"))
 
@@ -356,7 +358,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     check = F.xxhash64(text).bitwiseAND((1 << _START - _HASH) - 1)
     rows = docs.select(id_of(id_col).alias("doc"), check.alias("check"), text.alias("text"))
     dealt = rows.repartition("doc", "check")
-    found = repeated_windows(dealt).groupBy("doc", "check").agg(F.collect_list("place").alias("places"))
+    found = repeated_windows(rows, dealt).groupBy("doc", "check").agg(F.collect_list("place").alias("places"))
     out = dealt.join(found, ["doc", "check"], "left").select("doc", "text", "places")
     cut = out.mapInArrow(_cut, "doc long, n_words long, n_removed long, kept binary")
     return cut.select(id_back("doc").alias("doc_id"), "n_words", "n_removed", "kept")
