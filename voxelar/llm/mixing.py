@@ -40,7 +40,9 @@ def tempered_targets(cells: DataFrame, dimension: str, power: float = POWER) ->
     totals = cells.groupBy(dimension).agg(F.sum("tokens").alias("tokens"))
     raw = F.pow(F.col("tokens").cast("double"), F.lit(power))
     scale = totals.agg(F.sum(raw).alias("all"))
-    return totals.crossJoin(F.broadcast(scale)).select(dimension, (raw / F.col("all")).alias("target"))
+    return totals.crossJoin(F.broadcast(scale)).select(
+        dimension, F.coalesce(F.try_divide(raw, F.col("all")), F.lit(0.0)).alias("target")
+    )
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
@@ -81,7 +83,7 @@ def probabilities(
     targets = targets or {d: tempered_targets(cells, d) for d in DIMENSIONS}
     fitted = rake(cells, targets, rounds)
     everything = cells.agg(F.sum("tokens").alias("all_tokens"))
-    chance = keep * F.col("weight") * F.col("all_tokens") / F.col("tokens")
+    chance = F.try_divide(keep * F.col("weight") * F.col("all_tokens"), F.col("tokens"))
     return fitted.crossJoin(F.broadcast(everything)).select(
         *DIMENSIONS,
         F.round("weight", DIGITS).alias("weight"),
