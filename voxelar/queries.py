@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from voxelar.config import MapConfig
 from voxelar.functions import color, detection, geometry
-from voxelar.operators import asof, boxes, layout, projection, semantics, spatial, voxels
+from voxelar.operators import asof, boxes, finalize, layout, projection, semantics, spatial, voxels
 from voxelar.plans.components import connected_components
+from voxelar.plans.cut import new_path
 from voxelar.streaming import tracker
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -614,3 +615,73 @@ TRACKING = MapConfig(voxel_size=0.05, overlap_radius=0.15, association_threshold
 def tracker_batch(spark, sf_dir):
     found = tracker.track_batch(_observations(spark, sf_dir), TRACKING)
     return found.select("session", "frame", "observation", "track_id", *rounded("score", "overlap", "similarity", "box_overlap"), "is_new")
+
+
+MERGING = MapConfig(voxel_size=0.05, overlap_radius=0.12, max_centroid_distance=0.5, merge_overlap=0.6, cluster_eps=0.0, min_confirmed=20)
+_TRACKS = "tr as (select *, label * 5 + vec_id % 5 as track from pts)"
+_TB = "tb as (select track, label, avg(x) as c_x, avg(y) as c_y, avg(z) as c_z, min(x) as lo_x, min(y) as lo_y, min(z) as lo_z, max(x) as hi_x, max(y) as hi_y, max(z) as hi_z, count(*) as n from tr group by 1, 2)"
+_DOUBLES = f"""with recursive {P}, {_TRACKS}, {_TB},
+pr as (select a.track as a, b.track as b from tb a join tb b on a.label = b.label and a.track < b.track where {_PAIR} <= 0.5 and {_NEAR.replace('0.04', '0.12')}),
+bo as (select a, b from pr union select b, a from pr),
+hi as (select a.track as a, b.track as b, count(distinct a.vec_id) as hits from tr a join tr b on a.label = b.label and a.track <> b.track and {_DIST2} <= 0.12::double * 0.12::double group by 1, 2),
+ed as (select hi.a, hi.b from hi join bo on hi.a = bo.a and hi.b = bo.b join tb on tb.track = hi.a where hits / n >= 0.6),
+un as (select a, b from ed union select b, a from ed),
+reach(a, b) as (select a, a from un union select r.a, u.b from reach r join un u on r.b = u.a),
+su as (select a as track, min(b) as survivor from reach group by a)"""
+
+
+def _tracks(spark, sf_dir):
+    return points(spark, sf_dir).withColumn("track", F.col("label") * 5 + F.col("vec_id") % 5)
+
+
+@query(f"{_DOUBLES} select track, survivor from su")
+def double_tracks(spark, sf_dir):
+    return finalize.double_tracks(_tracks(spark, sf_dir), "track", "label", "vec_id", MERGING)
+
+
+@query(f"""{_DOUBLES}, t as (select coalesce(survivor, tr.track) as track, tr.label, vec_id from tr left join su using (track))
+select track, min_by(label, vec_id) as label, count(*) as observations, min(vec_id) as first_seen, max(vec_id) as last_seen from t group by 1 having count(*) >= 20""")
+def final_objects(spark, sf_dir):
+    t = _tracks(spark, sf_dir)
+    summary = t.groupBy("track", "label").agg(F.lit(0.5).alias("confidence"), F.count("*").alias("observations"), F.min("vec_id").alias("first_seen"), F.max("vec_id").alias("last_seen"))
+    return finalize.finalize(t, summary, "track", "label", "vec_id", MERGING)[1].select("track", "label", "observations", "first_seen", "last_seen")
+
+
+@query("""with l as (select user_id, value > lag(value) over (partition by user_id order by event_id) as up from events)
+select user_id, bool_and(coalesce(up, true)) as ascending from l group by 1""")
+def key_order(spark, sf_dir):
+    return finalize.ascending(read(spark, sf_dir, "events"), "value", "event_id", ["user_id"])
+
+
+@query(f"with {P}, {V} select label, count(*) as raw_points, count(distinct (kx, ky, kz)) as voxel_points from vox group by 1")
+def projection_counters(spark, sf_dir):
+    return finalize.projection_counters(points(spark, sf_dir), ["label"], VOXEL)
+
+
+@query("select event_id, epoch_us(ts) // 1000000 || '_' || lpad((epoch_us(ts) % 1000000 * 1000)::varchar, 9, '0') as stem from events")
+def frame_stems(spark, sf_dir):
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    return read(spark, sf_dir, "events").select("event_id", finalize.frame_stem(F.floor(us / 1000000), us % 1000000 * 1000).alias("stem"))
+
+
+@query()
+def object_map(spark, sf_dir):
+    name = F.concat(F.lit("class_"), F.col("label").cast("string"))
+    return layout.object_map(layout.object_records(_clean_objects(spark, sf_dir), "label", name), generated_at="2024-01-01T00:00:00Z")
+
+
+@query()
+def tracker_stream(spark, sf_dir):
+    """The tracker as a stream over files of the same observations; a last frame per session moves the watermark on."""
+    found = _observations(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.col("stamp")))
+    end = found.select("session").distinct().join(found.limit(1).drop("session", "frame", "ts", "points"))
+    end = end.select("*", F.lit(-1).cast("long").alias("frame"), F.array().cast(found.schema["points"].dataType).alias("points"), F.timestamp_seconds(F.lit(10**9)).alias("ts"))
+    source = new_path(spark, "frames")
+    found.coalesce(1).write.parquet(source)
+    end.select(*found.columns).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(found.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    out = new_path(spark, "tracked")
+    started = tracker.track_stream(stream, TRACKING, "1 second").writeStream.option("checkpointLocation", new_path(spark, "offsets"))
+    started.outputMode("append").trigger(availableNow=True).start(out).awaitTermination()
+    done = spark.read.parquet(out).where("frame >= 0")
+    return done.select("session", "frame", "observation", "track_id", *rounded("score", "overlap", "similarity", "box_overlap"), "is_new")
