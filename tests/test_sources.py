@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxelar.operators import asof, semantics
-from voxelar.sources import clouds, readers
+from voxelar.sources import clouds, inference, readers
 from voxelar.streaming import joins
 
 
@@ -91,3 +91,9 @@ def test_stamped_streams_join_once(spark, tmp_path):
     q = joins.stamped_pairs(once, other).writeStream.format("memory").queryName("paired").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r.stamp_ns // 10**9 for r in spark.table("paired").collect()) == [1, 2, 2, 3]
+
+
+def test_detector_boundary(spark):
+    frames = spark.createDataFrame([(1, bytearray(b"abc")), (2, bytearray(b""))], "frame_id long, content binary")
+    got = inference.detect(frames, inference.stub).orderBy("frame_id").collect()
+    assert [(r.frame_id, r.class_id, r.class_name, r.xyxy) for r in got] == [(1, 3, "unknown", [0, 0, 3, 1]), (2, 0, "unknown", [0, 0, 0, 1])]

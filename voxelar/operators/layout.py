@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelar.functions.detection import safe_name
-from voxelar.functions.geometry import AXES, is_finite
+from voxelar.functions.geometry import AXES, is_finite, to_pixel
 
 from .spatial import cloud_bounds
 
@@ -47,6 +47,50 @@ def object_records(points: DataFrame, track: str, name: Column, source: str = "b
     )
 
 
+def full_records(points: DataFrame, tracks: DataFrame, scores: DataFrame, track: str, least: int, source: str = "batch") -> DataFrame:
+    """Every field of an object record: geometry, evidence, times, files and class scores with text keys.
+
+    ``tracks``: ``track, class_id, class_name, confidence, observations, first_seen,
+    last_seen, missed_frames``; ``scores``: ``track, semantic_scores``.
+    """
+    geometry = object_records(points, track, F.lit("")).drop("id", "label", "source").withColumnRenamed("track_id", track)
+    joined = tracks.join(geometry, track).join(scores, track, "left")
+    stem = F.format_string("object_%06d", F.col(track))
+    return joined.select(
+        F.concat_ws("_", safe_name(F.col("class_name"), key=True), F.col(track).cast("string")).alias("id"),
+        F.col("class_name").alias("label"),
+        F.when(F.col("observations") >= least, F.lit("confirmed")).otherwise(F.lit("candidate")).alias("state"),
+        F.lit(source).alias("source"),
+        *AXES,
+        *[f"size_{a}" for a in AXES],
+        "confidence",
+        F.col("observations").alias("times_seen"),
+        "first_seen",
+        "last_seen",
+        F.col(track).alias("track_id"),
+        "class_id",
+        F.array(*AXES).alias("centroid"),
+        F.struct(F.array(*[f"lo_{a}" for a in AXES]).alias("min"), F.array(*[f"hi_{a}" for a in AXES]).alias("max")).alias("bounds"),
+        "point_count",
+        F.concat(stem, F.lit(".parquet")).alias("data_file"),
+        F.concat(stem, F.lit(".ply")).alias("cloud_file"),
+        "missed_frames",
+        F.coalesce("semantic_scores", F.create_map().cast("map<string,double>")).alias("semantic_scores"),
+    )
+
+
+def xy_objects(points: DataFrame, track: str, **limits) -> DataFrame:
+    """Per object its finite XY bounds and centre in metres and the centre's pixel in the common layout."""
+    fine = points.where(is_finite(F.col("x"), F.col("y")))
+    aggs = [f(F.col(a).cast("double")).alias(f"{p}{a}") for a in "xy" for p, f in (("lo_", F.min), ("hi_", F.max))]
+    bounds = fine.groupBy(track).agg(*aggs, F.count("*").alias("n"))
+    middle = {f"center_{a}": (F.col(f"lo_{a}") + F.col(f"hi_{a}")) * 0.5 for a in "xy"}
+    placed = bounds.withColumns(middle).crossJoin(F.broadcast(fit_layout(points, **limits)))  # one row
+    return placed.select(
+        track, "n", *[f"{p}_{a}" for p in ("lo", "hi", "center") for a in "xy"], *[c.alias(k) for k, c in to_pixel(F.col("center_x"), F.col("center_y")).items()]
+    )
+
+
 def markers(records: DataFrame, least_size: float = 0.02) -> DataFrame:
     """Box and label of every object; boxes are never thinner than ``least_size``."""
     size = {f"box_{a}": F.greatest(F.col(f"size_{a}"), F.lit(least_size)) for a in AXES}

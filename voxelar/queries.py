@@ -664,6 +664,39 @@ def frame_stems(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", finalize.frame_stem(F.floor(us / 1000000), us % 1000000 * 1000).alias("stem"))
 
 
+@query(f"""with {P}, {_LAYOUT}, o as (select label, count(*) as n, min(x) as lo_x, min(y) as lo_y, max(x) as hi_x, max(y) as hi_y from pts group by 1),
+c as (select *, (lo_x + hi_x) * 0.5::double as center_x, (lo_y + hi_y) * 0.5::double as center_y from o)
+select label, n, {r('c.lo_x', 'c.lo_y', 'c.hi_x', 'c.hi_y', 'c.center_x', 'c.center_y')},
+  greatest(0, least(width - 1, round_even((center_x - min_x) * scale + offset_x, 0)))::integer as u,
+  greatest(0, least(height - 1, round_even(height - 1 - ((center_y - min_y) * scale + offset_y), 0)))::integer as v from c, fit""")
+def xy_objects(spark, sf_dir):
+    found = layout.xy_objects(points(spark, sf_dir), "label")
+    return found.select("label", "n", *rounded("lo_x", "lo_y", "hi_x", "hi_y", "center_x", "center_y"), "u", "v")
+
+
+@query(f"""with {P}, {B}, t as (select label, count(*) as k, min(vec_id) as a, max(vec_id) as b from pts group by 1)
+select 'class_' || label || '_' || label as id, case when k >= 45 then 'confirmed' else 'candidate' end as state, k as times_seen, a as first_seen, b as last_seen,
+  n as point_count, round(hi_x - lo_x, 6) as size_x, 'object_' || lpad(label::varchar, 6, '0') || '.ply' as cloud_file, round(0.5::double * k, 6) as own_score
+from bounds join t using (label)""")
+def object_documents(spark, sf_dir):
+    p = points(spark, sf_dir)
+    seen = p.select("label", "vec_id", F.lit(0.5).alias("confidence"))
+    name = F.concat(F.lit("class_"), F.col("label").cast("string")).alias("class_name")
+    tracks = semantics.track_summary(seen, "label", "confidence", "vec_id", 45).select("label", F.col("label").alias("class_id"), name, "confidence", "observations", "first_seen", "last_seen", F.lit(0).alias("missed_frames"))
+    history = semantics.class_history(seen.withColumn("class_id", F.col("label")), "label", "class_id", "confidence", "vec_id")
+    found = layout.full_records(p, tracks, semantics.score_maps(history, "label", "class_id"), "label", 45)
+    own = F.element_at("semantic_scores", F.col("class_id").cast("string")).alias("own_score")
+    return found.select("id", "state", "times_seen", "first_seen", "last_seen", "point_count", "size_x", "cloud_file", own).withColumns({c: F.round(c, 6) for c in ("size_x", "own_score")})
+
+
+@query("""select c_custkey, n_name, r_name from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where r_name <> 'ASIA'""")
+def vocabulary_join(spark, sf_dir):
+    """Class ids to names; classes outside the vocabulary go."""
+    c, n, g = (read(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    named = n.join(g.where("r_name <> 'ASIA'"), n.n_regionkey == g.r_regionkey)
+    return c.join(named, c.c_nationkey == n.n_nationkey).select("c_custkey", "n_name", "r_name")
+
+
 @query()
 def object_map(spark, sf_dir):
     name = F.concat(F.lit("class_"), F.col("label").cast("string"))
