@@ -13,14 +13,15 @@ from pyspark.sql import functions as F
 
 from voxelar.plans.cut import materialize
 
-from ._common import ascii_lower, fresh, text_of
+from ._common import NULL_ID, ascii_lower, fresh, id_of, text_of
 
 SHARE = 0.001
 
 
 def digest(text_col: str = "text") -> Column:
     """SHA-256 (hex) of the text with A-Z lowered; null counts as empty."""
-    return F.sha2(ascii_lower(text_of(text_col)).cast("binary"), 256)
+    # Never null: without the coalesce a join on it filters nulls first and digests every text twice.
+    return F.coalesce(F.sha2(ascii_lower(text_of(text_col)).cast("binary"), 256), F.lit(""))
 
 
 def heavy_hitters(rows: DataFrame, key: str, share: float = SHARE) -> DataFrame:
@@ -70,7 +71,7 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``docs`` with one row for each distinct normalised text, columns unchanged."""
     key, one = fresh(docs, "_digest"), fresh(docs, "_id")
     kept = exact_dedup(docs, id_col, text_col, share).where("kept")
-    kept = kept.select(F.col("doc_id").alias(one), F.col("text_sha256").alias(key))
-    marked = docs.withColumn(key, digest(text_col))
-    same = (marked[key] == kept[key]) & marked[id_col].eqNullSafe(kept[one])
-    return marked.join(kept, same, "left_semi").dropDuplicates([key]).drop(key)
+    kept = kept.select(F.col("text_sha256").alias(key), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias(one))
+    # Join and removal of repeated rows go by the same keys, so the texts are shuffled once.
+    marked = docs.withColumns({key: digest(text_col), one: id_of(id_col)})
+    return marked.join(kept, [key, one], "left_semi").dropDuplicates([key, one]).drop(key, one)
