@@ -178,15 +178,16 @@ def quality_rules(
 
 
 def keep_good(
-    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rules: Rules = Rules()
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rules: Rules = Rules()
 ) -> DataFrame:
     """``docs`` without the rejected rows, columns unchanged.
 
-    A verdict depends on text and language only, so it joins back on their digest, and
-    rows that repeat an id keep their own verdicts.
+    A verdict joins back on a digest of id, language and text: rows that repeat an id
+    keep their own verdicts, and many copies of a text are not one key.
     """
     key = fresh(docs, "_key")
-    lang = F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(""))
-    marked = docs.withColumn(key, F.sha2(F.concat(lang, F.lit("\n"), text_of(text_col)).cast("binary"), 256))
+    parts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in (id_col, lang_col)]
+    whole = F.concat(*[x for p in parts for x in (p, F.lit("\n"))], text_of(text_col))
+    marked = docs.withColumn(key, F.coalesce(F.sha2(whole.cast("binary"), 256), F.lit("")))
     good = quality_rules(marked, key, text_col, lang_col, rules).where("kept").select(F.col("doc_id").alias(key)).distinct()
     return marked.join(good, key, "left_semi").drop(key)

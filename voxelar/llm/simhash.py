@@ -296,7 +296,8 @@ def similar_pairs(rows: DataFrame, size: int = 5, similarity: float = 0.8) -> Da
     flat = bands.select("rid", F.posexplode("bands").alias("band", "fp"))
     leader = F.min(F.struct(F.xxhash64("rid", "band").alias("h"), F.col("rid").alias("leader")))
     groups = flat.groupBy("band", "fp").agg(leader.alias("m"), F.count("*").alias("n")).where("n > 1")
-    groups = groups.select("band", "fp", F.col("m.leader").alias("leader"))
+    # Written out so that the join below sits right on its exchanges and a large group can be split.
+    groups = materialize(groups.select("band", "fp", F.col("m.leader").alias("leader")), "leaders")
     pairs = flat.join(groups, ["band", "fp"]).where("rid <> leader")
     pairs = pairs.select(F.least("rid", "leader").alias("a"), F.greatest("rid", "leader").alias("b")).distinct()
     pairs = materialize(pairs, "pairs")
