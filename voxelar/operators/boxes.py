@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelar.plans.groups import map_whole_groups
+
 INFEASIBLE = 1e6
 
 
@@ -30,11 +32,14 @@ def suppress(detections: DataFrame, threshold: float, by: list[str], score: str
     A group is one class of one frame, so it is small whatever the number of frames.
     """
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([score, order], ascending=[False, True], kind="stable")
-        return rows[kept_boxes(rows[["x1", "y1", "x2", "y2"]].to_numpy(float), threshold)]
+    def many(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([*by, score, order], ascending=[*[True] * len(by), False, True], kind="stable")
+        corners = rows[["x1", "y1", "x2", "y2"]].to_numpy(float)
+        starts = rows[by].ne(rows[by].shift()).any(axis=1).to_numpy().nonzero()[0]
+        keep = [kept_boxes(corners[i:j], threshold) for i, j in zip(starts, [*starts[1:], len(rows)], strict=True)]
+        return rows[np.concatenate(keep)]
 
-    return detections.groupBy(*by).applyInPandas(one, detections.schema)
+    return map_whole_groups(detections, by, many, detections.schema)
 
 
 def best_class(scores: DataFrame, key: list[str], class_col: str = "class_id", score: str = "score") -> DataFrame:
@@ -94,6 +99,9 @@ def assignment(candidates: DataFrame, frame: str, row: str, column: str, score:
         matrix = np.full((len(rows), len(columns)), -np.inf)
         matrix[r, c] = pairs[score]
         chosen = set(assign(matrix))
-        return pairs.loc[[(a, b) in chosen for a, b in zip(r, c, strict=True)], [frame, row, column, score]]
+        return pairs[[(a, b) in chosen for a, b in zip(r, c, strict=True)]]
+
+    def many(pairs: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([one(g) for _, g in pairs[[frame, row, column, score]].groupby(frame, sort=False)])
 
-    return candidates.groupBy(frame).applyInPandas(one, schema)
+    return map_whole_groups(candidates, [frame], many, schema)
