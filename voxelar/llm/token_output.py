@@ -9,7 +9,6 @@ have the same size, so a reader seeks to any slot and resumes there.
 
 from __future__ import annotations
 
-import re
 import uuid
 
 import numpy as np
@@ -20,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from voxelar.plans.cut import broadcast_if_small, materialize, new_path
+from voxelar.plans.session import small_batches
 
 from ._common import id_back, id_of, text_of, vocabulary
 from .bpe import RANKS, encode_text, encoding
@@ -29,33 +29,6 @@ SEPARATOR = 50256
 SHARD_SEQUENCES = 1 << 16
 ROUNDS = 6
 KEY = 2024
-MEMO = 1 << 18
-
-_JOINED = re.compile(r"\s ")
-
-
-def _encoder(path: str):
-    """Texts to packed 16-bit ids. A space after a non-space starts a new match, so words are encoded once."""
-    enc, memo = encoding(path), {}
-
-    def one(chunk: str) -> bytes:
-        found = memo.get(chunk)
-        if found is None:
-            if len(memo) >= MEMO:
-                memo.clear()
-            found = np.array(encode_text(enc, chunk), np.uint16).tobytes()
-            if len(chunk) < 64:
-                memo[chunk] = found
-        return found
-
-    def run(text: str) -> bytes:
-        if _JOINED.search(text):
-            return one(text)
-        head, *rest = text.split(" ")
-        return b"".join([one(head), *[one(" " + w) for w in rest]])
-
-    return run
-
 
 def feistel(ranks: np.ndarray, total: int, key: int = KEY) -> np.ndarray:
     """A keyed permutation of 0 .. total - 1: a balanced Feistel network walked until inside."""
@@ -80,10 +53,10 @@ def feistel(ranks: np.ndarray, total: int, key: int = KEY) -> np.ndarray:
 
 def _split_counts(path: str, length: int):
     def run(batches):
-        encode, seen = _encoder(path), {}
+        enc, seen = encoding(path), {}
         for batch in batches:
             for split, text in zip(batch.column("split").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                seen[split] = seen.get(split, 0) + (len(encode(text)) // 2 + length) // length
+                seen[split] = seen.get(split, 0) + (len(encode_text(enc, text)) + length) // length
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["split", "n"])
 
     return run
@@ -91,14 +64,14 @@ def _split_counts(path: str, length: int):
 
 def _sequences(path: str, length: int, total: int, key: int):
     def run(batches):
-        encode, seen, end = _encoder(path), {}, np.uint16(SEPARATOR).tobytes()
+        enc, seen, end = encoding(path), {}, np.uint16(SEPARATOR).tobytes()
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 rank, doc, part, used, blob = [], [], [], [], []
                 columns = [batch.column(c).to_pylist() for c in ("split", "base", "doc", "text")]
                 for split, base, number, text in zip(*columns, strict=True):
-                    ids = encode(text) + end
+                    ids = np.array(encode_text(enc, text), np.uint16).tobytes() + end
                     n = len(ids) // 2
                     count = (n + length - 1) // length
                     ids += end * (count * length - n)
@@ -164,7 +137,7 @@ def write_shards(
     separators; repeated rows are sequences of their own; an empty table writes none.
     """
     path = path or vocabulary(RANKS)
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     try:
         rows = docs.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"))
     except Exception as e:  # not a scan
@@ -182,7 +155,7 @@ def write_shards(
     found = placed.mapInArrow(_sequences(path, length, total, key), "slot long, doc long, part int, n_ids int, ids binary")
     shards = max(1, -(-total // per_shard))
     found = found.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int"))
-    dealt = found.repartition(shards, "shard").sortWithinPartitions("shard", "slot")
+    dealt = found.repartitionById(shards, "shard").sortWithinPartitions("shard", "slot")
     schema = "slot long, shard int, doc long, part int, n_ids int"
     return materialize(dealt.mapInArrow(_writer(folder, per_shard), schema), "slots") if total else spark.createDataFrame([], schema)
 
