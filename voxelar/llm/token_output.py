@@ -1,10 +1,12 @@
 """Training-order materialisation of token ids in binary shards.
 
-Every document's ids, ended by a separator, fill sequences of a fixed length. A
-sequence's rank counts the sequences before it in file order; a keyed Feistel network
-with cycle-walking permutes the ranks, so each sequence has its own global slot and the
-order depends on the key alone. Ranges of slots are shards: files whose records all
-have the same size, so a reader seeks to any slot and resumes there.
+Every document's ids, ended by a separator, fill sequences of a fixed length. A text of
+n bytes has at most n tokens, so it reserves n // length + 1 places in file order, which
+are known without encoding. A keyed Feistel network with cycle-walking permutes all
+places; equal ranges of places are shards. A shard holds its sequences in order of
+place, so the global slot of a sequence is its shard's base plus its position there, and
+the order depends on the key alone. All records of a file have the same size: a reader
+seeks to any slot and resumes there.
 """
 
 from __future__ import annotations
@@ -26,7 +28,8 @@ from .bpe import RANKS, encode_text, encoding
 
 LENGTH = 256
 SEPARATOR = 50256
-SHARD_SEQUENCES = 1 << 16
+#: Places of a shard; about a third to a half of them are used.
+SHARD_PLACES = 1 << 17
 ROUNDS = 6
 KEY = 2024
 
@@ -51,18 +54,9 @@ def feistel(ranks: np.ndarray, total: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _split_counts(path: str, length: int):
-    def run(batches):
-        enc, seen = encoding(path), {}
-        for batch in batches:
-            for split, text in zip(batch.column("split").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                seen[split] = seen.get(split, 0) + (len(encode_text(enc, text)) + length) // length
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["split", "n"])
-
-    return run
-
-
 def _sequences(path: str, length: int, total: int, key: int):
+    """The sequences of texts with their places."""
+
     def run(batches):
         enc, seen, end = encoding(path), {}, np.uint16(SEPARATOR).tobytes()
         for whole in batches:
@@ -76,26 +70,26 @@ def _sequences(path: str, length: int, total: int, key: int):
                     count = (n + length - 1) // length
                     ids += end * (count * length - n)
                     first = base + seen.get(split, 0)
-                    seen[split] = seen.get(split, 0) + count
+                    seen[split] = seen.get(split, 0) + len(text.encode()) // length + 1
                     for k in range(count):
                         rank.append(first + k)
                         doc.append(number)
                         part.append(k)
                         used.append(min(length, n - k * length))
                         blob.append(ids[2 * length * k : 2 * length * (k + 1)])
-                slot = feistel(np.array(rank, np.int64), total, key)
+                place = feistel(np.array(rank, np.int64), total, key)
                 columns = [pa.array(doc, pa.int64()), pa.array(part, pa.int32()), pa.array(used, pa.int32()), pa.array(blob, pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array(slot), *columns], ["slot", "doc", "part", "n_ids", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(place), *columns], ["place", "doc", "part", "n_ids", "ids"])
 
     return run
 
 
-def _writer(folder: str, per_shard: int):
-    """Write each shard's records in slot order; a finished file appears under its name at once."""
+def _writer(folder: str):
+    """Write each shard's records in order of place; a finished file appears under its name at once."""
 
     def run(batches):
         fs, root = pyarrow.fs.FileSystem.from_uri(folder)
-        shard, out, temporary = None, None, ""
+        shard, out, temporary, done = None, None, "", 0
 
         def finish():
             out.close()
@@ -104,36 +98,43 @@ def _writer(folder: str, per_shard: int):
         for batch in batches:
             shards = batch.column("shard").to_numpy()
             cuts = np.append(np.nonzero(np.append(True, shards[1:] != shards[:-1]))[0], len(shards))
+            at = np.empty(len(shards), np.int64)
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if shards[a] != shard:
                     if out is not None:
                         finish()
-                    shard = int(shards[a])
+                    shard, done = int(shards[a]), 0
                     fs.create_dir(root, recursive=True)
                     temporary = f"{root}/.{shard:06d}-{uuid.uuid4().hex}"
                     out = fs.open_output_stream(temporary)
                 out.write(b"".join(batch.column("ids").slice(a, b - a).to_pylist()))
-            yield batch.select(["slot", "shard", "doc", "part", "n_ids"])
+                at[a:b] = np.arange(done, done + b - a)
+                done += b - a
+            columns = [batch.column(c) for c in ("shard", "doc", "part", "n_ids")]
+            yield pa.RecordBatch.from_arrays([columns[0], pa.array(at), *columns[1:]], ["shard", "at", "doc", "part", "n_ids"])
         if out is not None:
             finish()
 
     return run
 
 
+_INDEX = "shard int, at long, doc long, part int, n_ids int"
+
+
 def write_shards(
     docs: DataFrame,
     folder: str,
     id_col: str = "doc_id",
     text_col: str = "text",
     length: int = LENGTH,
-    per_shard: int = SHARD_SEQUENCES,
+    places: int = SHARD_PLACES,
     key: int = KEY,
     path: str | None = None,
 ) -> DataFrame:
-    """Write all sequences to ``folder`` and return ``(slot, shard, doc, part, n_ids)``.
+    """Write all sequences to ``folder`` and return ``(shard, slot, at, doc, part, n_ids)``.
 
-    ``docs`` is best a plain scan, whose file splits give the ranks; anything else is
-    written to shared storage first. A null or empty text is one sequence of
+    ``docs`` is best a plain scan, whose file splits give the order of places; anything
+    else is written to shared storage first. A null or empty text is one sequence of
     separators; repeated rows are sequences of their own; an empty table writes none.
     """
     path = path or vocabulary(RANKS)
@@ -147,50 +148,58 @@ def write_shards(
         rows = docs.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"))
     split = F.format_string("%s:%020d", "_f", "_b")
     rows = rows.select(split.alias("split"), id_of(id_col).alias("doc"), text_of(text_col).alias("text"))
-    counts = rows.mapInArrow(_split_counts(path, length), "split string, n long").groupBy("split").agg(F.sum("n").alias("n"))
-    counts = materialize(counts, "splits")
+    reserved = F.floor(F.octet_length("text") / F.lit(length)) + 1
+    counts = materialize(rows.groupBy("split").agg(F.sum(reserved).cast("long").alias("n")), "splits")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    bases = _bases(counts)
-    placed = rows.join(broadcast_if_small(bases, 200_000), "split")
-    found = placed.mapInArrow(_sequences(path, length, total, key), "slot long, doc long, part int, n_ids int, ids binary")
-    shards = max(1, -(-total // per_shard))
-    found = found.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int"))
-    dealt = found.repartitionById(shards, "shard").sortWithinPartitions("shard", "slot")
-    schema = "slot long, shard int, doc long, part int, n_ids int"
-    return materialize(dealt.mapInArrow(_writer(folder, per_shard), schema), "slots") if total else spark.createDataFrame([], schema)
+    if not total:
+        return spark.createDataFrame([], f"slot long, {_INDEX}")
+    placed = rows.join(broadcast_if_small(_bases(counts), 200_000), "split")
+    found = placed.mapInArrow(_sequences(path, length, total, key), "place long, doc long, part int, n_ids int, ids binary")
+    found = found.withColumn("shard", F.floor(F.col("place") / places).cast("int"))
+    dealt = found.repartitionById(-(-total // places), "shard").sortWithinPartitions("shard", "place")
+    index = materialize(dealt.mapInArrow(_writer(folder), _INDEX), "index")
+    bases = _running(index.groupBy("shard").agg(F.count("*").alias("n")), "shard", "base")
+    return index.join(broadcast_if_small(bases), "shard").select((F.col("base") + F.col("at")).alias("slot"), *index.columns)
+
+
+def _running(sizes: DataFrame, order: str, name: str) -> DataFrame:
+    """Sums of the sizes before each row; ``sizes`` has a row per file or shard, so one task can sort it."""
+    before = W.orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    return sizes.select(order, F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias(name))
 
 
 def _bases(counts: DataFrame) -> DataFrame:
-    """``(split, base)``: sequences before each split in file order, by a two-level running sum."""
+    """``(split, base)``: places before each split in file order."""
     rows = counts.withColumn("file", F.regexp_extract("split", r"^(.*):\d+$", 1))
-    files = rows.groupBy("file").agg(F.sum("n").alias("all"))
-    before = W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)
-    files = files.select("file", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("before"))
+    files = _running(rows.groupBy("file").agg(F.sum("n").alias("n")), "file", "before")
     inside = W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)
     return rows.join(files, "file").select(
         "split", (F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0))).cast("long").alias("base")
     )
 
 
-def read_shards(spark: SparkSession, folder: str, length: int = LENGTH, per_shard: int = SHARD_SEQUENCES, start: int = 0) -> DataFrame:
-    """``(slot, ids)`` from slot ``start`` on, each shard read in order from its first wanted record."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(folder)
+def read_shards(spark: SparkSession, folder: str, length: int = LENGTH, start: int = 0) -> DataFrame:
+    """``(slot, ids)`` from slot ``start`` on, each shard read in order from its first wanted record.
+
+    The files' sizes say which slots they hold, so only wanted files are read.
+    """
     stride = 2 * length
+    files = small_batches(spark).read.format("binaryFile").option("pathGlobFilter", "*.bin").load(folder)
+    sizes = files.select("path", (F.col("length") / stride).cast("long").alias("n"))
+    bases = _running(sizes, "path", "base")
 
     def run(batches):
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                view, first = content.as_buffer(), int(path.rsplit("/", 1)[1].split(".")[0]) * per_shard
-                n = view.size // stride
-                for at in range(max(0, start - first), n, 4096):
-                    end = min(n, at + 4096)
+            for base, content in zip(batch.column("base").to_pylist(), batch.column("content"), strict=True):
+                view = content.as_buffer()
+                for at in range(max(0, start - base), view.size // stride, 4096):
+                    end = min(view.size // stride, at + 4096)
                     raw = view.slice(at * stride, (end - at) * stride).to_pybytes()
                     ids = [raw[k : k + stride] for k in range(0, len(raw), stride)]
-                    slots = np.arange(first + at, first + end)
-                    yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(ids, pa.binary())], ["slot", "ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(base + at, base + end)), pa.array(ids, pa.binary())], ["slot", "ids"])
 
-    wanted = files.where(F.regexp_extract("path", r"(\d+)\.bin$", 1).cast("long") >= start // per_shard)
-    return wanted.select("path", "content").mapInArrow(run, "slot long, ids binary")
+    wanted = files.join(broadcast_if_small(bases), "path").where(F.col("base") + F.col("length") / stride > start)
+    return wanted.select("base", "content").mapInArrow(run, "slot long, ids binary")
 
 
 def materialised_order(docs: DataFrame) -> DataFrame:
@@ -198,13 +207,14 @@ def materialised_order(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     folder = new_path(spark, "shards")
     index = write_shards(docs, folder)
-    read = read_shards(spark, folder).select("slot", F.sha2("ids", 256).alias("ids_sha256")) if not index.isEmpty() else None
-    if read is None:
+    if index.isEmpty():
         read = spark.createDataFrame([], "slot long, ids_sha256 string")
+    else:
+        read = read_shards(spark, folder).select("slot", F.sha2("ids", 256).alias("ids_sha256"))
     return index.join(read, "slot").select(
         "slot",
         "shard",
-        ((F.col("slot") % SHARD_SEQUENCES) * 2 * LENGTH).alias("offset"),
+        (F.col("at") * 2 * LENGTH).alias("offset"),
         id_back("doc").alias("doc_id"),
         F.col("part").cast("long").alias("part"),
         F.col("n_ids").cast("long").alias("n_ids"),
