@@ -138,9 +138,11 @@ def even_subsample(points: DataFrame, limit: int, order: str, by: Sequence[str])
     """At most ``limit`` points per group, evenly spaced in stored order (index i (n - 1) / (limit - 1), cut)."""
     position = F.row_number().over(W.partitionBy(*by).orderBy(order)) - 1
     total = F.count("*").over(W.partitionBy(*by))
-    # p is chosen if some i has floor(i * (n-1) / (limit-1)) = p: the least i that reaches p.
+    # p is chosen if some i has floor(i * step) = p; only the whole numbers around p / step can.
     ranked = points.withColumns({"_p": position, "_n": total})
     step = (F.col("_n") - 1) / F.lit(max(1, limit - 1)).cast("double")
-    i = F.ceil(F.col("_p") / step)
-    chosen = (F.col("_n") <= limit) | ((i < limit) & (F.floor(i * step) == F.col("_p")))
+    chosen = F.col("_n") <= limit
+    for k in (-1, 0, 1, 2):
+        i = F.floor(F.try_divide(F.col("_p"), step)) + k
+        chosen = chosen | ((i >= 0) & (i < limit) & (F.floor(i * step) == F.col("_p")))
     return ranked.where(chosen).drop("_p", "_n")
