@@ -238,7 +238,7 @@ def simhash_groups(
 
 
 def band_fingerprints(rows: DataFrame, size: int) -> DataFrame:
-    """``(rid, bands)``: SimHash fingerprints of min-wise samples of the distinct shingles.
+    """``(rid, key, bands)``: SimHash fingerprints of min-wise samples of the distinct shingles; key: the text's hash.
 
     Copies of similarity s agree on a whole band sample with probability s^5, so with
     20 bands a pair at 0.8 shares an equal band fingerprint in 99.96 % of cases.
@@ -249,7 +249,7 @@ def band_fingerprints(rows: DataFrame, size: int) -> DataFrame:
         mul = spread.integers(1, 1 << 63, BANDS * BAND_ROWS, np.uint64) * 2 + 1
         add = spread.integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64)
         for batch in batches:
-            rids, bands = [], []
+            rids, keys, bands = [], [], []
             for rid, text in zip(batch.column("rid").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 hashes = np.unique(shingle_hashes(text, size))
                 if not len(hashes):
@@ -265,13 +265,15 @@ def band_fingerprints(rows: DataFrame, size: int) -> DataFrame:
                 bits = np.unpackbits(low.astype(">u8").view(np.uint8).reshape(BANDS, BAND_ROWS, 8), axis=2)
                 packed = np.packbits(2 * bits.sum(axis=1) > BAND_ROWS, axis=1)
                 rids.append(rid)
+                keys.append(xxhash.xxh64_intdigest(text, SEED))
                 bands.append(np.ascontiguousarray(packed).view(">u8").ravel().astype(np.uint64).view(np.int64))
             flat = np.concatenate(bands) if bands else np.empty(0, np.int64)
             offsets = pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32))
             column = pa.ListArray.from_arrays(offsets, pa.array(flat))
-            yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), column], ["rid", "bands"])
+            key = pa.array(np.array(keys, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), key, column], ["rid", "key", "bands"])
 
-    return rows.mapInArrow(run, "rid long, bands array<long>")
+    return rows.mapInArrow(run, "rid long, key long, bands array<long>")
 
 
 def _shingle_sets(rows: DataFrame, size: int) -> DataFrame:
@@ -293,8 +295,9 @@ def similar_pairs(rows: DataFrame, size: int = 5, similarity: float = 0.8) -> Da
     bands give a member up to twenty different partners.
     """
     bands = materialize(band_fingerprints(rows, size), "bands")
-    flat = bands.select("rid", F.posexplode("bands").alias("band", "fp"))
-    leader = F.min(F.struct(F.xxhash64("rid", "band").alias("h"), F.col("rid").alias("leader")))
+    flat = bands.select("rid", "key", F.posexplode("bands").alias("band", "fp"))
+    # Drawn by content, so that the choice does not depend on how rows are numbered.
+    leader = F.min(F.struct(F.xxhash64("key", "band").alias("h"), F.col("rid").alias("leader")))
     groups = flat.groupBy("band", "fp").agg(leader.alias("m"), F.count("*").alias("n")).where("n > 1")
     # Written out so that the join below sits right on its exchanges and a large group can be split.
     groups = materialize(groups.select("band", "fp", F.col("m.leader").alias("leader")), "leaders")
