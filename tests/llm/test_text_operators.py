@@ -259,6 +259,56 @@ def test_near_copies_go_and_others_stay(spark):
     assert kept == set(range(len(texts))) - gone
 
 
+def near_groups(texts, similarity=0.8):
+    """Brute-force components over the similarities of all pairs."""
+    sets = [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if shared >= similarity * (len(sets[i]) + len(sets[j]) - shared):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {find(i) for i in range(len(texts))}
+
+
+@pytest.mark.parametrize("shared", [0, 270])
+def test_near_copies_of_one_original_and_of_one_passage(spark, shared):
+    """Copies that are near the original but not each other; true pairs among texts with a long passage in common."""
+    rng = random.Random(3)
+    fresh = lambda n: [f"w{rng.randint(0, 10**7)}" for _ in range(n)]
+    passage = fresh(shared)
+    texts = []
+    for _ in range(60 if shared else 1):
+        base = passage + fresh(60 if shared else 300)
+        copies = [list(base) for _ in range(2 if shared else 300)]
+        for copy in copies:
+            for at in rng.sample(range(len(base)), 5):
+                copy[at] = fresh(1)[0]
+        texts += [" ".join(t) for t in (base, *copies)]
+    rng.shuffle(texts)
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs(spark, texts)).collect()}
+    assert kept == near_groups(texts)
+
+
+@pytest.mark.parametrize("block_rows", [1000, 7])
+def test_prefix_pairs_miss_none(spark, block_rows):
+    rng = random.Random(5)
+    sets = [set(rng.sample(range(40), 20)) for _ in range(5)]
+    sets += [set(list(s)[: rng.randint(16, 20)]) | {rng.randrange(60)} for s in sets for _ in range(12)]
+    rows = [(i, i % 7, sorted(s)) for i, s in enumerate(sets)]
+    got = simhash.prefix_pairs(spark.createDataFrame(rows, "rid long, component long, shingles array<long>"), 0.8, block_rows).collect()
+    assert len(got) == len(set(got)) and all(r.a < r.b and r.a % 7 != r.b % 7 for r in got)
+    near = {(i, j) for j in range(len(sets)) for i in range(j) if i % 7 != j % 7 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert near and near <= {(r.a, r.b) for r in got}
+
+
 # --- sharding and mixing
 
 

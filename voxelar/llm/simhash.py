@@ -30,6 +30,8 @@ BITS = 64
 BANDS, BAND_ROWS = 20, 5
 #: Ids of changed rows are broadcast up to this many, beyond it they are joined by shuffle.
 ID_ROWS = 200_000
+#: Sets that hold one shingle meet in pairs of blocks of this many.
+PAIR_ROWS = 1000
 
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
@@ -287,12 +289,44 @@ def _shingle_sets(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, "rid long, shingles array<long>")
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    both = pairs.join(sets.select(F.col("rid").alias("a"), F.col("shingles").alias("x")), "a")
+    both = both.join(sets.select(F.col("rid").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
+def prefix_pairs(sets: DataFrame, similarity: float, block_rows: int = PAIR_ROWS) -> DataFrame:
+    """Pairs ``(a, b)`` of ``sets(rid, component, shingles)`` across components; none at the similarity is left out.
+
+    Sets that similar share one of their rarest shingles: of n the first n - similarity * n + 1
+    by frequency. A shingle of many sets is dealt to pairs of blocks of ``block_rows`` members.
+    """
+    words = sets.select("rid", "component", F.size("shingles").alias("size"), F.explode("shingles").alias("s"))
+    often = words.groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
+    held = words.join(often, "s").groupBy("rid", "component", "size").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("held"))
+    # Shingles of one set alone come first in the order and meet nothing.
+    length = F.col("size") - F.ceil(similarity * F.col("size") - 1e-6) + 1 - (F.col("size") - F.size("held"))
+    prefix = held.select("rid", "component", "size", F.explode(F.slice("held", F.lit(1), F.greatest(F.lit(0), length.cast("int")))).alias("e"))
+    prefix = materialize(prefix.select("rid", "component", "size", F.col("e.s").alias("s")), "prefix")
+    met = prefix.groupBy("s").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    blocks = materialize(met.where("low < high").select("s", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks")), "blocks")
+    dealt = prefix.join(blocks, "s").withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("blocks", "other")
+    x, y = (dealt.select("s", "i", "j", *[F.col(c).alias(f"{c}_{e}") for c in ("rid", "component", "size", "own")]) for e in "xy")
+    near = F.least("size_x", "size_y") >= similarity * F.greatest("size_x", "size_y") - 1e-6
+    pairs = x.join(y, ["s", "i", "j"]).where("rid_x < rid_y and component_x <> component_y and (own_x <> own_y or i = j)").where(near)
+    return pairs.select(F.col("rid_x").alias("a"), F.col("rid_y").alias("b")).distinct()
+
+
 def similar_pairs(rows: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Verified pairs ``(a, b)`` of ``rows(rid, text)`` whose shingle sets are that similar.
+    """Verified pairs ``(a, b)`` of ``rows(rid, text)`` that connect all pairs of a band group that are that similar.
 
-    Members of a band group are compared with one pseudo-random leader per band, so a
-    group of any size costs a bounded number of comparisons per member, and the twenty
-    bands give a member up to twenty different partners.
+    Members of a band group are compared with two leaders, a pseudo-random one and of the others
+    the one with most company over its bands (an original among its copies), which settles most
+    groups at a bounded number of comparisons per member. Members of groups that fall into several
+    components after that are compared across components by ``prefix_pairs``.
     """
     bands = materialize(band_fingerprints(rows, size), "bands")
     flat = bands.select("rid", "key", F.posexplode("bands").alias("band", "fp"))
@@ -300,16 +334,28 @@ def similar_pairs(rows: DataFrame, size: int = 5, similarity: float = 0.8) -> Da
     leader = F.min(F.struct(F.xxhash64("key", "band").alias("h"), F.col("rid").alias("leader")))
     groups = flat.groupBy("band", "fp").agg(leader.alias("m"), F.count("*").alias("n")).where("n > 1")
     # Written out so that the join below sits right on its exchanges and a large group can be split.
-    groups = materialize(groups.select("band", "fp", F.col("m.leader").alias("leader")), "leaders")
-    pairs = flat.join(groups, ["band", "fp"]).where("rid <> leader")
-    pairs = pairs.select(F.least("rid", "leader").alias("a"), F.greatest("rid", "leader").alias("b")).distinct()
+    groups = materialize(groups.select("band", "fp", F.col("m.leader").alias("leader"), "n"), "leaders")
+    grouped = materialize(flat.join(groups, ["band", "fp"]).select("band", "fp", "rid", "key", "leader", "n"), "grouped")
+    company = grouped.groupBy("rid").agg(F.sum("n").alias("company"))
+    best = F.max(F.struct("company", "key", F.col("rid").alias("second")))
+    seconds = grouped.where("rid <> leader and n > 2").join(company, "rid").groupBy("band", "fp").agg(best.alias("m"))
+    seconds = materialize(seconds.select("band", "fp", F.col("m.second").alias("leader")), "seconds")
+    pairs = grouped.select("rid", "leader").unionByName(grouped.drop("leader").join(seconds, ["band", "fp"]).select("rid", "leader"))
+    pairs = pairs.where("rid <> leader").select(F.least("rid", "leader").alias("a"), F.greatest("rid", "leader").alias("b")).distinct()
     pairs = materialize(pairs, "pairs")
     members = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
     sets = materialize(_shingle_sets(rows.join(broadcast_if_small(members, ID_ROWS), "rid", "left_semi"), size), "sets")
-    both = pairs.join(sets.select(F.col("rid").alias("a"), F.col("shingles").alias("x")), "a")
-    both = both.join(sets.select(F.col("rid").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    linked = materialize(_verified(pairs, sets, similarity), "linked")
+
+    # Two leaders settle groups of three; in larger ones only members of one component are settled.
+    placed = connected_components(linked).withColumnRenamed("node", "rid")
+    large = grouped.where("n > 3").select("band", "fp", "rid").join(placed, "rid", "left")
+    large = materialize(large.withColumn("component", F.coalesce("component", "rid")), "placed")
+    parted = large.groupBy("band", "fp").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    parted = materialize(parted.select("band", "fp"), "parted")
+    unsettled = materialize(large.join(parted, ["band", "fp"], "left_semi").select("rid", "component").distinct(), "unsettled")
+    rest = prefix_pairs(sets.join(broadcast_if_small(unsettled, ID_ROWS), "rid"), similarity)
+    return linked.unionByName(_verified(materialize(rest, "rest"), sets, similarity))
 
 
 def drop_near_duplicates(
