@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from voxelar import queries
 from voxelar.functions import color, detection, geometry
 from voxelar.operators import layout, projection, spatial, voxels
 
@@ -125,3 +126,22 @@ def test_similarity_rules(spark):
     of = lambda c, n, s=F.col("s"): detection.similarity(F.lit(c), F.lit(n), F.lit(56), F.lit("chair"), s)
     row = df.select(of(57, "x").alias("a"), of(-1, "chair").alias("b"), of(56, "x", F.expr("map(56, 0.0D)")).alias("c")).first()
     assert tuple(row) == (0.25, 1.0, 1.0)
+
+
+def test_every_box_is_projected(spark):
+    """All valid orders' boxes against brute force over the pixels of their frames."""
+    data = "/root/testdata/sf0.001"
+    boxes = queries._scaled(spark, data).where("box is not null").select("o_orderkey", "box.*").toPandas()
+    pixels = {f: p for f, p in queries._pixels(spark, data).where("depth between 0.3 and 5.0").toPandas().groupby("frame_id")}
+    want = {}
+    for b in boxes.itertuples():
+        p = pixels.get(b.o_orderkey % 16)
+        if p is None:
+            continue
+        left, top = p.u - b.left, p.v - b.top
+        n = int(((left >= 0) & (p.u < b.right) & (top >= 0) & (p.v < b.bottom) & (left % 2 == 0) & (top % 2 == 0)).sum())
+        if n:
+            want[b.o_orderkey] = n
+    got = queries.bbox_project_all(spark, data).collect()
+    assert {r.detection_id: r.n for r in got} == want and len(got) == len(want)
+    assert any(k % 50 for k in want)
