@@ -145,3 +145,23 @@ def test_every_box_is_projected(spark):
     got = queries.bbox_project_all(spark, data).collect()
     assert {r.detection_id: r.n for r in got} == want and len(got) == len(want)
     assert any(k % 50 for k in want)
+
+
+def test_whole_masks_erode_and_resize(spark, tmp_path):
+    """Masks of 640 x 480 in several frames, as pixels of ``lineitem``, against numpy."""
+    rng = np.random.default_rng(2)
+    masks = np.zeros((3, 480, 640), bool)
+    for m in masks:
+        for _ in range(6):
+            u, v = rng.integers(0, 600), rng.integers(0, 440)
+            m[v : v + rng.integers(2, 90), u : u + rng.integers(2, 90)] = True
+    masks[0, :20, :20] = True
+    frame, v, u = np.nonzero(masks)
+    back = np.argsort(np.arange(480) * 37 % 480)  # l_suppkey * 37 % 480 = v
+    pd.DataFrame({"l_orderkey": frame, "l_partkey": u, "l_suppkey": back[v], "l_quantity": 10.0}).to_parquet(tmp_path / "lineitem.parquet")
+    edge = np.pad(masks, ((0, 0), (1, 1), (1, 1)), constant_values=True)
+    whole = np.all([edge[:, 1 + j : 481 + j, 1 + i : 641 + i] for i in (-1, 0, 1) for j in (-1, 0, 1)], axis=0)
+    small = masks[:, np.arange(336) * 480 // 336][:, :, np.arange(448) * 640 // 448]
+    for name, want in ("mask_erode_all", whole), ("mask_resize_all", small):
+        got = queries.QUERIES[name](spark, str(tmp_path)).toPandas()
+        assert sorted(zip(got.frame_id, got.v, got.u, strict=True)) == list(zip(*np.nonzero(want), strict=True))

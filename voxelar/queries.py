@@ -386,6 +386,23 @@ def mask_resize(spark, sf_dir):
     return projection.resize_masks(_coarse(spark, sf_dir), (16, 12), (24, 18)).select("frame_id", "u", "v")
 
 
+_SET = f"{_PIXELS}, mk as (select frame_id, u, v from px where depth < 4)"
+
+
+@query(f"""with {_SET}, near as (select frame_id, u + i as u, v + j as v from mk, range(-1, 2) a(i), range(-1, 2) b(j))
+select m.frame_id, m.u, m.v from mk m join near n on m.frame_id = n.frame_id and m.u = n.u and m.v = n.v
+group by 1, 2, 3 having count(*) = (least(m.u + 1, 639) - greatest(m.u - 1, 0) + 1) * (least(m.v + 1, 479) - greatest(m.v - 1, 0) + 1)""")
+def mask_erode_all(spark, sf_dir):
+    """All frames at 640 x 480; ``mask_erode`` takes the coarse cells that its SQL names."""
+    return projection.erode_masks(_masks(spark, sf_dir), 640, 480, 1).select("frame_id", *[F.col(c).cast("int").alias(c) for c in "uv"])
+
+
+@query(f"""with {_SET} select frame_id, p.i::integer as u, q.i::integer as v from mk join range(448) p(i) on floor(p.i * 640 / 448) = u join range(336) q(i) on floor(q.i * 480 / 336) = v""")
+def mask_resize_all(spark, sf_dir):
+    """All frames from 640 x 480 to 448 x 336."""
+    return projection.resize_masks(_masks(spark, sf_dir), (640, 480), (448, 336)).select("frame_id", "u", "v")
+
+
 POSE = (0.8, -0.6, 0.0, 1.5, 0.6, 0.8, 0.0, -2.0, 0.0, 0.0, 1.0, 0.25)
 
 
