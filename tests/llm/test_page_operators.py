@@ -72,6 +72,18 @@ def test_repeated_rows_are_one_page(spark):
     assert html_extract.extract(pages(spark, [row]).limit(0)).count() == 0
 
 
+def test_captures_of_one_page_keep_their_text(spark):
+    foot = "<div>All rights reserved by the owners of this fine site</div>"
+    own = [" ".join(f"p{i}w{j}" for j in range(30)) for i in range(2)]
+    rows = [(i, f"http://a.example/{i}", f"<p>{own[0]}</p>{foot}") for i in range(3)] + [(3, "http://a.example/3", f"<p>{own[1]}</p>{foot}")]
+    rows += [(i, "http://b.example", f"<p>{own[0]}</p>{foot}") for i in (4, 5)]
+    rows += [(i, "http://c.example", f"<article>{i}</article>{foot}") for i in (6, 7)]  # equal but for the article
+    got = {r.page_id: (r.text, r.n_repeated) for r in html_extract.extract(pages(spark, rows)).collect()}
+    assert got[0] == got[1] == got[2] == (own[0], 10) and got[3] == (own[1], 10)
+    assert got[4] == got[5] and got[4][0].startswith(own[0]) and got[4][1] == 0
+    assert got[6] == ("6", 10) and got[7] == ("7", 10)
+
+
 def test_suffix_groups_by_hand():
     rng = np.random.default_rng(0)
     owner = np.repeat(np.arange(6), 50)
