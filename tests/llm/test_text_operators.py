@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -53,6 +55,38 @@ def test_pieces_are_cut_where_matches_start():
         assert [i for p in parts for i in enc.encode_ordinary(p)] == enc.encode_ordinary(t or "")
 
 
+def test_long_white_space_is_matched_whole(spark, monkeypatch):
+    """Against every match of the pattern, encoded one by one; the library alone fails on the long ones."""
+    enc = bpe.encoding(vocabulary(bpe.RANKS))
+
+    def by_match(text):
+        return [i for m in regex.findall(bpe.PATTERN, text) for i in enc._encode_single_piece(m.encode())]
+
+    for space in (" ", "\n", "\t", " \n", "\u00a0"):
+        for text in (f"x{space * 5000}a", f"{space * 5000}", f"{space * 4096}!\n{space * 9000}", f"a{space * 4095}1 b"):
+            assert bpe.encode_text(enc, text) == by_match(text) == enc.encode_ordinary(text)
+    for space in (" ", "\n", "\t"):
+        text = f"x{space * 5_000_000}a"
+        ids = bpe.encode_text(enc, text)
+        last = [" a"] if space == " " else [space, "a"]
+        want = ["x", space * (5_000_000 - 1), *last]
+        assert ids == [i for m in want for i in enc._encode_single_piece(m.encode())] and enc.decode(ids) == text
+    rng = random.Random(1)
+    monkeypatch.setattr(bpe, "RUN_CHARS", 3)
+    monkeypatch.setattr(bpe, "PIECE_CHARS", 7)
+    monkeypatch.setattr(bpe, "_RUN", re.compile(f"[{bpe._SPACE}]{{3,}}"))
+    for _ in range(500):
+        text = "".join(rng.choice([rng.choice(" \t\n\x85\u3000\u200b\x1c") * rng.randint(1, 7), "a", "1", "!", "'s", "é"]) for _ in range(12))
+        assert bpe.encode_text(enc, text) == enc.encode_ordinary(text)
+
+
+def test_round_trip_of_odd_tables(spark):
+    df = docs(spark, ["a b", "a b", None, "x"], ids=[None, None, 7, 7], ids_sha256="clash")
+    got = sorted(map(str, bpe.round_trip(df).collect()))
+    assert len(got) == 4 and len(set(got)) == 3 and sum("doc_id=None" in r for r in got) == 2
+    assert bpe.round_trip(df.limit(0)).count() == 0
+
+
 def test_bytes_of_partial_ids_are_raw(spark):
     enc = bpe.encoding(vocabulary(bpe.RANKS))
     ids = enc.encode_ordinary("🙂")

@@ -1,8 +1,11 @@
 """Byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
-Long texts are cut before white space that follows a non-space character. The split
-pattern always starts a new match there, so the pieces and ids are those of the whole
-text while the library never holds more than one piece of bounded size.
+Long texts are cut at safe boundaries of the split pattern. A match always starts at white
+space that follows another character. A run of white space before a character is two
+matches, all but its last character and that last one (with what follows); one at the end
+of a text is a single match. Long runs are cut there and encoded without the pattern, whose
+engine walks back over such a run on its stack. So the ids are those of the whole text while
+the library never matches more than one piece.
 """
 
 from __future__ import annotations
@@ -26,7 +29,13 @@ RANKS = "byte_bpe_50k.tiktoken"
 PIECE_CHARS = 1 << 16
 ROWS = 512
 
-_SAFE = re.compile(r"(?<=\S)(?=[ \t\n\r])")
+# What the pattern's engine takes for white space (not Python's set, which has four controls more).
+_SPACE = "\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
+#: Runs of white space beyond this are matched by hand.
+RUN_CHARS = 4096
+
+_SAFE = re.compile(f"(?<=[^{_SPACE}])(?=[{_SPACE}])")
+_RUN = re.compile(f"[{_SPACE}]{{{RUN_CHARS},}}")
 
 
 @functools.lru_cache(maxsize=4)
@@ -49,10 +58,31 @@ def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
     yield text[at:]
 
 
+def spans(text: str) -> Iterator[tuple[str, bool]]:
+    """``text`` in parts; True for a part that is one match of the pattern, a long run of white space."""
+    at = 0
+    for run in _RUN.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        if at < run.start():
+            yield text[at : run.start()], False
+        yield text[run.start() : end], True
+        at = end
+    if at < len(text):
+        yield text[at:], False
+
+
 def encode_text(enc: tiktoken.Encoding, text: str) -> list[int]:
-    if len(text) <= PIECE_CHARS:
+    """The ids of a whole text of any length."""
+    if len(text) < RUN_CHARS:
         return enc.encode_ordinary(text)
-    return [i for piece in pieces(text) for i in enc.encode_ordinary(piece)]
+    ids: list[int] = []
+    for part, single in spans(text):
+        if single:
+            ids += enc._encode_single_piece(part)  # the library's byte pair merge without its pattern
+            continue
+        for piece in pieces(part):
+            ids += enc.encode_ordinary(piece)
+    return ids
 
 
 def encode(df: DataFrame, text_col: str = "text", out: str = "ids", path: str | None = None) -> DataFrame:
@@ -100,7 +130,12 @@ def decode(df: DataFrame, ids_col: str = "ids", out: str = "decoded", path: str
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """The contract's digests: ids and decoded bytes of every document."""
+    """The contract's digests: ``doc_id, n_tokens, ids_sha256, decoded_sha256``.
+
+    One row per row of ``docs``, repeated rows included. A null or empty text has no ids
+    and the digests of nothing; a null id stays null; texts may be of any length and
+    shape. Other columns are ignored. An empty table gives an empty result.
+    """
     coded = decode(encode(docs.select("doc_id", "text"), path=path), path=path)
     return coded.select(
         "doc_id",
