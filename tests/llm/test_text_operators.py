@@ -375,14 +375,48 @@ def test_placement_keeps_rows(spark):
     assert sharding.place(df.limit(0), "doc_id").count() == 0
 
 
+def raked(spark, rows, shares, keep):
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    targets = {d: spark.createDataFrame(list(m.items()), f"{d} string, target double") for d, m in shares.items()}
+    goals = {d: mixing.attainable(cells, t, d, keep) for d, t in targets.items()}
+    fitted = mixing.rake(cells, goals)
+    report = {(r.dimension, r.value): r for r in mixing.marginals(fitted, goals).collect()}
+    return fitted.toPandas(), report
+
+
 def test_raking_meets_the_marginals(spark):
     rng = random.Random(1)
-    rows = [(s, lang, t, rng.randint(1, 1000)) for s in "abc" for lang in "xy" for t in "uvw"]
-    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
-    target = {d: spark.createDataFrame([(v, w) for v, w in m.items()], f"{d} string, target double") for d, m in (("source", {"a": 0.5, "b": 0.3, "c": 0.2}), ("lang", {"x": 0.5, "y": 0.5}), ("topic", {"u": 0.1, "v": 0.2, "w": 0.7}))}
-    fitted = mixing.rake(cells, target, 30).toPandas()
-    assert fitted.groupby("source").weight.sum().round(6).to_dict() == {"a": 0.5, "b": 0.3, "c": 0.2}
-    assert fitted.groupby("topic").weight.sum().round(6).to_dict() == {"u": 0.1, "v": 0.2, "w": 0.7}
+    rows = [(s, lang, t, rng.randint(300, 1000)) for s in "abc" for lang in "xy" for t in "uvw"]
+    shares = {"source": {"a": 0.5, "b": 0.3, "c": 0.2}, "lang": {"x": 0.5, "y": 0.5}, "topic": {"u": 0.3, "v": 0.3, "w": 0.4}}
+    fitted, report = raked(spark, rows, shares, 0.3)
+    for d, m in shares.items():
+        for v, share in m.items():
+            r = report[d, v]
+            assert abs(r.reached - share) < 1e-4 and abs(r.goal - share) < 1e-9 and r.target == share
+    assert abs(fitted.kept.sum() / fitted.tokens.sum() - 0.3) < 1e-4 and (fitted.kept <= fitted.tokens).all()
+
+
+def test_what_rare_cells_cannot_give_goes_to_others(spark):
+    rng = random.Random(2)
+    rows = [(s, lang, t, rng.randint(1, 40) if "r" in (s, lang) else rng.randint(900, 2000)) for s in "abr" for lang in "xyr" for t in "uv"]
+    shares = {"source": {"a": 0.5, "b": 0.3, "r": 0.2}, "lang": {"x": 0.6, "y": 0.3, "r": 0.1}, "topic": {"u": 0.5, "v": 0.5}}
+    fitted, report = raked(spark, rows, shares, 0.6)
+    has = fitted.groupby("source").tokens.sum()
+    total = fitted.tokens.sum()
+    assert (fitted.kept <= fitted.tokens + 1e-9).all() and abs(fitted.kept.sum() / total - 0.6) < 1e-4
+    # The rare source gives all it may; the others share what it lacks as 5 to 3.
+    rare = mixing.CEILING * has["r"] / total / 0.6
+    assert abs(report["source", "r"].reached - rare) < 1e-4
+    assert abs(report["source", "a"].reached - (1 - rare) * 5 / 8) < 1e-4
+    assert abs(report["topic", "u"].reached - 0.5) < 1e-4 and all(abs(r.reached - r.goal) < 1e-4 for r in report.values())
+    # Goals that contradict each other: every x is u and every y is v.
+    fitted, report = raked(spark, [("a", "x", "u", 100), ("a", "y", "v", 100)], {"lang": {"x": 0.5, "y": 0.5}, "topic": {"u": 0.8, "v": 0.2}, "source": {"a": 1.0}}, 0.5)
+    assert max(abs(r.reached - r.goal) for r in report.values()) > 0.1
+
+
+def test_goals_of_values_without_target_or_tokens(spark):
+    fitted, report = raked(spark, [("a", "x", "u", 100), ("b", "x", "u", 100), ("b", "x", "v", 0)], {"source": {"a": 0.5, "z": 0.5}, "lang": {"x": 1.0}, "topic": {"u": 1.0}}, 0.2)
+    assert report["source", "b"].reached == 0 and report["source", "a"].reached == 1 and ("source", "z") not in report
 
 
 def test_sampling_follows_the_probabilities(spark):
@@ -392,6 +426,10 @@ def test_sampling_follows_the_probabilities(spark):
     assert all(abs(r.kept - r.p) < 0.06 for r in got) and len({r.p for r in got}) == 2
     sampled = mixing.sample(df)
     assert sampled.columns == df.columns and sampled.count() == mixing.mix(df).where("selected").count()
+    odd = docs(spark, ["a b"] * 4, ids=[None, None, 1, 2]).withColumns({c: F.when(F.col("doc_id") != 1, F.lit("s")) for c in ("source", "lang")})
+    rows = mixing.mix(odd).collect()
+    assert len(rows) == 4 and {r.source for r in rows} == {"", "s"} and len({r.selected for r in rows if r.doc_id is None}) == 1
+    assert mixing.sample(odd).count() == sum(r.selected for r in rows)
     assert mixing.mix(docs(spark, [None, ""])).where("selected").count() == 2 and mixing.mix(docs(spark, [])).count() == 0
 
 

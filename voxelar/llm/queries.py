@@ -168,22 +168,42 @@ select doc_id, source, slot, ({table}[slot + 1])::integer as shard from s
 """
 
 
+#: The SQL looks at the marginals this often; more blocks of rounds are not needed on the given tables.
+_OP6_BLOCKS = 3
+
+
 def _op6() -> str:
-    p, k = mixing.POWER, mixing.KEEP
-    targets = ",\n".join(
-        f"t_{d} as (select {d}, pow(sum(tokens)::double, {p}) / sum(pow(sum(tokens)::double, {p})) over () as target from cells group by {d})"
-        for d in mixing.DIMENSIONS
-    )
-    steps, last = [], "r0"
-    for i in range(1, mixing.ROUNDS + 1):
-        for d in mixing.DIMENSIONS:
+    dims, keep = mixing.DIMENSIONS, mixing.KEEP
+    parts = []
+    upto = "(order by cap / nullif(pull, 0) desc nulls first, {} rows between unbounded preceding and current row)"
+    for d in dims:
+        parts.append(
+            f"""a_{d} as materialized (select *, pow(has, {mixing.POWER}) / sum(pow(has, {mixing.POWER})) over () as pull, {mixing.CEILING} * has as cap,
+  {keep} * sum(has) over () as wanted from (select {d}, sum(tokens)::double as has from cells group by {d})),
+g_{d} as materialized (select {d}, least(cap, pull * greatest(0, max(scale) over ())) as to_{d}
+  from (select *, (wanted - (sum(cap) over () - sum(cap) over {upto.format(d)})) / nullif(sum(pull) over {upto.format(d)}, 0) as scale from a_{d}))"""
+        )
+    joins = " ".join(f"join g_{d} using ({d})" for d in dims)
+    parts.append(f"r0 as materialized (select cells.*, tokens::double as cap, tokens::double as pull, {', '.join(f'to_{d}' for d in dims)} from cells {joins})")
+    last, found = "r0", []
+    for i in range(1, _OP6_BLOCKS * mixing.ROUNDS + 1):
+        for d in dims:
             now = f"r{i}_{d}"
-            steps.append(
-                f"{now} as materialized (select source, lang, topic, tokens, case when sum(weight) over (partition by {d}) > 0 then"
-                f" weight * target / sum(weight) over (partition by {d}) else 0 end as weight from {last} join t_{d} using ({d}))"
+            parts.append(
+                f"""{now} as materialized (select * exclude (pull, capped, free, pulled),
+  pull * coalesce(case when free > 0 and to_{d} - capped > 0 then (to_{d} - capped) / free else to_{d} / nullif(pulled, 0) end, 0) as pull
+  from (select *, sum(case when pull >= cap then cap else 0 end) over (partition by {d}) as capped, sum(pull) over (partition by {d}) as pulled,
+    sum(case when pull >= cap then 0 else pull end) over (partition by {d}) as free from {last}))"""
             )
             last = now
-    chain = ",\n".join(steps)
+        if i % mixing.ROUNDS == 0:
+            off = " union all ".join(f"select sum(least(pull, cap)) as kept, any_value(to_{d}) as goal from {last} group by {d}" for d in dims)
+            met = f"(select max(abs(kept - goal)) / (sum(goal) / 3) <= {mixing.TOLERANCE} from ({off}))"
+            rest = " and ".join(f"not b{n}.met" for n in range(len(found)))
+            parts.append(f"b{len(found)} as materialized (select {met if i < _OP6_BLOCKS * mixing.ROUNDS else 'true'} as met)")
+            others = ", ".join(f"b{n}" for n in range(len(found) + 1))
+            found.append(f"select source, lang, topic, tokens, least(pull, cap) as kept from {last}, {others} where b{len(found)}.met" + (f" and {rest}" if rest else ""))
+    chain = ",\n".join(parts)
     return f"""
 with counts as (
   select doc_id, coalesce(source, '') as source, coalesce(lang, '') as lang, len({_WORDS}) as tokens from documents
@@ -192,14 +212,12 @@ docs as (
   select *, case when tokens < 100 then 'note' when tokens < 1000 then 'article' else 'longform' end as topic from counts
 ),
 cells as materialized (select source, lang, topic, sum(tokens)::bigint as tokens from docs group by all),
-{targets},
-r0 as (select *, tokens::double as weight from cells),
 {chain},
+fitted as ({" union all ".join(found)}),
 p as (
-  select source, lang, topic, round(weight, {mixing.DIGITS}) as weight,
-    round(case when tokens > 0 then least(1.0, {k} * weight * (select sum(tokens)::double from cells) / tokens) else 1.0 end,
-      {mixing.DIGITS}) as probability
-  from {last}
+  select source, lang, topic, round(kept / sum(kept) over (), {mixing.DIGITS}) as weight,
+    round(case when tokens > 0 then kept / tokens else 1.0 end, {mixing.DIGITS}) as probability
+  from fitted
 )
 select doc_id, docs.source, docs.lang, docs.topic, docs.tokens, weight, probability,
   ('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint / pow(2.0, 52) < probability as selected
