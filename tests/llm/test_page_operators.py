@@ -1,10 +1,14 @@
 """Pages, archives and binary output: against brute force, round trips and edge cases."""
 
+import glob
 import gzip
 import hashlib
+import os
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,27 +163,85 @@ def test_feistel_permutes(total):
     assert total < 17 or (got != token_output.feistel(np.arange(total), total, key=1)).any()
 
 
-def test_shards_hold_all_sequences_in_order(spark, tmp_path):
-    rng = random.Random(1)
+def slots_by_hand(paths, length, key=token_output.KEY):
+    """The slot table from the files alone: rows in file order, ranked and permuted one by one."""
     enc = bpe.encoding(vocabulary(bpe.RANKS))
-    texts = [None, "", "one two", " lead  and\n gaps ", "same", "same"] + [" ".join(rng.choice(["alpha", "béta", "gam-ma.", "\n"]) for _ in range(rng.randint(1, 900))) for _ in range(40)]
-    rows = [(i, t) for i, t in enumerate(texts)] + [(0, None)]
-    spark.createDataFrame(rows, "doc_id long, text string").withColumn("slot", F.lit("clash")).repartition(3).write.parquet(f"{tmp_path}/docs")
-    scan = spark.read.parquet(f"{tmp_path}/docs")
-    index = token_output.write_shards(scan, f"file://{tmp_path}/out", length=16, places=256).toPandas()
-    blobs = {r.slot: np.frombuffer(bytes(r.ids), np.uint16) for r in token_output.read_shards(spark, f"file://{tmp_path}/out", 16).collect()}
-    assert sorted(blobs) == list(range(len(index))) == sorted(index.slot)
-    ordered = index.sort_values("slot")
-    assert ordered.shard.is_monotonic_increasing and index.shard.nunique() > 3 and (ordered["doc"].diff() < 0).any()
-    got = []
-    for _, part in index[index["doc"] > 0].groupby("doc"):
-        part = part.sort_values("part")
-        ids = np.concatenate([blobs[s][:n] for s, n in zip(part.slot, part.n_ids, strict=True)]).tolist()
-        got.append((int(part["doc"].iloc[0]), ids))
-    assert got == [(i, [*enc.encode_ordinary(t or ""), 50256]) for i, t in rows[1:-1]]
-    assert (index["doc"] == 0).sum() == 2
-    tail = token_output.read_shards(spark, f"file://{tmp_path}/out", 16, start=100).collect()
-    assert sorted(r.slot for r in tail) == list(range(100, len(index)))
+    pieces = []
+    for path in sorted(paths):
+        for row in pq.read_table(path).to_pylist():
+            ids = [*enc.encode_ordinary(row["text"] or ""), token_output.SEPARATOR]
+            for k in range(-(-len(ids) // length)):
+                part = ids[k * length : (k + 1) * length]
+                pieces.append((row["doc_id"], k, len(part), part + [token_output.SEPARATOR] * (length - len(part))))
+    total = len(pieces)
+    half = max(1, (max(total - 1, 1).bit_length() + 1) // 2)
+    table = {}
+    for rank, piece in enumerate(pieces):
+        slot = rank
+        while True:
+            left, right = slot >> half, slot & ((1 << half) - 1)
+            for r in range(token_output.ROUNDS):
+                f = (right + key * 0x9E3779B97F4A7C15 + r * 0xD1B54A32D192ED03) % 2**64
+                f = ((f ^ f >> 30) * 0xBF58476D1CE4E5B9) % 2**64
+                f = ((f ^ f >> 27) * 0x94D049BB133111EB) % 2**64
+                left, right = right, left ^ ((f ^ f >> 31) & ((1 << half) - 1))
+            slot = left << half | right
+            if slot < total:
+                break
+        table[slot] = piece
+    return table
+
+
+def documents(spark, folder, files=3):
+    rng = random.Random(1)
+    texts = [None, "", "one two", " lead  and\n gaps ", "same", "same", "x" * 70_000] + [" ".join(rng.choice(["alpha", "béta", "gam-ma.", "\n"]) for _ in range(rng.randint(1, 900))) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, None), (5, "same")]
+    spark.createDataFrame(rows, "doc_id long, text string").withColumn("slot", F.lit("clash")).repartition(files).write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
+def read_back(spark, folder, **span):
+    return {r.slot: (r.doc, r.part, r.n_ids, np.frombuffer(bytes(r.ids), np.uint16).tolist()) for r in token_output.read_shards(spark, folder, **span).collect()}
+
+
+def test_slots_are_those_of_the_table_by_hand(spark, tmp_path):
+    scan = documents(spark, f"{tmp_path}/docs")
+    want = slots_by_hand(glob.glob(f"{tmp_path}/docs/*.parquet"), 16)
+    out = f"file://{tmp_path}/out"
+    shards = token_output.write_shards(scan, out, length=16, records=100).collect()
+    assert read_back(spark, out) == want
+    full, rest = divmod(len(want), 100)
+    assert {r.shard: r.records for r in shards} == {i: 100 for i in range(full)} | ({full: rest} if rest else {})
+    for i in range(full):  # a slot's file and offset are a division
+        assert os.path.getsize(f"{tmp_path}/out/{i:08d}.bin") == 100 * 32 and os.path.getsize(f"{tmp_path}/out/{i:08d}.idx") == 100 * 16
+    assert read_back(spark, out, start=150, stop=333) == {s: want[s] for s in range(150, 333)}
+    assert read_back(spark, out, start=len(want)) == {}
+
+
+def test_slots_of_the_shuffled_join(spark, tmp_path):
+    """With too many splits to broadcast, rows reach a task by shuffle, spill and are put in order again."""
+    scan = documents(spark, f"{tmp_path}/docs")
+    want = slots_by_hand(glob.glob(f"{tmp_path}/docs/*.parquet"), 16)
+    spill = "spark.sql.sortMergeJoinExec.buffer.spill.threshold"
+    spark.conf.set(spill, "5")
+    token_output.write_shards(scan, f"file://{tmp_path}/out", length=16, records=100, split_rows=0)
+    spark.conf.unset(spill)
+    assert read_back(spark, f"file://{tmp_path}/out") == want
+
+
+def test_retried_tasks_write_the_same_shards(spark, tmp_path):
+    scan = documents(spark, f"{tmp_path}/docs")
+    out = f"file://{tmp_path}/out"
+    token_output.write_shards(scan, out, length=16, records=100)
+    before = {f: open(f, "rb").read() for f in glob.glob(f"{tmp_path}/out/*.*")}
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    token_output.write_shards(scan, out, length=16, records=100)  # over the files of the first attempt
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert {f: open(f, "rb").read() for f in glob.glob(f"{tmp_path}/out/*.*")} == before
+    # A task that hands its rows over out of order is refused, not written.
+    batch = pa.RecordBatch.from_pydict({"split": [1, 1], "base": [0, 0], "row": [1, 0], "doc": [1, 2], "text": ["a", "b"]})
+    with pytest.raises(ValueError, match="out of order"):
+        list(token_output._sequences(vocabulary(bpe.RANKS), 16, 2, 1)(iter([batch])))
 
 
 def test_order_does_not_depend_on_splits(spark, tmp_path):
@@ -190,14 +252,15 @@ def test_order_does_not_depend_on_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
         spark.conf.set("spark.sql.files.openCostInBytes", "1k")
         scan = spark.read.parquet(f"{tmp_path}/docs")
-        found.append(sorted(map(tuple, token_output.write_shards(scan, f"file://{tmp_path}/{size}", length=16, places=512).collect())))
+        token_output.write_shards(scan, f"file://{tmp_path}/{size}", length=16, records=512)
+        found.append(read_back(spark, f"file://{tmp_path}/{size}"))
     spark.conf.unset("spark.sql.files.maxPartitionBytes")
     spark.conf.unset("spark.sql.files.openCostInBytes")
-    assert found[0] == found[1]
+    assert found[0] == found[1] == slots_by_hand(glob.glob(f"{tmp_path}/docs/*.parquet"), 16)
 
 
 def test_order_of_no_scan_and_of_nothing(spark):
-    df = spark.createDataFrame([(1, "a b c"), (None, "d")], "doc_id long, text string")
+    df = spark.createDataFrame([(1, "a b c"), (None, "d")], "doc_id long, text string").withColumn("doc", F.lit("clash"))
     got = token_output.materialised_order(df).collect()
     assert sorted(r.slot for r in got) == [0, 1] and {r.doc_id for r in got} == {1, None}
     assert token_output.materialised_order(df.limit(0)).count() == 0

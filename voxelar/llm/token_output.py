@@ -1,16 +1,22 @@
 """Training-order materialisation of token ids in binary shards.
 
-Every document's ids, ended by a separator, fill sequences of a fixed length. A text of
-n bytes has at most n tokens, so it reserves n // length + 1 places in file order, which
-are known without encoding. A keyed Feistel network with cycle-walking permutes all
-places; equal ranges of places are shards. A shard holds its sequences in order of
-place, so the global slot of a sequence is its shard's base plus its position there, and
-the order depends on the key alone. All records of a file have the same size: a reader
-seeks to any slot and resumes there.
+Every document's ids, ended by a separator, fill sequences of a fixed length. One pass
+counts the sequences of every file split; running sums give each split the rank of its
+first sequence and the exact total. A second pass encodes, ranks its sequences on from
+there, and a keyed Feistel network with cycle-walking over the exact total gives each its
+global slot. Equal ranges of slots are shards, written in order: every file but the last
+has the same number of records of the same size, so a slot's file and offset are a
+division, and a reader may start, stop and resume at any slot.
+
+The order is a function of the key, the files and their rows. Ranks follow the stored
+row index, which is checked, so they do not depend on how rows reach a task, on split
+sizes or on retries. Texts are encoded twice, as kept ids would take more disk than that
+saves; they are not shuffled.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 import numpy as np
@@ -28,10 +34,16 @@ from .bpe import RANKS, encode_text, encoding
 
 LENGTH = 256
 SEPARATOR = 50256
-#: Places of a shard; about a third to a half of them are used.
-SHARD_PLACES = 1 << 17
+#: Records of a shard: at least so many, and so many more that there are no more than so many shards.
+SHARD_RECORDS = 1 << 16
+MAX_SHARDS = 100_000
+#: Splits whose ranks are broadcast, 16 bytes each; beyond it rows are joined by shuffle and sorted.
+SPLIT_ROWS = 4_000_000
 ROUNDS = 6
 KEY = 2024
+#: Texts encoded at once, records read at once.
+BATCH, READ = 256, 4096
+
 
 def feistel(ranks: np.ndarray, total: int, key: int = KEY) -> np.ndarray:
     """A keyed permutation of 0 .. total - 1: a balanced Feistel network walked until inside."""
@@ -54,71 +66,129 @@ def feistel(ranks: np.ndarray, total: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _count(path: str, length: int):
+    """Sequences of texts, summed over each batch by split."""
+
+    def run(batches):
+        enc = encoding(path)
+        for whole in batches:
+            found: dict[int, int] = {}
+            for at in range(0, whole.num_rows, BATCH):
+                part = whole.slice(at, BATCH)
+                for split, text in zip(part.column("split").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    found[split] = found.get(split, 0) + len(encode_text(enc, text)) // length + 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["split", "n"])
+
+    return run
+
+
 def _sequences(path: str, length: int, total: int, key: int):
-    """The sequences of texts with their places."""
+    """The sequences of texts with their slots. The rows of a split must come together, in order of row."""
 
     def run(batches):
-        enc, seen, end = encoding(path), {}, np.uint16(SEPARATOR).tobytes()
+        enc = encoding(path)
+        now, last, rank = None, -1, 0
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                rank, doc, part, used, blob = [], [], [], [], []
-                columns = [batch.column(c).to_pylist() for c in ("split", "base", "doc", "text")]
-                for split, base, number, text in zip(*columns, strict=True):
-                    ids = np.array(encode_text(enc, text), np.uint16).tobytes() + end
-                    n = len(ids) // 2
-                    count = (n + length - 1) // length
-                    ids += end * (count * length - n)
-                    first = base + seen.get(split, 0)
-                    seen[split] = seen.get(split, 0) + len(text.encode()) // length + 1
-                    for k in range(count):
-                        rank.append(first + k)
-                        doc.append(number)
-                        part.append(k)
-                        used.append(min(length, n - k * length))
-                        blob.append(ids[2 * length * k : 2 * length * (k + 1)])
-                place = feistel(np.array(rank, np.int64), total, key)
-                columns = [pa.array(doc, pa.int64()), pa.array(part, pa.int32()), pa.array(used, pa.int32()), pa.array(blob, pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array(place), *columns], ["place", "doc", "part", "n_ids", "ids"])
+            for at in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(at, BATCH)
+                ids = [encode_text(enc, t) for t in batch.column("text").to_pylist()]
+                n = np.array([len(x) + 1 for x in ids], np.int64)
+                count = (n + length - 1) // length
+                first = np.empty(len(ids), np.int64)
+                keys = [batch.column(c).to_pylist() for c in ("split", "base", "row")]
+                for i, (split, base, row) in enumerate(zip(*keys, strict=True)):
+                    if split != now:
+                        now, last, rank = split, -1, base
+                    if row <= last:
+                        raise ValueError("rows of a split are out of order")
+                    first[i], last = rank, row
+                    rank += int(count[i])
+                begin = np.cumsum(count) - count
+                flat = np.full(int(count.sum()) * length, SEPARATOR, "<u2")
+                for x, b in zip(ids, begin * length, strict=True):
+                    flat[b : b + len(x)] = x
+                owner = np.repeat(np.arange(len(ids)), count)
+                part = np.arange(len(owner)) - begin[owner]
+                offsets = np.arange(0, 2 * len(flat) + 1, 2 * length, dtype=np.int32)
+                blobs = pa.BinaryArray.from_buffers(pa.binary(), len(owner), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+                columns = [
+                    pa.array(feistel(first[owner] + part, total, key)),
+                    batch.column("doc").take(pa.array(owner)),
+                    pa.array(part.astype(np.int32)),
+                    pa.array(np.minimum(length, n[owner] - part * length).astype(np.int32)),
+                    blobs,
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["slot", "doc", "part", "n_ids", "ids"])
 
     return run
 
 
-def _writer(folder: str):
-    """Write each shard's records in order of place; a finished file appears under its name at once."""
+# A record's place in the index file beside its shard: document, part and ids that are not padding.
+_ENTRY = np.dtype([("doc", "<i8"), ("part", "<i4"), ("n_ids", "<i4")])
+
+
+def _name(shard: int) -> str:
+    return f"{shard:08d}"
+
+
+def _writer(folder: str, records: int):
+    """Write shards from records in order of slot; finished files appear under their names at once."""
 
     def run(batches):
         fs, root = pyarrow.fs.FileSystem.from_uri(folder)
-        shard, out, temporary, done = None, None, "", 0
+        shard, outs, temporary, done = None, [], [], 0
 
         def finish():
-            out.close()
-            fs.move(temporary, f"{root}/{shard:06d}.bin")
+            for out, name, end in zip(outs, temporary, ("idx", "bin"), strict=True):
+                out.close()
+                fs.move(name, f"{root}/{_name(shard)}.{end}")
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([done], pa.int64())], ["shard", "records"])
 
         for batch in batches:
-            shards = batch.column("shard").to_numpy()
-            cuts = np.append(np.nonzero(np.append(True, shards[1:] != shards[:-1]))[0], len(shards))
-            at = np.empty(len(shards), np.int64)
+            slots = batch.column("slot").to_numpy()
+            cuts = np.append(np.nonzero(np.append(True, slots[1:] // records != slots[:-1] // records))[0], len(slots))
+            entries = np.empty(len(slots), _ENTRY)
+            for c in _ENTRY.names:
+                entries[c] = batch.column(c).to_numpy()
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if shards[a] != shard:
-                    if out is not None:
-                        finish()
-                    shard, done = int(shards[a]), 0
+                if slots[a] // records != shard:
+                    if outs:
+                        yield finish()
+                    shard, done = int(slots[a] // records), 0
                     fs.create_dir(root, recursive=True)
-                    temporary = f"{root}/.{shard:06d}-{uuid.uuid4().hex}"
-                    out = fs.open_output_stream(temporary)
-                out.write(b"".join(batch.column("ids").slice(a, b - a).to_pylist()))
-                at[a:b] = np.arange(done, done + b - a)
+                    temporary = [f"{root}/.{_name(shard)}-{uuid.uuid4().hex}" for _ in range(2)]
+                    outs = [fs.open_output_stream(t) for t in temporary]
+                if not np.array_equal(slots[a:b] - shard * records, np.arange(done, done + b - a)):
+                    raise ValueError(f"shard {shard} has missing or repeated slots")
+                outs[0].write(entries[a:b].tobytes())
+                outs[1].write(b"".join(batch.column("ids").slice(a, b - a).to_pylist()))
                 done += b - a
-            columns = [batch.column(c) for c in ("shard", "doc", "part", "n_ids")]
-            yield pa.RecordBatch.from_arrays([columns[0], pa.array(at), *columns[1:]], ["shard", "at", "doc", "part", "n_ids"])
-        if out is not None:
-            finish()
+        if outs:
+            yield finish()
 
     return run
 
 
-_INDEX = "shard int, at long, doc long, part int, n_ids int"
+def _bases(counts: DataFrame) -> DataFrame:
+    """``(split, base)``: sequences before each split in file order; a row per file is sorted in one task."""
+    files = counts.groupBy("file").agg(F.sum("n").alias("n"))
+    before = W.partitionBy(F.lit(0)).orderBy("file").rowsBetween(W.unboundedPreceding, -1)
+    files = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
+    base = F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    return counts.join(files, "file").select("split", base.cast("long").alias("base"))
+
+
+def _layout(folder: str, layout: dict | None = None) -> dict | None:
+    """Write the folder's layout, or read it."""
+    fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+    if layout is None:
+        with fs.open_input_stream(f"{root}/layout.json") as f:
+            return json.loads(f.read())
+    fs.create_dir(root, recursive=True)
+    with fs.open_output_stream(f"{root}/layout.json") as f:
+        f.write(json.dumps(layout).encode())
+    return None
 
 
 def write_shards(
@@ -127,96 +197,100 @@ def write_shards(
     id_col: str = "doc_id",
     text_col: str = "text",
     length: int = LENGTH,
-    places: int = SHARD_PLACES,
+    records: int | None = None,
     key: int = KEY,
     path: str | None = None,
+    split_rows: int = SPLIT_ROWS,
 ) -> DataFrame:
-    """Write all sequences to ``folder`` and return ``(shard, slot, at, doc, part, n_ids)``.
+    """Write all sequences to ``folder`` (a URI) and return ``(shard, records)``.
 
-    ``docs`` is best a plain scan, whose file splits give the order of places; anything
+    ``docs`` is best a plain Parquet scan, whose files and rows give the ranks; anything
     else is written to shared storage first. A null or empty text is one sequence of
-    separators; repeated rows are sequences of their own; an empty table writes none.
+    separators; a null id is kept as the least long; repeated rows are sequences of their
+    own; other columns are ignored; an empty table writes no shard.
     """
     path = path or vocabulary(RANKS)
     spark = small_batches(docs.sparkSession)
+    meta = [F.col(f"_metadata.{c}").alias(f"_{c}") for c in ("file_path", "file_block_start", "row_index")]
     try:
-        rows = docs.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"))
-    except Exception as e:  # not a scan
-        if "_metadata" not in str(e):
+        rows = docs.select(id_of(id_col).alias("doc"), text_of(text_col).alias("text"), *meta)
+    except Exception as e:  # not a Parquet scan
+        if "_metadata" not in str(e) and "row_index" not in str(e):
             raise
-        docs = materialize(docs, "documents")
-        rows = docs.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"))
-    split = F.format_string("%s:%020d", "_f", "_b")
-    rows = rows.select(split.alias("split"), id_of(id_col).alias("doc"), text_of(text_col).alias("text"))
-    reserved = F.floor(F.octet_length("text") / F.lit(length)) + 1
-    counts = materialize(rows.groupBy("split").agg(F.sum(reserved).cast("long").alias("n")), "splits")
-    total = counts.agg(F.sum("n")).first()[0] or 0
+        docs = materialize(docs.select(id_of(id_col).alias("doc"), text_of(text_col).alias("text")), "documents")
+        rows = docs.select("doc", "text", *meta)
+    split = F.xxhash64("_file_path", "_file_block_start").alias("split")
+    splits = materialize(rows.select(split, F.col("_file_path").alias("file"), F.col("_file_block_start").alias("start")).distinct(), "splits")
+    counted = rows.select(split, "text").mapInArrow(_count(path, length), "split long, n long")
+    counts = materialize(splits.join(counted.groupBy("split").agg(F.sum("n").alias("n")), "split"), "counts")
+    total, names, hashes = counts.agg(F.sum("n"), F.count("*"), F.count_distinct("split")).first()
+    if names != hashes:
+        raise ValueError("two splits share a name")
+    records = records or max(SHARD_RECORDS, -(-(total or 0) // MAX_SHARDS))
+    _layout(folder, {"length": length, "records": records, "total": total or 0, "key": key})
     if not total:
-        return spark.createDataFrame([], f"slot long, {_INDEX}")
-    placed = rows.join(broadcast_if_small(_bases(counts), 200_000), "split")
-    found = placed.mapInArrow(_sequences(path, length, total, key), "place long, doc long, part int, n_ids int, ids binary")
-    found = found.withColumn("shard", F.floor(F.col("place") / places).cast("int"))
-    dealt = found.repartitionById(-(-total // places), "shard").sortWithinPartitions("shard", "place")
-    index = materialize(dealt.mapInArrow(_writer(folder), _INDEX), "index")
-    bases = _running(index.groupBy("shard").agg(F.count("*").alias("n")), "shard", "base")
-    return index.join(broadcast_if_small(bases), "shard").select((F.col("base") + F.col("at")).alias("slot"), *index.columns)
-
-
-def _running(sizes: DataFrame, order: str, name: str) -> DataFrame:
-    """Sums of the sizes before each row; ``sizes`` has a row per file or shard, so one task can sort it."""
-    before = W.orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    return sizes.select(order, F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias(name))
-
-
-def _bases(counts: DataFrame) -> DataFrame:
-    """``(split, base)``: places before each split in file order."""
-    rows = counts.withColumn("file", F.regexp_extract("split", r"^(.*):\d+$", 1))
-    files = _running(rows.groupBy("file").agg(F.sum("n").alias("n")), "file", "before")
-    inside = W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)
-    return rows.join(files, "file").select(
-        "split", (F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0))).cast("long").alias("base")
-    )
-
-
-def read_shards(spark: SparkSession, folder: str, length: int = LENGTH, start: int = 0) -> DataFrame:
-    """``(slot, ids)`` from slot ``start`` on, each shard read in order from its first wanted record.
-
-    The files' sizes say which slots they hold, so only wanted files are read.
+        return spark.createDataFrame([], "shard int, records long")
+    bases = materialize(_bases(counts), "bases")
+    few = bases.limit(split_rows + 1).count() <= split_rows
+    placed = rows.select(split, "doc", "text", F.col("_row_index").alias("row")).join(F.broadcast(bases) if few else bases.hint("merge"), "split")
+    if not few:
+        placed = placed.sortWithinPartitions("split", "row")
+    found = placed.mapInArrow(_sequences(path, length, total, key), "slot long, doc long, part int, n_ids int, ids binary")
+    found = found.withColumn("shard", F.floor(F.col("slot") / records).cast("int"))
+    dealt = found.repartitionById(-(-total // records), "shard").sortWithinPartitions("slot").drop("shard")
+    return materialize(dealt.mapInArrow(_writer(folder, records), "shard int, records long"), "shards")
+
+
+def read_shards(spark: SparkSession, folder: str, start: int = 0, stop: int | None = None) -> DataFrame:
+    """``(slot, doc, part, n_ids, ids)`` of the slots from ``start`` up to ``stop``, in order within a task.
+
+    Tasks seek to their slots, so only wanted records are read.
     """
+    layout = _layout(folder)
+    length, records, total = (layout[k] for k in ("length", "records", "total"))
+    stop = total if stop is None else min(stop, total)
     stride = 2 * length
-    files = small_batches(spark).read.format("binaryFile").option("pathGlobFilter", "*.bin").load(folder)
-    sizes = files.select("path", (F.col("length") / stride).cast("long").alias("n"))
-    bases = _running(sizes, "path", "base")
 
     def run(batches):
+        fs, root = pyarrow.fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for base, content in zip(batch.column("base").to_pylist(), batch.column("content"), strict=True):
-                view = content.as_buffer()
-                for at in range(max(0, start - base), view.size // stride, 4096):
-                    end = min(view.size // stride, at + 4096)
-                    raw = view.slice(at * stride, (end - at) * stride).to_pybytes()
-                    ids = [raw[k : k + stride] for k in range(0, len(raw), stride)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(base + at, base + end)), pa.array(ids, pa.binary())], ["slot", "ids"])
-
-    wanted = files.join(broadcast_if_small(bases), "path").where(F.col("base") + F.col("length") / stride > start)
-    return wanted.select("base", "content").mapInArrow(run, "slot long, ids binary")
+            for chunk in batch.column("id").to_pylist():
+                at, end = max(start, chunk * READ), min(stop, (chunk + 1) * READ)
+                while at < end:
+                    shard, skip = divmod(at, records)
+                    n = min(end - at, records - skip)
+                    raw = []
+                    for kind, size in (("bin", stride), ("idx", _ENTRY.itemsize)):
+                        with fs.open_input_file(f"{root}/{_name(shard)}.{kind}") as f:
+                            raw.append(f.read_at(n * size, skip * size))
+                    entries = np.frombuffer(raw[1], _ENTRY, n)
+                    offsets = np.arange(0, n * stride + 1, stride, dtype=np.int32)
+                    ids = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(raw[0])])
+                    columns = [pa.array(np.arange(at, at + n)), *[pa.array(np.ascontiguousarray(entries[c])) for c in _ENTRY.names], ids]
+                    yield pa.RecordBatch.from_arrays(columns, ["slot", *_ENTRY.names, "ids"])
+                    at += n
+
+    low, high = start // READ, max(start // READ, -(-stop // READ))
+    chunks = spark.range(low, high, 1, max(1, min(100_000, (high - low + 7) // 8)))
+    return chunks.mapInArrow(run, "slot long, doc long, part int, n_ids int, ids binary")
 
 
 def materialised_order(docs: DataFrame) -> DataFrame:
-    """Write the shards, read them back and give one row per sequence with its place and digest."""
+    """Write the shards, read them back and give one row per sequence with its place and digest.
+
+    ``slot, shard, offset, doc_id, part, n_ids, ids_sha256``; rows as in ``write_shards``,
+    where a null id comes back as null. An empty table gives an empty result.
+    """
     spark = docs.sparkSession
     folder = new_path(spark, "shards")
-    index = write_shards(docs, folder)
-    if index.isEmpty():
-        read = spark.createDataFrame([], "slot long, ids_sha256 string")
-    else:
-        read = read_shards(spark, folder).select("slot", F.sha2("ids", 256).alias("ids_sha256"))
-    return index.join(read, "slot").select(
+    write_shards(docs, folder)
+    records = _layout(folder)["records"]
+    return read_shards(spark, folder).select(
         "slot",
-        "shard",
-        (F.col("at") * 2 * LENGTH).alias("offset"),
+        F.floor(F.col("slot") / records).cast("int").alias("shard"),
+        (F.col("slot") % records * 2 * LENGTH).alias("offset"),
         id_back("doc").alias("doc_id"),
         F.col("part").cast("long").alias("part"),
         F.col("n_ids").cast("long").alias("n_ids"),
-        "ids_sha256",
+        F.sha2("ids", 256).alias("ids_sha256"),
     )
