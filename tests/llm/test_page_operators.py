@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import os
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -127,10 +128,50 @@ def test_captures_are_nested(spark, tmp_path):
     found = warc.assemble(warc.read_archives(spark, f"{tmp_path}/w"))
     rows = {r.response.uri: r for r in found.collect()}
     assert bytes(rows["http://a/x"].response.block).endswith(b"\r\n\r\n<p>1</p>")
-    assert bytes(rows["http://a/x"].request.block).startswith(b"GET http://a/x HTTP/1.1")
+    assert bytes(rows["http://a/x"].request.block) == b"GET /x HTTP/1.1\r\nHost: a\r\n\r\n"
     assert rows["http://b"].response.payload_bytes == 3_000_000 and rows["http://b"].metadata.block
 
 
+def test_archives_hold_one_member_per_record_in_bounded_files(spark, tmp_path):
+    rows = [(i, f"http://h/{i} é\n", f"<p>{i}</p>" + "y" * 5000) for i in range(40)] + [(40, "odd:x", "z" * 100_000), (41, None, "")]
+    listed = warc.write_archives(pages(spark, rows).coalesce(2), f"{tmp_path}/w", most=60_000).collect()
+    files = sorted(os.path.basename(f) for f in glob.glob(f"{tmp_path}/w/*"))
+    assert files == sorted(r.file for r in listed) and len(files) >= 4 and all(f.endswith(".warc.gz") for f in files)
+    assert sum(r.records for r in listed) == 3 * 42 and all(r.bytes < 60_000 + 110_000 for r in listed)
+    for f in files:
+        data, members, offsets = open(f"{tmp_path}/w/{f}", "rb").read(), [], [0]
+        while offsets[-1] < len(data):
+            unpack = zlib.decompressobj(31)
+            members.append(unpack.decompress(data[offsets[-1] :]))
+            offsets.append(len(data) - len(unpack.unused_data))
+        assert all(len(list(warc.parse(m))) == 1 for m in members) and b"WARC-Type: warcinfo" in members[0]
+        # Random access: any member can be read on its own.
+        assert list(warc.parse(data[offsets[3] :]))[0] == list(warc.parse(members[3]))[0]
+    before = {f: open(f"{tmp_path}/w/{f}", "rb").read() for f in files}
+    warc.write_archives(pages(spark, rows).coalesce(2), f"{tmp_path}/w", most=60_000)  # a second attempt
+    assert {f: open(f"{tmp_path}/w/{f}", "rb").read() for f in files} == before
+    assert len(warc.assemble(warc.read_archives(spark, f"{tmp_path}/w")).collect()) == 42
+
+
+def test_hot_payloads_are_not_one_task(spark, monkeypatch):
+    """A third of all pages share one payload: neither their digest nor their response is a shuffle key."""
+    rows = [(i, "http://a", "same " * 40 if i % 3 == 0 else f"own {i} " * 30) for i in range(3000)]
+    seen = warc.materialize(warc.captures(pages(spark, rows)), "captures")
+    plan = warc.revisits(seen)
+    sizes = [r.n for r in plan.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 999 and max(sizes) < 700
+    got = warc.round_trip(pages(spark, rows))
+    assert got.where("record_type = 'revisit' and refers_to = 0 and payload_bytes = 200").count() == 999
+    monkeypatch.setattr(warc, "ROW_IDS", 0)
+    assert got.exceptAll(warc.round_trip(pages(spark, rows))).count() == 0
+
+
+def test_one_scan_reads_the_archives(spark, tmp_path):
+    warc.write_archives(pages(spark, [(1, "http://a", "x")]), f"{tmp_path}/w")
+    plan = warc.assemble(warc.read_archives(spark, f"{tmp_path}/w"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan binaryFile") + plan.count("BatchScan") == 1 and plan.count("Join") == 0
+
+
 def record(kind, block, **headers):
     lines = [f"WARC-Type: {kind}", *[f"{k.replace('_', '-')}: {v}" for k, v in headers.items()], f"Content-Length: {len(block)}"]
     return ("WARC/1.0\r\n" + "\r\n".join(lines) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
@@ -147,6 +188,10 @@ def test_foreign_archives(spark, tmp_path):
     (tmp_path / "a/e.warc").write_bytes(b"")
     found = warc.read_archives(spark, str(tmp_path / "a"))
     assert found.count() == 6
+    lost = record("revisit", http, WARC_Record_ID="<r>", WARC_Refers_To="<gone>", WARC_Payload_Digest="sha256:ab", Content_Type="application/http")
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b/r.warc").write_bytes(lost)
+    assert [tuple(r) for r in warc.resolved(warc.read_archives(spark, str(tmp_path / "b"))).collect()] == [(None, None, "ab", "revisit", None)]
     got = warc.assemble(found).collect()
     assert sorted((r.capture, r.response.payload_bytes, r.request) for r in got) == [("<a>", 4, None), ("<c>", 4, None)]
     with pytest.raises(ValueError, match="cut short"):

@@ -7,6 +7,8 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxelar.plans.cut import materialize
+
 #: White space between words, and the words themselves (fixed by the data contracts).
 SPACE = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -55,6 +57,27 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: A key is hot from this part of all rows; more partitions make less rows hot, down to the least part.
+HOT_SHARE, LEAST_SHARE = 1e-3, 1e-5
+
+
+def hot_share(spark: SparkSession) -> float:
+    """A quarter of a shuffle partition's even share, within the bounds; at most 1 / LEAST_SHARE keys can reach it."""
+    return max(LEAST_SHARE, min(HOT_SHARE, 0.25 / int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join on ``key``, unique in ``right``, where few keys may hold many rows of ``left``.
+
+    Rows of ``right`` for the hot keys, at most 1 / share of them, are broadcast; all other keys shuffle.
+    """
+    least = max(2.0, hot_share(left.sparkSession) * left.count())
+    often = left.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(key)
+    hot = materialize(right.join(F.broadcast(often), key), "hot")
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right, key)
+    return left.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def vocabulary(name: str) -> str:
     """Path of a public rank file; ``VOXELAR_TOKENIZERS`` may name another folder."""
     if folder := os.environ.get("VOXELAR_TOKENIZERS"):

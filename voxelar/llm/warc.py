@@ -2,32 +2,45 @@
 
 A capture is three records: the request, the response (or a revisit of an equal
 earlier payload) and metadata. Request and metadata name their response by
-WARC-Concurrent-To. Assembly joins the three again and emits one nested row per capture.
+WARC-Concurrent-To. Assembly brings the three together on that identifier in one
+shuffle and emits one nested row per capture.
 
-Archives are written by Spark's text writer, a record a line with the blank lines that
-end a record as line separator, so any file system, task retries and commits are
-Spark's. Reading streams each file's records in the task that has the file.
+Files are bounded by bytes, start with a warcinfo record and hold one gzip member per
+record, so a reader can seek to any record. A file appears under its name when it is
+whole, and a retried task writes the same files again.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import re
+import uuid
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.fs
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelar.plans.cut import broadcast_if_small, materialize, new_path
+from voxelar.plans.cut import materialize, new_path
+from voxelar.plans.session import small_batches
 
-from ._common import id_back, id_of, text_of
+from ._common import id_back, id_of, join_hot, text_of
 
 #: Payloads below this size are always written in full.
 REVISIT_BYTES = 100
-RECORDS_PER_FILE = 15_000
+#: Bytes of records, before compression, after which a file is closed.
+FILE_BYTES = 256 << 20
+#: Rows of revisits that are broadcast; beyond it captures are joined by shuffle.
 ROW_IDS = 200_000
 DATE = "2024-01-01T00:00:00Z"
-END = "\r\n\r\n"
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+CHUNK = 1 << 14
+
+_URL = re.compile(r"[A-Za-z][\w+.-]*://(?:[^/?#@]*@)?([^/?#]*)([^#]*)")
+_UNSAFE = re.compile(r"[\x00-\x20\x7f]")
 
 
 def captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -47,77 +60,101 @@ def revisits(rows: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     """``(row, first_row, first_page)`` of captures whose payload an earlier page (or equal page, earlier row) has."""
     large = rows.where(F.col("bytes") >= least).select("row", "page", "digest")
     first = large.groupBy("digest").agg(F.min(F.struct("page", "row")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = large.join(first, "digest").where("row <> first.row")
-    return later.select("row", F.col("first.row").alias("first_row"), F.col("first.page").alias("first_page"))
+    first = materialize(first.select("digest", F.col("first.row").alias("first_row"), F.col("first.page").alias("first_page")), "firsts")
+    return join_hot(large.select("row", "digest"), first, "digest").where("row <> first_row").select("row", "first_row", "first_page")
 
 
-def _uuid(kind: str, row: Column) -> Column:
-    h = F.md5(F.concat(F.lit(f"{kind}:"), row.cast("string")))
-    return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
+def _uuid(path: str, kind: str, row: int) -> str:
+    return f"<{uuid.UUID(hashlib.md5(f'{path}:{kind}:{row}'.encode()).hexdigest()).urn}>"
 
 
-def _record(headers: dict[str, Column | str], block: Column) -> Column:
-    """A record without the blank lines that end it; a null header is left out."""
-    lines = [F.concat(F.lit(f"{k}: "), F.lit(v) if isinstance(v, str) else v) for k, v in headers.items()]
-    length = F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string"))
-    return F.concat(F.concat_ws("\r\n", F.lit("WARC/1.1"), *lines, length), F.lit(END), block)
+def _record(block: bytes, **headers: str | None) -> bytes:
+    """A whole record; null headers are left out."""
+    lines = [f"WARC-{k.replace('_', '-')}: {v}" for k, v in headers.items() if v is not None and k != "Content_Type"]
+    lines = ["WARC/1.1", *lines, f"Content-Type: {headers['Content_Type']}", f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def records(rows: DataFrame, again: DataFrame) -> DataFrame:
-    """``value``: the three records of every capture of ``rows``; ``again`` as from ``revisits``."""
-    rows = rows.join(broadcast_if_small(again, ROW_IDS), "row", "left")
-    row, url = F.col("row"), F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
-    revisit = F.col("first_row").isNotNull()
-    response, target = _uuid("response", row), {"WARC-Target-URI": url}
-    http = F.concat(
-        F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(END)
-    )
-    common = {"WARC-Date": DATE, **target}
+def transaction(path: str, row: int, page: int, url: str | None, payload: str, digest: str, first: int | None) -> list[bytes]:
+    """The request, response (or revisit of row ``first``) and metadata records of a capture."""
+    target = None if url is None else _UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", url)
+    parts = _URL.match(target or "")
+    host, local = (parts[1], parts[2] or "/") if parts else ("", target or "/")
+    body = payload.encode()
+    status = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode()
+    response = _uuid(path, "response", row)
+    both = {"Date": DATE, "Target_URI": target}
+    beside = {**both, "Concurrent_To": response}
+    again = first is not None
     main = _record(
-        {
-            "WARC-Type": F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")),
-            "WARC-Record-ID": response,
-            **common,
-            "WARC-Payload-Digest": F.concat(F.lit("sha256:"), F.col("digest")),
-            "WARC-Refers-To": F.when(revisit, _uuid("response", F.col("first_row"))),
-            "WARC-Profile": F.when(revisit, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-            "Content-Type": "application/http;msgtype=response",
-        },
-        F.when(revisit, http).otherwise(F.concat(http, F.col("payload"))),
-    )
-    request = _record(
-        {
-            "WARC-Type": "request",
-            "WARC-Record-ID": _uuid("request", row),
-            **common,
-            "WARC-Concurrent-To": response,
-            "Content-Type": "application/http;msgtype=request",
-        },
-        F.concat(F.lit("GET "), F.coalesce(url, F.lit("/")), F.lit(" HTTP/1.1" + END)),
-    )
-    metadata = _record(
-        {
-            "WARC-Type": "metadata",
-            "WARC-Record-ID": _uuid("metadata", row),
-            **common,
-            "WARC-Concurrent-To": response,
-            "Content-Type": "application/warc-fields",
-        },
-        F.concat_ws("\r\n", F.concat(F.lit("page-id: "), F.col("page").cast("string")), F.lit("")),
+        status if again else status + body,
+        Type="revisit" if again else "response",
+        Record_ID=response,
+        **both,
+        Payload_Digest=f"sha256:{digest}",
+        Refers_To=_uuid(path, "response", first) if again else None,
+        Profile=PROFILE if again else None,
+        Content_Type="application/http;msgtype=response",
     )
-    return rows.select(F.explode(F.array(request, main, metadata)).alias("value"))
-
-
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """Write all pages as gzip-compressed WARC files under ``path``.
+    ask = f"GET {local} HTTP/1.1\r\nHost: {host}\r\n\r\n".encode()
+    request = _record(ask, Type="request", Record_ID=_uuid(path, "request", row), **beside, Content_Type="application/http;msgtype=request")
+    about = f"page-id: {page}\r\n".encode()
+    metadata = _record(about, Type="metadata", Record_ID=_uuid(path, "metadata", row), **beside, Content_Type="application/warc-fields")
+    return [request, main, metadata]
+
+
+def _writer(path: str, most: int):
+    """Write captures, in order of row, to this partition's files; one row per file."""
+
+    def run(batches):
+        fs, root = pyarrow.fs.FileSystem.from_uri(path)
+        task = TaskContext.get().partitionId()
+        out, temporary, name, number, records, size = None, "", "", 0, 0, 0
+
+        def finish():
+            out.close()
+            fs.move(temporary, f"{root}/{name}")
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([records], pa.int64()), pa.array([size], pa.int64())], ["file", "records", "bytes"])
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("row", "page", "url", "payload", "digest", "first_row")]
+            for values in zip(*columns, strict=True):
+                if out is not None and size >= most:
+                    yield finish()
+                    out, number = None, number + 1
+                if out is None:
+                    name, records, size = f"part-{task:06d}-{number:05d}.warc.gz", 0, 0
+                    fs.create_dir(root, recursive=True)
+                    temporary = f"{root}/.{name}-{uuid.uuid4().hex}"
+                    out = fs.open_output_stream(temporary, compression=None)
+                    info = _record(b"software: voxelar\r\nformat: WARC File Format 1.1\r\n", Type="warcinfo", Record_ID=_uuid(path, name, 0), Date=DATE, Filename=name, Content_Type="application/warc-fields")
+                    out.write(gzip.compress(info, mtime=0))
+                for record in transaction(path, *values):
+                    out.write(gzip.compress(record, 6, mtime=0))
+                    records, size = records + 1, size + len(record)
+        if out is not None:
+            yield finish()
+
+    return run
+
+
+def write_archives(
+    pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most: int = FILE_BYTES
+) -> DataFrame:
+    """Write all pages as gzip-compressed WARC files under ``path``; one row per file: ``file, records, bytes``.
 
     Of captures with equal payloads of REVISIT_BYTES or more the smallest page id (a
-    null id before all) is the response and the others revisit it.
+    null id before all) is the response and the others revisit it. White space and
+    controls of a url are percent-encoded in its record.
     """
+    small_batches(pages.sparkSession)
     rows = materialize(captures(pages, id_col, url_col, html_col), "captures")
-    again = materialize(revisits(rows), "revisits")
-    out = records(rows, again).write.option("lineSep", END).option("compression", "gzip")
-    out.option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    again = materialize(revisits(rows), "revisits").select("row", "first_row")
+    if again.limit(ROW_IDS + 1).count() <= ROW_IDS:
+        joined = rows.join(F.broadcast(again), "row", "left")  # rows stay in order of the scan
+    else:
+        joined = rows.join(again, "row", "left").sortWithinPartitions("row")
+    return materialize(joined.mapInArrow(_writer(path, most), "file string, records long, bytes long"), "archives")
 
 
 RECORD = (
@@ -131,15 +168,13 @@ def _stream(content: bytes):
     if content[:2] != b"\x1f\x8b":
         yield content
         return
-    while content:
+    view, at = memoryview(content), 0
+    while at < len(view):
         unpack = zlib.decompressobj(31)
-        for at in range(0, len(content), 1 << 18):
-            yield unpack.decompress(content[at : at + (1 << 18)])
-            if unpack.eof:
-                content = unpack.unused_data + content[at + (1 << 18) :]
-                break
-        else:
-            return
+        while at < len(view) and not unpack.eof:
+            part = view[at : at + CHUNK]
+            yield unpack.decompress(part)
+            at += len(part) - len(unpack.unused_data)
 
 
 def parse(content: bytes):
@@ -199,55 +234,74 @@ def _read(batches):
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of all archives under ``path``, gzip-compressed or not."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0")
+    """One row per record of all archives under ``path``, gzip-compressed or not; a file is read by one task."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "[!._]*").load(path).where("length > 0")
     return files.select("content").mapInArrow(_read, RECORD)
 
 
-def assemble(found: DataFrame) -> DataFrame:
+_BESIDE = ("record_id", "content_type", "block")
+_MAIN = ("record_id", "kind", "uri", "refers_to", "digest", "content_type", "block", "payload_bytes", "payload_sha256")
+
+
+def assemble(found: DataFrame, fields: tuple[str, ...] = _MAIN, beside: tuple[str, ...] = _BESIDE) -> DataFrame:
     """One nested row per capture: ``capture, request, response, metadata``.
 
     ``response`` is the response or revisit. A capture without request or metadata has
-    null there; requests or metadata whose response is missing are not captures.
+    null there; requests or metadata whose response is missing are not captures. Of
+    several records of a kind the one with the smallest id counts. ``fields`` and
+    ``beside`` name what is kept of the response and of the other records; records meet
+    on the response's identifier in one pass over them.
     """
-
-    def side(kind: str) -> DataFrame:
-        part = found.where(F.col("kind") == kind).where("concurrent_to is not null")
-        return part.select(F.col("concurrent_to").alias("capture"), F.struct("record_id", "content_type", "block").alias(kind))
-
-    main = found.where(F.col("kind").isin("response", "revisit")).select(
-        F.col("record_id").alias("capture"),
-        F.struct(
-            "record_id", "kind", "uri", "refers_to", "digest", "content_type", "block", "payload_bytes", "payload_sha256"
-        ).alias("response"),
-    )
-    return main.join(side("request"), "capture", "left").join(side("metadata"), "capture", "left")
+    main = F.col("kind").isin("response", "revisit")
+    capture = F.when(main, F.col("record_id")).when(F.col("kind").isin("request", "metadata"), F.col("concurrent_to"))
+    parts = found.select(
+        capture.alias("capture"),
+        F.when(main, F.struct("record_id", *[c for c in fields if c != "record_id"])).alias("response"),
+        *[F.when(F.col("kind") == k, F.struct("record_id", *[c for c in beside if c != "record_id"])).alias(k) for k in ("request", "metadata")],
+    ).where("capture is not null")
+    met = parts.groupBy("capture").agg(*[F.min(c).alias(c) for c in ("request", "response", "metadata")])
+    return met.where("response is not null")
 
 
 def resolved(found: DataFrame) -> DataFrame:
-    """Per capture of ``assemble``: page id, size and digest of the full payload, type and the page it revisits."""
+    """Per capture of ``assemble``: page id, size and digest of the full payload, type and the page it revisits.
+
+    A revisit whose response is missing keeps its declared digest, with null size and page.
+    """
     page = F.regexp_extract(F.col("metadata.block").cast("string"), r"page-id: (-?\d+)", 1)
-    flat = assemble(found).select(
-        "capture",
-        page.try_cast("long").alias("page"),
-        F.col("response.kind").alias("record_type"),
-        F.col("response.refers_to").alias("refers"),
-        F.col("response.payload_bytes").alias("bytes"),
-        F.col("response.digest").alias("declared"),
-        F.col("response.payload_sha256").alias("digest"),
-    )
-    flat = materialize(flat, "transactions")
-    whole = flat.where("record_type = 'response'").select(
-        F.col("capture").alias("refers"), F.col("page").alias("at"), F.col("bytes").alias("size"), F.col("digest").alias("sha")
+    slim = assemble(found, ("kind", "refers_to", "digest", "payload_bytes", "payload_sha256"), ("block",))
+    flat = materialize(
+        slim.select(
+            "capture",
+            page.try_cast("long").alias("page"),
+            F.col("response.kind").alias("record_type"),
+            F.col("response.refers_to").alias("refers"),
+            F.col("response.payload_bytes").alias("bytes"),
+            F.regexp_replace("response.digest", "^sha256:", "").alias("declared"),
+            F.col("response.payload_sha256").alias("digest"),
+        ),
+        "transactions",
     )
-    joined = flat.join(whole, "refers", "left")
-    revisit = F.col("record_type") == "revisit"
-    return joined.select(
+    whole = flat.where("record_type = 'response'")
+    again = flat.where("record_type = 'revisit'").select("capture", "page", "refers", "declared")
+    targets = whole.select(F.col("capture").alias("refers"), F.col("page").alias("at"), F.col("bytes").alias("size"))
+    # Responses stay out of the join: their missing target would be one key for nearly all rows.
+    matched = join_hot(again, targets, "refers")
+    lost = again.join(targets, "refers", "left_anti").select("*", *[F.lit(None).cast("long").alias(c) for c in ("at", "size")])
+    return whole.select(
         id_back("page").alias("page_id"),
-        F.when(revisit, F.col("size")).otherwise(F.col("bytes")).alias("payload_bytes"),
-        F.when(revisit, F.regexp_replace("declared", "^sha256:", "")).otherwise(F.col("digest")).alias("payload_digest"),
+        F.col("bytes").alias("payload_bytes"),
+        F.col("digest").alias("payload_digest"),
         "record_type",
-        F.when(revisit, id_back("at")).alias("refers_to"),
+        F.lit(None).cast("long").alias("refers_to"),
+    ).unionByName(
+        matched.unionByName(lost).select(
+            id_back("page").alias("page_id"),
+            F.col("size").alias("payload_bytes"),
+            F.col("declared").alias("payload_digest"),
+            F.lit("revisit").alias("record_type"),
+            id_back("at").alias("refers_to"),
+        )
     )
 
 
@@ -259,5 +313,6 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """
     spark = pages.sparkSession
     path = new_path(spark, "warc")
-    write_archives(pages, path)
+    if write_archives(pages, path).isEmpty():
+        return resolved(spark.createDataFrame([], RECORD))
     return resolved(read_archives(spark, path))
