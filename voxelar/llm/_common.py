@@ -27,6 +27,7 @@ def text_of(name: str) -> Column:
 
 
 def id_of(name: str) -> Column:
+    """The id as a long, a null as the least one. Ids must be whole numbers or cast to them; others are Spark's cast error."""
     return F.coalesce(F.col(f"`{name}`").cast("long"), F.lit(NULL_ID))
 
 

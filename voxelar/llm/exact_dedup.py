@@ -13,9 +13,7 @@ from pyspark.sql import functions as F
 
 from voxelar.plans.cut import materialize
 
-from ._common import NULL_ID, ascii_lower, fresh, id_of, text_of
-
-SHARE = 0.001
+from ._common import NULL_ID, ascii_lower, fresh, hot_share, id_of, text_of
 
 
 def digest(text_col: str = "text") -> Column:
@@ -24,7 +22,7 @@ def digest(text_col: str = "text") -> Column:
     return F.coalesce(F.sha2(ascii_lower(text_of(text_col)).cast("binary"), 256), F.lit(""))
 
 
-def heavy_hitters(rows: DataFrame, key: str, share: float = SHARE) -> DataFrame:
+def heavy_hitters(rows: DataFrame, key: str, share: float) -> DataFrame:
     """Verified frequent keys: candidates of the counter that make up ``share`` of the rows or more.
 
     Returns at most 1 / share rows (key, keep, group_size).
@@ -39,13 +37,16 @@ def _settle(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("group_size"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float | None = None) -> DataFrame:
     """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Of equal texts the row with the largest id stays; a null id is smaller than any
     other. Of rows that repeat both id and text one stays. Null and empty texts form
-    one group. An empty table gives an empty result; other columns are ignored.
+    one group. Ids are compared as they are stored. An empty table gives an empty result;
+    other columns are ignored. A digest is frequent from ``share`` of all rows, by default
+    a quarter of what a shuffle partition holds, so that no rarer one burdens a task.
     """
+    share = share or hot_share(docs.sparkSession)
     rows = materialize(
         docs.select(
             F.col(f"`{id_col}`").alias("doc_id"),
@@ -67,8 +68,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE) -> DataFrame:
-    """``docs`` with one row for each distinct normalised text, columns unchanged."""
+def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float | None = None) -> DataFrame:
+    """``docs`` with one row for each distinct normalised text, columns unchanged.
+
+    Of equal texts the row with the largest id stays, a null id being smaller than any
+    other; null and empty texts are equal; of rows that repeat id and text one stays. Ids
+    are whole numbers, or text or numbers that Spark casts to them. An empty table stays empty.
+    """
     key, one = fresh(docs, "_digest"), fresh(docs, "_id")
     kept = exact_dedup(docs, id_col, text_col, share).where("kept")
     kept = kept.select(F.col("text_sha256").alias(key), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias(one))
