@@ -142,8 +142,8 @@ def test_blocks_of_a_host_find_what_one_does(spark, monkeypatch):
     menu = text(20)
     rows = [(i, "http://big.example/", f"<p>{menu}</p><p>{text(30)}</p>") for i in range(120)]
     found = []
-    for size in (1 << 18, 1500):
-        monkeypatch.setattr(html_extract, "BLOCK_WORDS", size)
+    for size in (1 << 20, 10_000):
+        monkeypatch.setattr(html_extract, "BLOCK_BYTES", size)
         found.append(sorted(map(str, html_extract.extract(pages(spark, rows)).collect())))
     assert found[0] == found[1] and menu.split()[0] not in found[0][0]
 
