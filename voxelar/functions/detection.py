@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Always excluded when detections are read from files (a fixed value).
@@ -66,6 +66,30 @@ def safe_name(name: Column, key: bool = False) -> Column:
     return F.when(trimmed == "", F.lit("unknown")).otherwise(trimmed)
 
 
+def named_classes(rows: DataFrame, vocabulary: DataFrame, class_col: str = "class_id", fallback: bool = False) -> DataFrame:
+    """Rows with the ``class_name`` of their class; classes outside the vocabulary go, or are named by their id.
+
+    A vocabulary is bounded (80 prompts), so it is broadcast.
+    """
+    known = F.broadcast(vocabulary.select(F.col("class_id").alias(class_col), "class_name"))
+    if not fallback:
+        return rows.join(known, class_col)
+    named = rows.join(known, class_col, "left")
+    return named.withColumn("class_name", F.coalesce("class_name", F.concat(F.lit("class_"), F.col(class_col).cast("string"))))
+
+
+def associated(detections: DataFrame, associations: DataFrame) -> DataFrame:
+    """Frame records with what their association says; records that none took keep nulls.
+
+    Both by ``session, frame, observation``, the place of a record in its frame.
+    """
+    found = associations.select(
+        "session", "frame", "observation", "track_id", F.col("score").alias("association_score"),
+        F.col("overlap").alias("geometric_overlap"), F.col("similarity").alias("semantic_similarity"), F.col("is_new").alias("is_new_track"),
+    )
+    return detections.join(found, ["session", "frame", "observation"], "left")
+
+
 def status(count: Column, least: int) -> Column:
     return F.when(count >= max(1, least), F.lit("confirmed")).otherwise(F.lit("candidate"))
 

@@ -80,6 +80,31 @@ def apply_quaternion(point: Sequence[Column], rotation: Sequence[Column], shift:
     return {a: r[0] * point[0] + r[1] * point[1] + r[2] * point[2] + t for a, r, t in zip(AXES, rows, shift, strict=True)}
 
 
+def slerp(p: Sequence[Column], q: Sequence[Column], part: Column) -> list[Column]:
+    """The rotation ``part`` of the way from ``p`` to ``q`` (quaternions x, y, z, w) along the shorter arc.
+
+    Nearly equal rotations are interpolated by their numbers; the result has length one.
+    """
+    unit = [[c / F.sqrt(sum((x * x for x in v[1:]), v[0] * v[0])) for c in v] for v in (p, q)]
+    dot = sum((a * b for a, b in zip(unit[0][1:], unit[1][1:], strict=True)), unit[0][0] * unit[1][0])
+    turn, near = F.when(dot < 0, -1.0).otherwise(1.0), F.least(F.abs(dot), F.lit(1.0))
+    angle = F.acos(near)
+    straight = near > 0.9995
+    a = F.when(straight, 1 - part).otherwise(F.try_divide(F.sin((1 - part) * angle), F.sin(angle)))
+    b = F.when(straight, part).otherwise(F.try_divide(F.sin(part * angle), F.sin(angle))) * turn
+    mixed = [x * a + y * b for x, y in zip(*unit, strict=True)]
+    length = F.sqrt(sum((c * c for c in mixed[1:]), mixed[0] * mixed[0]))
+    return [c / length for c in mixed]
+
+
+def prompt_box(box: Sequence[Column], width: Column, height: Column, side: int = 1024) -> list[Column]:
+    """A box as a prompt for an image whose longer side is resized to ``side``: clamped to the image, then scaled."""
+    size = longest_side(width, height, side)
+    scale = {n: size[n] / s.cast("double") for n, s in (("width", width), ("height", height))}
+    limits = [("width", width), ("height", height)] * 2
+    return [clip(c, 0.0, F.greatest(s - 1, F.lit(0)).cast("double")) * scale[n] for c, (n, s) in zip(box, limits, strict=True)]
+
+
 def clip(value: Column, low: Column | float | int, high: Column | float | int) -> Column:
     as_column = [c if isinstance(c, Column) else F.lit(c) for c in (low, high)]
     return F.greatest(as_column[0], F.least(as_column[1], value))

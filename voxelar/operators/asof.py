@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from voxelar.functions.geometry import slerp
+
 
 def nearest_join(
     left: DataFrame,
@@ -68,22 +70,25 @@ def every_nth(rows: DataFrame, skip: int, order: str, by: Sequence[str]) -> Data
 
 
 def interpolated_pose(
-    left: DataFrame, poses: DataFrame, left_id: str, left_ns: str, pose_ns: str, value: Sequence[str], tolerance_ns: int, by: Sequence[str] = ()
-) -> DataFrame:
+    left: DataFrame, poses: DataFrame, left_id: str, left_ns: str, pose_ns: str, value: Sequence[str], tolerance_ns: int,
+    by: Sequence[str] = (), rotation: Sequence[str] = (),
+) -> DataFrame:
     """Values of ``poses`` at each left stamp, linear between the poses before and after it.
 
-    Both must lie within the tolerance, else the left row gets nulls. An exact stamp
+    ``rotation`` names a quaternion (x, y, z, w), which turns along the arc between them. Both must lie within the tolerance, else the left row gets nulls. An exact stamp
     takes its pose as it is.
     """
     bucket = lambda c: F.floor(F.col(c) / F.lit(max(1, tolerance_ns))).cast("long")
     a = left.withColumn("_bucket", bucket(left_ns))
     b = poses.withColumn("_bucket", F.explode(F.array(*[bucket(pose_ns) + i for i in (-1, 0, 1)])))
     pairs = a.join(b, [*by, "_bucket"]).where(F.abs(F.col(pose_ns) - F.col(left_ns)) <= tolerance_ns)
-    point, stamp = F.struct(*value, F.col(pose_ns).alias("t")), F.col(pose_ns)
+    point, stamp = F.struct(*value, *rotation, F.col(pose_ns).alias("t")), F.col(pose_ns)
     sides = pairs.groupBy(left_id).agg(
         F.max_by(F.when(stamp <= F.col(left_ns), point), F.when(stamp <= F.col(left_ns), stamp)).alias("p"),
         F.min_by(F.when(stamp >= F.col(left_ns), point), F.when(stamp >= F.col(left_ns), stamp)).alias("q"),
     )
     joined = left.join(sides, left_id, "left")
     part = F.coalesce(F.try_divide(F.col(left_ns) - F.col("p.t"), F.col("q.t") - F.col("p.t")), F.lit(0.0))
-    return joined.select(*left.columns, *[(F.col(f"p.{v}") + (F.col(f"q.{v}") - F.col(f"p.{v}")) * part).alias(v) for v in value])
+    turned = slerp([F.col(f"p.{c}") for c in rotation], [F.col(f"q.{c}") for c in rotation], part) if rotation else []
+    moved = [(F.col(f"p.{v}") + (F.col(f"q.{v}") - F.col(f"p.{v}")) * part).alias(v) for v in value]
+    return joined.select(*left.columns, *moved, *[c.alias(n) for n, c in zip(rotation, turned, strict=True)])

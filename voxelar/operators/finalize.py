@@ -14,23 +14,22 @@ from voxelar.functions.geometry import AXES
 from voxelar.plans.components import connected_components
 from voxelar.plans.cut import materialize
 
-from .spatial import box_pairs, cloud_bounds, largest_cluster, radius_pairs
+from .spatial import box_pairs, cloud_bounds, largest_cluster, radius_hits
 from .voxels import voxel_mean
 
 
 def double_tracks(points: DataFrame, track: str, class_col: str, order: str, config: MapConfig) -> DataFrame:
     """``(track, survivor)`` of tracks of one class whose clouds nearly coincide; the smallest id survives.
 
-    Boxes and centroids rule out most pairs before any points are compared.
+    Boxes and centroids name the pairs whose points are compared; others never meet.
     """
     bounds = cloud_bounds(points, [track, class_col])
     near = box_pairs(bounds, track, config.overlap_radius, config.max_centroid_distance, [class_col])
     pairs = near.select(F.col(f"a_{track}").alias("a"), F.col(f"b_{track}").alias("b"))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    pts = points.select(track, class_col, order, *AXES)
-    close = radius_pairs(pts, pts, config.overlap_radius, [class_col])
-    close = close.select(F.col(f"a_{track}").alias("a"), F.col(f"b_{track}").alias("b"), f"a_{order}").where("a <> b")
-    hits = close.join(both, ["a", "b"], "left_semi").distinct().groupBy("a", "b").agg(F.count("*").alias("hits"))
+    pts = points.select(track, order, *AXES)
+    left, right = (both.join(pts.withColumnRenamed(track, k), k) for k in "ab")
+    hits = radius_hits(left, right, config.overlap_radius, ["a", "b"]).groupBy("a", "b").agg(F.count("*").alias("hits"))
     shares = hits.join(bounds.select(F.col(track).alias("a"), "n"), "a").select("a", "b", (F.col("hits") / F.col("n")).alias("share"))
     found = connected_components(shares.where(F.col("share") >= config.merge_overlap).select("a", "b"))
     return found.select(F.col("node").alias(track), F.col("component").alias("survivor"))

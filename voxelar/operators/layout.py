@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxelar.functions.color import stable_color
 from voxelar.functions.detection import safe_name
 from voxelar.functions.geometry import AXES, is_finite, to_pixel
 
@@ -48,14 +51,14 @@ def object_records(points: DataFrame, track: str, name: Column, source: str = "b
 
 
 def full_records(points: DataFrame, tracks: DataFrame, scores: DataFrame, track: str, least: int, source: str = "batch") -> DataFrame:
-    """Every field of an object record: geometry, evidence, times, files and class scores with text keys.
+    """Every field of an object record under the names its readers expect: geometry, evidence, times, files, class scores.
 
     ``tracks``: ``track, class_id, class_name, confidence, observations, first_seen,
     last_seen, missed_frames``; ``scores``: ``track, semantic_scores``.
     """
     geometry = object_records(points, track, F.lit("")).drop("id", "label", "source").withColumnRenamed("track_id", track)
     joined = tracks.join(geometry, track).join(scores, track, "left")
-    stem = F.format_string("object_%06d", F.col(track))
+    stem = F.concat(F.format_string("object_%04d_", F.col(track)), safe_name(F.col("class_name")))
     return joined.select(
         F.concat_ws("_", safe_name(F.col("class_name"), key=True), F.col(track).cast("string")).alias("id"),
         F.col("class_name").alias("label"),
@@ -69,11 +72,13 @@ def full_records(points: DataFrame, tracks: DataFrame, scores: DataFrame, track:
         "last_seen",
         F.col(track).alias("track_id"),
         "class_id",
+        "class_name",
         F.array(*AXES).alias("centroid"),
-        F.struct(F.array(*[f"lo_{a}" for a in AXES]).alias("min"), F.array(*[f"hi_{a}" for a in AXES]).alias("max")).alias("bounds"),
+        F.array(*[f"lo_{a}" for a in AXES]).alias("bounds_min"),
+        F.array(*[f"hi_{a}" for a in AXES]).alias("bounds_max"),
         "point_count",
-        F.concat(stem, F.lit(".parquet")).alias("data_file"),
-        F.concat(stem, F.lit(".ply")).alias("cloud_file"),
+        F.concat(F.lit("objects/"), stem, F.lit(".ply")).alias("point_cloud_ply"),
+        F.concat(F.lit("objects/"), stem, F.lit(".npz")).alias("point_cloud_npz"),
         "missed_frames",
         F.coalesce("semantic_scores", F.create_map().cast("map<string,double>")).alias("semantic_scores"),
     )
@@ -91,6 +96,36 @@ def xy_objects(points: DataFrame, track: str, **limits) -> DataFrame:
     )
 
 
+def navigation_records(records: DataFrame, limit: int, least: int = 1, classes: Sequence[str] = (), source: str = "viewer_filtered") -> DataFrame:
+    """Object records as a viewer shows them: filtered, the most observed first, at most ``limit`` (0: all)."""
+    kept = records.where(F.col("times_seen") >= least)
+    if classes:
+        kept = kept.where(F.col("class_name").isin(list(classes)))
+    kept = kept.withColumn("source", F.lit(source)).orderBy(F.desc("times_seen"), "track_id")
+    return kept.limit(limit) if limit > 0 else kept
+
+
+def marker_changes(previous: DataFrame, records: DataFrame, least_size: float = 0.02) -> DataFrame:
+    """Markers to publish: box and label of every object, and deletions of ids that are gone.
+
+    ``records``: ``track_id, state, class_name, times_seen, confidence, point_count`` with
+    bounds ``lo_*``, ``hi_*``; ``previous``: the ids published before. Boxes of confirmed
+    objects are less transparent.
+    """
+    boxes = records.select(
+        F.col("track_id").alias("id"),
+        F.lit("add").alias("action"),
+        *[((F.col(f"lo_{a}") + F.col(f"hi_{a}")) * 0.5).alias(a) for a in AXES],
+        *[F.greatest(F.col(f"hi_{a}") - F.col(f"lo_{a}"), F.lit(least_size)).alias(f"scale_{a}") for a in AXES],
+        *[(c / 255.0).alias(n) for n, c in stable_color(F.col("track_id")).items()],
+        F.when(F.col("state") == "confirmed", 0.20).otherwise(0.08).alias("alpha"),
+        (F.col("hi_z") + 0.12).alias("label_z"),
+        F.format_string("#%d [%s] %s n=%d conf=%.2f pts=%d", *[F.col(c) for c in ("track_id", "state", "class_name", "times_seen", "confidence", "point_count")]).alias("text"),
+    )
+    gone = previous.select(F.col("track_id").alias("id")).distinct().join(records.select(F.col("track_id").alias("id")), "id", "left_anti")
+    return boxes.unionByName(gone.withColumn("action", F.lit("delete")), allowMissingColumns=True)
+
+
 def markers(records: DataFrame, least_size: float = 0.02) -> DataFrame:
     """Box and label of every object; boxes are never thinner than ``least_size``."""
     size = {f"box_{a}": F.greatest(F.col(f"size_{a}"), F.lit(least_size)) for a in AXES}

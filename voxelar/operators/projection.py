@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxelar.functions.geometry import back_project, valid_depth
@@ -46,14 +47,21 @@ def project_masks(
 
 
 def erode_masks(masks: DataFrame, width: int, height: int, reach: int = 1) -> DataFrame:
-    """Mask pixels whose whole neighbourhood inside the image is set."""
-    steps = F.array(*[F.lit(i) for i in range(-reach, reach + 1)])
-    votes = masks.withColumn("_du", F.explode(steps)).withColumn("_dv", F.explode(steps))
-    votes = votes.select("frame_id", "detection_id", (F.col("u") + F.col("_du")).alias("u"), (F.col("v") + F.col("_dv")).alias("v"))
-    counts = votes.groupBy("frame_id", "detection_id", "u", "v").agg(F.count("*").alias("n"))
-    span = lambda c, limit: F.least(F.col(c) + reach, F.lit(limit - 1)) - F.greatest(F.col(c) - reach, F.lit(0)) + 1
-    whole = counts.where(F.col("n") == span("u", width) * span("v", height))
-    return whole.join(masks, ["frame_id", "detection_id", "u", "v"], "left_semi").drop("n")
+    """Mask pixels whose whole neighbourhood inside the image is set; ``masks`` has each set pixel once.
+
+    A square is a row of columns, so rows are eroded first and columns of what is left
+    after them; each pixel stays one row throughout.
+    """
+    for axis, other, limit in (("u", "v", width), ("v", "u", height)):
+        beside = W.partitionBy("frame_id", "detection_id", other).orderBy(axis).rangeBetween(-reach, reach)
+        span = F.least(F.col(axis) + reach, F.lit(limit - 1)) - F.greatest(F.col(axis) - reach, F.lit(0)) + 1
+        masks = masks.withColumn("_n", F.count("*").over(beside)).where(F.col("_n") == span).drop("_n")
+    return masks
+
+
+def mask_areas(masks: DataFrame) -> DataFrame:
+    """Set pixels of every mask."""
+    return masks.groupBy("frame_id", "detection_id").agg(F.count("*").alias("area"))
 
 
 def resize_masks(masks: DataFrame, source: tuple[int, int], target: tuple[int, int]) -> DataFrame:

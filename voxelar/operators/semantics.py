@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -87,18 +88,25 @@ def lives(sightings: DataFrame, track: str, frame: str, max_missed: int, least:
 def throttled(rows: DataFrame, stamp: str, interval: int, by: Sequence[str]) -> DataFrame:
     """Stamps at which a snapshot is emitted: the first, then each at least ``interval`` after the last emitted.
 
-    The choice is sequential, so a key's stamps are folded in order; a key's stamps
-    must fit one row, as they do for a camera session.
+    The choice is sequential: stamps of a key stream by in order, and only the last emitted
+    one is held. Repeated stamps count once; null stamps go.
     """
     if interval <= 0:
         return rows.select(*by, stamp)
-    stamps = rows.groupBy(*by).agg(F.sort_array(F.collect_set(stamp)).alias("s"))
-    kept = F.aggregate(
-        "s",
-        F.array().cast("array<long>"),
-        lambda a, x: F.when((F.size(a) == 0) | (x - F.get(a, F.size(a) - 1) >= interval), F.concat(a, F.array(x))).otherwise(a),
-    )
-    return stamps.select(*by, F.explode(kept).alias(stamp))
+
+    def run(batches):
+        key, last = None, None
+        for batch in batches:
+            keep = np.zeros(len(batch), bool)
+            keys = list(zip(*[batch[c] for c in by], strict=True)) if by else [()] * len(batch)
+            for i, (k, t) in enumerate(zip(keys, batch[stamp].to_numpy(), strict=True)):
+                if k != key or t - last >= interval:
+                    key, last, keep[i] = k, t, True
+            yield batch[keep]
+
+    stamps = rows.select(*by, F.col(stamp).cast("long").alias(stamp)).where(F.col(stamp).isNotNull())
+    dealt = stamps.repartition(*by) if by else stamps.coalesce(1)
+    return dealt.sortWithinPartitions(*by, stamp).mapInPandas(run, stamps.schema)
 
 
 def removed(previous: DataFrame, current: DataFrame, key: Sequence[str]) -> DataFrame:

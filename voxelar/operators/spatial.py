@@ -61,11 +61,24 @@ def radius_pairs(
     return a.join(b, keys).withColumn("d2", squared("a_", "b_")).where(near)
 
 
+def radius_hits(left: DataFrame, right: DataFrame, radius: float, by: Sequence[str] = ()) -> DataFrame:
+    """Points of ``left`` that have a point of ``right`` within ``radius`` where ``by`` is equal; a search ends at the first."""
+    keys = [*by, *CELLS]
+    a = with_cells(left, radius)
+    b = around(with_cells(right, radius).select(*keys, *[F.col(x).alias(f"b_{x}") for x in AXES]))
+    b = b.select(*[F.col(k).alias(f"_{k}") for k in keys], *[f"b_{x}" for x in AXES])
+    same = [F.col(k) == F.col(f"_{k}") for k in keys]
+    near = squared("", "b_") <= radius * radius
+    return a.join(b, [*same, near], "left_semi").drop(*CELLS)
+
+
 def overlap_pairs(points: DataFrame, radius: float, label: str, order: str) -> DataFrame:
     """Ordered label pairs ``(a, b)`` with the share of a's points that have a point of b within ``radius``."""
     pts = points.select(label, order, *AXES)
-    pairs = radius_pairs(pts, pts, radius).where(F.col(f"a_{label}") != F.col(f"b_{label}"))
-    hits = pairs.select(F.col(f"a_{label}").alias("a"), F.col(f"b_{label}").alias("b"), f"a_{order}").distinct()
+    cells = around(with_cells(pts, radius).select(F.col(label).alias("b"), *CELLS).distinct()).distinct()
+    # A point meets every label with a cell beside it once, whatever number of points is there.
+    asked = with_cells(pts.withColumnRenamed(label, "a"), radius).join(cells, list(CELLS)).where("a <> b").drop(*CELLS)
+    hits = radius_hits(asked, pts.withColumnRenamed(label, "b"), radius, ["b"])
     counts = hits.groupBy("a", "b").agg(F.count("*").alias("hits"))
     sizes = pts.groupBy(F.col(label).alias("a")).agg(F.count("*").alias("n"))
     return counts.join(sizes, "a").select("a", "b", "hits", "n", (F.col("hits") / F.col("n")).alias("share"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxelar.functions.geometry import AXES, voxel_key
@@ -63,16 +64,15 @@ def merge_clouds(first: DataFrame, second: DataFrame, size: float, by: Sequence[
 def fold_clouds(points: DataFrame, size: float, order: str, by: Sequence[str] = ()) -> DataFrame:
     """Per voxel the points of successive frames folded in order, each step the midpoint.
 
-    A voxel gathers one point per frame, its own history and nothing else.
+    Midpoint after midpoint is a sum with weights 1/2, 1/4, ... from the last frame back, where
+    the first has the weight of the second: no voxel's history is gathered in one row.
     """
     first = with_cells(points, size).groupBy(*by, *CELLS, order).agg(*[F.avg(F.col(a).cast("double")).alias(a) for a in AXES])
-    history = first.groupBy(*by, *CELLS).agg(F.sort_array(F.collect_list(F.struct(order, *AXES))).alias("h"))
-
-    def folded(axis: str) -> Column:
-        tail = F.slice("h", 2, F.greatest(F.size("h") - 1, F.lit(0)))
-        return F.aggregate(tail, F.get("h", 0)[axis], lambda acc, p: (acc + p[axis]) * 0.5).alias(axis)
-
-    return history.select(*by, *CELLS, *[folded(a) for a in AXES], F.size("h").cast("long").alias("frames"))
+    back = W.partitionBy(*by, *CELLS).orderBy(F.desc(order))
+    ranked = first.withColumns({"_age": F.row_number().over(back), "_first": F.lead(order).over(back).isNull()})
+    weight = F.pow(F.lit(0.5), F.col("_age") - F.col("_first").cast("int"))
+    sums = [F.sum(F.col(a) * weight).alias(a) for a in AXES]
+    return ranked.groupBy(*by, *CELLS).agg(*sums, F.count("*").alias("frames"))
 
 
 def shared_cells(points: DataFrame, size: float, label: str) -> DataFrame:

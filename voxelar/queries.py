@@ -218,20 +218,16 @@ def even_subsample(spark, sf_dir):
     return spatial.even_subsample(points(spark, sf_dir), 16, "vec_id", ["label"]).select("vec_id", "label")
 
 
-@query(f"""with {P}, {V}, vm as (select label % 2 as side, kx, ky, kz, avg(x) as x, avg(y) as y, avg(z) as z from vox group by all),
-a as (select * from vm where side = 0), b as (select * from vm where side = 1)
+@query(f"""with {P}, {V}, vm as (select label % 2 as side, avg(x) as x, avg(y) as y, avg(z) as z from vox group by label % 2, kx, ky, kz),
+vk as (select *, {", ".join(f"floor({k} / {VOXEL}::double)::bigint as k{k}" for k in "xyz")} from vm),
+a as (select * from vk where side = 0), b as (select * from vk where side = 1)
 select coalesce(a.kx, b.kx) as kx, coalesce(a.ky, b.ky) as ky, coalesce(a.kz, b.kz) as kz, a.x is not null and b.x is not null as shared,
   {", ".join(f"round(coalesce((a.{k} + b.{k}) * 0.5::double, a.{k}, b.{k}), 6) + 0.0 as {k}" for k in "xyz")}
 from a full join b on a.kx = b.kx and a.ky = b.ky and a.kz = b.kz""")
 def voxel_outer_merge(spark, sf_dir):
     p = points(spark, sf_dir)
-    side = [voxels.voxel_mean(p.where(F.col("label") % 2 == i), VOXEL).drop("n") for i in (0, 1)]
-    keyed = [s.select(*voxels.CELLS, *geometry.AXES) for s in side]
-    # Means keep their cell, so the merge joins on the cells they came from.
-    a, b = (k.select(*voxels.CELLS, *[F.col(x).alias(f"{n}_{x}") for x in geometry.AXES]) for n, k in zip("ab", keyed, strict=True))
-    both = a.join(b, list(voxels.CELLS), "full_outer")
-    merged = [(F.round(F.coalesce((F.col(f"a_{x}") + F.col(f"b_{x}")) * 0.5, f"a_{x}", f"b_{x}"), 6) + 0.0).alias(x) for x in geometry.AXES]
-    return both.select(*voxels.CELLS, (F.col("a_x").isNotNull() & F.col("b_x").isNotNull()).alias("shared"), *merged)
+    first, second = (voxels.voxel_mean(p.where(F.col("label") % 2 == i), VOXEL).select(*geometry.AXES) for i in (0, 1))
+    return voxels.merge_clouds(first, second, VOXEL).select(*voxels.CELLS, "shared", *rounded("x", "y", "z"))
 
 
 @query(f"""with {P}, {V}, f as (select kx, ky, kz, vec_id // 50 as frame, avg(x) as x, avg(y) as y, avg(z) as z from vox group by all),
@@ -330,24 +326,13 @@ _PIXELS = """px as (select l_orderkey % 16 as frame_id, (l_partkey % 640)::integ
 from lineitem group by 1, 2, 3)"""
 
 
-@query(f"""with {_BOXES}, {_PIXELS}, few as (select o_orderkey % 16 as frame_id, o_orderkey as detection_id, l, t, r, b from sc where o_orderkey % 50 = 0 and r > l and b > t)
+@query(f"""with {_BOXES}, {_PIXELS}, few as (select o_orderkey % 16 as frame_id, o_orderkey as detection_id, l, t, r, b from sc where r > l and b > t)
 select frame_id, detection_id, count(*) as n, sum(round_even((u - 320) * depth / 500 * 1000000, 0)::bigint)::bigint as sx,
   sum(round_even((v - 240) * depth / 480 * 1000000, 0)::bigint)::bigint as sy, min(depth) as near, max(depth) as far
 from few join px using (frame_id) where u >= l and u < r and v >= t and v < b and (u - l) % 2 = 0 and (v - t) % 2 = 0 and depth between 0.3 and 5.0
 group by 1, 2""")
 def bbox_project(spark, sf_dir):
-    """Every fiftieth order is a detection, as a frame has far fewer boxes than pixels."""
-    few = _scaled(spark, sf_dir).where("o_orderkey % 50 = 0 and box is not null")
-    few = few.select((F.col("o_orderkey") % 16).alias("frame_id"), F.col("o_orderkey").alias("detection_id"), "box.*")
-    found = projection.project_boxes(few, _pixels(spark, sf_dir), CAMERA)
-    return found.groupBy("frame_id", "detection_id").agg(
-        F.count("*").alias("n"), micrometres("x").alias("sx"), micrometres("y").alias("sy"), F.min("depth").alias("near"), F.max("depth").alias("far")
-    )
-
-
-@query()
-def bbox_project_all(spark, sf_dir):
-    """Every valid box of the orders; ``bbox_project`` takes the fiftieth part that its SQL names."""
+    """Every valid box of the orders over the pixels of its frame."""
     every = _scaled(spark, sf_dir).where("box is not null")
     every = every.select((F.col("o_orderkey") % 16).alias("frame_id"), F.col("o_orderkey").alias("detection_id"), "box.*")
     found = projection.project_boxes(every, _pixels(spark, sf_dir), CAMERA)
@@ -367,40 +352,52 @@ def mask_project(spark, sf_dir):
     return found.select("frame_id", "u", "v", *rounded("x", "y", "z"))
 
 
-_COARSE = f"""{_PIXELS}, mk as (select distinct frame_id % 2 as frame_id, u // 40 as u, v // 40 as v from px where depth < 4)"""
+#: Filled masks: every sampled pixel sets the 4 x 4 cell it lies in; a thousand orders are a frame.
+_SET = """pc as (select distinct l_orderkey // 1000 as frame_id, l_partkey % 640 // 4 as cu, l_suppkey * 37 % 480 // 4 as cv from lineitem where l_quantity < 40),
+mk as (select frame_id, (cu * 4 + i)::integer as u, (cv * 4 + j)::integer as v from pc, range(4) a(i), range(4) b(j))"""
 
 
-def _coarse(spark, sf_dir):
-    m = _masks(spark, sf_dir)
-    return m.select((F.col("frame_id") % 2).alias("frame_id"), "detection_id", F.expr("u div 40").alias("u"), F.expr("v div 40").alias("v")).distinct()
+def _solid(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem").where("l_quantity < 40")
+    cells = li.selectExpr("l_orderkey div 1000 as frame_id", "l_partkey % 640 div 4 as cu", "l_suppkey * 37 % 480 div 4 as cv").distinct()
+    step = F.explode(F.sequence(F.lit(0), F.lit(3)))
+    filled = cells.withColumn("i", step).withColumn("j", step)
+    return filled.selectExpr("frame_id", "0 as detection_id", "int(cu * 4 + i) as u", "int(cv * 4 + j) as v")
 
 
-@query(f"""with {_COARSE} select m.frame_id, m.u, m.v from mk m join mk n on m.frame_id = n.frame_id and abs(m.u - n.u) <= 1 and abs(m.v - n.v) <= 1
-group by 1, 2, 3 having count(*) = (least(m.u + 1, 15) - greatest(m.u - 1, 0) + 1) * (least(m.v + 1, 11) - greatest(m.v - 1, 0) + 1)""")
-def mask_erode(spark, sf_dir):
-    return projection.erode_masks(_coarse(spark, sf_dir), 16, 12, 1).select("frame_id", *[F.col(c).cast("int").alias(c) for c in "uv"])
+def _eroded(reach: int) -> str:
+    span = f"range(-{reach}, {reach + 1})"
+    sides = [f"(least(m.{c} + {reach}, {n - 1}) - greatest(m.{c} - {reach}, 0) + 1)" for c, n in (("u", 640), ("v", 480))]
+    return f"""with {_SET}, near as (select frame_id, u + i as u, v + j as v from mk, {span} a(i), {span} b(j))
+select m.frame_id, m.u, m.v from mk m join near n on m.frame_id = n.frame_id and m.u = n.u and m.v = n.v group by 1, 2, 3 having count(*) = {' * '.join(sides)}"""
 
 
-@query(f"""with {_COARSE} select frame_id, p.i::integer as u, q.i::integer as v from mk join range(24) p(i) on floor(p.i * 16 / 24) = u join range(18) q(i) on floor(q.i * 12 / 18) = v""")
-def mask_resize(spark, sf_dir):
-    return projection.resize_masks(_coarse(spark, sf_dir), (16, 12), (24, 18)).select("frame_id", "u", "v")
+def _resized(width: int, height: int) -> str:
+    return f"""with {_SET} select frame_id, p.i::integer as u, q.i::integer as v from mk join range({width}) p(i) on floor(p.i * 640 / {width}) = u
+join range({height}) q(i) on floor(q.i * 480 / {height}) = v"""
 
 
-_SET = f"{_PIXELS}, mk as (select frame_id, u, v from px where depth < 4)"
+@query(_eroded(1))
+def mask_erode(spark, sf_dir):
+    """The masks of all frames at 640 x 480."""
+    return projection.erode_masks(_solid(spark, sf_dir), 640, 480, 1).select("frame_id", *[F.col(c).cast("int").alias(c) for c in "uv"])
 
 
-@query(f"""with {_SET}, near as (select frame_id, u + i as u, v + j as v from mk, range(-1, 2) a(i), range(-1, 2) b(j))
-select m.frame_id, m.u, m.v from mk m join near n on m.frame_id = n.frame_id and m.u = n.u and m.v = n.v
-group by 1, 2, 3 having count(*) = (least(m.u + 1, 639) - greatest(m.u - 1, 0) + 1) * (least(m.v + 1, 479) - greatest(m.v - 1, 0) + 1)""")
-def mask_erode_all(spark, sf_dir):
-    """All frames at 640 x 480; ``mask_erode`` takes the coarse cells that its SQL names."""
-    return projection.erode_masks(_masks(spark, sf_dir), 640, 480, 1).select("frame_id", *[F.col(c).cast("int").alias(c) for c in "uv"])
+@query(_resized(448, 336))
+def mask_resize(spark, sf_dir):
+    """All frames from 640 x 480 to 448 x 336."""
+    return projection.resize_masks(_solid(spark, sf_dir), (640, 480), (448, 336)).select("frame_id", "u", "v")
 
 
-@query(f"""with {_SET} select frame_id, p.i::integer as u, q.i::integer as v from mk join range(448) p(i) on floor(p.i * 640 / 448) = u join range(336) q(i) on floor(q.i * 480 / 336) = v""")
-def mask_resize_all(spark, sf_dir):
-    """All frames from 640 x 480 to 448 x 336."""
-    return projection.resize_masks(_masks(spark, sf_dir), (640, 480), (448, 336)).select("frame_id", "u", "v")
+@query(_resized(1024, 768))
+def mask_enlarge(spark, sf_dir):
+    """All frames from 640 x 480 to 1024 x 768."""
+    return projection.resize_masks(_solid(spark, sf_dir), (640, 480), (1024, 768)).select("frame_id", "u", "v")
+
+
+@query(f"with {_SET} select frame_id, count(*) as area from mk group by 1")
+def mask_area(spark, sf_dir):
+    return projection.mask_areas(_solid(spark, sf_dir)).select("frame_id", "area")
 
 
 POSE = (0.8, -0.6, 0.0, 1.5, 0.6, 0.8, 0.0, -2.0, 0.0, 0.0, 1.0, 0.25)
@@ -511,7 +508,7 @@ def extent_growth(spark, sf_dir):
     return pairs.select(F.col("a_label").alias("a"), F.col("b_label").alias("b"), geometry.growth_valid("a_", "b_", 0.02, 1.5, 0.04).alias("valid"))
 
 
-@query("""with s as (select distinct user_id, event_id // 20 as frame from events where event_type = 'error'),
+@query("""with s as (select distinct user_id, event_id // 20 as frame from events),
 g as (select *, coalesce((frame - lag(frame) over w - 1 > 30)::integer, 0) as cut from s window w as (partition by user_id order by frame)),
 i as (select *, sum(cut) over (partition by user_id order by frame) as isl from g),
 k as (select *, row_number() over (partition by user_id, isl order by frame) as k from i),
@@ -519,7 +516,7 @@ n as (select *, least(isl, coalesce(min(case when k >= 3 then isl end) over (par
 select user_id, life::bigint as life, min(frame) as first_frame, max(frame) as last_frame, count(*) as sightings,
   case when count(*) >= 3 then 'confirmed' else 'candidate' end as status from n group by 1, 2""")
 def track_expiry(spark, sf_dir):
-    e = read(spark, sf_dir, "events").where("event_type = 'error'")
+    e = read(spark, sf_dir, "events")
     return semantics.lives(e.select("user_id", F.expr("event_id div 20").alias("frame")).distinct(), "user_id", "frame", 30, 3)
 
 
@@ -704,7 +701,9 @@ def xy_objects(spark, sf_dir):
 
 @query(f"""with {P}, {B}, t as (select label, count(*) as k, min(vec_id) as a, max(vec_id) as b from pts group by 1)
 select 'class_' || label || '_' || label as id, case when k >= 45 then 'confirmed' else 'candidate' end as state, k as times_seen, a as first_seen, b as last_seen,
-  n as point_count, round(hi_x - lo_x, 6) as size_x, 'object_' || lpad(label::varchar, 6, '0') || '.ply' as cloud_file, round(0.5::double * k, 6) as own_score
+  n as point_count, round(hi_x - lo_x, 6) + 0.0 as size_x, 'objects/object_' || lpad(label::varchar, 4, '0') || '_class_' || label || '.ply' as point_cloud_ply,
+  'objects/object_' || lpad(label::varchar, 4, '0') || '_class_' || label || '.npz' as point_cloud_npz, round(0.5::double * k, 6) as own_score,
+  'class_' || label as class_name, label as class_id, {", ".join(f"round({p}_{k}, 6) + 0.0 as {q}_{k}" for p, q in (("lo", "bounds_min"), ("hi", "bounds_max"), ("c", "centroid")) for k in "xyz")}
 from bounds join t using (label)""")
 def object_documents(spark, sf_dir):
     p = points(spark, sf_dir)
@@ -714,15 +713,22 @@ def object_documents(spark, sf_dir):
     history = semantics.class_history(seen.withColumn("class_id", F.col("label")), "label", "class_id", "confidence", "vec_id")
     found = layout.full_records(p, tracks, semantics.score_maps(history, "label", "class_id"), "label", 45)
     own = F.element_at("semantic_scores", F.col("class_id").cast("string")).alias("own_score")
-    return found.select("id", "state", "times_seen", "first_seen", "last_seen", "point_count", "size_x", "cloud_file", own).withColumns({c: F.round(c, 6) for c in ("size_x", "own_score")})
+    spread = [F.get(c, i).alias(f"{c}_{a}") for c in ("bounds_min", "bounds_max", "centroid") for i, a in enumerate("xyz")]
+    flat = found.select("*", *spread, own)
+    numbers = ["size_x", "own_score", *[f"{c}_{a}" for c in ("bounds_min", "bounds_max", "centroid") for a in "xyz"]]
+    plain = ("id", "state", "times_seen", "first_seen", "last_seen", "point_count", "point_cloud_ply", "point_cloud_npz", "class_name", "class_id")
+    return flat.select(*plain, *rounded(*numbers))
 
 
-@query("""select c_custkey, n_name, r_name from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where r_name <> 'ASIA'""")
+@query("""with vocab as (select n_nationkey as class_id, n_name as class_name from nation join region on n_regionkey = r_regionkey where r_name <> 'ASIA')
+select c_custkey, class_id, class_name from customer join vocab on c_nationkey = class_id""")
 def vocabulary_join(spark, sf_dir):
     """Class ids to names; classes outside the vocabulary go."""
     c, n, g = (read(spark, sf_dir, t) for t in ("customer", "nation", "region"))
     named = n.join(g.where("r_name <> 'ASIA'"), n.n_regionkey == g.r_regionkey)
-    return c.join(named, c.c_nationkey == n.n_nationkey).select("c_custkey", "n_name", "r_name")
+    vocabulary = named.select(F.col("n_nationkey").alias("class_id"), F.col("n_name").alias("class_name"))
+    rows = c.select("c_custkey", F.col("c_nationkey").alias("class_id"))
+    return detection.named_classes(rows, vocabulary).select("c_custkey", "class_id", "class_name")
 
 
 @query()

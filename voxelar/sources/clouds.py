@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from voxelar.functions.geometry import AXES, is_finite
+
 # Field sizes of point messages and the projected cloud's layout.
 FIELDS = {"x": "f4", "y": "f4", "z": "f4", "rgb": "u4", "class_id": "i4", "detection_id": "u4", "confidence": "f4", "image_u": "f4", "image_v": "f4"}
 NEEDED = ("x", "y", "z", "detection_id")
@@ -98,6 +100,22 @@ def write_objects(points: DataFrame, path: str, track: str = "track_id") -> None
     points.repartition(track).write.mode("overwrite").partitionBy(track).parquet(path)
 
 
+def saved_objects(spark: SparkSession, path: str, limit: int = 0, least: int = 1, classes: tuple[str, ...] = ()) -> DataFrame:
+    """Objects that ``write_objects`` stored with their columns, as a viewer lists them.
+
+    Points that are not finite go, and objects without any other. ``limit`` keeps the most
+    observed (0: all); ties by track id.
+    """
+    points = spark.read.parquet(path).where(F.col("observations") >= least)
+    if classes:
+        points = points.where(F.col("class_name").isin(list(classes)))
+    fine = points.where(is_finite(*[F.col(a) for a in AXES]))
+    rest = [c for c in fine.columns if c not in (*AXES, "r", "g", "b")]
+    found = fine.groupBy(*rest).agg(F.count("*").alias("point_count"), *[f(a).alias(f"{p}_{a}") for a in AXES for p, f in (("lo", F.min), ("hi", F.max))])
+    ordered = found.orderBy(F.desc("observations"), "track_id")
+    return ordered.limit(limit) if limit > 0 else ordered
+
+
 def delete_list(existing: DataFrame, expected: DataFrame, key: str = "file") -> DataFrame:
     """Files of earlier snapshots that no object needs any more."""
     return existing.join(expected, key, "left_anti").select(F.col(key))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -34,6 +34,24 @@ def detections(payloads: DataFrame, least: float = 0.0) -> DataFrame:
     return kept.withColumn("detection_id", F.row_number().over(W.partitionBy(*key).orderBy("raw_id")) - 1)
 
 
+def detection_files(spark: SparkSession, path: str, least: float = 0.0) -> DataFrame:
+    """Accepted detections of a folder of JSON files, one per frame; the digits of a file's name are its frame id."""
+    raw = spark.read.option("multiLine", True).schema(f"detections {DETECTIONS}").json(path)
+    frame = F.regexp_extract(F.input_file_name(), r"(\d+)[^/\d]*\.json$", 1).try_cast("long").alias("frame_id")
+    return detections(raw.select(frame, F.coalesce("detections", F.array().cast(DETECTIONS)).alias("detections")), least)
+
+
+def with_poses(frames: DataFrame, poses: DataFrame) -> DataFrame:
+    """Frames with the pose of their index; a frame beyond the trajectory has none and goes."""
+    return frames.join(poses, "frame_id")
+
+
+def depth_metres(depth: Column, scale: Column | float, multiply: bool = False) -> Column:
+    """Raw depth in metres: divided by a file's scale, or times a live stream's factor."""
+    factor = scale if isinstance(scale, Column) else F.lit(float(scale))
+    return depth.cast("double") * factor if multiply else F.try_divide(depth.cast("double"), factor)
+
+
 def trajectory(spark: SparkSession, path: str) -> DataFrame:
     """Poses ``(frame_id, pose)``, sixteen numbers each, from lines of row-major text."""
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.trim("value"), r"\s*\n\s*")).alias("frame_id", "line"))

@@ -25,9 +25,8 @@ def once(stream: DataFrame, delay: str = "10 seconds") -> DataFrame:
 
 
 def stamped_pairs(clouds: DataFrame, metadata: DataFrame, delay: str = "10 seconds") -> DataFrame:
-    """Clouds and metadata of exactly equal stamps; what stays unmatched leaves with the watermark."""
-    a = clouds.withWatermark("ts", delay).alias("a")
-    b = metadata.withWatermark("ts", delay).alias("b")
+    """Clouds and metadata of exactly equal stamps, each stamp once; what stays unmatched leaves with the watermark."""
+    a, b = once(clouds, delay).alias("a"), once(metadata, delay).alias("b")
     same = (F.col("a.stamp_ns") == F.col("b.stamp_ns")) & (F.col("a.ts") == F.col("b.ts"))
     return a.join(b, same).select("a.*", *[F.col(f"b.{c}").alias(f"meta_{c}") for c in metadata.columns if c not in ("stamp_ns", "ts")])
 
