@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxelar.operators import asof, semantics
+from voxelar.operators import asof, layout, semantics
 from voxelar.sources import clouds, inference, readers
 from voxelar.streaming import joins
 
@@ -86,14 +86,54 @@ def test_stamped_streams_join_once(spark, tmp_path):
     raw = spark.readStream.text(str(tmp_path / "in"))
     good, bad = joins.payload_stream(raw)
     assert bad.columns == ["value"]
-    once = joins.once(good).select("stamp_ns", "ts", F.lit(1).alias("n"))
+    once = good.select("stamp_ns", "ts", F.lit(1).alias("n"))
     other = joins.payload_stream(spark.readStream.text(str(tmp_path / "in")))[0].select("stamp_ns", "ts", F.lit(2).alias("m"))
     q = joins.stamped_pairs(once, other).writeStream.format("memory").queryName("paired").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert sorted(r.stamp_ns // 10**9 for r in spark.table("paired").collect()) == [1, 2, 2, 3]
+    assert sorted(r.stamp_ns // 10**9 for r in spark.table("paired").collect()) == [1, 2, 3]  # a repeated stamp of either side pairs once
 
 
 def test_detector_boundary(spark):
     frames = spark.createDataFrame([(1, bytearray(b"abc")), (2, bytearray(b""))], "frame_id long, content binary")
     got = inference.detect(frames, inference.stub).orderBy("frame_id").collect()
     assert [(r.frame_id, r.class_id, r.class_name, r.xyxy) for r in got] == [(1, 3, "unknown", [0, 0, 3, 1]), (2, 0, "unknown", [0, 0, 0, 1])]
+
+
+def test_files_of_single_frames(spark, tmp_path):
+    good = {"class_id": 3, "class_name": "cup", "confidence": 0.9, "xyxy": [0, 0, 1, 1]}
+    payloads = {"000007.json": [good, good | {"class_name": "Person"}], "frame_12.json": [good | {"confidence": 0.1}, {"xyxy": [0, 0, 2, 2]}], "13.json": None}
+    for name, found in payloads.items():
+        (tmp_path / name).write_text(json.dumps({"detections": found} if found is not None else {}, indent=1))
+    rows = readers.detection_files(spark, str(tmp_path), 0.0).collect()
+    assert sorted((r.frame_id, r.detection_id, r.class_id, r.class_name) for r in rows) == [(7, 0, 3, "cup"), (12, 0, 3, "cup"), (12, 1, -1, "unknown")]
+    assert readers.detection_files(spark, str(tmp_path), 0.5).count() == 1
+
+
+def test_frames_meet_their_pose_and_depth_its_scale(spark):
+    poses = spark.createDataFrame([(0, [1.0] * 16), (1, [2.0] * 16)], "frame_id long, pose array<double>")
+    assert [r.frame_id for r in readers.with_poses(spark.range(1, 5).withColumnRenamed("id", "frame_id"), poses).collect()] == [1]
+    row = spark.createDataFrame([(1500,)], "d int").select(readers.depth_metres(F.col("d"), 1000).alias("a"), readers.depth_metres(F.col("d"), 0.001, True).alias("b")).first()
+    assert row.a == 1.5 and abs(row.b - 1.5) < 1e-12
+
+
+def test_saved_objects_are_listed_as_a_viewer_does(spark, tmp_path):
+    rows = [(t, f"c{t % 2}", n, float(x), 0.0, 1.0) for t, n in ((1, 5), (2, 9), (3, 9), (4, 1)) for x in range(3)] + [(5, "c1", 50, float("nan"), 0.0, 0.0), (2, "c0", 9, float("inf"), 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "track_id long, class_name string, observations long, x double, y double, z double")
+    clouds.write_objects(df, f"{tmp_path}/objects")
+    found = clouds.saved_objects(spark, f"{tmp_path}/objects", least=2).collect()
+    assert [(r.track_id, r.point_count, r.hi_x) for r in found] == [(2, 3, 2.0), (3, 3, 2.0), (1, 3, 2.0)]
+    assert [r.track_id for r in clouds.saved_objects(spark, f"{tmp_path}/objects", 1, 1, ("c1",)).collect()] == [3]
+
+
+def test_documents_of_a_run(spark, tmp_path):
+    points = spark.createDataFrame([(1, 0.0, 0.0, 1.0, None), (1, 0.0, 0.0, 2.0, 255), (2, 1.0, 1.0, 1.0, None)], "track_id long, x double, y double, z double, rgb long")
+    tracks = spark.createDataFrame([(1, 4, 0.5, 9, "confirmed"), (2, 5, 0.5, 1, "candidate")], "track_id long, class_id int, confidence double, observations long, status string")
+    cloud = layout.fused_cloud(points, tracks).collect()
+    assert len(cloud) == 2 and {r.track_id for r in cloud} == {1} and 255 in {r.rgb for r in cloud} and all(r.rgb is not None for r in cloud)
+    timing = semantics.timing_report(spark.createDataFrame([("io", 1.0, 2)], "stage string, seconds double, calls int"), ("io", "fusion"), 2.0, 3)
+    doc = json.loads(layout.run_summary(spark.range(5, 8).withColumnRenamed("id", "frame_id"), points, cloud and tracks, tracks.limit(0), timing, 2.0).first().value)
+    assert (doc["frame_start"], doc["frame_count"], doc["frame_last"], doc["input_detections"], doc["objects"], doc["elapsed_seconds"]) == (5, 3, 7, 3, 0, 2.0)
+    assert [t["stage"] for t in doc["timing"]] == ["io", "fusion"]
+    a = spark.createDataFrame([("s", 1, 0), ("s", 0, 1), ("t", 0, 0)], "session string, frame long, observation long")
+    clouds.write_associations(a, f"{tmp_path}/a")
+    assert spark.read.json(f"{tmp_path}/a").count() == 3

@@ -3,8 +3,11 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from voxelar import queries
 from voxelar.config import PROFILES, MapConfig
+from voxelar.operators import cleaning, spatial
 from voxelar.operators.boxes import assign, kept_boxes
 from voxelar.streaming import tracker
 
@@ -116,3 +119,100 @@ def test_stream_equals_batch(spark, tmp_path):
     key = ["session", "frame", "observation"]
     both = batch.merge(got, on=key, suffixes=("", "_s"))
     assert len(got) == len(both) == 72 and (both.track_id == both.track_id_s).all()
+
+
+def test_near_share_by_cells_and_by_hand():
+    rng = np.random.default_rng(2)
+    for n, m in ((1500, 700), (400, 900)):
+        a, b = rng.normal(0, 1, (n, 3)).astype(np.float32), rng.normal(0.3, 1, (m, 3)).astype(np.float32)
+        want = [(((p - b) ** 2).sum(axis=1).min() <= 0.2 * 0.2) for p in a]
+        assert tracker.near_share(a, b, 0.2) == pytest.approx(np.mean(want))
+    assert tracker.near_share(a, b[:0], 0.2) == 0.0
+
+
+def test_main_cluster_is_the_operators(spark):
+    rng = np.random.default_rng(4)
+    clouds = [np.concatenate([rng.normal(0, 0.05, (40, 3)), rng.normal(1, 0.05, (30, 3)), rng.uniform(-3, 3, (15, 3))]), rng.uniform(-9, 9, (20, 3)), rng.normal(0, 0.01, (3, 3))]
+    rows = [(i, i * 1000 + j, *map(float, p)) for i, c in enumerate(clouds) for j, p in enumerate(c)]
+    df = spark.createDataFrame(rows, "cloud long, ord long, x double, y double, z double")
+    kept = {r.ord: r.kept for r in spatial.largest_cluster(df, 0.12, 4, "ord", ["cloud"]).collect()}
+    for i, c in enumerate(clouds):
+        assert tracker.main_cluster(c, 0.12, 4).tolist() == [kept[i * 1000 + j] for j in range(len(c))]
+
+
+def test_live_tracks_are_denoised():
+    far = plate() + np.float32(5)
+    for interval, size in ((0, 18), (1, 9)):
+        s = tracker.Session(MapConfig(voxel_size=0.01, overlap_radius=0.06, cluster_min_points=3, denoise_interval=interval, max_centroid_distance=10, max_extent_growth=1000))
+        s._open(seen() | {"cloud": tracker.Cloud(np.concatenate([plate(), far[:4], far[4:]]), 0)})
+        s.step([])
+        assert len(s.tracks[1]["cloud"].points) == size
+
+
+def test_observations_are_cleaned(spark):
+    rows = [("s", 0, i, *map(float, p)) for i, c in enumerate((plate(), plate()[:2], np.concatenate([plate(), plate() + 3, plate(0.1)]))) for p in c]
+    df = spark.createDataFrame(rows + rows[:1], "session string, frame long, observation long, x double, y double, z double")
+    got = {r.observation: len(r.points) for r in cleaning.clean_observations(df, CONFIG).collect()}
+    assert got == {0: 9, 2: 18}
+    assert cleaning.clean_observations(df.limit(0), CONFIG).count() == 0
+
+
+def test_query_of_suppression_by_hand(spark):
+    sf = "/root/testdata/sf0.001"
+    kept = {r.ord for r in queries.nms(spark, sf).collect()}
+    boxes = queries._boxes(spark, sf).join(queries.read(spark, sf, "orders"), "o_orderkey").collect()
+    groups = {}
+    for r in boxes:
+        x, y = sorted((r.x1, r.x2)), sorted((r.y1, r.y2))
+        groups.setdefault((r.o_orderkey // 64, r.o_orderpriority), []).append((-r.o_totalprice, r.o_orderkey, x, y))
+    want = set()
+    for members in groups.values():
+        chosen = []
+        for _, key, x, y in sorted(members):
+            area = (x[1] - x[0]) * (y[1] - y[0])
+            for _, u, v in chosen:
+                shared = max(0, min(x[1], u[1]) - max(x[0], u[0])) * max(0, min(y[1], v[1]) - max(y[0], v[0]))
+                if shared > 0 and shared / (area + (u[1] - u[0]) * (v[1] - v[0]) - shared) > 0.45:
+                    break
+            else:
+                chosen.append((key, x, y))
+        want |= {c[0] for c in chosen}
+    assert kept == want and len(want) < len(boxes)
+
+
+def test_query_of_assignment_by_hand(spark):
+    sf = "/root/testdata/sf0.001"
+    got, frames_ = {}, {}
+    for r in queries.assignment(spark, sf).collect():
+        got.setdefault(r.frame, []).append(r)
+    e = queries.read(spark, sf, "events").selectExpr("event_id div 40 as frame", "user_id % 12 as o", "hash(event_type) as t", "value").groupBy("frame", "o", "t").agg(F.max("value").alias("v"))
+    for r in e.collect():
+        frames_.setdefault(r.frame, {}).setdefault(r.o, {})[r.t] = r.v
+    assert set(got) == set(frames_)
+    for frame, rows in frames_.items():
+        best = {frozenset(): (0, 0.0)}  # most pairs, then the greatest sum, by the set of tracks taken
+        for scores in rows.values():
+            for used, (n, total) in list(best.items()):
+                for t, v in scores.items():
+                    if t not in used:
+                        key, value = used | {t}, (n + 1, total + v)
+                        best[key] = max(best.get(key, value), value)
+        n, total = max(best.values())
+        chosen = got[frame]
+        assert len(chosen) == n == len({r.observation for r in chosen}) == len({r.track for r in chosen})
+        assert sum(r.score for r in chosen) == pytest.approx(total)
+
+
+def test_query_of_the_tracker_by_hand(spark):
+    """The streamed batch against a session stepped frame by frame, every pair compared by points."""
+    sf = "/root/testdata/sf0.001"
+    got = {r.observation: r for r in queries.tracker_batch(spark, sf).collect()}
+    rows = queries._observations(spark, sf).toPandas()
+    assert rows.session.nunique() == 1 and len(rows) == len(got)
+    session, seen_ = tracker.Session(queries.TRACKING), 0
+    for _, frame in rows.groupby("frame"):
+        for r in session.step(tracker._observations(frame)):
+            assert got[r["observation"]].track_id == r["track_id"] and got[r["observation"]].is_new == r["is_new"]
+            seen_ += 1
+    assert seen_ == len(got)
+    assert {r.observation: r.track_id for r in queries.tracker_stream(spark, sf).collect()} == {k: r.track_id for k, r in got.items()}

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelar.functions.color import stable_color
+from voxelar.functions.color import pack_rgb, stable_color
 from voxelar.functions.detection import safe_name
 from voxelar.functions.geometry import AXES, is_finite, to_pixel
 
@@ -50,14 +50,17 @@ def object_records(points: DataFrame, track: str, name: Column, source: str = "b
     )
 
 
-def full_records(points: DataFrame, tracks: DataFrame, scores: DataFrame, track: str, least: int, source: str = "batch") -> DataFrame:
+def full_records(
+    points: DataFrame, tracks: DataFrame, scores: DataFrame, track: str, least: int, source: str = "batch", confirmed_only: bool = False
+) -> DataFrame:
     """Every field of an object record under the names its readers expect: geometry, evidence, times, files, class scores.
 
     ``tracks``: ``track, class_id, class_name, confidence, observations, first_seen,
     last_seen, missed_frames``; ``scores``: ``track, semantic_scores``.
     """
     geometry = object_records(points, track, F.lit("")).drop("id", "label", "source").withColumnRenamed("track_id", track)
-    joined = tracks.join(geometry, track).join(scores, track, "left")
+    wanted = tracks.where(F.col("observations") >= least) if confirmed_only else tracks
+    joined = wanted.join(geometry, track).join(scores, track, "left")
     stem = F.concat(F.format_string("object_%04d_", F.col(track)), safe_name(F.col("class_name")))
     return joined.select(
         F.concat_ws("_", safe_name(F.col("class_name"), key=True), F.col(track).cast("string")).alias("id"),
@@ -96,6 +99,33 @@ def xy_objects(points: DataFrame, track: str, **limits) -> DataFrame:
     )
 
 
+def fused_cloud(points: DataFrame, tracks: DataFrame, track: str = "track_id") -> DataFrame:
+    """Points of confirmed tracks with the fields of a fused cloud; points without a colour take their track's.
+
+    ``points``: ``track, x, y, z`` and, if known, packed ``rgb``; ``tracks``: ``track, class_id,
+    confidence, observations, status``.
+    """
+    own = F.coalesce(F.col("rgb"), pack_rgb(*stable_color(F.col(track)).values())) if "rgb" in points.columns else pack_rgb(*stable_color(F.col(track)).values())
+    confirmed = tracks.where("status = 'confirmed'").select(track, "class_id", "confidence", "observations")
+    return points.join(confirmed, track).select(*AXES, own.cast("long").alias("rgb"), track, "class_id", "confidence", "observations")
+
+
+def run_summary(frames: DataFrame, detections: DataFrame, projected: DataFrame, objects: DataFrame, timing: DataFrame, elapsed: float) -> DataFrame:
+    """The summary document of a run as one JSON row: counters of its tables and the timing report.
+
+    ``frames``: ``frame_id``; ``timing`` as from ``timing_report``, which has a row per stage.
+    """
+    parts = [
+        frames.agg(F.min("frame_id").alias("frame_start"), F.count("*").alias("frame_count"), F.max("frame_id").alias("frame_last")),
+        *[df.agg(F.count("*").alias(n)) for df, n in ((detections, "input_detections"), (projected, "projected_detections"), (objects, "objects"))],
+        timing.agg(F.sort_array(F.collect_list(F.struct(*timing.columns))).alias("timing")),
+    ]
+    row = parts[0]
+    for part in parts[1:]:
+        row = row.crossJoin(F.broadcast(part))  # one row each
+    return row.select(F.to_json(F.struct(*row.columns, F.lit(round(elapsed, 3)).alias("elapsed_seconds"))).alias("value"))
+
+
 def navigation_records(records: DataFrame, limit: int, least: int = 1, classes: Sequence[str] = (), source: str = "viewer_filtered") -> DataFrame:
     """Object records as a viewer shows them: filtered, the most observed first, at most ``limit`` (0: all)."""
     kept = records.where(F.col("times_seen") >= least)

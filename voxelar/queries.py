@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from voxelar.config import MapConfig
 from voxelar.functions import color, detection, geometry
-from voxelar.operators import asof, boxes, finalize, layout, projection, semantics, spatial, voxels
+from voxelar.operators import asof, boxes, cleaning, finalize, layout, projection, semantics, spatial, voxels
 from voxelar.plans.components import connected_components
-from voxelar.plans.cut import new_path
+from voxelar.plans.cut import materialize, new_path
 from voxelar.streaming import tracker
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -624,13 +624,46 @@ def assignment(spark, sf_dir):
     return boxes.assignment(pairs, "frame", "observation", "track", "score")
 
 
+#: Every vector is an observation of 21 points; ten are a frame and fifty frames a session, so sessions grow with the table.
+_PLACE = {"session": "string(vec_id div 500)", "frame": "vec_id div 10", "observation": "vec_id"}
+
+
+def _triples(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(20))))
+    return e.select(*[F.expr(v).alias(k) for k, v in _PLACE.items()], *[F.get("embedding", F.col("i") * 3 + k).cast("double").alias(a) for k, a in enumerate("xyz")])
+
+
 def _observations(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings")
-    triples = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.struct(*[F.get("embedding", 3 * i + k).cast("float").alias(a) for k, a in enumerate("xyz")]))
-    return e.select(
-        (F.col("label") % 4).cast("string").alias("session"), F.expr("vec_id div 20").alias("frame"), F.col("vec_id").alias("observation"), F.col("label").cast("int").alias("class_id"),
-        F.concat(F.lit("class_"), F.col("label").cast("string")).alias("class_name"), F.lit(0.9).alias("confidence"), (F.expr("vec_id div 20") / 10 + 1).alias("stamp"), triples.alias("points"),
+    about = e.select(
+        *[F.expr(v).alias(k) for k, v in _PLACE.items()], F.col("label").cast("int").alias("class_id"),
+        F.concat(F.lit("class_"), F.col("label").cast("string")).alias("class_name"), F.lit(0.9).alias("confidence"), (F.expr("vec_id div 10") / 10 + 1).alias("stamp"),
     )
+    return about.join(cleaning.clean_observations(_triples(spark, sf_dir), TRACKING), list(_PLACE))
+
+
+_CLUSTERING = MapConfig(voxel_size=0.02, cluster_eps=0.12, cluster_min_points=4)
+
+
+@query(f"""with recursive raw as (select vec_id as label, embedding[3 * i + 1]::double as x, embedding[3 * i + 2]::double as y, embedding[3 * i + 3]::double as z from embeddings, range(21) t(i)),
+vm as (select label, floor(x / 0.02::double)::bigint as kx, floor(y / 0.02::double)::bigint as ky, floor(z / 0.02::double)::bigint as kz, avg(x) as x, avg(y) as y, avg(z) as z from raw group by 1, 2, 3, 4),
+pts as materialized (select label, row_number() over (order by label, kx, ky, kz) as vec_id, x, y, z from vm), {_KNN},
+core as (select a from knn group by a having count(*) >= 4),
+edge as materialized (select k.a, k.b from knn k join core x on k.a = x.a join core y on k.b = y.a union select k.b, k.a from knn k join core x on k.a = x.a join core y on k.b = y.a),
+reach(a, b) as (select a, a from core union select r.a, e.b from reach r join edge e on r.b = e.a),
+lab as (select a, min(b) as label_ from reach group by a),
+bord as (select a, min_by(b, (d2, b)) as c from (select k.a, k.b, k.d2 from knn k join core y on k.b = y.a where k.a not in (select a from core)) group by a),
+every as (select * from lab union all select bord.a, lab.label_ from bord join lab on bord.c = lab.a),
+named as (select pts.*, label_ from pts left join every on vec_id = a),
+best as (select label, max_by(label_, (m, -label_)) as top, max(m) as m from (select label, label_, count(*) as m from named where label_ is not null group by 1, 2) group by label),
+tot as (select label, count(*) as n from pts group by label)
+select named.label as observation, count(*) as n, sum(round_even(x * 1000, 0)::bigint)::bigint as sx
+from named join tot on named.label = tot.label left join best on named.label = best.label
+where top is null or m < 5 or n < 4 or coalesce(label_ = top, false) group by 1 having count(*) >= 3""")
+def clean_observations(spark, sf_dir):
+    found = cleaning.clean_observations(_triples(spark, sf_dir), _CLUSTERING)
+    each = found.select("observation", F.explode("points").alias("p")).select("observation", F.col("p.x").cast("double").alias("x"))
+    return each.groupBy("observation").agg(F.count("*").alias("n"), F.sum(F.rint(F.col("x") * 1000).cast("long")).alias("sx"))
 
 
 TRACKING = MapConfig(voxel_size=0.05, overlap_radius=0.15, association_threshold=0.4, merge_interval=10, min_confirmed=2, max_extent_growth=3.0)
@@ -739,16 +772,114 @@ def object_map(spark, sf_dir):
 
 @query()
 def tracker_stream(spark, sf_dir):
-    """The tracker as a stream over files of the same observations; a last frame per session moves the watermark on."""
-    found = _observations(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.col("stamp")))
+    """The tracker as a stream over files of the same observations; a last frame per session moves the watermark on.
+
+    Files are written by frame within a session, a part of the frames after the other, and
+    read two at a time, so tracks live on from trigger to trigger.
+    """
+    found = materialize(_observations(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.col("stamp"))), "observations")
     end = found.select("session").distinct().join(found.limit(1).drop("session", "frame", "ts", "points"))
     end = end.select("*", F.lit(-1).cast("long").alias("frame"), F.array().cast(found.schema["points"].dataType).alias("points"), F.timestamp_seconds(F.lit(10**9)).alias("ts"))
     source = new_path(spark, "frames")
-    found.coalesce(1).write.parquet(source)
-    end.select(*found.columns).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(found.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    for part in range(5):  # the frames of a session in five runs of ten
+        found.where(F.expr(f"frame % 50 div 10 = {part}")).repartition(2, "session").write.mode("append").parquet(source)
+    end.select(*found.columns).repartition(2, "session").write.mode("append").parquet(source)
+    stream = spark.readStream.schema(found.schema).option("maxFilesPerTrigger", 2).parquet(source)
     out = new_path(spark, "tracked")
-    started = tracker.track_stream(stream, TRACKING, "1 second").writeStream.option("checkpointLocation", new_path(spark, "offsets"))
+    started = tracker.track_stream(stream, TRACKING, "1 hour").writeStream.option("checkpointLocation", new_path(spark, "offsets"))
     started.outputMode("append").trigger(availableNow=True).start(out).awaitTermination()
     done = spark.read.parquet(out).where("frame >= 0")
     return done.select("session", "frame", "observation", "track_id", *rounded("score", "overlap", "similarity", "box_overlap"), "is_new")
+
+
+@query("""with q as (select vec_id, vec_id % 11 / 10.0::double as t, embedding[1]::double as a1, embedding[2]::double as a2, embedding[3]::double as a3, embedding[4]::double as a4,
+  embedding[5]::double as b1, embedding[6]::double as b2, embedding[7]::double as b3, embedding[8]::double as b4 from embeddings),
+u as (select vec_id, t, [a1 / na, a2 / na, a3 / na, a4 / na] as a, [b1 / nb, b2 / nb, b3 / nb, b4 / nb] as b from (select *, sqrt(a1*a1 + a2*a2 + a3*a3 + a4*a4) as na, sqrt(b1*b1 + b2*b2 + b3*b3 + b4*b4) as nb from q)),
+d as (select *, list_dot_product(a, b) as dot from u), w as (select *, acos(least(abs(dot), 1)) as h, case when dot < 0 then -1 else 1 end as s from d),
+m as (select *, case when abs(dot) > 0.9995 then 1 - t else sin((1 - t) * h) / sin(h) end as p, s * case when abs(dot) > 0.9995 then t else sin(t * h) / sin(h) end as r from w),
+v as (select vec_id, list_transform(range(1, 5), lambda i: a[i] * p + b[i] * r) as c from m), n as (select *, sqrt(list_dot_product(c, c)) as l from v)
+select vec_id, round(c[1] / l, 6) + 0.0 as x, round(c[2] / l, 6) + 0.0 as y, round(c[3] / l, 6) + 0.0 as z, round(c[4] / l, 6) + 0.0 as w from n""")
+def rotation_interpolation(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    at = [F.get("embedding", i).cast("double") for i in range(8)]
+    turned = geometry.slerp(at[:4], at[4:], F.col("vec_id") % 11 / F.lit(10.0))
+    return e.select("vec_id", *[c.alias(n) for n, c in zip("xyzw", turned, strict=True)]).select("vec_id", *rounded("x", "y", "z", "w"))
+
+
+@query(f"""with {_BOXES}, im as (select *, 640 + o_custkey % 1280 as w, 480 + o_custkey % 720 as h from bx join orders using (o_orderkey)),
+fs as (select *, floor(w * (1024 / greatest(w, h)::double) + 0.5::double) / w as fx, floor(h * (1024 / greatest(w, h)::double) + 0.5::double) / h as fy from im)
+select o_orderkey, round(greatest(0, least(w - 1, x1)) * fx, 6) as x1, round(greatest(0, least(h - 1, y1)) * fy, 6) as y1,
+  round(greatest(0, least(w - 1, x2)) * fx, 6) as x2, round(greatest(0, least(h - 1, y2)) * fy, 6) as y2 from fs""")
+def prompt_boxes(spark, sf_dir):
+    size = read(spark, sf_dir, "orders").select("o_orderkey", (640 + F.col("o_custkey") % 1280).alias("w"), (480 + F.col("o_custkey") % 720).alias("h"))
+    corners = ("x1", "y1", "x2", "y2")
+    found = geometry.prompt_box([F.col(c) for c in corners], F.col("w"), F.col("h"))
+    boxes_ = _boxes(spark, sf_dir).join(size, "o_orderkey")
+    return boxes_.select("o_orderkey", *[c.alias(n) for n, c in zip(corners, found, strict=True)]).select("o_orderkey", *rounded(*corners))
+
+
+_SNAP = """snap as (select user_id, event_type, ts::date as day, event_id, value from events), last as (select max(day) as day from snap),
+now as (select user_id, count(*) as n, avg(value) / 1000 as conf, min(value) as lo, max(value) as hi from snap, last where snap.day = last.day group by 1),
+old as (select distinct user_id from snap, last where snap.day = last.day - 1)"""
+
+
+@query(f"""with {_SNAP}
+select user_id as id, 'add' as action, round((lo + hi) / 2, 6) as x, round(greatest(hi - lo, 0.02), 6) as scale_x, case when n >= 5 then 0.20::double else 0.08::double end as alpha,
+  '#' || user_id || ' [' || case when n >= 5 then 'confirmed' else 'candidate' end || '] user n=' || n || ' pts=' || n as text from now
+union all select user_id, 'delete', null, null, null, null from old where user_id not in (select user_id from now)""")
+def marker_feed(spark, sf_dir):
+    """Markers of one day's users and deletions of those seen the day before only."""
+    e = read(spark, sf_dir, "events").select("user_id", "value", F.to_date("ts").alias("day"))
+    dated = e.crossJoin(F.broadcast(e.agg(F.max("day").alias("last"))))  # one row
+    now = dated.where("day = last").groupBy(F.col("user_id").alias("track_id")).agg(
+        F.count("*").alias("times_seen"), F.count("*").alias("point_count"), (F.avg("value") / 1000).alias("confidence"),
+        *[F.min("value").alias(f"lo_{a}") for a in "xyz"], *[F.max("value").alias(f"hi_{a}") for a in "xyz"],
+    )
+    now = now.withColumns({"state": detection.status(F.col("times_seen"), 5), "class_name": F.lit("user")})
+    found = layout.marker_changes(dated.where("day = date_sub(last, 1)").select(F.col("user_id").alias("track_id")), now)
+    short = F.regexp_replace("text", " conf=[^ ]*", "")
+    return found.select("id", "action", *rounded("x", "scale_x"), "alpha", short.alias("text"))
+
+
+@query(f"""with {_HIST}, t as (select user_id, count(*) as times_seen from events group by 1), d as (select user_id, max_by(event_type, (score, -first_order)) as class_name from hist group by 1)
+select user_id as track_id, class_name, times_seen, 'viewer_filtered' as source from t join d using (user_id) where times_seen >= 20 and class_name in ('view', 'click')
+order by times_seen desc, track_id limit 50""")
+def navigation_records(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    named = semantics.dominant_class(_history(spark, sf_dir), "user_id", "event_type").select("user_id", F.col("event_type").alias("class_name"))
+    tracks = e.groupBy("user_id").agg(F.count("*").alias("times_seen")).join(named, "user_id").withColumnRenamed("user_id", "track_id")
+    return layout.navigation_records(tracks, 50, 20, ["view", "click"]).select("track_id", "class_name", "times_seen", "source")
+
+
+@query("""select event_id as observation, user_id % 10 as session, event_id // 20 as frame, case when event_type = 'error' then user_id end as track_id,
+  case when event_type = 'error' then round(value / 500, 6) end as association_score from events""")
+def association_backfill(spark, sf_dir):
+    """Errors stand for the detections that a track took."""
+    e = read(spark, sf_dir, "events").withColumns({"session": F.col("user_id") % 10, "frame": F.expr("event_id div 20"), "observation": F.col("event_id")})
+    found = e.where("event_type = 'error'").select(
+        "session", "frame", "observation", F.col("user_id").alias("track_id"), (F.col("value") / 500).alias("score"),
+        F.lit(1.0).alias("overlap"), F.lit(1.0).alias("similarity"), F.lit(False).alias("is_new"),
+    )
+    filled = detection.associated(e.select("session", "frame", "observation"), found)
+    return filled.select("observation", "session", "frame", "track_id", *rounded("association_score"))
+
+
+@query(ORACLES["bbox_project"])
+def bbox_project_all(spark, sf_dir):
+    """``bbox_project`` under its earlier name."""
+    return bbox_project(spark, sf_dir)
+
+
+_POINTS = f"{_PIXELS}, mk as (select frame_id, u, v from px where depth < 4)"
+
+
+@query(_eroded(1).replace(_SET, _POINTS))
+def mask_erode_all(spark, sf_dir):
+    """Sampled pixels alone as masks at 640 x 480; ``mask_erode`` fills the cells around them."""
+    return projection.erode_masks(_masks(spark, sf_dir), 640, 480, 1).select("frame_id", *[F.col(c).cast("int").alias(c) for c in "uv"])
+
+
+@query(_resized(448, 336).replace(_SET, _POINTS))
+def mask_resize_all(spark, sf_dir):
+    """Sampled pixels alone from 640 x 480 to 448 x 336."""
+    return projection.resize_masks(_masks(spark, sf_dir), (640, 480), (448, 336)).select("frame_id", "u", "v")

@@ -95,6 +95,12 @@ def write_object_map(document: DataFrame, path: str) -> None:
     document.select("value").write.mode("overwrite").text(path)
 
 
+def write_associations(associations: DataFrame, path: str) -> None:
+    """Associations as JSON lines, a folder per session, by frame and observation within a file."""
+    ordered = associations.repartition("session").sortWithinPartitions("session", "frame", "observation")
+    ordered.write.mode("overwrite").partitionBy("session").json(path)
+
+
 def write_objects(points: DataFrame, path: str, track: str = "track_id") -> None:
     """One partition of Parquet per object."""
     points.repartition(track).write.mode("overwrite").partitionBy(track).parquet(path)

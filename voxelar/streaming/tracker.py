@@ -1,12 +1,13 @@
 """Object tracks as keyed state: the same step drives batch groups and streams.
 
-Cleaning, projection and everything else that does not depend on earlier frames runs
-before, as joins and aggregations over all frames. Only the step itself is sequential;
-it sees one frame's few observations and its session's live tracks.
+Cleaning (``clean_observations``), projection and everything else that does not depend on
+earlier frames runs before, as joins and aggregations over all frames. Only the step itself
+is sequential; it sees one frame's few observations and its session's live tracks.
 """
 
 from __future__ import annotations
 
+import itertools
 import pickle
 from collections.abc import Iterator
 
@@ -17,6 +18,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from voxelar.config import MapConfig
 from voxelar.operators.boxes import assign
+from voxelar.operators.spatial import LEAST_CLUSTER, NEIGHBOURS
+from voxelar.plans.groups import whole_groups
 
 ASSOCIATIONS = (
     "session string, frame long, observation long, track_id long, score double, overlap double, similarity double,"
@@ -39,8 +42,60 @@ def blended(old: np.ndarray, new: np.ndarray, size: float) -> np.ndarray:
 
 def near_share(a: np.ndarray, b: np.ndarray, radius: float) -> float:
     """The share of ``a`` with a point of ``b`` within the radius."""
-    hits = [(((a[i : i + 256, None] - b[None]) ** 2).sum(axis=2).min(axis=1) <= radius * radius) for i in range(0, len(a), 256)]
-    return float(np.concatenate(hits).mean()) if len(a) and len(b) else 0.0
+    if not len(a) or not len(b):
+        return 0.0
+    if len(a) * len(b) <= 1 << 16:
+        return float((((a[:, None] - b[None]) ** 2).sum(axis=2).min(axis=1) <= radius * radius).mean())
+    at, to = (np.floor(p / np.float64(radius)).astype(np.int64) for p in (a, b))
+    low = np.minimum(at.min(axis=0), to.min(axis=0)) - 1
+    width = np.maximum(at.max(axis=0), to.max(axis=0)) - low + 2
+    number = lambda c: ((c[:, 0] - low[0]) * width[1] + c[:, 1] - low[1]) * width[2] + c[:, 2] - low[2]
+    order = np.argsort(number(to), kind="stable")
+    cells, b = number(to)[order], b[order]
+    near = np.zeros(len(a), bool)
+    for step in itertools.product((-1, 0, 1), repeat=3):
+        todo = np.flatnonzero(~near)
+        wanted = number(at[todo] + np.array(step))
+        first, last = np.searchsorted(cells, wanted, "left"), np.searchsorted(cells, wanted, "right")
+        count = last - first
+        who = np.repeat(np.arange(len(todo)), count)
+        other = np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count) + first[who]
+        near[todo[who[((a[todo[who]] - b[other]) ** 2).sum(axis=1) <= radius * radius]]] = True
+    return float(near.mean())
+
+
+def main_cluster(points: np.ndarray, eps: float, least: int) -> np.ndarray:
+    """Which points ``largest_cluster`` keeps of one cloud, by its rules."""
+    n, least = len(points), max(1, least)
+    everything = np.ones(n, bool)
+    if eps <= 0 or n < least:
+        return everything
+    lists = []
+    for i in range(0, n, 256):
+        d2 = ((points[i : i + 256, None].astype(float) - points[None].astype(float)) ** 2).sum(axis=2)
+        for row in d2:
+            beside = np.flatnonzero(row < eps * eps)
+            lists.append(beside[np.lexsort((beside, row[beside]))][: max(least, NEIGHBOURS)])
+    core = np.array([len(x) >= least for x in lists])
+    if not core.any():
+        return everything
+    label = np.where(core, np.arange(n), n)
+    a = np.concatenate([np.full(len(x), i) for i, x in enumerate(lists) if core[i]])
+    b = np.concatenate([x for i, x in enumerate(lists) if core[i]])
+    a, b = a[core[b]], b[core[b]]
+    while True:
+        before = label.copy()
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        if (label == before).all():
+            break
+    for i in np.flatnonzero(~core):
+        if len(cores := lists[i][core[lists[i]]]):
+            label[i] = label[cores[0]]
+    sizes = np.bincount(label[label < n], minlength=n)
+    best = int(np.argmax(sizes))
+    return label == best if sizes[best] >= LEAST_CLUSTER else everything
 
 
 class Cloud:
@@ -97,6 +152,10 @@ class Session:
         if c.merge_interval and self.frames % c.merge_interval == 0:
             moved = self._merge_doubles()
             rows = [r | {"track_id": moved.get(r["track_id"], r["track_id"])} for r in rows]
+        if c.denoise_interval and self.frames % c.denoise_interval == 0:
+            for t in self.tracks.values():
+                points = t["cloud"].points
+                t["cloud"] = Cloud(points[main_cluster(points, c.cluster_eps, c.cluster_min_points)], c.association_max_points)
         return sorted(rows, key=lambda r: r["observation"])
 
     def _similarity(self, o: dict, t: dict) -> float:
@@ -109,11 +168,16 @@ class Session:
         c, ids, details = self.config, sorted(self.tracks), {}
         weight = c.geometry_weight / (c.geometry_weight + c.semantic_weight)
         scores = np.full((len(seen), len(ids)), -np.inf)
+        if not seen or not ids:
+            return {}
+        center, low, high = (np.array([getattr(self.tracks[k]["cloud"], a) for k in ids]) for a in ("center", "low", "high"))
         for i, o in enumerate(seen):
-            for j, track_id in enumerate(ids):
-                t = self.tracks[track_id]
-                if not o["cloud"].beside(t["cloud"], c):
-                    continue
+            # All tracks at once: what ``beside`` asks of each.
+            cloud, reach = o["cloud"], c.overlap_radius
+            near = np.linalg.norm(center - cloud.center, axis=1) <= c.max_centroid_distance
+            near &= ((cloud.low <= high + reach) & (low <= cloud.high + reach)).all(axis=1)
+            for j in np.flatnonzero(near):
+                t = self.tracks[ids[j]]
                 box, overlap = o["cloud"].box_overlap(t["cloud"]), 0.0
                 if box >= c.min_box_overlap:
                     overlap = o["cloud"].overlap(t["cloud"], c.overlap_radius)
@@ -122,7 +186,7 @@ class Session:
                 similar = self._similarity(o, t)
                 score = weight * overlap + (1 - weight) * similar
                 if score >= c.association_threshold and t["cloud"].may_take(o["cloud"], c):
-                    scores[i, j], details[i, j] = score, (score, overlap, similar, box)
+                    scores[i, j], details[i, int(j)] = score, (score, overlap, similar, box)
         return {i: (ids[j], details[i, j]) for i, j in assign(scores)}
 
     def _evidence(self, t: dict, scores: dict, names: dict) -> None:
@@ -193,16 +257,26 @@ def _frame(rows: list[dict]) -> pd.DataFrame:
 
 
 def track_batch(observations: DataFrame, config: MapConfig = MapConfig()) -> DataFrame:
-    """Associations of all sessions; a session's frames run in order in one group.
+    """Associations of all sessions; a session's frames stream by in order.
 
     ``observations``: ``session, frame, observation, class_id, class_name, confidence,
-    stamp, points``. Frames without observations do not appear and do not age tracks.
+    stamp, points``, cleaned. Frames without observations do not appear and do not age
+    tracks. A task holds one batch of frames and one session's live tracks; the number of
+    sessions bounds how many tasks can work at once.
     """
 
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return _frame(_stepped(Session(config), key[0], rows.groupby("frame", sort=True)))
-
-    return observations.groupBy("session").applyInPandas(one, ASSOCIATIONS)
+    def run(batches):
+        key, session = None, None
+        for rows in whole_groups(batches, ["session", "frame"]):
+            out = []
+            for (name, frame), one in rows.groupby(["session", "frame"], sort=True):
+                if name != key:
+                    key, session = name, Session(config)
+                out += _stepped(session, name, [(frame, one)])
+            yield _frame(out)
+
+    dealt = observations.repartition("session").sortWithinPartitions("session", "frame", "observation")
+    return dealt.mapInPandas(run, ASSOCIATIONS)
 
 
 def track_stream(observations: DataFrame, config: MapConfig = MapConfig(), delay: str = "1 second") -> DataFrame:
