@@ -115,9 +115,9 @@ def cut_by_hand(rows):
     return sorted(out)
 
 
-def check_cut(spark, rows):
+def check_cut(spark, rows, **options):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc", F.lit("clash"))
-    got = substring_dedup.remove_repeats(df).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect()
+    got = substring_dedup.remove_repeats(df, **options).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect()
     assert sorted(map(tuple, got)) == cut_by_hand(rows)
 
 
@@ -131,6 +131,15 @@ def test_substrings_by_hand(spark):
     rows += [(106, text(200, ["p", "q"])), (107, text(19)), (108, text(20)), (109, f"{text(12)} " * 9)]
     rows += [(50, rows[3][1]), (51, rows[3][1].replace("w1 ", "zz "))]
     check_cut(spark, rows)
+    for bits in (0, 5):  # forced collisions of keys
+        check_cut(spark, rows, key_bits=bits)
+
+
+def test_substrings_of_a_very_long_text(spark):
+    rng = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(60))
+    long = " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(1_200_000))
+    check_cut(spark, [(2, f"{long} {passage} {long[:5000]}"), (1, passage), (3, "x " + passage)])
 
 
 def test_substrings_of_repeated_rows_and_ids(spark):
@@ -343,6 +352,39 @@ def test_prefix_pairs_miss_none(spark, block_rows):
     assert near and near <= {(r.a, r.b) for r in got}
 
 
+def test_near_stage_keeps_one_of_each_group_of_the_given_documents(spark):
+    """Recall over all pairs of the table: components at 0.8 by brute force, one document kept of each."""
+    rows = [(r.doc_id, (r.text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    sets, holders, root = {}, {}, {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    pairs = 0
+    for i, text in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", text)
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        for j in {j for s in sets[i] for j in holders.get(s, ())}:
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                pairs += 1
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+        for s in sets[i]:
+            holders.setdefault(s, []).append(i)
+    kept = [r.doc_id for r in simhash.drop_near_duplicates(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).select("doc_id").collect()]
+    assert pairs > 50 and sorted(kept) == sorted(i for i in root if find(i) == i)
+
+
+def test_near_stage_of_null_ids_and_repeated_rows(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    df = docs(spark, [text, text, text, "other words", text], ids=[None, None, 4, None, 4])
+    assert sorted(str(r.doc_id) + r.text[:5] for r in simhash.drop_near_duplicates(df).collect()) == ["Noneother", "Nonew0 w1"]
+    got = simhash.simhash_groups(df).collect()
+    assert len(got) == 5 and {r.component_id for r in got} == {None}
+
+
 # --- sharding and mixing
 
 

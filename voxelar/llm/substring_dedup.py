@@ -8,9 +8,18 @@ windows therefore hold the same symbols wherever those words lie inside the wind
 
 A window is represented by the least-named symbol it determines. Consecutive windows
 with the same representative travel as one row, keyed by that symbol and ten words
-beside it that the windows share. Keys that occur once are unique text. Equal rows
-prove a repeat outright; the few rows whose key repeats but whose words differ (ends of
+beside it that the windows share. Keys that occur once are unique text. Rows equal in key
+and content are repeats; the few rows whose key repeats but whose content differs (ends of
 a passage, edits) are verified window by window.
+
+Key and content are names of two independent families over 63-bit word hashes, so two
+different windows pass for equal only if 128 bits collide: with 1.5e13 windows (100 TB) the
+expected number is below 1e-12. Two different words share a hash in a handful of cases at
+that size, which matters only where the 19 other words of a window agree.
+
+Repeats inside a block of a million words are settled there and send one row for each
+passage, so the hottest key has one row a block among some 190,000: no key can hold more
+than about 1 / 190,000 of the shuffled rows, far below a partition's share.
 """
 
 from __future__ import annotations
@@ -130,7 +139,7 @@ def _least(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def super_windows(words: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...]:
     """Rows of consecutive windows with one representative: first start, count, key, content."""
-    symbols, names = parse(words), window_names(words)
+    symbols, names, whole = parse(words), window_names(words), window_names(words, 37)[WINDOW]
     n = len(words)
     starts = np.nonzero(valid)[0]
     # The determined symbols of a window are those with low >= start and high <= end.
@@ -153,7 +162,7 @@ def super_windows(words: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...
     first = np.nonzero(new)[0]
     count = np.diff(np.append(first, len(starts)))
     begin = starts[first]
-    content = name(name(names[WINDOW][begin], names[WINDOW][begin + count - 1], 19), count.astype(_U), 23)
+    content = name(name(whole[begin], whole[begin + count - 1], 19), count.astype(_U), 23)
     return begin, count, key[first], content
 
 
@@ -209,7 +218,7 @@ def _first_of(groups: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndar
     return first
 
 
-def _emit(block: _Block) -> pa.RecordBatch | None:
+def _emit(block: _Block, mask: int) -> pa.RecordBatch | None:
     words, valid, offset, owner = block.joined()
     if not valid.any():
         return None
@@ -219,7 +228,7 @@ def _emit(block: _Block) -> pa.RecordBatch | None:
     start = begin - offset[owner[begin]]
     first = _first_of(name(key, content, 29), doc, start)
     # Repeats inside the block are settled here, so a hot passage sends one row per block.
-    key = np.where(first, key, name(content, start.astype(_U), 31))
+    key = np.where(first, key & _U(mask), name(content, start.astype(_U), 31))
     place = _pack(start, check, count, np.where(first, 0, _DUP))
     return pa.RecordBatch.from_arrays(
         [pa.array(x) for x in (key.view(np.int64), content.view(np.int64), doc, place)], ["key", "content", "doc", "place"]
@@ -240,10 +249,13 @@ def _blocks(batches):
         yield block
 
 
-def _super_rows(batches):
-    for block in _blocks(batches):
-        if (out := _emit(block)) is not None:
-            yield out
+def _super_rows(mask: int):
+    def run(batches):
+        for block in _blocks(batches):
+            if (out := _emit(block, mask)) is not None:
+                yield out
+
+    return run
 
 
 def _window_rows(batches):
@@ -321,14 +333,14 @@ def _later(by: list[str]):
     return here > F.first(here).over(order)
 
 
-def repeated_windows(docs: DataFrame, dealt: DataFrame) -> DataFrame:
+def repeated_windows(docs: DataFrame, dealt: DataFrame, key_bits: int = 64) -> DataFrame:
     """``(doc, check, place)`` of all windows of ``docs(doc, check, text)`` that occur earlier.
 
     ``place`` packs the first word and the number of consecutive windows. ``dealt`` has
     the same rows, partitioned by document for joins; the first pass reads ``docs`` as
-    they are stored.
+    they are stored. Fewer ``key_bits`` make keys collide, which costs time and changes nothing.
     """
-    rows = docs.mapInArrow(_super_rows, _ROW)
+    rows = docs.mapInArrow(_super_rows((1 << key_bits) - 1), _ROW)
     settled = F.col("place").bitwiseAND(_DUP) == _DUP
     per_key = W.partitionBy("key")
     marked = rows.select(
@@ -345,20 +357,21 @@ def repeated_windows(docs: DataFrame, dealt: DataFrame) -> DataFrame:
     return found.unionByName(windows.where("repeat").select("doc", check, "place"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_bits: int = 64) -> DataFrame:
     """One row per document: ``doc_id, n_words, n_removed, kept`` (bytes of the kept text).
 
     Every word covered by a 20-word window whose words also start at a smaller
     (id, word) place goes; windows are judged on the input. Kept words are joined by
     one space. A null text has no words; a null id is the smallest. Rows that share an
     id share its place in the order: a window at the same word of both removes neither.
-    An empty table gives an empty result; other columns are ignored.
+    An empty table gives an empty result; other columns are ignored. Texts may have up to
+    2**35 words; each is held whole by one task.
     """
     text = text_of(text_col).cast("binary")
     check = F.xxhash64(text).bitwiseAND((1 << _START - _HASH) - 1)
     rows = docs.select(id_of(id_col).alias("doc"), check.alias("check"), text.alias("text"))
     dealt = rows.repartition("doc", "check")
-    found = repeated_windows(rows, dealt).groupBy("doc", "check").agg(F.collect_list("place").alias("places"))
+    found = repeated_windows(rows, dealt, key_bits).groupBy("doc", "check").agg(F.collect_list("place").alias("places"))
     out = dealt.join(found, ["doc", "check"], "left").select("doc", "text", "places")
     cut = out.mapInArrow(_cut, "doc long, n_words long, n_removed long, kept binary")
     return cut.select(id_back("doc").alias("doc_id"), "n_words", "n_removed", "kept")
