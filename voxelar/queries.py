@@ -315,10 +315,10 @@ def bbox_scale_clip(spark, sf_dir):
     return _scaled(spark, sf_dir).select("o_orderkey", *[F.col(f"box.{c}").alias(c) for c in ("left", "top", "right", "bottom")])
 
 
-def _pixels(spark, sf_dir):
+def _pixels(spark, sf_dir, frame: str = "l_orderkey % 16"):
     li = read(spark, sf_dir, "lineitem")
     return li.groupBy(
-        (F.col("l_orderkey") % 16).alias("frame_id"), (F.col("l_partkey") % 640).cast("int").alias("u"), (F.col("l_suppkey") * 37 % 480).cast("int").alias("v")
+        F.expr(frame).alias("frame_id"), (F.col("l_partkey") % 640).cast("int").alias("u"), (F.col("l_suppkey") * 37 % 480).cast("int").alias("v")
     ).agg((F.min("l_quantity") / 10).alias("depth"))
 
 
@@ -326,19 +326,28 @@ _PIXELS = """px as (select l_orderkey % 16 as frame_id, (l_partkey % 640)::integ
 from lineitem group by 1, 2, 3)"""
 
 
-@query(f"""with {_BOXES}, {_PIXELS}, few as (select o_orderkey % 16 as frame_id, o_orderkey as detection_id, l, t, r, b from sc where r > l and b > t)
+def _projected(every: DataFrame, pixels: DataFrame) -> DataFrame:
+    found = projection.project_boxes(every, pixels, CAMERA)
+    return found.groupBy("frame_id", "detection_id").agg(
+        F.count("*").alias("n"), micrometres("x").alias("sx"), micrometres("y").alias("sy"), F.min("depth").alias("near"), F.max("depth").alias("far")
+    )
+
+
+def _projection_sql(frame: str) -> str:
+    pixels = _PIXELS.replace("l_orderkey % 16 as", f"l_orderkey {frame} as")
+    return f"""with {_BOXES}, {pixels}, every as (select o_orderkey {frame} as frame_id, o_orderkey as detection_id, l, t, r, b from sc where r > l and b > t)
 select frame_id, detection_id, count(*) as n, sum(round_even((u - 320) * depth / 500 * 1000000, 0)::bigint)::bigint as sx,
   sum(round_even((v - 240) * depth / 480 * 1000000, 0)::bigint)::bigint as sy, min(depth) as near, max(depth) as far
-from few join px using (frame_id) where u >= l and u < r and v >= t and v < b and (u - l) % 2 = 0 and (v - t) % 2 = 0 and depth between 0.3 and 5.0
-group by 1, 2""")
+from every join px using (frame_id) where u >= l and u < r and v >= t and v < b and (u - l) % 2 = 0 and (v - t) % 2 = 0 and depth between 0.3 and 5.0
+group by 1, 2"""
+
+
+@query(_projection_sql("// 1000"))
 def bbox_project(spark, sf_dir):
-    """Every valid box of the orders over the pixels of its frame."""
+    """Every valid box of the orders over the pixels of its frame; a thousand orders are a frame, so frames grow with the table."""
     every = _scaled(spark, sf_dir).where("box is not null")
-    every = every.select((F.col("o_orderkey") % 16).alias("frame_id"), F.col("o_orderkey").alias("detection_id"), "box.*")
-    found = projection.project_boxes(every, _pixels(spark, sf_dir), CAMERA)
-    return found.groupBy("frame_id", "detection_id").agg(
-        F.count("*").alias("n"), micrometres("x").alias("sx"), micrometres("y").alias("sy"), F.min("depth").alias("near"), F.max("depth").alias("far")
-    )
+    every = every.select(F.expr("o_orderkey div 1000").alias("frame_id"), F.col("o_orderkey").alias("detection_id"), "box.*")
+    return _projected(every, _pixels(spark, sf_dir, "l_orderkey div 1000"))
 
 
 def _masks(spark, sf_dir):
@@ -864,10 +873,12 @@ def association_backfill(spark, sf_dir):
     return filled.select("observation", "session", "frame", "track_id", *rounded("association_score"))
 
 
-@query(ORACLES["bbox_project"])
+@query(_projection_sql("% 16"))
 def bbox_project_all(spark, sf_dir):
-    """``bbox_project`` under its earlier name."""
-    return bbox_project(spark, sf_dir)
+    """Every valid box, with all orders in sixteen crowded frames."""
+    every = _scaled(spark, sf_dir).where("box is not null")
+    every = every.select((F.col("o_orderkey") % 16).alias("frame_id"), F.col("o_orderkey").alias("detection_id"), "box.*")
+    return _projected(every, _pixels(spark, sf_dir))
 
 
 _POINTS = f"{_PIXELS}, mk as (select frame_id, u, v from px where depth < 4)"
