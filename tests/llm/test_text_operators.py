@@ -352,6 +352,18 @@ def test_prefix_pairs_miss_none(spark, block_rows):
     assert near and near <= {(r.a, r.b) for r in got}
 
 
+def test_prefix_pairs_leave_out_what_differs_too_much(spark):
+    """Sets of one family share rare shingles at a similarity near 0.6; only what is planted nearer is compared."""
+    rng = random.Random(9)
+    core = [rng.getrandbits(63) for _ in range(150)]
+    sets = [set(core) | {rng.getrandbits(63) for _ in range(50)} for _ in range(80)]
+    sets += [set(sorted(s)[:-5]) | {rng.getrandbits(63) for _ in range(5)} for s in sets[:20]]
+    rows = [(i, i, sorted(s)) for i, s in enumerate(sets)]
+    got = simhash.prefix_pairs(spark.createDataFrame(rows, "rid long, component long, shingles array<long>"), 0.8).collect()
+    near = {(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(near) == 20 and {(r.a, r.b) for r in got} == near
+
+
 def test_near_stage_keeps_one_of_each_group_of_the_given_documents(spark):
     """Recall over all pairs of the table: components at 0.8 by brute force, one document kept of each."""
     rows = [(r.doc_id, (r.text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]

@@ -32,6 +32,8 @@ BANDS, BAND_ROWS = 20, 5
 ID_ROWS = 200_000
 #: Sets that hold one shingle meet in pairs of blocks of this many.
 PAIR_ROWS = 1000
+#: Longs of the parity bits that bound how far two sets differ before they are compared.
+PARITY_LONGS = 16
 
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
@@ -301,22 +303,34 @@ def prefix_pairs(sets: DataFrame, similarity: float, block_rows: int = PAIR_ROWS
 
     Sets that similar share one of their rarest shingles: of n the first n - similarity * n + 1
     by frequency. A shingle of many sets is dealt to pairs of blocks of ``block_rows`` members.
+    Where two sets meet they must also not differ too much: a shingle flips one parity bit of its
+    set, so sets differ in at least as many shingles as bits, and in all shingles of their own.
     """
     words = sets.select("rid", "component", F.size("shingles").alias("size"), F.explode("shingles").alias("s"))
     often = words.groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
-    held = words.join(often, "s").groupBy("rid", "component", "size").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("held"))
+    spot = F.shiftrightunsigned("s", 6).bitwiseAND(PARITY_LONGS - 1)
+    flip = F.expr("shiftleft(1L, cast(s & 63 as int))")
+    parity = [F.bit_xor(F.when(spot == k, flip).otherwise(F.lit(0).cast("long"))).alias(f"bits{k}") for k in range(PARITY_LONGS)]
+    entries = F.sort_array(F.collect_list(F.struct("n", "s"))).alias("held")
+    held = words.join(often, "s").groupBy("rid", "component", "size").agg(entries, *parity)
+    held = held.withColumn("alone", F.col("size") - F.size("held"))
+    carried = ["rid", "component", "size", "alone", *[f"bits{k}" for k in range(PARITY_LONGS)]]
     # Shingles of one set alone come first in the order and meet nothing.
-    length = F.col("size") - F.ceil(similarity * F.col("size") - 1e-6) + 1 - (F.col("size") - F.size("held"))
-    prefix = held.select("rid", "component", "size", F.explode(F.slice("held", F.lit(1), F.greatest(F.lit(0), length.cast("int")))).alias("e"))
-    prefix = materialize(prefix.select("rid", "component", "size", F.col("e.s").alias("s")), "prefix")
+    length = F.col("size") - F.ceil(similarity * F.col("size") - 1e-6) + 1 - F.col("alone")
+    prefix = held.select(*carried, F.explode(F.slice("held", F.lit(1), F.greatest(F.lit(0), length.cast("int")))).alias("e"))
+    prefix = materialize(prefix.select(*carried, F.col("e.s").alias("s")), "prefix")
     met = prefix.groupBy("s").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
     blocks = materialize(met.where("low < high").select("s", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks")), "blocks")
     dealt = prefix.join(blocks, "s").withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("blocks", "other")
-    x, y = (dealt.select("s", "i", "j", *[F.col(c).alias(f"{c}_{e}") for c in ("rid", "component", "size", "own")]) for e in "xy")
+    x, y = (dealt.select("s", "i", "j", *[F.col(c).alias(f"{c}_{e}") for c in (*carried, "own")]) for e in "xy")
+    differ = F.col("alone_x") + F.col("alone_y")
+    for k in range(PARITY_LONGS):
+        differ += F.bit_count(F.col(f"bits{k}_x").bitwiseXOR(F.col(f"bits{k}_y")))
+    close = differ * (1 + similarity) <= (1 - similarity) * (F.col("size_x") + F.col("size_y")) + 1e-6
     near = F.least("size_x", "size_y") >= similarity * F.greatest("size_x", "size_y") - 1e-6
-    pairs = x.join(y, ["s", "i", "j"]).where("rid_x < rid_y and component_x <> component_y and (own_x <> own_y or i = j)").where(near)
+    pairs = x.join(y, ["s", "i", "j"]).where("rid_x < rid_y and component_x <> component_y and (own_x <> own_y or i = j)").where(near & close)
     return pairs.select(F.col("rid_x").alias("a"), F.col("rid_y").alias("b")).distinct()
 
 
