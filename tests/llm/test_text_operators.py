@@ -207,6 +207,15 @@ def test_quality_drops_divergent_texts_only(spark):
 # --- exact dedup
 
 
+def test_quality_stage_of_null_ids_and_languages(spark):
+    good, rows = " ".join(f"word{i}" for i in range(60)), "doc_id long, text string, lang string, words string"
+    table = [(None, good, None, "a"), (None, good, None, "b"), (1, good, "en", None), (1, "short", "en", "c"), (2, None, None, None), (3, "", "xx", "d")]
+    kept = quality.keep_good(spark.createDataFrame(table, rows))
+    assert kept.columns == ["doc_id", "text", "lang", "words"]
+    assert sorted(kept.collect(), key=str) == sorted(spark.createDataFrame(table[:3], rows).collect(), key=str)
+    assert quality.keep_good(spark.createDataFrame([], rows)).count() == 0
+
+
 def test_exact_groups_by_hand(spark):
     texts = ["A b", "a B", None, "", "É", "é", "a b", "x"] + ["hot"] * 40
     df = docs(spark, texts, digest="clash", row="clash").repartition(3)

@@ -184,6 +184,9 @@ def keep_good(
 
     A verdict joins back on a digest of id, language and text: rows that repeat an id
     keep their own verdicts, and many copies of a text are not one key.
+    A null or empty text fails the base rules and goes, as does any text under the least
+    number of words; a null language counts as a language of its own, a null id as empty.
+    Columns of any name pass through. An empty table stays empty.
     """
     key = fresh(docs, "_key")
     parts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in (id_col, lang_col)]
