@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_extract, mixing, quality, sharding, simhash, substring_dedup, token_output, warc
+from . import bpe, exact_dedup, hard_negatives, html_extract, mixing, packing, phrases, quality, sharding, simhash, substring_dedup, token_output, warc
 from ._common import read
 
 
@@ -52,6 +52,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(read(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(read(spark, sf_dir, "documents"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,6 +84,9 @@ QUERIES = {
         op8_exact_dedup,
         op9_warc,
         op10_simhash,
+        op11_hard_negatives,
+        op12_packing,
+        op13_phrases,
     )
 } | {"pipeline": _pipeline}
 
@@ -246,6 +262,64 @@ select page_id, payload_bytes, payload_digest,
 from f
 """
 
+_OP11 = f"""
+with r as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor({hard_negatives.SCALE} * x::double)) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+pairs as (
+  select a.vec_id as anchor_id, r.vec_id, a.label = r.label as same, list_inner_product(a.v, r.v)::bigint as score
+  from r a join r on len(a.v) = len(r.v) and (a.vec_id <> r.vec_id or a.label <> r.label) where a.vec_id % 100 = 0
+),
+p as (
+  select anchor_id, vec_id as positive_id, score as positive_score from pairs where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= {hard_negatives.POSITIVES}
+)
+select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, vec_id)::integer as rank,
+  vec_id as negative_id, positive_score, score as negative_score
+from p join pairs using (anchor_id)
+where not same and 100 * score between {hard_negatives.LOW} * positive_score and {hard_negatives.HIGH} * positive_score
+qualify rank <= {hard_negatives.NEGATIVES}
+"""
+
+_OP13 = f"""
+with pieces as (
+  select lang, row_number() over () as p, regexp_extract_all(piece, '[^\\x20\\x09]+') as ws from (
+    select coalesce(lang, 'und') as lang,
+      unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as piece
+    from documents
+  )
+),
+grams as (
+  select lang, k, array_to_string(ws[i : i + k - 1], ' ') as g
+  from (select lang, ws, k, unnest(range(1, len(ws) - k + 2)) as i from pieces, range(1, 4) t(k) where len(ws) >= k)
+),
+f as materialized (select lang, k, g, count(*) as a from grams group by all),
+c as materialized (select *, string_split(g, ' ') as ws from f where k > 1 and a >= {phrases.LEAST}),
+parts as (
+  select lang, k, g, a, cut, array_to_string(ws[1 : cut], ' ') as x, array_to_string(ws[cut + 1 : k], ' ') as y
+  from (select *, unnest(range(1, k)) as cut from c)
+),
+cuts as (
+  select p.lang, p.k, p.g, p.a, cut, l.a as l, r.a as r, (1000000::hugeint * p.a * p.a) // (l.a::hugeint * r.a) as score
+  from parts p join f l on l.lang = p.lang and l.g = p.x join f r on r.lang = p.lang and r.g = p.y
+),
+weakest as (select * from cuts qualify row_number() over (partition by lang, g order by score, cut) = 1),
+longer as (
+  select lang, g, max(a) as a from (select lang, unnest([ws[1] || ' ' || ws[2], ws[2] || ' ' || ws[3]]) as g, a from c where k = 3) group by all
+),
+kept as (
+  select w.lang, g as phrase, w.a, w.l, w.r, w.score::bigint as score
+  from weakest w left join longer using (lang, g) where coalesce(100 * longer.a < {phrases.COVERED} * w.a, true)
+),
+n as (select lang, sum(a)::bigint as n from f where k = 1 group by lang)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+from kept join n using (lang) qualify rank <= {phrases.TOP}
+"""
+
 ORACLES = {
     "op2_substring_dedup": _OP2,
     "op4_quality": _OP4,
@@ -253,4 +327,6 @@ ORACLES = {
     "op6_mixing": _op6(),
     "op8_exact_dedup": _OP8,
     "op9_warc": _OP9,
+    "op11_hard_negatives": _OP11,
+    "op13_phrases": _OP13,
 }
