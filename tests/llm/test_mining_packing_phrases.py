@@ -228,10 +228,12 @@ def test_runs_of_bursting_and_spilling_tries(monkeypatch, words):
     assert len(runs) > 20
     got = defaultdict(Counter)
     for r in pa.Table.from_batches([*runs, *counter.rest()]).to_pylist():
-        prefix = (r["first"],) if r["second"] is None else (r["first"], r["second"])
-        got[r["lang"]][prefix] += r["n"]
-        for third, n in zip((r["thirds"] or "").split(" "), (r["counts"] or "").split(" "), strict=True):
-            if third:
+        for entry in r["entries"].split("\n"):
+            second, total, *tail = entry.split(" ")
+            assert (second == ".") == (r["slot"] < 0)
+            prefix = (r["first"],) if second == "." else (r["first"], second)
+            got[r["lang"]][prefix] += int(total)
+            for third, n in zip(tail[::2], tail[1::2], strict=True):
                 got[r["lang"]][(*prefix, third)] += int(n)
     assert got == counted(texts, langs)
 

@@ -4,13 +4,14 @@ A task counts in a trie over its own word ids: below the first word stands a has
 of continuations, which bursts into one container for each second word when it grows. A
 path is entered once for each position of a text, so the count of a phrase is the sum of
 its subtree. Beyond a limit of entries the largest subtrees are spilled whole, as runs
-sorted by word id: one row for each pair of first words with the third words below it.
-Spark brings the rows of a prefix (language and two words) together and merges them; what
-stands below a rare prefix is rare and never unpacked.
+sorted by word id: a row for each first word and slot (a hash of the second word), with an
+entry for each second word. Spark brings the rows of a prefix (language, first word, slot)
+together and merges them; what stands below a rare pair of words is rare and never unpacked.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -33,8 +34,9 @@ BATCH = 500_000
 #: Bits of a word id, and words beyond which a task spills all tries and starts a new vocabulary.
 BITS, WORDS = 21, 1 << 20
 LEAST, TOP, COVERED = 10, 2000, 50
-#: A language's phrases are ranked in so many parts before these are ranked together.
-SALTS = 64
+#: Parts of a first word's continuations, as a word may hold a large part of all words, and of a
+#: language's phrases, which are ranked before the parts are ranked together.
+SLOTS = 64
 ROWS = 512
 
 _MASK = (1 << BITS) - 1
@@ -156,9 +158,13 @@ class Counter:
                 break
             cut[lang].append(self.tries[lang].take(word))
             total -= size
-        words = pa.array(list(self.ids), pa.binary()).cast(pa.string()) if cut else None
+        if not cut:
+            return
+        words = pa.array(list(self.ids), pa.binary()).cast(pa.string())
+        slots = np.array([zlib.crc32(w) % SLOTS for w in self.ids], np.int64)
+        slots[0] = -1  # no second word
         for lang, parts in cut.items():
-            yield from _run(lang, words, *(np.concatenate(x) for x in zip(*parts, strict=True)))
+            yield from _run(lang, words, slots, *(np.concatenate(x) for x in zip(*parts, strict=True)))
 
     def rest(self) -> Iterator[pa.RecordBatch]:
         for lang in list(self.waiting):
@@ -166,39 +172,58 @@ class Counter:
         yield from self._spill(0)
 
 
-def _run(lang: str, words: pa.Array, paths: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows ``lang, first, second, n, thirds, counts`` of a sorted run: a row for each pair of first words.
+def _run(lang: str, words: pa.Array, slots: np.ndarray, paths: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows ``lang, first, slot, entries`` of a sorted run.
 
-    A first word alone has a null second word and its own total; words without a third
-    one after them add to ``n`` only.
+    An entry is ``second n third n third n ...``, its first number the sum of its subtree;
+    entries are parted by line feeds. A first word has a row of slot -1 with the entry ``. n``.
     """
+    place = np.argsort(slots, kind="stable")  # second words by slot; none stays first
+    rank = np.empty(len(slots), np.int64)
+    rank[place] = np.arange(len(slots))
+    paths = paths & ~(_MASK << BITS) | rank[paths >> BITS & _MASK] << BITS
     order = np.argsort(paths)
     paths, counts = paths[order], counts[order]
-    for part in (0, BITS):  # all first words, then all pairs
-        prefix = paths >> (BITS + BITS - part)
-        kept = np.ones(len(paths), bool) if part == 0 else (prefix & _MASK) != 0
-        prefix, n = prefix[kept], counts[kept]
-        at = np.flatnonzero(np.diff(prefix, prepend=-1))
-        sums = np.add.reduceat(n, at) if len(at) else n
-        if part == 0:
-            second = pa.nulls(len(at), pa.string())
-            thirds = tails = pa.nulls(len(at), pa.string())
-            first = words.take(pa.array(prefix[at]))
-        else:
-            third = (paths & _MASK)[kept]
-            inner = third != 0
-            ends = np.concatenate([[0], np.cumsum(inner)])[np.append(at, len(prefix))].astype(np.int32)
-            thirds = pc.binary_join(pa.ListArray.from_arrays(ends, words.take(pa.array(third[inner]))), " ")
-            tails = pc.binary_join(pa.ListArray.from_arrays(ends, pa.array(n[inner]).cast(pa.string())), " ")
-            first, second = words.take(pa.array(prefix[at] >> BITS)), words.take(pa.array(prefix[at] & _MASK))
-        columns = [pa.array([lang]).take(pa.array(np.zeros(len(at), np.int64))), first, second, pa.array(sums), thirds, tails]
-        batch = pa.RecordBatch.from_arrays(columns, ["lang", "first", "second", "n", "thirds", "counts"])
-        for start in range(0, batch.num_rows, 50_000):
-            yield batch.slice(start, 50_000)
+    first = paths >> 2 * BITS
+    at = np.flatnonzero(np.diff(first, prepend=-1))
+    totals = pa.array(np.add.reduceat(counts, at)).cast(pa.string())
+    alone = pc.binary_join_element_wise(pa.scalar("."), totals, " ")
+    yield from _rows(lang, words.take(pa.array(first[at])), np.full(len(at), -1), alone)
+
+    kept = (paths >> BITS & _MASK) != 0
+    paths, counts = paths[kept], counts[kept]
+    if not len(paths):
+        return
+    pair, third = paths >> BITS, paths & _MASK
+    at = np.flatnonzero(np.diff(pair, prepend=-1))
+    inner = np.flatnonzero(third)
+    second = place[pair[at] & _MASK]
+    # Tokens of all entries in order: each pair's second word and sum, then third words and counts.
+    tokens = pa.concat_arrays([words.take(pa.array(second)), pa.array(np.add.reduceat(counts, at)).cast(pa.string()), words.take(pa.array(third[inner])), pa.array(counts[inner]).cast(pa.string())])
+    sizes = np.diff(np.append(np.searchsorted(inner, at), len(inner))) + 1
+    starts = np.append(0, np.cumsum(sizes))
+    head = starts[:-1]
+    rest = np.ones(starts[-1], bool)
+    rest[head] = False
+    taken = np.empty((starts[-1], 2), np.int64)
+    taken[head] = np.arange(len(at))[:, None] + [0, len(at)]
+    taken[rest] = 2 * len(at) + np.arange(len(inner))[:, None] + [0, len(inner)]
+    entries = pc.binary_join(pa.ListArray.from_arrays((2 * starts).astype(np.int32), tokens.take(pa.array(taken.ravel()))), " ")
+    first, slot = pair[at] >> BITS, slots[second]
+    at = np.flatnonzero(np.diff(first * SLOTS + slot, prepend=-1))
+    joined = pc.binary_join(pa.ListArray.from_arrays(np.append(at, len(slot)).astype(np.int32), entries), "\n")
+    yield from _rows(lang, words.take(pa.array(first[at])), slot[at], joined)
+
+
+def _rows(lang: str, first: pa.Array, slot: np.ndarray, entries: pa.Array) -> Iterator[pa.RecordBatch]:
+    langs = pa.array([lang]).take(pa.array(np.zeros(len(slot), np.int64)))
+    batch = pa.RecordBatch.from_arrays([langs, first, pa.array(slot, pa.int32()), entries], ["lang", "first", "slot", "entries"])
+    for start in range(0, batch.num_rows, 20_000):
+        yield batch.slice(start, 20_000)
 
 
 def runs(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Sorted runs of all tasks' tries: ``lang, first, second, n, thirds, counts``."""
+    """Sorted runs of all tasks' tries: ``lang, first, slot, entries``."""
     source = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), text_of(text_col).alias("text"))
 
     def count(batches):
@@ -210,25 +235,28 @@ def runs(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Dat
                     yield from counter.read(lang, text)
         yield from counter.rest()
 
-    return source.mapInArrow(count, "lang string, first string, second string, n long, thirds string, counts string")
+    return source.mapInArrow(count, "lang string, first string, slot int, entries string")
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``lang, first, second, third, a``: all words, and the phrases of two and three words found ``least`` times or more.
 
-    Missing words are null. Runs are moved once, by prefix, so a frequent first word is
-    spread; the merge of third words keeps that partitioning.
+    Missing words are null. Runs are moved once, by prefix; pairs and triples are merged
+    under that partitioning, so a frequent first word is spread over its slots.
     """
-    prefix = ["lang", "first", "second"]
-    merged = runs(docs, text_col, lang_col).repartition(*prefix)
-    totals = merged.withColumn("total", F.sum("n").over(W.partitionBy(*prefix)))
-    often = totals.where(F.col("second").isNull() | (F.col("total") >= least))
-    entry = "array<struct<third:string,n:long>>"
-    whole = F.array(F.struct(F.lit(None).cast("string"), F.col("n"))).cast(entry)
-    tails = F.arrays_zip(F.split("thirds", " "), F.split("counts", " ")).cast(entry)
-    below = F.when(F.col("thirds") != "", tails).otherwise(F.array().cast(entry))
-    every = often.select(*prefix, F.explode(F.concat(whole, below)).alias("x")).select(*prefix, "x.third", "x.n")
-    return every.groupBy(*prefix, "third").agg(F.sum("n").alias("a")).where(F.col("second").isNull() | (F.col("a") >= least))
+    prefix = ["lang", "first", "slot"]
+    moved = runs(docs, text_col, lang_col).repartition(*prefix)
+    entries = moved.select(*prefix, F.explode(F.split("entries", "\n")).alias("entry"))
+    number = F.substring_index(F.substring_index("entry", " ", 2), " ", -1).cast("long")
+    entries = entries.select(*prefix, F.substring_index("entry", " ", 1).alias("second"), number.alias("n"), "entry")
+    totals = entries.withColumn("total", F.sum("n").over(W.partitionBy(*prefix, "second")))
+    often = totals.where((F.col("slot") < 0) | (F.col("total") >= least)).withColumn("t", F.split("entry", " "))
+    # Token 1 is the sum of the pair itself, which has no third word.
+    one = lambda i: F.struct(F.when(i > 0, F.get("t", i)).alias("third"), F.get("t", i + 1).cast("long").alias("n"))
+    every = often.select(*prefix, "second", F.explode(F.transform(F.sequence(F.lit(0), F.size("t") - 2, F.lit(2)), one)).alias("x"))
+    rows = every.select(*prefix, "second", "x.third", "x.n").groupBy(*prefix, "second", "third").agg(F.sum("n").alias("a"))
+    found = rows.where((F.col("slot") < 0) | (F.col("a") >= least))
+    return found.select("lang", "first", F.when(F.col("slot") >= 0, F.col("second")).alias("second"), "third", "a")
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:
@@ -277,7 +305,7 @@ def collocations(
     scored = two.unionByName(three).select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
 
     strongest = [F.desc("score"), F.desc("a"), "phrase"]
-    some = W.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).orderBy(*strongest)
+    some = W.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(SLOTS))).orderBy(*strongest)
     scored = scored.withColumn("rank", F.row_number().over(some)).where(F.col("rank") <= top)
     scored = scored.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*strongest))).where(F.col("rank") <= top)
     totals = words.groupBy("lang").agg(F.sum("a").alias("n"))
