@@ -7,6 +7,7 @@ import os
 import random
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -94,10 +95,11 @@ def texts_by_hand(rows):
         pages.append((host, found, words))
         if len(words) >= n:
             hosts.setdefault(host, set()).add(words)
+    on_pages = {h: Counter(run for w in distinct for run in {w[i : i + n] for i in range(len(w) - n + 1)}) for h, distinct in hosts.items()}
     out = []
     for host, found, words in pages:
         distinct = hosts.get(host, set())
-        votes = lambda run: sum(any(w[i : i + n] == run for i in range(len(w) - n + 1)) for w in distinct)  # noqa: B023, E731
+        votes = lambda run: on_pages[host][run]  # noqa: B023, E731
         best = max((level for _, f, level in found if not f), default=0)
         all_hit, hit = [False] * len(words), [False] * len(words)
         for i in range(len(words) - n + 1):
@@ -148,6 +150,26 @@ def test_blocks_of_a_host_find_what_one_does(spark, monkeypatch):
     assert found[0] == found[1] and menu.split()[0] not in found[0][0]
 
 
+def test_runs_are_counted_exactly_whatever_the_number_of_blocks(spark, monkeypatch):
+    """Runs on 8, 10, 12, 20, 89 and 90 % of a host's pages: one block and some fifty of a few pages decide alike."""
+    rng = random.Random(11)
+    text = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    shares = (8, 10, 12, 20, 89, 90)
+    notes = {share: text(12) for share in shares}
+    rows = []
+    for i in range(200):
+        own = [f"<p>{notes[share]}</p>" for share in shares if (i * 37 + share) % 200 < 2 * share]
+        inner = f"<p>{text(150)}</p>{''.join(own)}"
+        rows.append((i, "http://big.example/", f"<article>{inner}</article>" if i % 2 else inner))
+    want = sorted((str(i), u, t, n) for (i, u, _), (t, n) in zip(rows, texts_by_hand(rows), strict=True))
+    kept = " ".join(t for _, _, t, _ in want)
+    assert kept.count(notes[8].split()[0]) == 16 and 0 < kept.count(notes[12].split()[0]) < 24 and notes[90].split()[0] not in kept
+    for size, run_rows in ((1 << 20, 1000), (5_000, 1000), (5_000, 0), (2_000, 1000)):
+        monkeypatch.setattr(html_extract, "BLOCK_BYTES", size)
+        got = html_extract.extract(pages(spark, rows), run_rows=run_rows).collect()
+        assert sorted((str(r.page_id), r.url, r.text, r.n_repeated) for r in got) == want
+
+
 @pytest.mark.parametrize("page", ["<a " * 1_700_000, '<a "' * 1_200_000 + ">", "<div>" * 300_000 + "</section>x" * 300_000, "<script>" + "</script " * 500_000, "<span class=ad>" * 100_000 + "x</p>" * 400_000, "<!--" * 1_200_000, "<" * 5_000_000])
 def test_broken_pages_take_linear_time(page):
     began = time.process_time()

@@ -4,7 +4,8 @@ Pages become blocks of text with a label: part of the article, page furniture by
 element, class or role, or neither. All words of a page are its token stream. The streams
 of a host are concatenated in blocks of bounded size; a suffix array of each (prefix
 doubling up to the run length) counts the pages of every repeated run, and the counts of
-a host's blocks are summed. Runs on enough of a host's pages are its boilerplate. They
+a host's blocks are summed. Where runs that blocks do not report could decide, a second pass
+counts exactly. Runs on enough of a host's pages are its boilerplate. They
 are removed and the words between them stay, unless the text looks like a mirrored one.
 What is furniture by its label goes without a vote, as unique adverts and comments do.
 """
@@ -39,10 +40,8 @@ FIRM_SHARE, FIRM_PAGES = 0.9, 10
 #: A text is taken for a mirrored one if at least half of it is covered; without a marked article,
 #: if so many covered words also follow each other.
 MIRROR_WORDS = 100
-#: Boilerplate runs that are broadcast; beyond it pages meet the runs of their host by shuffle.
-RUN_ROWS = 1_000_000
-#: Pages of a host that share one copy of its runs then.
-GROUP_PAGES = 2_000
+#: Boilerplate runs that are broadcast; beyond it the runs of pages meet those of their host by shuffle.
+RUN_ROWS = 200_000
 
 # Elements by their role in a page.
 FURNITURE = set(
@@ -309,18 +308,23 @@ def suffix_groups(tokens: np.ndarray, owner: np.ndarray, run: int = RUN) -> tupl
     return order, rank[order]
 
 
-_FOUND = "host string, run long, pages int"
+_FOUND = "host string, run long, pages int, hides boolean"
 
 
 def _search(table: pa.Table) -> pa.Table:
-    """Runs of one block of a host that are on two of its pages or more, with their number of pages; a null run counts the pages."""
-    names, types = ["host", "run", "pages"], [pa.string(), pa.int64(), pa.int32()]
+    """Runs of one block of a host with their number of pages, if that is two or ``SHARE`` of the block's or more.
+
+    So a run on ``SHARE`` of all pages is reported by one block at least. ``hides``: the block leaves out
+    runs that are on one of its pages. A null run counts the pages.
+    """
+    names, types = ["host", "run", "pages", "hides"], [pa.string(), pa.int64(), pa.int32(), pa.bool_()]
     lists = table.column("tokens").combine_chunks()
     owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
     words = lists.flatten().to_numpy().view(np.uint32)
     host = table.column("host")[0].as_py()
-    every = pa.table([pa.array([v], t) for v, t in zip((host, None, len(lists)), types, strict=True)], names)
-    if len(lists) < 2:
+    least = 1 if table.column("blocks")[0].as_py() > 1 and SHARE * len(lists) <= 1 else 2
+    every = pa.table([pa.array([v], t) for v, t in zip((host, None, len(lists), least > 1), types, strict=True)], names)
+    if len(lists) < least:
         return every
     order, group = suffix_groups(words, owner)
     head = np.append(True, group[1:] != group[:-1])
@@ -328,31 +332,53 @@ def _search(table: pa.Table) -> pa.Table:
     new = head | np.append(True, owner[order][1:] != owner[order][:-1])
     first = np.nonzero(head)[0]
     pages = np.add.reduceat(new.astype(np.int32), first)
-    several = pages > 1
+    several = pages >= least
     found = runs_of(words)[order[first[several]]]
-    rows = pa.table([pa.array(c, t) for c, t in zip(([host] * len(found), found, pages[several]), types, strict=True)], names)
+    rows = pa.table([pa.array(c, t) for c, t in zip(([host] * len(found), found, pages[several], [least > 1] * len(found)), types, strict=True)], names)
     return pa.concat_tables([every, rows])
 
 
+def _page_runs(batches):
+    """The distinct runs of every page, named like those of blocks."""
+    for batch in _streams(batches):
+        runs = [np.unique(runs_of(t.values.to_numpy().view(np.uint32))) for t in batch.column("tokens")]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("same"), pa.array(runs, pa.list_(pa.int64()))], ["host", "same", "runs"])
+
+
 def boilerplate(rows: DataFrame) -> DataFrame:
     """``(host, run, firm)``: runs on enough of the distinct pages of a host; ``rows``: ``host, html``.
 
-    A host with more bytes than a block is dealt over several by the digest of the page's text; a
-    run counts the pages of those blocks in which two pages or more have it. ``firm``: on nearly
-    all pages.
+    A host with more bytes than a block is dealt over several by the digest of the page's text. What
+    its blocks report is a lower bound of a run's pages, and with one page for each block that hides
+    it an upper one. Where a threshold lies between the two, the run is counted over all
+    pages of the host, so the result is the same for any number of blocks. ``firm``: on nearly all pages.
     """
     streams = rows.mapInArrow(_streams, "host string, same long, tokens array<int>")
     sizes = rows.groupBy("host").agg(F.ceil(F.sum(F.octet_length("html")) / F.lit(float(BLOCK_BYTES))).cast("int").alias("blocks"))
     sizes = broadcast_if_small(materialize(sizes.where("blocks > 1"), "hosts"), HOST_ROWS)
-    block = F.pmod(F.xxhash64("same"), F.coalesce("blocks", F.lit(1))).cast("int")
+    blocks_of = F.coalesce("blocks", F.lit(1))
+    block = F.pmod(F.xxhash64("same"), blocks_of).cast("int")
     # One exchange: pages of a block come together, are told apart there and searched there.
-    dealt = streams.join(sizes, "host", "left").select("host", block.alias("block"), "same", "tokens").repartition("host", "block")
-    once = dealt.groupBy("host", "block", "same").agg(F.first("tokens").alias("tokens")).drop("same")
+    dealt = streams.join(sizes, "host", "left").select("host", block.alias("block"), blocks_of.alias("blocks"), "same", "tokens").repartition("host", "block")
+    once = dealt.groupBy("host", "block", "same").agg(F.first("blocks").alias("blocks"), F.first("tokens").alias("tokens")).drop("same")
     found = materialize(once.groupBy("host", "block").applyInArrow(_search, _FOUND), "runs")
-    pages = found.where("run is null").groupBy("host").agg(F.sum("pages").alias("n"))
-    votes = found.where("run is not null").groupBy("host", "run").agg(F.sum("pages").alias("pages")).join(pages, "host")
+    hiding = F.sum(F.col("hides").cast("int"))
+    pages = found.where("run is null").groupBy("host").agg(F.sum("pages").alias("n"), hiding.alias("blocks"))
+    votes = found.where("run is not null").groupBy("host", "run").agg(F.sum("pages").alias("pages"), hiding.alias("told")).join(pages, "host")
+    most = F.col("pages") + F.col("blocks") - F.col("told")
+    enough = SHARE * F.col("n")
+    firmly = F.greatest(FIRM_SHARE * F.col("n"), enough)
+    between = [(F.col("pages") < limit) & (most >= limit) for limit in (enough, firmly)]
+    votes = materialize(votes.where(most >= enough).withColumn("open", between[0] | ((F.col("n") >= FIRM_PAGES) & between[1])), "votes")
+    unsure = votes.where("open").select("host", "run")
+    counted = votes.where("not open").select("host", "run", "pages", "n")
+    if not unsure.isEmpty():
+        own = rows.join(broadcast_if_small(unsure.select("host").distinct(), HOST_ROWS), "host", "left_semi")
+        own = own.mapInArrow(_page_runs, "host string, same long, runs array<long>").select("host", "same", F.explode("runs").alias("run"))
+        exact = own.join(broadcast_if_small(unsure, RUN_ROWS), ["host", "run"]).groupBy("host", "run").agg(F.count_distinct("same").cast("long").alias("pages"))
+        counted = counted.unionByName(exact.join(pages.select("host", "n"), "host"))
     firm = (F.col("n") >= FIRM_PAGES) & (F.col("pages") >= FIRM_SHARE * F.col("n"))
-    return votes.where(F.col("pages") >= SHARE * F.col("n")).select("host", "run", firm.alias("firm"))
+    return counted.where((F.col("pages") > 1) & (F.col("pages") >= enough)).select("host", "run", firm.alias("firm"))
 
 
 def _longest(covered: np.ndarray) -> int:
@@ -429,30 +455,28 @@ def _texts_of_few(rows: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def _texts_by_host(rows: DataFrame, runs: DataFrame) -> DataFrame:
-    """Texts where pages meet their host's runs by shuffle: each group of a host's pages follows one copy of them."""
-    sizes = materialize(rows.groupBy("host").agg(F.ceil(F.count("*") / GROUP_PAGES).cast("int").alias("groups")), "groups")
-    lists = runs.groupBy("host").agg(F.collect_list("run").alias("runs"), F.collect_list("firm").alias("firm")).join(sizes, "host")
-    lists = lists.select("host", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), "runs", "firm")
-    part = F.pmod(F.xxhash64("page", "check"), F.col("groups")).cast("int").alias("part")
-    pages = rows.join(broadcast_if_small(sizes), "host").select("host", part, "page", "url", "html")
-    both = pages.unionByName(lists, allowMissingColumns=True).withColumn("later", F.col("runs").isNull())
-    both = both.repartition("host", "part").sortWithinPartitions("host", "part", "later")
+    """Texts where pages and runs meet by shuffle, run by run; what gathers again are the runs of one page."""
+    key = ["page", "check"]
+
+    def own_runs(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                texts = [" ".join(text for text, _, _ in blocks(page)) for page in batch.column("html").to_pylist()]
+                found = [np.unique(runs_of(tokens(t))) for t in texts]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.int64()))], ["page", "check", "host", "runs"])
+
+    own = rows.select(*key, "host", "html").mapInArrow(own_runs, "page long, check long, host string, runs array<long>")
+    hits = own.select(*key, "host", F.explode("runs").alias("run")).join(runs, ["host", "run"])
+    lists = hits.groupBy(*key).agg(F.collect_set(F.struct("run", "firm")).alias("found"))
+    both = rows.join(lists, key, "left").select("page", "url", "html", F.col("found.run").alias("runs"), F.col("found.firm").alias("firm"))
 
     def run(batches):
-        now, found = None, _NONE
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                lists, wanted = [], []
-                for i, key in enumerate(zip(batch.column("host").to_pylist(), batch.column("part").to_pylist(), strict=True)):
-                    if key != now:
-                        now, found = key, _NONE
-                    if batch.column("runs")[i].is_valid:
-                        found = _sorted(batch.column("runs")[i].as_py(), batch.column("firm")[i].as_py())
-                    else:
-                        wanted.append(i)
-                        lists.append(found)
-                yield _extracted(batch.take(pa.array(wanted, pa.int64())), lists)
+                lists = zip(batch.column("runs").to_pylist(), batch.column("firm").to_pylist(), strict=True)
+                yield _extracted(batch, [_sorted(r, f) if r else _NONE for r, f in lists])
 
     return both.mapInArrow(run, _TEXTS)
 
