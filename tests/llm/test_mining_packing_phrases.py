@@ -223,18 +223,19 @@ def test_runs_of_bursting_and_spilling_tries(monkeypatch, words):
     monkeypatch.setattr(phrases, "stretches", lambda text: packing.stretches(text, 40))
     texts = phrase_texts()
     langs = [random.Random(i).choice(["en", "de"]) for i in range(len(texts))]
-    counter = phrases.Counter(40, 25, words)
+    counter = phrases.Counter(5, 40, 25, words)
     runs = [x for t, lang in zip(texts, langs, strict=True) for x in counter.read(lang, t or "")]
     assert len(runs) > 20
-    got = defaultdict(Counter)
+    got, places = defaultdict(Counter), {}
     for r in pa.Table.from_batches([*runs, *counter.rest()]).to_pylist():
         for entry in r["entries"].split("\n"):
-            second, total, *tail = entry.split(" ")
-            assert (second == ".") == (r["slot"] < 0)
-            prefix = (r["first"],) if second == "." else (r["first"], second)
+            first, second, total, *tail = entry.split(" ")
+            prefix = (first,) if second == "." else (first, second)
+            assert places.setdefault((r["lang"], prefix), r["bucket"]) == r["bucket"]
             got[r["lang"]][prefix] += int(total)
             for third, n in zip(tail[::2], tail[1::2], strict=True):
                 got[r["lang"]][(*prefix, third)] += int(n)
+    assert len(set(places.values())) == 5
     assert got == counted(texts, langs)
 
 

@@ -1,12 +1,13 @@
 """Phrase collocations by HAT-trie counting.
 
-A task counts in a trie over its own word ids: below the first word stands a hash container
-of continuations, which bursts into one container for each second word when it grows. A
-path is entered once for each position of a text, so the count of a phrase is the sum of
-its subtree. Beyond a limit of entries the largest subtrees are spilled whole, as runs
-sorted by word id: a row for each first word and slot (a hash of the second word), with an
-entry for each second word. Spark brings the rows of a prefix (language, first word, slot)
-together and merges them; what stands below a rare pair of words is rare and never unpacked.
+A task counts in a trie over its own word ids. Its first level are hash containers for
+blocks of first words; a container that grows bursts into one for each first word, and that
+into one for each second word. A path is entered once for each position of a text, so the
+count of a phrase is the sum of its subtree. Beyond a limit of entries the largest
+subtrees are spilled whole, as runs sorted by word id, with an entry for each pair of first
+words; a row holds a run's entries of one bucket, a hash of the pair. Spark brings the
+rows of a bucket together and merges its prefixes; what stands below a rare pair of words is
+rare and never unpacked.
 """
 
 from __future__ import annotations
@@ -28,15 +29,14 @@ from ._common import text_of
 from .packing import stretches
 
 #: Containers burst beyond this many entries; a task's tries spill beyond so many.
-BURST, ENTRIES = 4096, 800_000
-#: Positions that are sorted before they enter a trie.
-BATCH = 500_000
-#: Bits of a word id, and words beyond which a task spills all tries and starts a new vocabulary.
-BITS, WORDS = 21, 1 << 20
+BURST, ENTRIES = 4096, 500_000
+#: Positions that are sorted before they enter a trie, and paths of a run that are written at once.
+BATCH, CHUNK = 400_000, 100_000
+#: Bits of a word id, of its place in a block, and words beyond which a task spills all tries and starts a new vocabulary.
+BITS, BLOCK, WORDS = 21, 6, 1 << 19
 LEAST, TOP, COVERED = 10, 2000, 50
-#: Parts of a first word's continuations, as a word may hold a large part of all words, and of a
-#: language's phrases, which are ranked before the parts are ranked together.
-SLOTS = 64
+#: Buckets a shuffle partition, and parts of a language's phrases, which are ranked before the parts are ranked together.
+BUCKETS, SALTS = 8, 64
 ROWS = 512
 
 _MASK = (1 << BITS) - 1
@@ -46,64 +46,61 @@ _ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b"." * 10)
 
 
 class HatTrie:
-    """Counts of word-id paths of one to three words, packed as ``first << 42 | second << 21 | third`` (0: none)."""
+    """Counts of word-id paths of one to three words, packed as ``first << 42 | second << 21 | third`` (0: none).
+
+    A container is a dict of the low bits of its paths. Its name is the prefix of these paths
+    shifted by its number of free bits, and both together find it.
+    """
+
+    LEVELS = (2 * BITS + BLOCK, 2 * BITS, BITS)  # free bits: a block of first words, a first word, a pair of words
 
     def __init__(self) -> None:
-        #: First word to a container of packed tails, or, once burst, second word to a container of thirds.
-        self.below: dict[int, dict] = {}
-        self.burst: set[int] = set()
-        self.entries: dict[int, int] = defaultdict(int)
+        self.levels: tuple[dict[int, dict[int, int]], ...] = ({}, {}, {})
+        self.burst: tuple[set[int], ...] = (set(), set())
+        self.entries = 0
 
-    def add(self, paths: np.ndarray, counts: np.ndarray) -> None:
+    def add(self, paths: np.ndarray, counts: np.ndarray, level: int = 0) -> None:
         """Enter distinct sorted paths."""
-        first = paths >> 2 * BITS
-        at = np.flatnonzero(np.diff(first, prepend=-1, append=-1))
-        tails, counts = (paths & _TAIL).tolist(), counts.tolist()
-        for word, start, stop in zip(first[at[:-1]].tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
-            self._enter(word, tails[start:stop], counts[start:stop])
-
-    def _enter(self, word: int, tails: list[int], counts: list[int]) -> None:
-        node = self.below.get(word)
-        if node is None:
-            node = self.below[word] = dict(zip(tails, counts, strict=True))
-        elif word in self.burst:
-            more = 0
-            for tail, n in zip(tails, counts, strict=True):
-                leaf = node.setdefault(tail >> BITS, {})
-                third = tail & _MASK
-                more += third not in leaf
-                leaf[third] = leaf.get(third, 0) + n
-            self.entries[word] += more
-            return
-        else:
-            get = node.get
-            for tail, n in zip(tails, counts, strict=True):
-                node[tail] = get(tail, 0) + n
-        self.entries[word] = len(node)
-        if len(node) > BURST:
-            parts: dict[int, dict] = defaultdict(dict)
-            for tail, n in node.items():
-                parts[tail >> BITS][tail & _MASK] = n
-            self.below[word] = dict(parts)
-            self.burst.add(word)
-
-    def take(self, word: int) -> tuple[np.ndarray, np.ndarray]:
-        """Cut off the subtree of a first word; its paths and counts, unsorted."""
-        node, size = self.below.pop(word), self.entries.pop(word)
-        if word in self.burst:
-            self.burst.discard(word)
-            tails = (second << BITS | third for second, leaf in node.items() for third in leaf)
-            counts = (n for leaf in node.values() for n in leaf.values())
-        else:
-            tails, counts = node.keys(), node.values()
-        return np.fromiter(tails, np.int64, size) | word << 2 * BITS, np.fromiter(counts, np.int64, size)
+        free = self.LEVELS[level]
+        at = np.flatnonzero(np.diff(paths >> free, prepend=-1, append=-1)).tolist()
+        names, tails, numbers = (paths >> free).tolist(), (paths & (1 << free) - 1).tolist(), counts.tolist()
+        containers = self.levels[level]
+        for start, stop in zip(at[:-1], at[1:], strict=True):
+            name = names[start]
+            if level < 2 and name in self.burst[level]:
+                self.add(paths[start:stop], counts[start:stop], level + 1)
+                continue
+            box = containers.get(name)
+            if box is None:
+                box = containers[name] = dict(zip(tails[start:stop], numbers[start:stop], strict=True))
+                self.entries += len(box)
+            else:
+                before, get = len(box), box.get
+                for tail, n in zip(tails[start:stop], numbers[start:stop], strict=True):
+                    box[tail] = get(tail, 0) + n
+                self.entries += len(box) - before
+            if level < 2 and len(box) > BURST:
+                self.burst[level].add(name)
+                self.add(*self.take(level, name), level + 1)
+
+    def take(self, level: int, name: int) -> tuple[np.ndarray, np.ndarray]:
+        """Cut off a container; its sorted paths and their counts."""
+        box = self.levels[level].pop(name)
+        self.entries -= len(box)
+        paths = np.fromiter(box.keys(), np.int64, len(box)) | name << self.LEVELS[level]
+        order = np.argsort(paths)
+        return paths[order], np.fromiter(box.values(), np.int64, len(box))[order]
+
+    def sizes(self) -> list[tuple[int, int, int]]:
+        """``size, level, name`` of all containers."""
+        return [(len(box), level, name) for level, boxes in enumerate(self.levels) for name, box in boxes.items()]
 
 
 class Counter:
     """Tries of all languages of a task, their common vocabulary, and the positions not yet entered."""
 
-    def __init__(self, entries: int = ENTRIES, batch: int = BATCH, words: int = WORDS) -> None:
-        self.limit, self.batch, self.words = entries, batch, words
+    def __init__(self, buckets: int, entries: int = ENTRIES, batch: int = BATCH, words: int = WORDS) -> None:
+        self.buckets, self.limit, self.batch, self.words = buckets, entries, batch, words
         self.tries: dict[str, HatTrie] = {}
         self.waiting: dict[str, list[np.ndarray]] = defaultdict(list)
         self.sizes: dict[str, int] = defaultdict(int)
@@ -136,7 +133,7 @@ class Counter:
         paths = first << 2 * BITS | second << BITS | third
         paths, counts = np.unique(paths[first != 0], return_counts=True)
         self.tries.setdefault(lang, HatTrie()).add(paths, counts)
-        if sum(sum(t.entries.values()) for t in self.tries.values()) > self.limit:
+        if sum(t.entries for t in self.tries.values()) > self.limit:
             yield from self._spill(self.limit // 2)
 
     def _renew(self, lang: str) -> Iterator[pa.RecordBatch]:
@@ -150,21 +147,64 @@ class Counter:
         self.waiting[lang] = [np.array([self.ids[w] for w in left], np.int64)]
 
     def _spill(self, keep: int) -> Iterator[pa.RecordBatch]:
-        """Cut off the largest subtrees until at most ``keep`` entries are left; a sorted run for each language."""
-        sizes = [(size, lang, word) for lang, trie in self.tries.items() for word, size in trie.entries.items()]
+        """Cut off the largest subtrees until at most ``keep`` entries are left; sorted runs."""
+        sizes = [(*x, lang) for lang, trie in self.tries.items() for x in trie.sizes()]
         total, cut = sum(x[0] for x in sizes), defaultdict(list)
-        for size, lang, word in sorted(sizes, reverse=True):
+        for size, level, name, lang in sorted(sizes, reverse=True):
             if total <= keep:
                 break
-            cut[lang].append(self.tries[lang].take(word))
+            cut[lang].append((level, name))
             total -= size
         if not cut:
             return
         words = pa.array(list(self.ids), pa.binary()).cast(pa.string())
-        slots = np.array([zlib.crc32(w) % SLOTS for w in self.ids], np.int64)
-        slots[0] = -1  # no second word
-        for lang, parts in cut.items():
-            yield from _run(lang, words, slots, *(np.concatenate(x) for x in zip(*parts, strict=True)))
+        hashes = np.fromiter(map(zlib.crc32, self.ids), np.uint64, len(self.ids))
+        for lang, subtrees in cut.items():
+            parts, size = [], 0
+            for n, (level, name) in enumerate(subtrees, 1):
+                parts.append(self.tries[lang].take(level, name))
+                size += len(parts[-1][0])
+                if size >= CHUNK or n == len(subtrees):
+                    yield self._run(lang, words, hashes, *(np.concatenate(x) for x in zip(*parts, strict=True)))
+                    parts, size = [], 0
+
+    def _run(self, lang: str, words: pa.Array, hashes: np.ndarray, paths: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        """Rows ``bucket, lang, entries`` of one run.
+
+        An entry is ``first second n third n third n ...``, its first number the sum of the
+        subtree; second is ``.`` for the first word alone. Entries are parted by line feeds.
+        """
+        order = np.argsort(paths)
+        paths, counts = paths[order], counts[order]
+        pair, third = paths >> BITS, paths & _MASK
+        first = pair >> BITS
+        alone, at = (np.flatnonzero(np.diff(x, prepend=-1)) for x in (first, pair))
+        inner = np.flatnonzero(third)
+        sizes = np.diff(np.append(np.searchsorted(inner, at), len(inner)))
+        sums = np.add.reduceat(counts, at)
+        kept = (pair[at] & _MASK) != 0  # a word with none after it counts for itself only
+        at, sums, sizes = at[kept], sums[kept], sizes[kept]
+        # Tokens: first words, seconds, sums, then thirds and counts in order of the pairs; all words alone before.
+        ones, twos = np.append(first[alone], pair[at] >> BITS), np.append(np.zeros(len(alone), np.int64), pair[at] & _MASK)
+        numbers = np.append(np.add.reduceat(counts, alone), sums)
+        tokens = pa.concat_arrays([words.take(pa.array(np.concatenate([ones, twos, third[inner]]))), pa.array(np.append(numbers, counts[inner])).cast(pa.string())])
+        sizes = np.append(np.zeros(len(alone), np.int64), sizes)
+        n, m = len(ones), len(inner)
+        starts = np.append(0, np.cumsum(2 * sizes + 3))
+        taken = np.empty(starts[-1], np.int64)
+        rest = np.ones(starts[-1], bool)
+        for i, base in enumerate((0, n, 2 * n + m)):
+            taken[starts[:-1] + i] = base + np.arange(n)
+            rest[starts[:-1] + i] = False
+        taken[rest] = (np.arange(m)[:, None] + [2 * n, 3 * n + m]).ravel()
+        entries = pc.binary_join(pa.ListArray.from_arrays(starts.astype(np.int32), tokens.take(pa.array(taken))), " ")
+        mixed = (hashes[ones] * np.uint64(0x9E3779B97F4A7C15) + hashes[twos] + np.uint64(zlib.crc32(lang.encode()))) * np.uint64(0xD6E8FEB86659FD93)
+        bucket = ((mixed >> np.uint64(32)) % np.uint64(self.buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        at = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        joined = pc.binary_join(pa.ListArray.from_arrays(np.append(at, n).astype(np.int32), entries.take(pa.array(order))), "\n")
+        langs = pa.array([lang]).take(pa.array(np.zeros(len(at), np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array(bucket[order][at]), langs, joined], ["bucket", "lang", "entries"])
 
     def rest(self) -> Iterator[pa.RecordBatch]:
         for lang in list(self.waiting):
@@ -172,62 +212,13 @@ class Counter:
         yield from self._spill(0)
 
 
-def _run(lang: str, words: pa.Array, slots: np.ndarray, paths: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows ``lang, first, slot, entries`` of a sorted run.
-
-    An entry is ``second n third n third n ...``, its first number the sum of its subtree;
-    entries are parted by line feeds. A first word has a row of slot -1 with the entry ``. n``.
-    """
-    place = np.argsort(slots, kind="stable")  # second words by slot; none stays first
-    rank = np.empty(len(slots), np.int64)
-    rank[place] = np.arange(len(slots))
-    paths = paths & ~(_MASK << BITS) | rank[paths >> BITS & _MASK] << BITS
-    order = np.argsort(paths)
-    paths, counts = paths[order], counts[order]
-    first = paths >> 2 * BITS
-    at = np.flatnonzero(np.diff(first, prepend=-1))
-    totals = pa.array(np.add.reduceat(counts, at)).cast(pa.string())
-    alone = pc.binary_join_element_wise(pa.scalar("."), totals, " ")
-    yield from _rows(lang, words.take(pa.array(first[at])), np.full(len(at), -1), alone)
-
-    kept = (paths >> BITS & _MASK) != 0
-    paths, counts = paths[kept], counts[kept]
-    if not len(paths):
-        return
-    pair, third = paths >> BITS, paths & _MASK
-    at = np.flatnonzero(np.diff(pair, prepend=-1))
-    inner = np.flatnonzero(third)
-    second = place[pair[at] & _MASK]
-    # Tokens of all entries in order: each pair's second word and sum, then third words and counts.
-    tokens = pa.concat_arrays([words.take(pa.array(second)), pa.array(np.add.reduceat(counts, at)).cast(pa.string()), words.take(pa.array(third[inner])), pa.array(counts[inner]).cast(pa.string())])
-    sizes = np.diff(np.append(np.searchsorted(inner, at), len(inner))) + 1
-    starts = np.append(0, np.cumsum(sizes))
-    head = starts[:-1]
-    rest = np.ones(starts[-1], bool)
-    rest[head] = False
-    taken = np.empty((starts[-1], 2), np.int64)
-    taken[head] = np.arange(len(at))[:, None] + [0, len(at)]
-    taken[rest] = 2 * len(at) + np.arange(len(inner))[:, None] + [0, len(inner)]
-    entries = pc.binary_join(pa.ListArray.from_arrays((2 * starts).astype(np.int32), tokens.take(pa.array(taken.ravel()))), " ")
-    first, slot = pair[at] >> BITS, slots[second]
-    at = np.flatnonzero(np.diff(first * SLOTS + slot, prepend=-1))
-    joined = pc.binary_join(pa.ListArray.from_arrays(np.append(at, len(slot)).astype(np.int32), entries), "\n")
-    yield from _rows(lang, words.take(pa.array(first[at])), slot[at], joined)
-
-
-def _rows(lang: str, first: pa.Array, slot: np.ndarray, entries: pa.Array) -> Iterator[pa.RecordBatch]:
-    langs = pa.array([lang]).take(pa.array(np.zeros(len(slot), np.int64)))
-    batch = pa.RecordBatch.from_arrays([langs, first, pa.array(slot, pa.int32()), entries], ["lang", "first", "slot", "entries"])
-    for start in range(0, batch.num_rows, 20_000):
-        yield batch.slice(start, 20_000)
-
-
 def runs(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Sorted runs of all tasks' tries: ``lang, first, slot, entries``."""
+    """Sorted runs of all tasks' tries: ``bucket, lang, entries``."""
     source = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), text_of(text_col).alias("text"))
+    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def count(batches):
-        counter = Counter()
+        counter = Counter(buckets)
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
@@ -235,28 +226,28 @@ def runs(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Dat
                     yield from counter.read(lang, text)
         yield from counter.rest()
 
-    return source.mapInArrow(count, "lang string, first string, slot int, entries string")
+    return source.mapInArrow(count, "bucket int, lang string, entries string")
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``lang, first, second, third, a``: all words, and the phrases of two and three words found ``least`` times or more.
 
-    Missing words are null. Runs are moved once, by prefix; pairs and triples are merged
-    under that partitioning, so a frequent first word is spread over its slots.
+    Missing words are null. Runs are moved once, by bucket; pairs and triples are merged
+    under that partitioning, so a frequent first word is spread over many tasks.
     """
-    prefix = ["lang", "first", "slot"]
-    moved = runs(docs, text_col, lang_col).repartition(*prefix)
-    entries = moved.select(*prefix, F.explode(F.split("entries", "\n")).alias("entry"))
-    number = F.substring_index(F.substring_index("entry", " ", 2), " ", -1).cast("long")
-    entries = entries.select(*prefix, F.substring_index("entry", " ", 1).alias("second"), number.alias("n"), "entry")
-    totals = entries.withColumn("total", F.sum("n").over(W.partitionBy(*prefix, "second")))
-    often = totals.where((F.col("slot") < 0) | (F.col("total") >= least)).withColumn("t", F.split("entry", " "))
-    # Token 1 is the sum of the pair itself, which has no third word.
-    one = lambda i: F.struct(F.when(i > 0, F.get("t", i)).alias("third"), F.get("t", i + 1).cast("long").alias("n"))
-    every = often.select(*prefix, "second", F.explode(F.transform(F.sequence(F.lit(0), F.size("t") - 2, F.lit(2)), one)).alias("x"))
-    rows = every.select(*prefix, "second", "x.third", "x.n").groupBy(*prefix, "second", "third").agg(F.sum("n").alias("a"))
-    found = rows.where((F.col("slot") < 0) | (F.col("a") >= least))
-    return found.select("lang", "first", F.when(F.col("slot") >= 0, F.col("second")).alias("second"), "third", "a")
+    entries = runs(docs, text_col, lang_col).repartition("bucket").select("bucket", "lang", F.explode(F.split("entries", "\n")).alias("entry"))
+    number = F.substring_index(F.substring_index("entry", " ", 3), " ", -1).cast("long")
+    entries = entries.select("bucket", "lang", F.substring_index("entry", " ", 2).alias("prefix"), number.alias("n"), "entry")
+    totals = entries.withColumn("total", F.sum("n").over(W.partitionBy("bucket", "lang", "prefix")))
+    alone = F.endswith("prefix", F.lit(" ."))
+    often = totals.where(alone | (F.col("total") >= least)).withColumn("t", F.split("entry", " "))
+    # The first number is the sum of the pair itself, which has no third word.
+    one = lambda i: F.struct(F.when(i > 2, F.get("t", i - 1)).alias("third"), F.get("t", i).cast("long").alias("n"))
+    every = often.select("bucket", "lang", "prefix", F.explode(F.transform(F.sequence(F.lit(2), F.size("t") - 1, F.lit(2)), one)).alias("x"))
+    rows = every.select("bucket", "lang", "prefix", "x.third", "x.n").groupBy("bucket", "lang", "prefix", "third").agg(F.sum("n").alias("a"))
+    found = rows.where(alone | (F.col("a") >= least))
+    first, second = (F.substring_index("prefix", " ", i) for i in (1, -1))
+    return found.select("lang", first.alias("first"), F.when(~alone, second).alias("second"), "third", "a")
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:
@@ -305,7 +296,7 @@ def collocations(
     scored = two.unionByName(three).select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
 
     strongest = [F.desc("score"), F.desc("a"), "phrase"]
-    some = W.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(SLOTS))).orderBy(*strongest)
+    some = W.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).orderBy(*strongest)
     scored = scored.withColumn("rank", F.row_number().over(some)).where(F.col("rank") <= top)
     scored = scored.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*strongest))).where(F.col("rank") <= top)
     totals = words.groupBy("lang").agg(F.sum("a").alias("n"))
