@@ -13,8 +13,10 @@ rare and never unpacked.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +31,11 @@ from ._common import text_of
 from .packing import stretches
 
 #: Containers burst beyond this many entries; a task's tries spill beyond so many.
-BURST, ENTRIES = 4096, 500_000
+BURST, ENTRIES = 4096, 350_000
 #: Positions that are sorted before they enter a trie, and paths of a run that are written at once.
-BATCH, CHUNK = 400_000, 100_000
+BATCH, CHUNK = 300_000, 100_000
 #: Bits of a word id, of its place in a block, and words beyond which a task spills all tries and starts a new vocabulary.
-BITS, BLOCK, WORDS = 21, 6, 1 << 19
+BITS, BLOCK, WORDS = 21, 6, 1 << 18
 LEAST, TOP, COVERED = 10, 2000, 50
 #: Buckets a shuffle partition, and parts of a language's phrases, which are ranked before the parts are ranked together.
 BUCKETS, SALTS = 8, 64
@@ -81,15 +83,19 @@ class HatTrie:
                 self.entries += len(box) - before
             if level < 2 and len(box) > BURST:
                 self.burst[level].add(name)
-                self.add(*self.take(level, name), level + 1)
-
-    def take(self, level: int, name: int) -> tuple[np.ndarray, np.ndarray]:
-        """Cut off a container; its sorted paths and their counts."""
-        box = self.levels[level].pop(name)
-        self.entries -= len(box)
-        paths = np.fromiter(box.keys(), np.int64, len(box)) | name << self.LEVELS[level]
-        order = np.argsort(paths)
-        return paths[order], np.fromiter(box.values(), np.int64, len(box))[order]
+                whole, n = self.take([(level, name)])
+                order = np.argsort(whole)
+                self.add(whole[order], n[order], level + 1)
+
+    def take(self, subtrees: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Cut off containers; their paths, unsorted, and counts."""
+        boxes = [self.levels[level].pop(name) for level, name in subtrees]
+        sizes = [len(box) for box in boxes]
+        size = sum(sizes)
+        self.entries -= size
+        names = np.repeat(np.array([name << self.LEVELS[level] for level, name in subtrees], np.int64), sizes)
+        tails = np.fromiter(chain.from_iterable(boxes), np.int64, size)
+        return names | tails, np.fromiter(chain.from_iterable(box.values() for box in boxes), np.int64, size)
 
     def sizes(self) -> list[tuple[int, int, int]]:
         """``size, level, name`` of all containers."""
@@ -109,6 +115,7 @@ class Counter:
     def _new_vocabulary(self) -> None:
         self.ids: dict[bytes, int] = defaultdict()
         self.ids.default_factory = self.ids.__len__
+        self.hashes = array("Q")
         self.ids[b"."]  # 0 ends a piece: it is no word, as pieces are split there
 
     def read(self, lang: str, text: str) -> Iterator[pa.RecordBatch]:
@@ -153,19 +160,20 @@ class Counter:
         for size, level, name, lang in sorted(sizes, reverse=True):
             if total <= keep:
                 break
-            cut[lang].append((level, name))
+            cut[lang].append((level, name, size))
             total -= size
         if not cut:
             return
         words = pa.array(list(self.ids), pa.binary()).cast(pa.string())
-        hashes = np.fromiter(map(zlib.crc32, self.ids), np.uint64, len(self.ids))
+        self.hashes.extend(map(zlib.crc32, islice(self.ids, len(self.hashes), None)))
+        hashes = np.array(self.hashes, np.uint64)
         for lang, subtrees in cut.items():
             parts, size = [], 0
-            for n, (level, name) in enumerate(subtrees, 1):
-                parts.append(self.tries[lang].take(level, name))
-                size += len(parts[-1][0])
+            for n, (level, name, own) in enumerate(subtrees, 1):
+                parts.append((level, name))
+                size += own
                 if size >= CHUNK or n == len(subtrees):
-                    yield self._run(lang, words, hashes, *(np.concatenate(x) for x in zip(*parts, strict=True)))
+                    yield self._run(lang, words, hashes, *self.tries[lang].take(parts))
                     parts, size = [], 0
 
     def _run(self, lang: str, words: pa.Array, hashes: np.ndarray, paths: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
@@ -236,14 +244,16 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, text_col: str = "text", l
     under that partitioning, so a frequent first word is spread over many tasks.
     """
     entries = runs(docs, text_col, lang_col).repartition("bucket").select("bucket", "lang", F.explode(F.split("entries", "\n")).alias("entry"))
-    number = F.substring_index(F.substring_index("entry", " ", 3), " ", -1).cast("long")
-    entries = entries.select("bucket", "lang", F.substring_index("entry", " ", 2).alias("prefix"), number.alias("n"), "entry")
-    totals = entries.withColumn("total", F.sum("n").over(W.partitionBy("bucket", "lang", "prefix")))
+    prefix = F.substring_index("entry", " ", 2)
+    entries = entries.select("bucket", "lang", prefix.alias("prefix"), F.substr("entry", F.length(prefix) + 2).alias("tail"))
+    # The name comes first: rows are sorted by it, and numbers sort faster than texts.
+    key = [F.xxhash64("lang", "prefix"), "bucket", "lang", "prefix"]
+    totals = entries.withColumn("total", F.sum(F.substring_index("tail", " ", 1).cast("long")).over(W.partitionBy(*key)))
     alone = F.endswith("prefix", F.lit(" ."))
-    often = totals.where(alone | (F.col("total") >= least)).withColumn("t", F.split("entry", " "))
+    often = totals.where(alone | (F.col("total") >= least)).withColumn("t", F.split("tail", " "))
     # The first number is the sum of the pair itself, which has no third word.
-    one = lambda i: F.struct(F.when(i > 2, F.get("t", i - 1)).alias("third"), F.get("t", i).cast("long").alias("n"))
-    every = often.select("bucket", "lang", "prefix", F.explode(F.transform(F.sequence(F.lit(2), F.size("t") - 1, F.lit(2)), one)).alias("x"))
+    one = lambda i: F.struct(F.when(i > 0, F.get("t", i - 1)).alias("third"), F.get("t", i).cast("long").alias("n"))
+    every = often.select("bucket", "lang", "prefix", F.explode(F.transform(F.sequence(F.lit(0), F.size("t") - 1, F.lit(2)), one)).alias("x"))
     rows = every.select("bucket", "lang", "prefix", "x.third", "x.n").groupBy("bucket", "lang", "prefix", "third").agg(F.sum("n").alias("a"))
     found = rows.where(alone | (F.col("a") >= least))
     first, second = (F.substring_index("prefix", " ", i) for i in (1, -1))
