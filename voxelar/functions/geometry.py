@@ -97,6 +97,37 @@ def slerp(p: Sequence[Column], q: Sequence[Column], part: Column) -> list[Column
     return [c / length for c in mixed]
 
 
+def _turned(p: Sequence[Column], q: Sequence[Column]) -> list[Column]:
+    """A point turned by a quaternion of length one."""
+    (x, y, z), (a, b, c, w) = p, q
+    t = [2 * (b * z - c * y), 2 * (c * x - a * z), 2 * (a * y - b * x)]
+    return [x + w * t[0] + b * t[2] - c * t[1], y + w * t[1] + c * t[0] - a * t[2], z + w * t[2] + a * t[1] - b * t[0]]
+
+
+def _parts(pose: Column) -> tuple[list[Column], list[Column]]:
+    """Shift and rotation of a pose."""
+    return [pose[a] for a in AXES], [pose[c] for c in ("qx", "qy", "qz", "qw")]
+
+
+def _pose(shift: Sequence[Column], turn: Sequence[Column]) -> Column:
+    return F.struct(*[c.alias(n) for c, n in zip((*shift, *turn), (*AXES, "qx", "qy", "qz", "qw"), strict=True)])
+
+
+def pose_product(first: Column, second: Column) -> Column:
+    """The pose ``first * second`` of structs ``x, y, z, qx, qy, qz, qw`` with quaternions of length one: what ``second`` does, then ``first``."""
+    (t, p), (u, q) = _parts(first), _parts(second)
+    moved = [a + b for a, b in zip(_turned(u, p), t, strict=True)]
+    (a, b, c, w), (x, y, z, v) = p, q
+    return _pose(moved, [w * x + a * v + b * z - c * y, w * y - a * z + b * v + c * x, w * z + a * y - b * x + c * v, w * v - a * x - b * y - c * z])
+
+
+def inverse_pose(pose: Column) -> Column:
+    """The pose that undoes another, whose quaternion has length one."""
+    t, q = _parts(pose)
+    back = [-q[0], -q[1], -q[2], q[3]]
+    return _pose([-c for c in _turned(t, back)], back)
+
+
 def prompt_box(box: Sequence[Column], width: Column, height: Column, side: int = 1024) -> list[Column]:
     """A box as a prompt for an image whose longer side is resized to ``side``: clamped to the image, then scaled."""
     size = longest_side(width, height, side)

@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voxelar.functions.geometry import slerp
-
 
 def nearest_join(
     left: DataFrame,
@@ -88,7 +86,27 @@ def interpolated_pose(
         F.min_by(F.when(stamp >= F.col(left_ns), point), F.when(stamp >= F.col(left_ns), stamp)).alias("q"),
     )
     joined = left.join(sides, left_id, "left")
-    part = F.coalesce(F.try_divide(F.col(left_ns) - F.col("p.t"), F.col("q.t") - F.col("p.t")), F.lit(0.0))
-    turned = slerp([F.col(f"p.{c}") for c in rotation], [F.col(f"q.{c}") for c in rotation], part) if rotation else []
-    moved = [(F.col(f"p.{v}") + (F.col(f"q.{v}") - F.col(f"p.{v}")) * part).alias(v) for v in value]
-    return joined.select(*left.columns, *moved, *[c.alias(n) for n, c in zip(rotation, turned, strict=True)])
+    share = F.coalesce(F.try_divide(F.col(left_ns) - F.col("p.t"), F.col("q.t") - F.col("p.t")), F.lit(0.0))
+    joined = joined.withColumn("_part", share)
+    moved = [(F.col(f"p.{v}") + (F.col(f"q.{v}") - F.col(f"p.{v}")) * F.col("_part")).alias(v) for v in value]
+    if rotation:
+        joined = _turned(joined, rotation)
+    return joined.select(*left.columns, *moved, *[F.col(f"_r.{c}").alias(c) for c in rotation])
+
+
+def _turned(rows: DataFrame, rotation: Sequence[str]) -> DataFrame:
+    """``_r``: the rotation ``_part`` of the way from ``p`` to ``q``, as ``geometry.slerp``.
+
+    A column for each step, as one expression would hold the first steps thousands of times.
+    """
+    for side in "pq":
+        length = F.sqrt(sum((F.col(f"{side}.{c}") * F.col(f"{side}.{c}") for c in rotation), F.lit(0.0)))
+        rows = rows.withColumn(f"_{side}", F.array(*[F.col(f"{side}.{c}") / length for c in rotation]))
+    rows = rows.withColumn("_dot", sum((F.get("_p", i) * F.get("_q", i) for i in range(4)), F.lit(0.0)))
+    rows = rows.withColumn("_angle", F.acos(F.least(F.abs("_dot"), F.lit(1.0))))
+    straight, back = F.abs("_dot") > 0.9995, F.when(F.col("_dot") < 0, -1.0).otherwise(1.0)
+    ways = {"_a": (1 - F.col("_part"), F.lit(1.0)), "_b": (F.col("_part"), back)}
+    rows = rows.withColumns({n: F.when(straight, w).otherwise(F.try_divide(F.sin(w * F.col("_angle")), F.sin("_angle"))) * sign for n, (w, sign) in ways.items()})
+    rows = rows.withColumn("_m", F.array(*[F.get("_p", i) * F.col("_a") + F.get("_q", i) * F.col("_b") for i in range(4)]))
+    rows = rows.withColumn("_length", F.sqrt(sum((F.get("_m", i) * F.get("_m", i) for i in range(4)), F.lit(0.0))))
+    return rows.withColumn("_r", F.struct(*[(F.get("_m", i) / F.col("_length")).alias(c) for i, c in enumerate(rotation)]))

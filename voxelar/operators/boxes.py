@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelar.plans.cut import materialize
 from voxelar.plans.groups import map_whole_groups
 
 INFEASIBLE = 1e6
@@ -42,6 +43,44 @@ def suppress(detections: DataFrame, threshold: float, by: list[str], score: str
     return map_whole_groups(detections, by, many, detections.schema)
 
 
+def overlapping_boxes(detections: DataFrame, threshold: float, by: list[str], score: str, order: str, tile: float) -> DataFrame:
+    """``winner, loser``: pairs of a group that overlap by more than the threshold, the higher score (then smaller ``order``) first.
+
+    Boxes meet in the tiles they cover, each pair only in that of the corner where its overlap begins.
+    """
+    corners = ("x1", "y1", "x2", "y2")
+    at = {c: F.floor(F.col(c) / tile).cast("long") for c in corners}
+    cells = detections.select(*by, order, score, *corners).withColumn("_u", F.explode(F.sequence(at["x1"], at["x2"]))).withColumn("_v", F.explode(F.sequence(at["y1"], at["y2"])))
+    key = [*by, "_u", "_v"]
+    a, b = (cells.select(*key, *[F.col(c).alias(f"{p}{c}") for c in (order, score, *corners)]) for p in "ab")
+    left, top = F.greatest("ax1", "bx1"), F.greatest("ay1", "by1")
+    shared = F.greatest(F.lit(0.0), F.least("ax2", "bx2") - left) * F.greatest(F.lit(0.0), F.least("ay2", "by2") - top)
+    area = [(F.col(f"{p}x2") - F.col(f"{p}x1")) * (F.col(f"{p}y2") - F.col(f"{p}y1")) for p in "ab"]
+    union = area[0] + area[1] - shared
+    first = (F.col(f"a{score}") > F.col(f"b{score}")) | ((F.col(f"a{score}") == F.col(f"b{score}")) & (F.col(f"a{order}") < F.col(f"b{order}")))
+    here = (F.floor(left / tile) == F.col("_u")) & (F.floor(top / tile) == F.col("_v"))
+    near = first & here & (union > 0) & (F.try_divide(shared, union) > threshold)
+    return a.join(b, key).where(near).select(F.col(f"a{order}").alias("winner"), F.col(f"b{order}").alias("loser"))
+
+
+def suppress_rounds(detections: DataFrame, threshold: float, by: list[str], score: str = "confidence", order: str = "ord", tile: float = 256.0) -> DataFrame:
+    """``detections`` that survive suppression, as ``suppress``, by rounds over the graph of overlaps.
+
+    In each round the boxes that no other box still beats are kept, and what they overlap goes. A group may be
+    of any size: nothing of it is gathered, and there are as many rounds as the longest chain of boxes that beat
+    one another. ``order`` must be unique; scores and corners are no nulls.
+    """
+    pairs = materialize(overlapping_boxes(detections, threshold, by, score, order, tile), "overlaps")
+    gone = None
+    while not pairs.isEmpty():
+        best = pairs.select("winner").distinct().join(pairs.select(F.col("loser").alias("winner")), "winner", "left_anti")
+        lost = materialize(pairs.join(best, "winner").select("loser").distinct(), "lost")
+        gone = lost if gone is None else gone.unionByName(lost)
+        left = pairs.join(lost, "loser", "left_anti").join(lost.withColumnRenamed("loser", "winner"), "winner", "left_anti")
+        pairs = materialize(left, "overlaps")
+    return detections if gone is None else detections.join(gone.withColumnRenamed("loser", order), order, "left_anti")
+
+
 def best_class(scores: DataFrame, key: list[str], class_col: str = "class_id", score: str = "score") -> DataFrame:
     """The best class per key; of equal scores the lowest class. Also picks the best mask."""
     best = F.max_by(F.struct(class_col, score), F.struct(F.col(score), -F.col(class_col)))
