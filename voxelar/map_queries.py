@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxelar.operators import boxes, density, frames, layout, raster
+from voxelar.plans.cut import new_path
 from voxelar.queries import _DIST2, _LAYOUT, NMS, E, P, events, nms_boxes, points, query, rounded
+from voxelar.streaming import live
 
 #: A chain of moving edges with samples of their own, and two fixed frames.
 _EDGES = (("map", "odom", "view"), ("odom", "base", "click"), ("base", "arm", "signup"))
@@ -111,3 +113,49 @@ def density_clusters(spark, sf_dir):
 def nms_rounds(spark, sf_dir):
     """The boxes of ``nms`` by rounds of local maxima."""
     return boxes.suppress_rounds(nms_boxes(spark, sf_dir), 0.45, ["frame_id", "class_name"])
+
+
+#: Messages of a session come in the order of their ids: views and clicks are depth frames, all else detections.
+_LIVE = {"size": 8, "reach_ns": 21_600_000_000_000}
+
+
+def _live(spark, sf_dir, delay: int):
+    """The pairing as a stream over files of messages in order of arrival, one trigger after the other."""
+    e = events(spark, sf_dir)
+    named = e.select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("arrival"), "ns", F.col("event_type").isin("view", "click").alias("is_depth"))
+    lanes = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    source, out = new_path(spark, "messages"), new_path(spark, "pairs")
+    bounds = named.agg(F.min("arrival"), F.max("arrival")).first()
+    step = (bounds[1] - bounds[0]) // 3 + 1
+    for part in range(3):
+        some = named.where(F.expr(f"(arrival - {bounds[0]}) div {step} = {part}"))
+        some.repartition(lanes, "session").write.mode("append").parquet(source)
+    stream = spark.readStream.schema(named.schema).option("maxFilesPerTrigger", lanes).parquet(source)
+    with live.rocksdb_state(spark):
+        started = live.live_pairs(stream, **_LIVE, delay=delay).writeStream.option("checkpointLocation", new_path(spark, "offsets"))
+        started.outputMode("append").trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(live.OUTCOMES).parquet(out)
+
+
+@query(f"""with {E}, m as (select user_id::varchar as session, event_id as arrival, ns, event_type in ('view', 'click') as is_depth from ev),
+depth as (select *, row_number() over (partition by session order by arrival) as k from m where is_depth),
+det as (select *, row_number() over (partition by session order by arrival) as j from m where not is_depth),
+trig as (select t.session, d.arrival, d.ns, (select max(j) from det x where x.session = t.session and x.arrival < t.arrival) as last
+  from depth t join depth d on d.session = t.session and d.k = t.k - 2),
+pair as (select t.session, t.arrival, t.ns, x.arrival as detection, x.ns as detection_ns, abs(x.ns - t.ns) as gap_ns
+  from trig t join det x on x.session = t.session and x.j > t.last - {_LIVE["size"]} and x.j <= t.last
+  qualify row_number() over (partition by t.session, t.arrival order by abs(x.ns - t.ns), x.arrival) = 1),
+matched as (select * from pair where gap_ns <= {_LIVE["reach_ns"]}),
+gone as (select d.session, d.arrival, d.ns from depth d join (select session, max(k) as n from depth group by 1) using (session)
+  left join matched x on x.session = d.session and x.arrival = d.arrival where d.k <= n - {_LIVE["size"]} and x.arrival is null)
+select session, arrival, ns, 'matched' as outcome, 'depth' as trigger, detection, detection_ns, gap_ns from matched
+union all select session, arrival, ns, 'evicted', 'depth', null, null, null from gone""")
+def live_delayed(spark, sf_dir):
+    """Frames handled two frames late, so no detection triggers a match."""
+    return _live(spark, sf_dir, 2)
+
+
+@query()
+def live_retried(spark, sf_dir):
+    """Frames handled as they come, and again when a later detection is near."""
+    return _live(spark, sf_dir, 0)
