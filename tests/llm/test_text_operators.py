@@ -524,3 +524,12 @@ def test_pipeline_stages(spark, tmp_path):
     assert counts[3] <= counts[2]
     final = {r.doc_id: r.decoded_sha256 for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert final == {i: hashlib.sha256(texts[i].encode()).hexdigest() for i in counts[3]}
+
+
+def test_copies_of_one_text_are_not_one_task(spark):
+    """Nine tenths of all rows have one fingerprint; it is no shuffle key."""
+    texts = ["the same words again and again for all of these rows" if i % 10 else f"own {i} words {i * 7} of {i * 13} this {i * 31} row" for i in range(3000)]
+    got = simhash.simhash_groups(docs(spark, texts))
+    sizes = [r.n for r in got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 3000 and max(sizes) < 2000
+    assert got.where("component_id = 1").count() == 2700

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from voxelar.plans.components import connected_components
 from voxelar.plans.cut import broadcast_if_small, materialize
 
-from ._common import LOWER, UPPER, fresh, id_back, id_of, text_of
+from ._common import LOWER, UPPER, fresh, id_back, id_of, join_hot, text_of
 
 SEED = 42
 #: Members of one node that a task searches; larger nodes are split further.
@@ -233,8 +233,8 @@ def simhash_groups(
     groups = connected_components(links(firsts.select("fp"), max_distance)).withColumnRenamed("node", "fp")
     placed = firsts.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     lowest = placed.groupBy("component").agg(F.min("first").alias("root"))
-    by_fp = placed.join(lowest, "component").select("fp", "root")
-    return rows.join(by_fp, "fp").select(
+    by_fp = materialize(placed.join(lowest, "component").select("fp", "root"), "roots")
+    return join_hot(rows, by_fp, "fp").select(
         id_back("id").alias("doc_id"),
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         id_back("root").alias("component_id"),
