@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from voxelar.operators import boxes, density, frames, layout, raster
-from voxelar.plans.cut import new_path
-from voxelar.queries import _DIST2, _LAYOUT, NMS, E, P, events, nms_boxes, points, query, rounded
+from voxelar.functions import detection, geometry
+from voxelar.operators import boxes, density, frames, layout, raster, voxels
+from voxelar.plans.counters import RunCounters
+from voxelar.plans.cut import materialize, new_path
+from voxelar.queries import _DIST2, _LAYOUT, NMS, ORACLES, VOXEL, E, P, V, _clean_objects, events, nms_boxes, points, query, rounded
+from voxelar.sources import recordings, snapshots
 from voxelar.streaming import live
 
 #: A chain of moving edges with samples of their own, and two fixed frames.
@@ -97,14 +102,17 @@ def top_down_raster(spark, sf_dir):
     return raster.raster(dots, raster.box_pixels(bounds, fit, F.col("label"), F.col("label") * 1000003 % 16777216))
 
 
-@query(f"""with recursive {P}, near as (select a.vec_id as a, b.vec_id as b, {_DIST2} as d2 from pts a join pts b on a.label = b.label where {_DIST2} < 0.12::double * 0.12::double),
+_DENSE = f"""with recursive {P}, near as (select a.vec_id as a, b.vec_id as b, {_DIST2} as d2 from pts a join pts b on a.label = b.label where {_DIST2} < 0.12::double * 0.12::double),
 core as (select a from near group by a having count(*) >= 4),
 link as (select n.a, n.b from near n join core x on n.a = x.a join core y on n.b = y.a),
 reach(a, b) as (select a, a from core union select r.a, l.b from reach r join link l on r.b = l.a),
 lab as (select a, min(b) as cluster from reach group by a),
-bord as (select n.a, min_by(n.b, (n.d2, n.b)) as c from near n join core y on n.b = y.a where n.a not in (select a from core) group by n.a)
-select pts.label, vec_id, lab.a is not null as core, coalesce(lab.cluster, other.cluster) as cluster
-from pts left join lab on vec_id = lab.a left join bord on vec_id = bord.a left join lab other on bord.c = other.a""")
+bord as (select n.a, min_by(n.b, (n.d2, n.b)) as c from near n join core y on n.b = y.a where n.a not in (select a from core) group by n.a)"""
+_LABELS = """select pts.label, vec_id, lab.a is not null as core, coalesce(lab.cluster, other.cluster) as cluster
+from pts left join lab on vec_id = lab.a left join bord on vec_id = bord.a left join lab other on bord.c = other.a"""
+
+
+@query(f"{_DENSE} {_LABELS}")
 def density_clusters(spark, sf_dir):
     return density.density_clusters(points(spark, sf_dir), 0.12, 4, "vec_id", ["label"]).select("label", "vec_id", "core", "cluster")
 
@@ -159,3 +167,73 @@ def live_delayed(spark, sf_dir):
 def live_retried(spark, sf_dir):
     """Frames handled as they come, and again when a later detection is near."""
     return _live(spark, sf_dir, 0)
+
+
+def _objects(spark, sf_dir):
+    """Cleaned objects as a snapshot takes them: a record and the points of each."""
+    p = _clean_objects(spark, sf_dir)
+    name = F.concat(F.lit("class_"), F.col("label").cast("string"))
+    records = layout.object_records(p, "label", name).withColumnsRenamed({"label": "class_name"})
+    stem = F.concat(F.format_string("objects/object_%04d_", F.col("track_id")), detection.safe_name(F.col("class_name")))
+    records = records.select("track_id", "class_name", "point_count", F.concat(stem, F.lit(".ply")).alias("point_cloud_ply"), F.concat(stem, F.lit(".npz")).alias("point_cloud_npz"))
+    clouds = p.groupBy(F.col("label").alias("track_id")).agg(F.collect_list(F.struct(*geometry.AXES)).alias("points"))  # a file is one object's
+    return records.join(clouds, "track_id").select("track_id", F.to_json(F.struct(*records.columns)).alias("record"), "points")
+
+
+@query(f"""with {P}, {V}, o as (select label, count(*) as n from (select label, kx, ky, kz from vox group by all) group by label having label < 7)
+select label as track_id, 'class_' || label as class_name, n as point_count, n as vertices, true as has_npz, 'object_' || lpad(label::varchar, 4, '0') || '_class_' || label || '.ply' as file from o""")
+def object_snapshots(spark, sf_dir):
+    """Two snapshots in one folder, the second of fewer objects: its records with the files they name."""
+    folder = new_path(spark, "snapshot")
+    every = _objects(spark, sf_dir)
+    snapshots.write_snapshot(every, folder)
+    snapshots.write_snapshot(every.where("track_id < 7"), folder)
+    ply = snapshots.snapshot_files(spark, folder).withColumn("head", F.decode(F.substring("content", 1, 256), "ISO-8859-1"))
+    ply = ply.select(F.col("file").alias("point_cloud_ply"), F.regexp_extract("head", r"element vertex (\d+)", 1).cast("long").alias("vertices"))
+    npz = snapshots.snapshot_files(spark, folder, "npz").select(F.col("file").alias("point_cloud_npz"), F.lit(True).alias("has_npz"))
+    named = snapshots.read_snapshot(spark, folder).join(ply, "point_cloud_ply", "full_outer").join(npz, "point_cloud_npz", "left")
+    return named.select("track_id", "class_name", "point_count", "vertices", "has_npz", F.substring_index("point_cloud_ply", "/", -1).alias("file"))
+
+
+@query("select epoch_us(ts) * 1000 as stamp_ns, event_id, props from events")
+def recording_replay(spark, sf_dir):
+    """Every event as a recorded message, read back as a stream in batches of a limited number of messages."""
+    e = events(spark, sf_dir)
+    folder, out = new_path(spark, "recording"), new_path(spark, "replayed")
+    named = e.select(F.format_string("%09d", F.expr("event_id div 2000")).alias("file"), F.col("ns").alias("stamp_ns"), F.to_json(F.struct("event_id", "props")).cast("binary").alias("data"))
+    recordings.record(named, folder)
+    stream = recordings.recording_stream(spark, folder, new_path(spark, "progress") + "/offset.json", named.count() // 3 + 1)
+    started = stream.writeStream.option("checkpointLocation", new_path(spark, "offsets")).start(out)
+    try:
+        started.processAllAvailable()
+    finally:
+        started.stop()
+    found = spark.read.schema(recordings.SCHEMA).parquet(out).withColumn("m", F.from_json(F.col("data").cast("string"), "event_id long, props string"))
+    return found.select("stamp_ns", "m.event_id", "m.props")
+
+
+@query(ORACLES["voxel_outer_merge"])
+def voxel_stored_merge(spark, sf_dir):
+    """``voxel_outer_merge`` of two tables stored in the order of their codes."""
+    p, folder = points(spark, sf_dir), new_path(spark, "voxels")
+    names = [f"voxels_{uuid.uuid4().hex}" for _ in range(2)]
+    for i, name in enumerate(names):
+        voxels.store_voxels(p.where(F.col("label") % 2 == i), VOXEL, name, path=folder)
+    return voxels.merge_stored(spark, *names, VOXEL).select(*voxels.CELLS, "shared", *rounded("x", "y", "z"))
+
+
+@query(f"""{_DENSE}, named as ({_LABELS}), sz as (select label, cluster, count(*) as m from named where cluster is not null group by all),
+best as (select label, max_by(cluster, (m, -cluster)) as top, max(m) as m from sz group by label), tot as (select label, count(*) as n from pts group by label),
+gone as (select count(*) as k from named join tot using (label) left join best using (label) where not (top is null or m < 5 or n < 4 or coalesce(cluster = top, false)))
+select (select count(*) from pts) as raw, (select count(*) from (select distinct label, floor(x / {VOXEL}::double), floor(y / {VOXEL}::double), floor(z / {VOXEL}::double) from pts)) as voxels,
+  k as cluster_removed from gone""")
+def run_counters(spark, sf_dir):
+    """Raw, voxel and cluster-removed numbers of points, counted while the points are cleaned."""
+    seen = RunCounters()
+    p = seen.watch(points(spark, sf_dir), "raw")
+    stored = materialize(p, "points")
+    kept = density.largest_density_cluster(stored, 0.12, 4, "vec_id", ["label"])
+    marked = materialize(seen.watch(kept, "cleaned", kept=F.count_if("kept")), "cleaned")
+    cells = voxels.voxel_mean(stored.join(marked.select("vec_id"), "vec_id"), VOXEL, ["label"])
+    seen.watch(cells, "voxels").write.format("noop").mode("overwrite").save()
+    return seen.row(spark).select("raw", "voxels", (F.col("cleaned") - F.col("cleaned_kept")).alias("cluster_removed"))

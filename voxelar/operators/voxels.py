@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voxelar.functions.geometry import AXES, voxel_key
+from voxelar.functions.geometry import AXES, packed_key, voxel_key
 
 CELLS = ("kx", "ky", "kz")
 CHANNELS = ("r", "g", "b")
@@ -85,3 +85,26 @@ def shared_cells(points: DataFrame, size: float, label: str) -> DataFrame:
     both = with_a.join(sizes.select(F.col(label).alias("b"), F.col("n").alias("n_b")), "b")
     ratio = F.greatest(F.col("shared") / F.col("n_a"), F.col("shared") / F.col("n_b"))
     return both.select("a", "b", "shared", ratio.alias("overlap"))
+
+
+def store_voxels(points: DataFrame, size: float, table: str, buckets: int = 8, path: str | None = None) -> None:
+    """Mean points of voxels as a table bucketed and sorted by the packed cell code, for merges that move no rows.
+
+    Cells beyond the 21 bits of a code (``packed_key``) go to ``{table}_far``, which is merged by cells.
+    """
+    coded = voxel_mean(points, size).withColumn("code", packed_key(*[F.col(k) for k in CELLS]))
+    near = coded.where("code is not null").repartition(buckets, "code").write.bucketBy(buckets, "code").sortBy("code").format("parquet")
+    far = coded.where("code is null").drop("code").write.format("parquet")
+    for name, writer in ((table, near), (f"{table}_far", far)):
+        (writer.option("path", f"{path}/{name}") if path else writer).saveAsTable(name)
+
+
+def merge_stored(spark: SparkSession, first: str, second: str, size: float) -> DataFrame:
+    """``merge_clouds`` of two stored tables with equal buckets: joined bucket by bucket, in order of the codes within each."""
+    a, b = (spark.table(t).select("code", *[F.col(c).alias(f"{p}_{c}") for c in (*CELLS, *AXES)]) for t, p in ((first, "a"), (second, "b")))
+    joined = a.join(b, "code", "full_outer")
+    middle = [F.coalesce((F.col(f"a_{c}") + F.col(f"b_{c}")) * 0.5, f"a_{c}", f"b_{c}").alias(c) for c in AXES]
+    shared = (F.col("a_x").isNotNull() & F.col("b_x").isNotNull()).alias("shared")
+    near = joined.select("code", *[F.coalesce(f"a_{k}", f"b_{k}").alias(k) for k in CELLS], *middle, shared)
+    far = merge_clouds(spark.table(f"{first}_far"), spark.table(f"{second}_far"), size)
+    return near.unionByName(far.select(F.lit(None).cast("long").alias("code"), *CELLS, *AXES, "shared"))
