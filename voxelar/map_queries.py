@@ -12,7 +12,7 @@ from voxelar.plans.counters import RunCounters
 from voxelar.plans.cut import materialize, new_path
 from voxelar.queries import _DIST2, _LAYOUT, NMS, ORACLES, VOXEL, E, P, V, _clean_objects, events, nms_boxes, points, query, rounded
 from voxelar.sources import recordings, snapshots
-from voxelar.streaming import live
+from voxelar.streaming import live, quarantine
 
 #: A chain of moving edges with samples of their own, and two fixed frames.
 _EDGES = (("map", "odom", "view"), ("odom", "base", "click"), ("base", "arm", "signup"))
@@ -237,3 +237,41 @@ def run_counters(spark, sf_dir):
     cells = voxels.voxel_mean(stored.join(marked.select("vec_id"), "vec_id"), VOXEL, ["label"])
     seen.watch(cells, "voxels").write.format("noop").mode("overwrite").save()
     return seen.row(spark).select("raw", "voxels", (F.col("cleaned") - F.col("cleaned_kept")).alias("cluster_removed"))
+
+
+#: Clouds come in order of their ids, metadata of two thirds of them up to two batches apart; a last stamp on both sides closes the stream.
+_DELAY_H, _LAST = 480, 4_000_000_000_000_000_000
+_MESSAGES = """all_m as (select 'cloud' as side, event_id as ref, ns as stamp_ns, event_id % 3 as part from ev
+  union all select 'meta', event_id, ns, event_id * 7 % 11 % 3 from ev where event_id % 5 <> 0)"""
+
+
+@query(f"""with {E}, {_MESSAGES}, top as (select part, max(stamp_ns) as t from all_m group by part),
+mark as (select p.part, (select max(t) from top where top.part < p.part) // 1000000 - {_DELAY_H} * 3600000 as w from top p),
+flagged as (select side, ref, stamp_ns, coalesce(stamp_ns // 1000000 <= w, false) as late from all_m join mark using (part)),
+c as (select * from flagged where side = 'cloud' and not late), m as (select * from flagged where side = 'meta' and not late)
+select side, ref, stamp_ns, 'late' as outcome from flagged where late
+union all select 'cloud', c.ref, c.stamp_ns, case when m.ref is null then 'no metadata' else 'matched' end from c left join m on c.stamp_ns = m.stamp_ns
+union all select 'meta', m.ref, m.stamp_ns, case when c.ref is null then 'no cloud' else 'matched' end from m left join c on c.stamp_ns = m.stamp_ns""")
+def stamp_quarantine(spark, sf_dir):
+    """Two streams: rows are told late from punctual ones, then punctual ones are joined; every message gets one outcome."""
+    e = events(spark, sf_dir)
+    i = F.col("event_id")
+    clouds = e.select(F.lit("cloud").alias("side"), i.alias("ref"), F.col("ns").alias("stamp_ns"), (i % 3).alias("part"))
+    metas = e.where(i % 5 != 0).select(F.lit("meta").alias("side"), i.alias("ref"), F.col("ns").alias("stamp_ns"), (i * 7 % 11 % 3).alias("part"))
+    every = clouds.unionByName(metas)
+    lanes = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    source, staged, out = (new_path(spark, n) for n in ("messages", "staged", "pairs"))
+    for part in range(3):
+        every.where(F.col("part") == part).drop("part").repartition(lanes).write.mode("append").parquet(source)
+    last = spark.range(2).select(F.when(F.col("id") == 0, "cloud").otherwise("meta").alias("side"), F.lit(-1).cast("long").alias("ref"), F.lit(_LAST).alias("stamp_ns"))
+    last.coalesce(1).write.mode("append").parquet(source)
+    messages = spark.readStream.schema(last.schema).option("maxFilesPerTrigger", lanes).parquet(source)
+    delay = f"{_DELAY_H} hours"
+    with live.rocksdb_state(spark, idle_batches=False):
+        first = quarantine.flagged(messages, delay).writeStream.option("checkpointLocation", new_path(spark, "offsets"))
+        first.outputMode("append").trigger(availableNow=True).start(staged).awaitTermination()
+    rows = spark.readStream.schema(quarantine.FLAGGED).parquet(staged)
+    second = quarantine.paired(rows, delay).writeStream.option("checkpointLocation", new_path(spark, "offsets"))
+    second.outputMode("append").trigger(availableNow=True).start(out).awaitTermination()
+    found = quarantine.outcomes(spark.read.schema(quarantine.FLAGGED).parquet(staged), spark.read.parquet(out))
+    return found.where(F.col("stamp_ns") < _LAST)

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor
 
 OUTCOMES = "session string, arrival long, ns long, outcome string, trigger string, detection long, detection_ns long, gap_ns long"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_IDLE = "spark.sql.streaming.noDataMicroBatches.enabled"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -114,11 +115,18 @@ def live_pairs(messages: DataFrame, size: int, reach_ns: int, delay: int = 0) ->
 
 
 @contextlib.contextmanager
-def rocksdb_state(spark: SparkSession) -> Iterator[None]:
-    """The state store that such streams need, for streams started in this block."""
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+def rocksdb_state(spark: SparkSession, idle_batches: bool = True) -> Iterator[None]:
+    """The state store that such streams need, for streams started in this block.
+
+    Without ``idle_batches`` a stream runs batches for new rows only: one by processing time would else
+    run for ever where it should end with its input.
+    """
+    wanted = {_PROVIDER: _ROCKSDB, _IDLE: str(idle_batches).lower()}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
