@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamWriter, DataSourceWriter, WriterCommitMessage
@@ -25,6 +26,7 @@ FOLDER, MANIFEST = "objects", "manifest-"
 
 @dataclass
 class Written(WriterCommitMessage):
+    version: str
     part: str
     count: int
 
@@ -77,7 +79,9 @@ class _Snapshot:
 
     def write(self, rows: Iterator[Row]) -> Written:
         fs, root = file_system(self.path)
-        folder = f"{root}/{FOLDER}/{self.version}"
+        batch = TaskContext.get().getLocalProperty("streaming.sql.batchId")  # a stream's batches share a writer
+        version = self.version if batch is None else f"{self.version}-{batch}"
+        folder = f"{root}/{FOLDER}/{version}"
         fs.create_dir(folder, recursive=True)
         lines = []
         for row in rows:
@@ -86,31 +90,32 @@ class _Snapshot:
             for kind, data in (("ply", ply_bytes(points, colors)), ("npz", npz)):
                 name = record[f"point_cloud_{kind}"].rpartition("/")[2]
                 _put(fs, f"{folder}/{name}", data)
-                record[f"point_cloud_{kind}"] = f"{FOLDER}/{self.version}/{name}"
+                record[f"point_cloud_{kind}"] = f"{FOLDER}/{version}/{name}"
             lines.append(json.dumps(record, ensure_ascii=False))
-        part = f"{FOLDER}/{self.version}/records-{uuid.uuid4().hex}.jsonl"
+        part = f"{FOLDER}/{version}/records-{uuid.uuid4().hex}.jsonl"
         _put(fs, f"{root}/{part}", "".join(f"{x}\n" for x in lines).encode())
-        return Written(part, len(lines))
+        return Written(version, part, len(lines))
 
     def finish(self, messages: list[Written | None]) -> None:
         """The snapshot is there from the rename of its manifest on; older ones and what failed attempts left go after it."""
         fs, root = file_system(self.path)
-        fs.create_dir(f"{root}/{FOLDER}/{self.version}", recursive=True)
+        fs.create_dir(root, recursive=True)
         done = [m for m in messages if m is not None]
+        version = done[0].version if done else self.version
         number, old = _latest(fs, root)
-        manifest = {"schema_version": 1, "version": self.version, "count": sum(m.count for m in done), "parts": sorted(m.part for m in done)}
+        manifest = {"schema_version": 1, "version": version, "count": sum(m.count for m in done), "parts": sorted(m.part for m in done)}
         _put(fs, f"{root}/{MANIFEST}{number + 1:09d}.json", json.dumps(manifest).encode())
-        for path in _listed(fs, f"{root}/{FOLDER}"):
-            if path.rpartition("/")[2] != self.version:
-                fs.delete_dir(path)
+        self.clean()
         for path in old:
             fs.delete_file(path)
 
-    def undo(self) -> None:
+    def clean(self) -> None:
+        """Remove all files but those of the current snapshot. A folder has one writer at a time."""
         fs, root = file_system(self.path)
-        folder = f"{root}/{FOLDER}/{self.version}"
-        if folder in _listed(fs, f"{root}/{FOLDER}"):
-            fs.delete_dir(folder)
+        manifest = current_manifest(self.path)
+        for path in _listed(fs, f"{root}/{FOLDER}"):
+            if manifest is None or path.rpartition("/")[2] != manifest["version"]:
+                fs.delete_dir(path)
 
 
 def _listed(fs, folder: str) -> list[str]:
@@ -130,7 +135,7 @@ class _TableWriter(_Snapshot, DataSourceWriter):
         self.finish(messages)
 
     def abort(self, messages) -> None:
-        self.undo()
+        self.clean()
 
 
 class _StreamWriter(_Snapshot, DataSourceStreamWriter):
@@ -140,7 +145,7 @@ class _StreamWriter(_Snapshot, DataSourceStreamWriter):
         self.finish(messages)
 
     def abort(self, messages, batchId: int) -> None:  # noqa: N803
-        self.undo()
+        self.clean()
 
 
 class ObjectSnapshot(DataSource):
@@ -183,5 +188,5 @@ def snapshot_files(spark: SparkSession, path: str, kind: str = "ply") -> DataFra
     """``file`` (as records name it), ``content`` of the files of the current snapshot."""
     manifest = current_manifest(path)
     folder = f"{path.rstrip('/')}/{FOLDER}/{manifest['version'] if manifest else '-'}"
-    found = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{kind}").load(folder)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{kind}").load(folder)  # each file a row, read by tasks
     return found.select(F.regexp_extract("path", f"({FOLDER}/[^/]+/[^/]+)$", 1).alias("file"), "content")
