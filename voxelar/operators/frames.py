@@ -13,7 +13,7 @@ from voxelar.plans.cut import materialize
 from .asof import interpolated_pose
 
 SHIFT, TURN = ("x", "y", "z"), ("qx", "qy", "qz", "qw")
-#: Doublings of a path; a deeper tree has a cycle.
+#: Doublings of a path.
 DOUBLINGS = 24
 
 
@@ -33,9 +33,10 @@ def ancestors(links: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         if step.isEmpty():
             frames = links.select(*by, F.col("child").alias("frame")).union(links.select(*by, "parent")).distinct()
             return found.unionByName(frames.select(*by, "frame", F.col("frame").alias("ancestor"), F.lit(0).alias("depth")))
-        if not step.where("frame = ancestor").isEmpty():
-            break
+        # Now all paths of up to twice the length; a path around a cycle is among them before they multiply.
         found = materialize(found.unionByName(_longer(found, step, by)).unionByName(step).distinct(), "ancestors")
+        if not found.where("frame = ancestor").isEmpty():
+            break
     raise ValueError("the frames form a cycle")
 
 
