@@ -905,519 +905,6 @@ def bbox_project_all(spark, sf_dir):
 _POINTS = f"{_PIXELS}, mk as (select frame_id, u, v from px where depth < 4)"
 
 
-@query(_resized(448, 336))
-def mask_resize(spark, sf_dir):
-    """All frames from 640 x 480 to 448 x 336."""
-    return projection.resize_masks(_solid(spark, sf_dir), (640, 480), (448, 336)).select("frame_id", "u", "v")
-
-
-@query(_resized(1024, 768))
-def mask_enlarge(spark, sf_dir):
-    """All frames from 640 x 480 to 1024 x 768."""
-    return projection.resize_masks(_solid(spark, sf_dir), (640, 480), (1024, 768)).select("frame_id", "u", "v")
-
-
-@query(f"with {_SET} select frame_id, count(*) as area from mk group by 1")
-def mask_area(spark, sf_dir):
-    return projection.mask_areas(_solid(spark, sf_dir)).select("frame_id", "area")
-
-
-POSE = (0.8, -0.6, 0.0, 1.5, 0.6, 0.8, 0.0, -2.0, 0.0, 0.0, 1.0, 0.25)
-
-
-@query(f"""with {P} select vec_id, round(0.8::double * x - 0.6::double * y + 1.5, 6) + 0.0 as x, round(0.6::double * x + 0.8::double * y - 2.0, 6) + 0.0 as y,
-  round(z + 0.25, 6) + 0.0 as z from pts""")
-def rigid_transform(spark, sf_dir):
-    p = points(spark, sf_dir)
-    return p.select("vec_id", *[c.alias(a) for a, c in geometry.apply_matrix(F.col("x"), F.col("y"), F.col("z"), POSE).items()]).select("vec_id", *rounded("x", "y", "z"))
-
-
-@query("""with q as (select vec_id, embedding[1]::double as x, embedding[2]::double as y, embedding[3]::double as z, embedding[4]::double as w,
-  embedding[5]::double as px, embedding[6]::double as py, embedding[7]::double as pz from embeddings),
-s as (select *, case when x*x + y*y + z*z + w*w < 1e-12 then 0 else 2 / (x*x + y*y + z*z + w*w) end as s from q)
-select vec_id, round((1 - s*(y*y + z*z))*px + s*(x*y - z*w)*py + s*(x*z + y*w)*pz + 1, 6) + 0.0 as x,
-  round(s*(x*y + z*w)*px + (1 - s*(x*x + z*z))*py + s*(y*z - x*w)*pz + 2, 6) + 0.0 as y,
-  round(s*(x*z - y*w)*px + s*(y*z + x*w)*py + (1 - s*(x*x + y*y))*pz + 3, 6) + 0.0 as z from s""")
-def quat_matrix(spark, sf_dir):
-    e = read(spark, sf_dir, "embeddings")
-    at = [F.get("embedding", i).cast("double") for i in range(7)]
-    moved = geometry.apply_quaternion(at[4:7], at[:4], [F.lit(1.0), F.lit(2.0), F.lit(3.0)])
-    return e.select("vec_id", *[c.alias(a) for a, c in moved.items()]).select("vec_id", *rounded("x", "y", "z"))
-
-
-@query("""select p_partkey, ((p_partkey % 256) << 16) | ((p_size * 5 % 256)::bigint << 8) | (p_partkey * 7 % 256) as packed,
-  (p_partkey % 256)::integer as r, (p_size * 5 % 256)::integer as g, (p_partkey * 7 % 256)::integer as b from part""")
-def color_pack(spark, sf_dir):
-    p = read(spark, sf_dir, "part")
-    packed = p.select("p_partkey", color.pack_rgb(F.col("p_partkey") % 256, F.col("p_size") * 5 % 256, F.col("p_partkey") * 7 % 256).alias("packed"))
-    return packed.select("p_partkey", "packed", *[c.alias(n) for n, c in color.unpack_rgb(F.col("packed")).items()])
-
-
-@query("""with h as (select p_partkey, (p_partkey * 2654435761) & 4294967295 as m from part)
-select p_partkey, (64 + ((m >> 16) & 191))::integer as r, (64 + ((m >> 8) & 191))::integer as g, (64 + (m & 191))::integer as b from h""")
-def stable_color(spark, sf_dir):
-    p = read(spark, sf_dir, "part")
-    return p.select("p_partkey", *[c.alias(n) for n, c in color.stable_color(F.col("p_partkey")).items()])
-
-
-_HUE = """with h as (select p_partkey, ((p_partkey * 0.618033988749895::double) % 1) * 6 as h from part),
-f as (select *, h - floor(h) as f, floor(h)::integer as i, 0.86::double as t, 0.86::double * (1 - 0.78::double) as lo from h),
-c as (select *, t * (1 - 0.78::double * f) as dn, t * (1 - 0.78::double * (1 - f)) as up from f)
-select p_partkey, round_even([t, dn, lo, lo, up, t][i + 1] * 255, 0)::integer as r, round_even([up, t, t, dn, lo, lo][i + 1] * 255, 0)::integer as g,
-  round_even([lo, lo, up, t, t, dn][i + 1] * 255, 0)::integer as b from c"""
-
-
-@query(_HUE)
-def hue_color(spark, sf_dir):
-    p = read(spark, sf_dir, "part")
-    return p.select("p_partkey", *[c.alias(n) for n, c in color.hue_color(F.col("p_partkey")).items()])
-
-
-@query(f"""with {_PIXELS} select frame_id, u, v, greatest(0, least(319, round_even((u + 0.5::double) * 320 / 640 - 0.5::double, 0)))::integer as nearest,
-  greatest(0, least(319, floor((u + 0.5::double) * 320 / 640)))::integer as cell from px""")
-def pixel_color_sample(spark, sf_dir):
-    p = _pixels(spark, sf_dir)
-    at = (F.col("u"), F.lit(320.0), F.lit(640.0))
-    return p.select("frame_id", "u", "v", color.sample_nearest(*at, up=True).alias("nearest"), color.sample_nearest(*at).alias("cell"))
-
-
-_HIST = """hist as (select user_id, event_type, sum(greatest(value, 0)) as score, count(*) as n, min(event_id) as first_order from events group by 1, 2)"""
-
-
-def _history(spark, sf_dir):
-    return semantics.class_history(read(spark, sf_dir, "events"), "user_id", "event_type", "value", "event_id")
-
-
-@query("""select user_id, round(avg(value), 6) as confidence, count(*) as observations, epoch_us(min(ts)) as first_seen, epoch_us(max(ts)) as last_seen,
-  case when count(*) >= 60 then 'confirmed' else 'candidate' end as status from events group by user_id""")
-def confidence_mean(spark, sf_dir):
-    e = read(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    return semantics.track_summary(e, "user_id", "value", "us", 60).select("user_id", *rounded("confidence"), "observations", "first_seen", "last_seen", "status")
-
-
-@query("""with t as (select user_id, avg(value) as c, count(*) as n, min(epoch_us(ts)) as a, max(epoch_us(ts)) as b from events group by user_id)
-select user_id % 10 as grp, round(sum(c * n) / sum(n), 6) as confidence, sum(n)::bigint as observations, min(a) as first_seen, max(b) as last_seen from t group by 1""")
-def merged_confidence(spark, sf_dir):
-    e = read(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    tracks = semantics.track_summary(e, "user_id", "value", "us", 60).withColumn("grp", F.col("user_id") % 10)
-    return semantics.merged_summary(tracks, "grp").select("grp", *rounded("confidence"), "observations", "first_seen", "last_seen")
-
-
-@query(f"with {_HIST} select user_id, event_type, round(score, 4) as score, n, first_order from hist")
-def semantic_histogram(spark, sf_dir):
-    return _history(spark, sf_dir).select("user_id", "event_type", *rounded("score", digits=4), "n", "first_order")
-
-
-@query(f"with {_HIST} select user_id, max_by(event_type, (score, -first_order)) as event_type, round(max(score), 4) as score from hist group by user_id")
-def dominant_class(spark, sf_dir):
-    return semantics.dominant_class(_history(spark, sf_dir), "user_id", "event_type").select("user_id", "event_type", *rounded("score", digits=4))
-
-
-@query(f"""with {_HIST}, t as (select user_id, sum(score) as total, count(*) as k from hist group by 1)
-select user_id, event_type, round(case when total > 0 then score / total else 1.0 / k end, 6) as share from hist join t using (user_id)""")
-def semantic_similarity(spark, sf_dir):
-    return semantics.class_shares(_history(spark, sf_dir), "user_id", "event_type").select("user_id", "event_type", *rounded("share"))
-
-
-_GROW = " and ".join(
-    f"greatest(a.hi_{k}, b.hi_{k}) - least(a.lo_{k}, b.lo_{k}) <= greatest(a.hi_{k} - a.lo_{k}, 0.02::double) * 1.5::double + 0.04::double" for k in "xyz"
-)
-
-
-@query(f"with {P}, {B} select a.label as a, b.label as b, {_GROW} as valid from bounds a join bounds b on a.label < b.label where {_PAIR} <= 0.75 and {_NEAR}")
-def extent_growth(spark, sf_dir):
-    pairs = spatial.box_pairs(spatial.cloud_bounds(points(spark, sf_dir), ["label"]), "label", 0.04, 0.75)
-    return pairs.select(F.col("a_label").alias("a"), F.col("b_label").alias("b"), geometry.growth_valid("a_", "b_", 0.02, 1.5, 0.04).alias("valid"))
-
-
-@query("""with s as (select distinct user_id, event_id // 20 as frame from events),
-g as (select *, coalesce((frame - lag(frame) over w - 1 > 30)::integer, 0) as cut from s window w as (partition by user_id order by frame)),
-i as (select *, sum(cut) over (partition by user_id order by frame) as isl from g),
-k as (select *, row_number() over (partition by user_id, isl order by frame) as k from i),
-n as (select *, least(isl, coalesce(min(case when k >= 3 then isl end) over (partition by user_id), isl)) + 1 as life from k)
-select user_id, life::bigint as life, min(frame) as first_frame, max(frame) as last_frame, count(*) as sightings,
-  case when count(*) >= 3 then 'confirmed' else 'candidate' end as status from n group by 1, 2""")
-def track_expiry(spark, sf_dir):
-    e = read(spark, sf_dir, "events")
-    return semantics.lives(e.select("user_id", F.expr("event_id div 20").alias("frame")).distinct(), "user_id", "frame", 30, 3)
-
-
-@query("""with recursive t as (select distinct user_id, epoch_us(ts) as us from events),
-k(user_id, us) as (select user_id, min(us) from t group by 1 union all
-  select k.user_id, (select min(us) from t where t.user_id = k.user_id and t.us >= k.us + 86400000000) from k
-  where exists (select 1 from t where t.user_id = k.user_id and t.us >= k.us + 86400000000))
-select * from k""")
-def snapshot_throttle(spark, sf_dir):
-    e = read(spark, sf_dir, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return semantics.throttled(e, "us", 86_400_000_000, ["user_id"])
-
-
-@query("""with n as (select event_id, user_id, row_number() over (partition by user_id order by event_id) as k,
-  lag(event_id, 2) over (partition by user_id order by event_id) as delayed_id from events)
-select event_id, user_id, delayed_id from n where (k - 1) % 3 = 0""")
-def processing_delay(spark, sf_dir):
-    e = read(spark, sf_dir, "events").select("event_id", "user_id")
-    lagged = e.withColumn("delayed_id", asof.delayed(e, "event_id", 2, "event_id", ["user_id"]))
-    return asof.every_nth(lagged, 2, "event_id", ["user_id"])
-
-
-@query(f"""with {_HIST}, t as (select user_id as track_id, count(*) as observations, avg(value) as c from events group by 1),
-d as (select user_id, max_by(event_type, (score, -first_order)) as class_name from hist group by 1)
-select track_id, class_name, observations from t join d on user_id = track_id where observations >= 50 order by observations desc, track_id limit 20""")
-def topk_objects(spark, sf_dir):
-    e = read(spark, sf_dir, "events")
-    named = semantics.dominant_class(_history(spark, sf_dir), "user_id", "event_type").select("user_id", F.col("event_type").alias("class_name"))
-    tracks = semantics.track_summary(e, "user_id", "value", "event_id", 50).join(named, "user_id").withColumnRenamed("user_id", "track_id")
-    return semantics.top_objects(tracks, 20, confirmed=True).select("track_id", "class_name", "observations")
-
-
-@query("""with d as (select distinct user_id, ts::date as day, event_type from events), m as (select max(day) as day from d)
-select distinct user_id, event_type from d where day = (select day from m) - 1 except select user_id, event_type from d where day = (select day from m)""")
-def removed_ids(spark, sf_dir):
-    e = read(spark, sf_dir, "events").select("user_id", "event_type", F.to_date("ts").alias("day"))
-    last = F.broadcast(e.agg(F.max("day").alias("last")))  # one row
-    dated = e.crossJoin(last)
-    return semantics.removed(dated.where("day = date_sub(last, 1)"), dated.where("day = last"), ["user_id", "event_type"])
-
-
-_STAGES = ("click", "error", "purchase", "view", "signup", "idle")
-
-
-@query(f"""with s as (select unnest([{', '.join(repr(x) for x in _STAGES)}]) as stage, unnest(range({len(_STAGES)})) as position),
-t as (select event_type as stage, sum(value) as total, count(*) as n from events group by 1)
-select position::integer as position, stage, round(coalesce(total, 0), 6) as total_seconds, round(100 * coalesce(total, 0) / 100000, 3) as share_percent,
-  coalesce(n, 0) as calls, round(coalesce(1000 * total / n, 0), 3) as avg_ms_per_call, round(1000 * coalesce(total, 0) / 2000, 3) as avg_ms_per_frame
-from s left join t using (stage)""")
-def timing_report(spark, sf_dir):
-    e = read(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), F.col("value").alias("seconds"), F.lit(1).alias("calls"))
-    return semantics.timing_report(e, _STAGES, 100000.0, 2000)
-
-
-@query("""select event_id, regexp_replace(event_type || ' é/' || event_id, '[^\\p{L}\\p{N}_-]', '_', 'g') as file_name,
-  trim(lower(regexp_replace('_' || event_type || '!', '[^\\p{L}\\p{N}_-]', '_', 'g')), '_') as key_name from events""")
-def safe_names(spark, sf_dir):
-    e = read(spark, sf_dir, "events")
-    text = F.concat("event_type", F.lit(" é/"), F.col("event_id").cast("string"))
-    return e.select("event_id", detection.safe_name(text).alias("file_name"), detection.safe_name(F.concat(F.lit("_"), "event_type", F.lit("!")), key=True).alias("key_name"))
-
-
-@query("""with b as (select o_orderkey, (640 + o_custkey % 1280)::double as w, (480 + o_custkey % 720)::double as h from orders),
-l as (select *, least(640 / w, 640 / h) as ratio, 1024 / greatest(w, h) as s from b)
-select o_orderkey, round(ratio, 9) as ratio, floor((640 - round_even(w * ratio, 0)) / 2) as pad_x, floor((640 - round_even(h * ratio, 0)) / 2) as pad_y,
-  floor(w * s + 0.5)::integer as width, floor(h * s + 0.5)::integer as height from l""")
-def image_fit(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").select("o_orderkey", (640 + F.col("o_custkey") % 1280).cast("double").alias("w"), (480 + F.col("o_custkey") % 720).cast("double").alias("h"))
-    box, side = geometry.letterbox(F.col("w"), F.col("h"), 640), geometry.longest_side(F.col("w"), F.col("h"), 1024)
-    return o.select("o_orderkey", *[c.alias(n) for n, c in box.items()], *[side[c].alias(c) for c in ("width", "height")]).withColumns(
-        {"ratio": F.round("ratio", 9)}
-    )
-
-
-@query("""with g as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, 8 * (1 << (l_linenumber % 3)) as s, l_partkey % 80 as gx, l_suppkey % 80 as gy from lineitem)
-select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, (gx + 0.5::double - l_quantity / 10) * s as x1, (gy + 0.5::double - l_quantity / 20) * s as y1,
-  (gx + 0.5::double + l_quantity / 10) * s as x2, (gy + 0.5::double + l_quantity / 20) * s as y2 from g""")
-def anchor_decode(spark, sf_dir):
-    li = read(spark, sf_dir, "lineitem")
-    s, q = F.lit(8) * F.shiftleft(F.lit(1), 0) * F.pow(F.lit(2), F.col("l_linenumber") % 3), F.col("l_quantity")
-    corners = geometry.decoded_box(F.col("l_partkey") % 80, F.col("l_suppkey") % 80, q / 10, q / 20, q / 10, q / 20, s)
-    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", *[c.alias(n) for n, c in zip(("x1", "y1", "x2", "y2"), corners, strict=True)])
-
-
-@query("""select l_orderkey, min_by(l_linenumber, (-l_quantity, l_linenumber)) as class_id, max(l_quantity) as score from lineitem group by l_orderkey""")
-def best_class(spark, sf_dir):
-    li = read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("class_id"), F.col("l_quantity").alias("score"))
-    return boxes.best_class(li, ["l_orderkey"])
-
-
-#: Greedy suppression: the boxes of a group one after the other, each against the list of those kept so far.
-NMS = f"""with recursive {_BOXES}, x as (select o_orderkey // 64 as frame_id, o_orderpriority as class_name, o_orderkey as ord, o_totalprice as confidence,
-  least(x1, x2) as x1, least(y1, y2) as y1, greatest(x1, x2) as x2, greatest(y1, y2) as y2 from bx join orders using (o_orderkey)),
-b as (select *, row_number() over (partition by frame_id, class_name order by confidence desc, ord) as k, count(*) over (partition by frame_id, class_name) as n from x),
-run(frame_id, class_name, k, n, kept) as (
-  select frame_id, class_name, k, n, [struct_pack(ord := ord, confidence := confidence, x1 := x1, y1 := y1, x2 := x2, y2 := y2)] from b where k = 1
-  union all
-  select b.frame_id, b.class_name, b.k, b.n, case when len(list_filter(kept, lambda q:
-      greatest(0, least(q.x2, b.x2) - greatest(q.x1, b.x1)) * greatest(0, least(q.y2, b.y2) - greatest(q.y1, b.y1))
-      > 0.45 * ((q.x2 - q.x1) * (q.y2 - q.y1) + (b.x2 - b.x1) * (b.y2 - b.y1)
-        - greatest(0, least(q.x2, b.x2) - greatest(q.x1, b.x1)) * greatest(0, least(q.y2, b.y2) - greatest(q.y1, b.y1))))) = 0
-    then list_append(kept, struct_pack(ord := b.ord, confidence := b.confidence, x1 := b.x1, y1 := b.y1, x2 := b.x2, y2 := b.y2)) else kept end
-  from run r join b on b.frame_id = r.frame_id and b.class_name = r.class_name and b.k = r.k + 1)
-select frame_id, class_name, q.ord as ord, q.confidence as confidence, q.x1 as x1, q.y1 as y1, q.x2 as x2, q.y2 as y2
-from (select frame_id, class_name, unnest(kept) as q from run where k = n)"""
-
-
-def nms_boxes(spark, sf_dir):
-    b = _boxes(spark, sf_dir).join(read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority"), "o_orderkey")
-    return b.select(
-        F.expr("o_orderkey div 64").alias("frame_id"), F.col("o_orderpriority").alias("class_name"), F.col("o_orderkey").alias("ord"), F.col("o_totalprice").alias("confidence"),
-        F.least("x1", "x2").alias("x1"), F.least("y1", "y2").alias("y1"), F.greatest("x1", "x2").alias("x2"), F.greatest("y1", "y2").alias("y2"),
-    )
-
-
-@query(NMS)
-def nms(spark, sf_dir):
-    return boxes.suppress(nms_boxes(spark, sf_dir), 0.45, ["frame_id", "class_name"])
-
-
-@query()
-def assignment(spark, sf_dir):
-    e = read(spark, sf_dir, "events").select(F.expr("event_id div 40").alias("frame"), F.col("user_id"), "event_type", "value")
-    pairs = e.groupBy("frame", (F.col("user_id") % 12).alias("observation"), F.hash("event_type").alias("track")).agg(F.max("value").alias("score"))
-    return boxes.assignment(pairs, "frame", "observation", "track", "score")
-
-
-#: Every vector is an observation of 21 points; ten are a frame and fifty frames a session, so sessions grow with the table.
-_PLACE = {"session": "string(vec_id div 500)", "frame": "vec_id div 10", "observation": "vec_id"}
-
-
-def _triples(spark, sf_dir):
-    e = read(spark, sf_dir, "embeddings").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(20))))
-    return e.select(*[F.expr(v).alias(k) for k, v in _PLACE.items()], *[F.get("embedding", F.col("i") * 3 + k).cast("double").alias(a) for k, a in enumerate("xyz")])
-
-
-def _observations(spark, sf_dir):
-    e = read(spark, sf_dir, "embeddings")
-    about = e.select(
-        *[F.expr(v).alias(k) for k, v in _PLACE.items()], F.col("label").cast("int").alias("class_id"),
-        F.concat(F.lit("class_"), F.col("label").cast("string")).alias("class_name"), F.lit(0.9).alias("confidence"), (F.expr("vec_id div 10") / 10 + 1).alias("stamp"),
-    )
-    return about.join(cleaning.clean_observations(_triples(spark, sf_dir), TRACKING), list(_PLACE))
-
-
-_CLUSTERING = MapConfig(voxel_size=0.02, cluster_eps=0.12, cluster_min_points=4)
-
-
-@query(f"""with recursive raw as (select vec_id as label, embedding[3 * i + 1]::double as x, embedding[3 * i + 2]::double as y, embedding[3 * i + 3]::double as z from embeddings, range(21) t(i)),
-vm as (select label, floor(x / 0.02::double)::bigint as kx, floor(y / 0.02::double)::bigint as ky, floor(z / 0.02::double)::bigint as kz, avg(x) as x, avg(y) as y, avg(z) as z from raw group by 1, 2, 3, 4),
-pts as materialized (select label, row_number() over (order by label, kx, ky, kz) as vec_id, x, y, z from vm), {_KNN},
-core as (select a from knn group by a having count(*) >= 4),
-edge as materialized (select k.a, k.b from knn k join core x on k.a = x.a join core y on k.b = y.a union select k.b, k.a from knn k join core x on k.a = x.a join core y on k.b = y.a),
-reach(a, b) as (select a, a from core union select r.a, e.b from reach r join edge e on r.b = e.a),
-lab as (select a, min(b) as label_ from reach group by a),
-bord as (select a, min_by(b, (d2, b)) as c from (select k.a, k.b, k.d2 from knn k join core y on k.b = y.a where k.a not in (select a from core)) group by a),
-every as (select * from lab union all select bord.a, lab.label_ from bord join lab on bord.c = lab.a),
-named as (select pts.*, label_ from pts left join every on vec_id = a),
-best as (select label, max_by(label_, (m, -label_)) as top, max(m) as m from (select label, label_, count(*) as m from named where label_ is not null group by 1, 2) group by label),
-tot as (select label, count(*) as n from pts group by label)
-select named.label as observation, count(*) as n, sum(round_even(x * 1000, 0)::bigint)::bigint as sx
-from named join tot on named.label = tot.label left join best on named.label = best.label
-where top is null or m < 5 or n < 4 or coalesce(label_ = top, false) group by 1 having count(*) >= 3""")
-def clean_observations(spark, sf_dir):
-    found = cleaning.clean_observations(_triples(spark, sf_dir), _CLUSTERING)
-    each = found.select("observation", F.explode("points").alias("p")).select("observation", F.col("p.x").cast("double").alias("x"))
-    return each.groupBy("observation").agg(F.count("*").alias("n"), F.sum(F.rint(F.col("x") * 1000).cast("long")).alias("sx"))
-
-
-TRACKING = MapConfig(voxel_size=0.05, overlap_radius=0.15, association_threshold=0.4, merge_interval=10, min_confirmed=2, max_extent_growth=3.0)
-
-
-@query()
-def tracker_batch(spark, sf_dir):
-    found = tracker.track_batch(_observations(spark, sf_dir), TRACKING)
-    return found.select("session", "frame", "observation", "track_id", *rounded("score", "overlap", "similarity", "box_overlap"), "is_new")
-
-
-MERGING = MapConfig(voxel_size=0.05, overlap_radius=0.12, max_centroid_distance=0.5, merge_overlap=0.6, cluster_eps=0.0, min_confirmed=20)
-_TRACKS = "tr as (select *, label * 5 + vec_id % 5 as track from pts)"
-_TB = "tb as (select track, label, avg(x) as c_x, avg(y) as c_y, avg(z) as c_z, min(x) as lo_x, min(y) as lo_y, min(z) as lo_z, max(x) as hi_x, max(y) as hi_y, max(z) as hi_z, count(*) as n from tr group by 1, 2)"
-_DOUBLES = f"""with recursive {P}, {_TRACKS}, {_TB},
-pr as (select a.track as a, b.track as b from tb a join tb b on a.label = b.label and a.track < b.track where {_PAIR} <= 0.5 and {_NEAR.replace('0.04', '0.12')}),
-bo as (select a, b from pr union select b, a from pr),
-hi as (select a.track as a, b.track as b, count(distinct a.vec_id) as hits from tr a join tr b on a.label = b.label and a.track <> b.track and {_DIST2} <= 0.12::double * 0.12::double group by 1, 2),
-ed as (select hi.a, hi.b from hi join bo on hi.a = bo.a and hi.b = bo.b join tb on tb.track = hi.a where hits / n >= 0.6),
-un as (select a, b from ed union select b, a from ed),
-reach(a, b) as (select a, a from un union select r.a, u.b from reach r join un u on r.b = u.a),
-su as (select a as track, min(b) as survivor from reach group by a)"""
-
-
-def _tracks(spark, sf_dir):
-    return points(spark, sf_dir).withColumn("track", F.col("label") * 5 + F.col("vec_id") % 5)
-
-
-@query(f"{_DOUBLES} select track, survivor from su")
-def double_tracks(spark, sf_dir):
-    return finalize.double_tracks(_tracks(spark, sf_dir), "track", "label", "vec_id", MERGING)
-
-
-@query(f"""{_DOUBLES}, t as (select coalesce(survivor, tr.track) as track, tr.label, vec_id from tr left join su using (track))
-select track, min_by(label, vec_id) as label, count(*) as observations, min(vec_id) as first_seen, max(vec_id) as last_seen from t group by 1 having count(*) >= 20""")
-def final_objects(spark, sf_dir):
-    t = _tracks(spark, sf_dir)
-    summary = t.groupBy("track", "label").agg(F.lit(0.5).alias("confidence"), F.count("*").alias("observations"), F.min("vec_id").alias("first_seen"), F.max("vec_id").alias("last_seen"))
-    return finalize.finalize(t, summary, "track", "label", "vec_id", MERGING)[1].select("track", "label", "observations", "first_seen", "last_seen")
-
-
-@query("""with l as (select user_id, value > lag(value) over (partition by user_id order by event_id) as up from events)
-select user_id, bool_and(coalesce(up, true)) as ascending from l group by 1""")
-def key_order(spark, sf_dir):
-    return finalize.ascending(read(spark, sf_dir, "events"), "value", "event_id", ["user_id"])
-
-
-@query(f"with {P}, {V} select label, count(*) as raw_points, count(distinct (kx, ky, kz)) as voxel_points from vox group by 1")
-def projection_counters(spark, sf_dir):
-    return finalize.projection_counters(points(spark, sf_dir), ["label"], VOXEL)
-
-
-@query("select event_id, epoch_us(ts) // 1000000 || '_' || lpad((epoch_us(ts) % 1000000 * 1000)::varchar, 9, '0') as stem from events")
-def frame_stems(spark, sf_dir):
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    return read(spark, sf_dir, "events").select("event_id", finalize.frame_stem(F.floor(us / 1000000), us % 1000000 * 1000).alias("stem"))
-
-
-@query(f"""with {P}, {_LAYOUT}, o as (select label, count(*) as n, min(x) as lo_x, min(y) as lo_y, max(x) as hi_x, max(y) as hi_y from pts group by 1),
-c as (select *, (lo_x + hi_x) * 0.5::double as center_x, (lo_y + hi_y) * 0.5::double as center_y from o)
-select label, n, {r('c.lo_x', 'c.lo_y', 'c.hi_x', 'c.hi_y', 'c.center_x', 'c.center_y')},
-  greatest(0, least(width - 1, round_even((center_x - min_x) * scale + offset_x, 0)))::integer as u,
-  greatest(0, least(height - 1, round_even(height - 1 - ((center_y - min_y) * scale + offset_y), 0)))::integer as v from c, fit""")
-def xy_objects(spark, sf_dir):
-    found = layout.xy_objects(points(spark, sf_dir), "label")
-    return found.select("label", "n", *rounded("lo_x", "lo_y", "hi_x", "hi_y", "center_x", "center_y"), "u", "v")
-
-
-@query(f"""with {P}, {B}, t as (select label, count(*) as k, min(vec_id) as a, max(vec_id) as b from pts group by 1)
-select 'class_' || label || '_' || label as id, case when k >= 45 then 'confirmed' else 'candidate' end as state, k as times_seen, a as first_seen, b as last_seen,
-  n as point_count, round(hi_x - lo_x, 6) + 0.0 as size_x, 'objects/object_' || lpad(label::varchar, 4, '0') || '_class_' || label || '.ply' as point_cloud_ply,
-  'objects/object_' || lpad(label::varchar, 4, '0') || '_class_' || label || '.npz' as point_cloud_npz, round(0.5::double * k, 6) as own_score,
-  'class_' || label as class_name, label as class_id, {", ".join(f"round({p}_{k}, 6) + 0.0 as {q}_{k}" for p, q in (("lo", "bounds_min"), ("hi", "bounds_max"), ("c", "centroid")) for k in "xyz")}
-from bounds join t using (label)""")
-def object_documents(spark, sf_dir):
-    p = points(spark, sf_dir)
-    seen = p.select("label", "vec_id", F.lit(0.5).alias("confidence"))
-    name = F.concat(F.lit("class_"), F.col("label").cast("string")).alias("class_name")
-    tracks = semantics.track_summary(seen, "label", "confidence", "vec_id", 45).select("label", F.col("label").alias("class_id"), name, "confidence", "observations", "first_seen", "last_seen", F.lit(0).alias("missed_frames"))
-    history = semantics.class_history(seen.withColumn("class_id", F.col("label")), "label", "class_id", "confidence", "vec_id")
-    found = layout.full_records(p, tracks, semantics.score_maps(history, "label", "class_id"), "label", 45)
-    own = F.element_at("semantic_scores", F.col("class_id").cast("string")).alias("own_score")
-    spread = [F.get(c, i).alias(f"{c}_{a}") for c in ("bounds_min", "bounds_max", "centroid") for i, a in enumerate("xyz")]
-    flat = found.select("*", *spread, own)
-    numbers = ["size_x", "own_score", *[f"{c}_{a}" for c in ("bounds_min", "bounds_max", "centroid") for a in "xyz"]]
-    plain = ("id", "state", "times_seen", "first_seen", "last_seen", "point_count", "point_cloud_ply", "point_cloud_npz", "class_name", "class_id")
-    return flat.select(*plain, *rounded(*numbers))
-
-
-@query("""with vocab as (select n_nationkey as class_id, n_name as class_name from nation join region on n_regionkey = r_regionkey where r_name <> 'ASIA')
-select c_custkey, class_id, class_name from customer join vocab on c_nationkey = class_id""")
-def vocabulary_join(spark, sf_dir):
-    """Class ids to names; classes outside the vocabulary go."""
-    c, n, g = (read(spark, sf_dir, t) for t in ("customer", "nation", "region"))
-    named = n.join(g.where("r_name <> 'ASIA'"), n.n_regionkey == g.r_regionkey)
-    vocabulary = named.select(F.col("n_nationkey").alias("class_id"), F.col("n_name").alias("class_name"))
-    rows = c.select("c_custkey", F.col("c_nationkey").alias("class_id"))
-    return detection.named_classes(rows, vocabulary).select("c_custkey", "class_id", "class_name")
-
-
-@query()
-def object_map(spark, sf_dir):
-    name = F.concat(F.lit("class_"), F.col("label").cast("string"))
-    return layout.object_map(layout.object_records(_clean_objects(spark, sf_dir), "label", name), generated_at="2024-01-01T00:00:00Z")
-
-
-@query()
-def tracker_stream(spark, sf_dir):
-    """The tracker as a stream over files of the same observations; a last frame per session moves the watermark on.
-
-    Files are written by frame within a session, a part of the frames after the other, and
-    read about a part at a time, so tracks live on from trigger to trigger.
-    """
-    found = materialize(_observations(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.col("stamp"))), "observations")
-    end = found.select("session").distinct().join(found.limit(1).drop("session", "frame", "ts", "points"))
-    end = end.select("*", F.lit(-1).cast("long").alias("frame"), F.array().cast(found.schema["points"].dataType).alias("points"), F.timestamp_seconds(F.lit(10**9)).alias("ts"))
-    source = new_path(spark, "frames")
-    lanes = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    for part in range(5):  # the frames of a session in five runs of ten
-        found.where(F.expr(f"frame % 50 div 10 = {part}")).repartition(lanes, "session").write.mode("append").parquet(source)
-    end.select(*found.columns).repartition(lanes, "session").write.mode("append").parquet(source)
-    stream = spark.readStream.schema(found.schema).option("maxFilesPerTrigger", lanes).parquet(source)
-    out = new_path(spark, "tracked")
-    started = tracker.track_stream(stream, TRACKING, "1 hour").writeStream.option("checkpointLocation", new_path(spark, "offsets"))
-    started.outputMode("append").trigger(availableNow=True).start(out).awaitTermination()
-    done = spark.read.parquet(out).where("frame >= 0")
-    return done.select("session", "frame", "observation", "track_id", *rounded("score", "overlap", "similarity", "box_overlap"), "is_new")
-
-
-@query("""with q as (select vec_id, vec_id % 11 / 10.0::double as t, embedding[1]::double as a1, embedding[2]::double as a2, embedding[3]::double as a3, embedding[4]::double as a4,
-  embedding[5]::double as b1, embedding[6]::double as b2, embedding[7]::double as b3, embedding[8]::double as b4 from embeddings),
-u as (select vec_id, t, [a1 / na, a2 / na, a3 / na, a4 / na] as a, [b1 / nb, b2 / nb, b3 / nb, b4 / nb] as b from (select *, sqrt(a1*a1 + a2*a2 + a3*a3 + a4*a4) as na, sqrt(b1*b1 + b2*b2 + b3*b3 + b4*b4) as nb from q)),
-d as (select *, list_dot_product(a, b) as dot from u), w as (select *, acos(least(abs(dot), 1)) as h, case when dot < 0 then -1 else 1 end as s from d),
-m as (select *, case when abs(dot) > 0.9995 then 1 - t else sin((1 - t) * h) / sin(h) end as p, s * case when abs(dot) > 0.9995 then t else sin(t * h) / sin(h) end as r from w),
-v as (select vec_id, list_transform(range(1, 5), lambda i: a[i] * p + b[i] * r) as c from m), n as (select *, sqrt(list_dot_product(c, c)) as l from v)
-select vec_id, round(c[1] / l, 6) + 0.0 as x, round(c[2] / l, 6) + 0.0 as y, round(c[3] / l, 6) + 0.0 as z, round(c[4] / l, 6) + 0.0 as w from n""")
-def rotation_interpolation(spark, sf_dir):
-    e = read(spark, sf_dir, "embeddings")
-    at = [F.get("embedding", i).cast("double") for i in range(8)]
-    turned = geometry.slerp(at[:4], at[4:], F.col("vec_id") % 11 / F.lit(10.0))
-    return e.select("vec_id", *[c.alias(n) for n, c in zip("xyzw", turned, strict=True)]).select("vec_id", *rounded("x", "y", "z", "w"))
-
-
-@query(f"""with {_BOXES}, im as (select *, 640 + o_custkey % 1280 as w, 480 + o_custkey % 720 as h from bx join orders using (o_orderkey)),
-fs as (select *, floor(w * (1024 / greatest(w, h)::double) + 0.5::double) / w as fx, floor(h * (1024 / greatest(w, h)::double) + 0.5::double) / h as fy from im)
-select o_orderkey, round(greatest(0, least(w - 1, x1)) * fx, 6) as x1, round(greatest(0, least(h - 1, y1)) * fy, 6) as y1,
-  round(greatest(0, least(w - 1, x2)) * fx, 6) as x2, round(greatest(0, least(h - 1, y2)) * fy, 6) as y2 from fs""")
-def prompt_boxes(spark, sf_dir):
-    size = read(spark, sf_dir, "orders").select("o_orderkey", (640 + F.col("o_custkey") % 1280).alias("w"), (480 + F.col("o_custkey") % 720).alias("h"))
-    corners = ("x1", "y1", "x2", "y2")
-    found = geometry.prompt_box([F.col(c) for c in corners], F.col("w"), F.col("h"))
-    boxes_ = _boxes(spark, sf_dir).join(size, "o_orderkey")
-    return boxes_.select("o_orderkey", *[c.alias(n) for n, c in zip(corners, found, strict=True)]).select("o_orderkey", *rounded(*corners))
-
-
-_SNAP = """snap as (select user_id, event_type, ts::date as day, event_id, value from events), last as (select max(day) as day from snap),
-now as (select user_id, count(*) as n, avg(value) / 1000 as conf, min(value) as lo, max(value) as hi from snap, last where snap.day = last.day group by 1),
-old as (select distinct user_id from snap, last where snap.day = last.day - 1)"""
-
-
-@query(f"""with {_SNAP}
-select user_id as id, 'add' as action, round((lo + hi) / 2, 6) as x, round(greatest(hi - lo, 0.02), 6) as scale_x, case when n >= 5 then 0.20::double else 0.08::double end as alpha,
-  '#' || user_id || ' [' || case when n >= 5 then 'confirmed' else 'candidate' end || '] user n=' || n || ' pts=' || n as text from now
-union all select user_id, 'delete', null, null, null, null from old where user_id not in (select user_id from now)""")
-def marker_feed(spark, sf_dir):
-    """Markers of one day's users and deletions of those seen the day before only."""
-    e = read(spark, sf_dir, "events").select("user_id", "value", F.to_date("ts").alias("day"))
-    dated = e.crossJoin(F.broadcast(e.agg(F.max("day").alias("last"))))  # one row
-    now = dated.where("day = last").groupBy(F.col("user_id").alias("track_id")).agg(
-        F.count("*").alias("times_seen"), F.count("*").alias("point_count"), (F.avg("value") / 1000).alias("confidence"),
-        *[F.min("value").alias(f"lo_{a}") for a in "xyz"], *[F.max("value").alias(f"hi_{a}") for a in "xyz"],
-    )
-    now = now.withColumns({"state": detection.status(F.col("times_seen"), 5), "class_name": F.lit("user")})
-    found = layout.marker_changes(dated.where("day = date_sub(last, 1)").select(F.col("user_id").alias("track_id")), now)
-    short = F.regexp_replace("text", " conf=[^ ]*", "")
-    return found.select("id", "action", *rounded("x", "scale_x"), "alpha", short.alias("text"))
-
-
-@query(f"""with {_HIST}, t as (select user_id, count(*) as times_seen from events group by 1), d as (select user_id, max_by(event_type, (score, -first_order)) as class_name from hist group by 1)
-select user_id as track_id, class_name, times_seen, 'viewer_filtered' as source from t join d using (user_id) where times_seen >= 20 and class_name in ('view', 'click')
-order by times_seen desc, track_id limit 50""")
-def navigation_records(spark, sf_dir):
-    e = read(spark, sf_dir, "events")
-    named = semantics.dominant_class(_history(spark, sf_dir), "user_id", "event_type").select("user_id", F.col("event_type").alias("class_name"))
-    tracks = e.groupBy("user_id").agg(F.count("*").alias("times_seen")).join(named, "user_id").withColumnRenamed("user_id", "track_id")
-    return layout.navigation_records(tracks, 50, 20, ["view", "click"]).select("track_id", "class_name", "times_seen", "source")
-
-
-@query("""select event_id as observation, user_id % 10 as session, event_id // 20 as frame, case when event_type = 'error' then user_id end as track_id,
-  case when event_type = 'error' then round(value / 500, 6) end as association_score from events""")
-def association_backfill(spark, sf_dir):
-    """Errors stand for the detections that a track took."""
-    e = read(spark, sf_dir, "events").withColumns({"session": F.col("user_id") % 10, "frame": F.expr("event_id div 20"), "observation": F.col("event_id")})
-    found = e.where("event_type = 'error'").select(
-        "session", "frame", "observation", F.col("user_id").alias("track_id"), (F.col("value") / 500).alias("score"),
-        F.lit(1.0).alias("overlap"), F.lit(1.0).alias("similarity"), F.lit(False).alias("is_new"),
-    )
-    filled = detection.associated(e.select("session", "frame", "observation"), found)
-    return filled.select("observation", "session", "frame", "track_id", *rounded("association_score"))
-
-
-@query(_projection_sql("% 16"))
-def bbox_project_all(spark, sf_dir):
-    """Every valid box, with all orders in sixteen crowded frames."""
-    every = _scaled(spark, sf_dir).where("box is not null")
-    every = every.select((F.col("o_orderkey") % 16).alias("frame_id"), F.col("o_orderkey").alias("detection_id"), "box.*")
-    return _projected(every, _pixels(spark, sf_dir))
-
-
-_POINTS = f"{_PIXELS}, mk as (select frame_id, u, v from px where depth < 4)"
-
-
 @query(_eroded(1).replace(_SET, _POINTS))
 def mask_erode_all(spark, sf_dir):
     """Sampled pixels alone as masks at 640 x 480; ``mask_erode`` fills the cells around them."""
