@@ -133,18 +133,23 @@ def largest_cluster(
     return joined.select(*by, F.col("a").alias(order), (whole | F.coalesce(F.col("_label") == F.col("best._label"), F.lit(False))).alias("kept"))
 
 
-def box_pairs(bounds: DataFrame, label: str, margin: float, reach: float, by: Sequence[str] = ()) -> DataFrame:
-    """Pairs of groups whose centroids lie within ``reach`` and whose boxes come within ``margin``.
+def facing_boxes(left: DataFrame, right: DataFrame, margin: float, reach: float, by: Sequence[str] = ()) -> DataFrame:
+    """Pairs of a left and a right group whose centroids lie within ``reach`` and whose boxes come within ``margin``.
 
-    ``bounds`` as from ``cloud_bounds``. Joined on centroid cells of size ``reach``.
+    Both as from ``cloud_bounds``, columns prefixed ``a_``/``b_``. Joined on centroid cells of size ``reach``.
     """
-    cells = bounds.withColumns({k: F.floor(F.col(f"c_{a}") / reach).cast("long") for k, a in zip(CELLS, AXES, strict=True)})
+    size = {k: F.floor(F.col(f"c_{a}") / reach).cast("long") for k, a in zip(CELLS, AXES, strict=True)}
     keys = [*by, *CELLS]
-    joined = prefixed(cells, "a_", keys).join(around(prefixed(cells, "b_", keys)), keys)
+    joined = prefixed(left.withColumns(size), "a_", keys).join(around(prefixed(right.withColumns(size), "b_", keys)), keys)
     d = [F.col(f"a_c_{x}") - F.col(f"b_c_{x}") for x in AXES]
     distance = F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
-    near = (F.col(f"a_{label}") < F.col(f"b_{label}")) & (distance <= reach) & bounds_near("a_", "b_", margin)
-    return joined.withColumn("distance", distance).where(near).withColumn("box_overlap", box_overlap("a_", "b_"))
+    near = joined.withColumn("distance", distance).where((F.col("distance") <= reach) & bounds_near("a_", "b_", margin))
+    return near.withColumn("box_overlap", box_overlap("a_", "b_"))
+
+
+def box_pairs(bounds: DataFrame, label: str, margin: float, reach: float, by: Sequence[str] = ()) -> DataFrame:
+    """Pairs of groups of one table, each once: ``facing_boxes`` of ``bounds`` with itself."""
+    return facing_boxes(bounds, bounds, margin, reach, by).where(F.col(f"a_{label}") < F.col(f"b_{label}"))
 
 
 def even_subsample(points: DataFrame, limit: int, order: str, by: Sequence[str]) -> DataFrame:

@@ -6,6 +6,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from voxelar.config import MapConfig
 from voxelar.functions import color, detection, geometry
-from voxelar.operators import asof, boxes, cleaning, finalize, layout, projection, semantics, spatial, voxels
+from voxelar.operators import asof, boxes, cleaning, finalize, layout, projection, rounds, semantics, spatial, voxels
 from voxelar.plans.components import connected_components
 from voxelar.plans.cut import materialize, new_path
 from voxelar.streaming import tracker
@@ -657,18 +658,18 @@ def assignment(spark, sf_dir):
 _PLACE = {"session": "string(vec_id div 500)", "frame": "vec_id div 10", "observation": "vec_id"}
 
 
-def _triples(spark, sf_dir):
+def _triples(spark, sf_dir, place=_PLACE):
     e = read(spark, sf_dir, "embeddings").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(20))))
-    return e.select(*[F.expr(v).alias(k) for k, v in _PLACE.items()], *[F.get("embedding", F.col("i") * 3 + k).cast("double").alias(a) for k, a in enumerate("xyz")])
+    return e.select(*[F.expr(v).alias(k) for k, v in place.items()], *[F.get("embedding", F.col("i") * 3 + k).cast("double").alias(a) for k, a in enumerate("xyz")])
 
 
-def _observations(spark, sf_dir):
+def _observations(spark, sf_dir, place=_PLACE):
     e = read(spark, sf_dir, "embeddings")
     about = e.select(
-        *[F.expr(v).alias(k) for k, v in _PLACE.items()], F.col("label").cast("int").alias("class_id"),
+        *[F.expr(v).alias(k) for k, v in place.items()], F.col("label").cast("int").alias("class_id"),
         F.concat(F.lit("class_"), F.col("label").cast("string")).alias("class_name"), F.lit(0.9).alias("confidence"), (F.expr("vec_id div 10") / 10 + 1).alias("stamp"),
     )
-    return about.join(cleaning.clean_observations(_triples(spark, sf_dir), TRACKING), list(_PLACE))
+    return about.join(cleaning.clean_observations(_triples(spark, sf_dir, place), TRACKING), list(place))
 
 
 _CLUSTERING = MapConfig(voxel_size=0.02, cluster_eps=0.12, cluster_min_points=4)
@@ -704,6 +705,23 @@ def tracker_batch(spark, sf_dir):
     return found.select("session", "frame", "observation", "track_id", *rounded("score", "overlap", "similarity", "box_overlap"), "is_new")
 
 
+#: Sessions of four frames, so that rounds are few whatever the size of the table.
+_SHORT = _PLACE | {"session": "string(vec_id div 40)"}
+ROUNDS = dataclasses.replace(TRACKING, merge_interval=2, max_missed=1)
+
+
+def short_observations(spark, sf_dir):
+    """Confidences that make assignments of equal sums unlikely."""
+    return _observations(spark, sf_dir, _SHORT).withColumn("confidence", F.lit(0.4) + F.pmod(F.hash("observation"), F.lit(9973)) / 20000)
+
+
+@query()
+def tracker_rounds(spark, sf_dir):
+    """Tracks by joins and aggregations, a round for the n-th frames of all sessions."""
+    found = rounds.track_rounds(short_observations(spark, sf_dir), ROUNDS)
+    return found.select("session", "frame", "observation", "track_id", *rounded("score", "overlap", "similarity", "box_overlap"), "is_new")
+
+
 MERGING = MapConfig(voxel_size=0.05, overlap_radius=0.12, max_centroid_distance=0.5, merge_overlap=0.6, cluster_eps=0.0, min_confirmed=20)
 _TRACKS = "tr as (select *, label * 5 + vec_id % 5 as track from pts)"
 _TB = "tb as (select track, label, avg(x) as c_x, avg(y) as c_y, avg(z) as c_z, min(x) as lo_x, min(y) as lo_y, min(z) as lo_z, max(x) as hi_x, max(y) as hi_y, max(z) as hi_z, count(*) as n from tr group by 1, 2)"
