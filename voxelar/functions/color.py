@@ -26,6 +26,12 @@ def stable_color(number: Column) -> dict[str, Column]:
     return {c: (F.shiftright(mixed, s).bitwiseAND(0xBF) + 64).cast("int") for c, s in (("r", 16), ("g", 8), ("b", 0))}
 
 
+def class_color(class_id: Column) -> Column:
+    """The packed colour of a class without an image: that of the next id, red and blue exchanged."""
+    c = stable_color(class_id + 1)
+    return pack_rgb(c["b"], c["g"], c["r"])
+
+
 def hue_color(number: Column, saturation: float = 0.78, value: float = 0.86) -> dict[str, Column]:
     """A colour whose hue steps by the golden ratio, as channels 0 to 255."""
     h6 = F.pmod(number * F.lit(GOLDEN), F.lit(1.0)) * 6

@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from voxelar.functions import detection, geometry
-from voxelar.operators import boxes, density, frames, layout, raster, voxels
+from voxelar.operators import asof, boxes, density, finalize, frames, layout, raster, voxels
 from voxelar.plans.counters import RunCounters
 from voxelar.plans.cut import materialize, new_path
-from voxelar.queries import _DIST2, _LAYOUT, NMS, ORACLES, VOXEL, E, P, V, _clean_objects, events, nms_boxes, points, query, rounded
+from voxelar.queries import _DIST2, _LAYOUT, NMS, ORACLES, VOXEL, E, P, V, _clean_objects, events, nms_boxes, points, query, read, rounded
 from voxelar.sources import recordings, snapshots
 from voxelar.streaming import live, quarantine
 
@@ -275,3 +275,52 @@ def stamp_quarantine(spark, sf_dir):
     second.outputMode("append").trigger(availableNow=True).start(out).awaitTermination()
     found = quarantine.outcomes(spark.read.schema(quarantine.FLAGGED).parquet(staged), spark.read.parquet(out))
     return found.where(F.col("stamp_ns") < _LAST)
+
+
+@query(f"""with {E}, l as (select *, user_id % 80 as class_id from ev where event_type = 'error'), w as (select * from ev where event_type = 'view'),
+j as (select l.event_id, w.event_id * 7919 % 16777216 as rgb, row_number() over (partition by l.event_id order by abs(w.ns - l.ns), w.event_id) as k
+  from l join w on l.user_id = w.user_id and abs(w.ns - l.ns) <= 3600000000000),
+c as (select l.event_id, rgb, ((class_id + 1) * 2654435761) % 4294967296 as h from l left join j on l.event_id = j.event_id and k = 1)
+select event_id, coalesce(rgb, (((h & 191) + 64) << 16) | ((((h >> 8) & 191) + 64) << 8) | (((h >> 16) & 191) + 64))::bigint as rgb,
+  case when rgb is null then 'class_fallback' else 'camera_rgb' end as color_mode from c""")
+def color_fallback(spark, sf_dir):
+    """Errors take the colour of the nearest view of their user within an hour, else that of their class."""
+    e = events(spark, sf_dir)
+    left = e.where("event_type = 'error'").select("event_id", "user_id", "ns", (F.col("user_id") % 80).alias("class_id"))
+    images = e.where("event_type = 'view'").select("user_id", F.col("event_id").alias("image"), F.col("ns").alias("image_ns"), (F.col("event_id") * 7919 % 16777216).alias("rgb"))
+    return asof.colored(left, images, "event_id", "ns", "image_ns", "image", 3_600_000_000_000, ["user_id"]).select("event_id", "rgb", "color_mode")
+
+
+@query("""with s as (select event_id, event_id % 4 * 120 as h, (user_id % 3 - 1) * 320 as w, event_id % 7 as kind from events)
+select event_id, (case when kind > 1 and h > 0 and w > 0 then w else 640 end)::integer as width, (case when kind > 1 and h > 0 and w > 0 then h else 480 end)::integer as height from s""")
+def payload_sizes(spark, sf_dir):
+    """Sizes from payloads: none, too short, not positive, with channels."""
+    e = read(spark, sf_dir, "events")
+    h, w, kind = F.col("event_id") % 4 * 120, (F.col("user_id") % 3 - 1) * 320, F.col("event_id") % 7
+    shape = F.when(kind == 1, F.array(h)).when(kind > 1, F.array(h, w, F.lit(3).cast("long")))
+    return e.select("event_id", detection.image_size(shape, (640, 480)).alias("s")).select("event_id", "s.width", "s.height")
+
+
+@query("""select cloud, id, row_number() over (partition by cloud order by id) - 1 as position
+from (select distinct l_orderkey % 1000 as cloud, l_suppkey as id from lineitem where l_linenumber < 6)""")
+def cloud_detections(spark, sf_dir):
+    """Lines are points of a thousand clouds, suppliers their detections."""
+    points_ = read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 1000).alias("cloud"), F.when(F.col("l_linenumber") < 6, F.col("l_suppkey")).alias("id"))
+    return finalize.detection_ids(points_, "id", ["cloud"])
+
+
+@query("""select event_id, event_id // 40 as frame, row_number() over (partition by event_id // 40 order by round(value / 10, 0) desc nulls last, event_id) - 1 as position from events""")
+def score_order(spark, sf_dir):
+    """Events in frames of forty by a coarse score with many ties."""
+    e = read(spark, sf_dir, "events").select("event_id", F.expr("event_id div 40").alias("frame"), F.round(F.col("value") / 10, 0).alias("score"))
+    return boxes.score_order(e, "score", "event_id", ["frame"]).select("event_id", "frame", "position")
+
+
+@query("""with f as (select event_id // 20 as frame, list(event_id order by event_id) as d, list(user_id order by event_id) filter (event_type <> 'error') as m from events group by 1)
+select frame, (i - 1)::integer as detection_id, d[i] as detection, m[i] as mask from f, range(1, 21) t(i) where i <= len(d) and i <= coalesce(len(m), 0)""")
+def mask_zip(spark, sf_dir):
+    """Frames of twenty detections, whose masks are fewer, paired by place."""
+    e = read(spark, sf_dir, "events").groupBy(F.expr("event_id div 20").alias("frame"))
+    ordered = [F.sort_array(F.collect_list(F.when(c, F.struct("event_id", "user_id")))) for c in (F.lit(True), F.col("event_type") != "error")]
+    frames_ = e.agg(*[a.alias(n) for a, n in zip(ordered, "dm", strict=True)]).select("frame", F.col("d.event_id").alias("d"), F.col("m.user_id").alias("m"))
+    return boxes.with_masks(frames_, "d", "m", ["frame"])

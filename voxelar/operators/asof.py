@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from voxelar.functions.color import class_color
+
 
 def nearest_join(
     left: DataFrame,
@@ -110,3 +112,14 @@ def _turned(rows: DataFrame, rotation: Sequence[str]) -> DataFrame:
     rows = rows.withColumn("_m", F.array(*[F.get("_p", i) * F.col("_a") + F.get("_q", i) * F.col("_b") for i in range(4)]))
     rows = rows.withColumn("_length", F.sqrt(sum((F.get("_m", i) * F.get("_m", i) for i in range(4)), F.lit(0.0))))
     return rows.withColumn("_r", F.struct(*[(F.get("_m", i) / F.col("_length")).alias(c) for i, c in enumerate(rotation)]))
+
+
+def colored(left: DataFrame, images: DataFrame, left_id: str, left_ns: str, image_ns: str, image_order: str, tolerance_ns: int, by: Sequence[str] = ()) -> DataFrame:
+    """Each left row with the ``rgb`` of the nearest image and ``color_mode``: ``camera_rgb``, or ``class_fallback`` where no image is near enough.
+
+    ``left`` has ``class_id``, ``images`` packed ``rgb``; an image without a colour counts as none. Equally near images: the first to arrive.
+    Where an image is required, as for masks, rows in ``class_fallback`` are the failed ones.
+    """
+    found = nearest_join(left, images, left_id, left_ns, image_ns, image_order, tolerance_ns, by, "arrival", "left")
+    mode = F.when(F.col("rgb").isNull(), F.lit("class_fallback")).otherwise(F.lit("camera_rgb"))
+    return found.withColumns({"color_mode": mode, "rgb": F.coalesce("rgb", class_color(F.col("class_id")))})

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxelar.plans.cut import materialize
@@ -144,3 +147,22 @@ def assignment(candidates: DataFrame, frame: str, row: str, column: str, score:
         return pd.concat([one(g) for _, g in pairs[[frame, row, column, score]].groupby(frame, sort=False)])
 
     return map_whole_groups(candidates, [frame], many, schema)
+
+
+def score_order(boxes: DataFrame, score: str, order: str, by: Sequence[str]) -> DataFrame:
+    """Boxes of all classes with their ``position`` in their frame, from 0, by falling score; equal scores by ``order``.
+
+    Nulls come last. A frame's boxes are a window partition.
+    """
+    place = W.partitionBy(*by).orderBy(F.desc_nulls_last(score), order)
+    return boxes.withColumn("position", F.row_number().over(place).cast("long") - 1)
+
+
+def with_masks(frames: DataFrame, detections: str, masks: str, by: Sequence[str]) -> DataFrame:
+    """A row ``by, detection_id, detection, mask`` for each detection that has a mask at its place in the frame's arrays.
+
+    The longer array's rest has no partner and goes; a null array is empty. Detection ids are places from 0.
+    """
+    shorter = F.least(F.size(F.coalesce(detections, F.array().cast(frames.schema[detections].dataType))), F.size(F.coalesce(masks, F.array().cast(frames.schema[masks].dataType))))
+    zipped = F.slice(F.arrays_zip(F.col(detections).alias("detection"), F.col(masks).alias("mask")), F.lit(1), shorter)
+    return frames.select(*by, F.posexplode(zipped).alias("detection_id", "z")).select(*by, "detection_id", F.col("z.detection").alias("detection"), F.col("z.mask").alias("mask"))

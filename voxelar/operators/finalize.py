@@ -76,3 +76,9 @@ def projection_counters(points: DataFrame, by: Sequence[str], voxel: float) -> D
 def frame_stem(sec, nanosec):
     """File stem of a stamp: seconds and nine digits of nanoseconds."""
     return F.concat_ws("_", sec.cast("string"), F.lpad(nanosec.cast("string"), 9, "0"))
+
+
+def detection_ids(points: DataFrame, detection: str, by: Sequence[str]) -> DataFrame:
+    """The distinct detections of every cloud as rows, with their ascending ``position`` from 0; points without one do not count."""
+    ids = points.where(F.col(detection).isNotNull()).select(*by, detection).distinct()
+    return ids.withColumn("position", F.row_number().over(W.partitionBy(*by).orderBy(detection)).cast("long") - 1)
