@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxelar.plans import cut, groups, session
+from voxelar.operators import projection, spatial
 from voxelar.plans.components import connected_components
 
 
@@ -60,3 +61,24 @@ def test_batch_size_is_lowered_from_the_default_only(spark):
     spark.conf.set(key, "99")
     assert session.small_batches(spark).conf.get(key) == "99"
     spark.conf.unset(key)
+
+
+def physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_boxes_dealt_to_tiles_are_not_broadcast(spark):
+    boxes = spark.range(50).selectExpr("0L as frame_id", "id as detection_id", "0 as left", "0 as top", "640 as right", "480 as bottom")
+    pixels = spark.range(50).selectExpr("0L as frame_id", "cast(id as int) as u", "cast(id as int) as v", "1.0D as depth")
+    found = projection.project_boxes(boxes, pixels, {"fx": 1.0, "fy": 1.0, "cx": 0.0, "cy": 0.0})
+    assert "Broadcast" not in physical(found)
+    assert found.count() == 50 * 25
+
+
+def test_copies_in_neighbour_cells_are_not_broadcast(spark):
+    p = spark.range(40).selectExpr("id", "id % 2 as part", "id / 100D as x", "0D as y", "0D as z")
+    plans = [spatial.radius_pairs(p, p, 0.05, ["part"]), spatial.radius_hits(p, p, 0.05, ["part"]), spatial.overlap_pairs(p, 0.05, "part", "id")]
+    for found in plans[:2]:
+        assert "Broadcast" not in physical(found)
+    assert not any("Generate" in side for side in physical(plans[2]).split("BroadcastExchange")[1:])
+    assert plans[0].count() == sum(abs(a - b) / 100 <= 0.05 + 1e-12 and (a - b) % 2 == 0 for a in range(40) for b in range(40))

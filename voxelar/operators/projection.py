@@ -20,6 +20,7 @@ def project_boxes(
     ``boxes``: ``frame_id, detection_id, left, top, right, bottom`` (right and bottom
     excluded); ``pixels``: ``frame_id, u, v, depth``. Boxes are dealt to the tiles they
     touch, so one large box is spread over many keys. A box without valid pixels has no rows.
+    Spark takes the dealt boxes for as small as the boxes, so they are merged lest they be broadcast.
     """
     stride = max(1, int(stride))
     tiles = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / TILE), F.floor((F.col(b) - 1) / TILE)))
@@ -29,7 +30,7 @@ def project_boxes(
     )
     inside = "u >= left and u < right and v >= top and v < bottom"
     on_grid = ((F.col("u") - F.col("left")) % stride == 0) & ((F.col("v") - F.col("top")) % stride == 0)
-    joined = dealt.join(cells, ["frame_id", "_tx", "_ty"]).where(inside).where(on_grid).drop("_tx", "_ty")
+    joined = dealt.hint("merge").join(cells, ["frame_id", "_tx", "_ty"]).where(inside).where(on_grid).drop("_tx", "_ty")
     return joined.withColumns(back_project(F.col("u"), F.col("v"), F.col("depth"), **camera))
 
 
