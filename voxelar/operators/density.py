@@ -26,11 +26,11 @@ REACH = 2
 
 
 def _beside(cells: DataFrame, prefix: str = "n") -> DataFrame:
-    """Each row once for each of the cells that may hold a neighbour, its own included."""
+    """Each row once for each of the cells that may hold a neighbour, its own included; merged, as in ``around``."""
     steps = F.array(*[F.lit(i) for i in range(-REACH, REACH + 1)])
     for k in CELLS:
         cells = cells.withColumn("_d", F.explode(steps)).withColumn(f"{prefix}{k}", F.col(k) + F.col("_d")).drop("_d")
-    return cells
+    return cells.hint("merge")
 
 
 def density_clusters(points: DataFrame, eps: float, least: int, order: str, by: Sequence[str] = ()) -> DataFrame:

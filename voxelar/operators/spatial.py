@@ -35,11 +35,14 @@ def prefixed(df: DataFrame, prefix: str, keep: Sequence[str] = ()) -> DataFrame:
 
 
 def around(points: DataFrame) -> DataFrame:
-    """Every point once in each of the 27 cells around its own."""
+    """Every point once in each of the 27 cells around its own.
+
+    Spark takes the copies for as small as the points, so a join would broadcast them: they are merged instead.
+    """
     steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     for k in CELLS:
         points = points.withColumn("_d", F.explode(steps)).withColumn(k, F.col(k) + F.col("_d")).drop("_d")
-    return points
+    return points.hint("merge")
 
 
 def squared(a: str, b: str) -> Column:
