@@ -204,6 +204,19 @@ def test_live_pairs_over_triggers_equal_one_simulation(spark, tmp_path):
         assert kinds["evicted", "depth"] and kinds["matched", "depth"] and (kinds["matched", "detection"] > 0) == (delay == 0)
 
 
+def test_live_pairs_keep_nanoseconds(spark, tmp_path):
+    """Stamps beyond 2^53 beside evicted frames, whose columns are null."""
+    first = 1_704_091_287_626_912_345
+    rows = [("a", 0, first - 10**9, True), ("a", 1, first, False), ("a", 2, first + 1, True), ("a", 3, first + 10**9, True)]
+    schema = "session string, arrival long, ns long, is_depth boolean"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    with live.rocksdb_state(spark):
+        q = live.live_pairs(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), 1, 5).writeStream.option("checkpointLocation", f"{tmp_path}/c")
+        q.outputMode("append").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+    got = [tuple(r) for r in spark.read.schema(live.OUTCOMES).parquet(f"{tmp_path}/out").orderBy("arrival").collect()]
+    assert got == [("a", 0, first - 10**9, "evicted", "depth", None, None, None), ("a", 2, first + 1, "matched", "depth", 1, first, 1)]
+
+
 # --- snapshots
 
 
