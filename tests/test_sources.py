@@ -1,4 +1,5 @@
 import json
+import random
 
 import numpy as np
 import pytest
@@ -67,6 +68,26 @@ def test_asof_ties(spark):
     assert asof.nearest_join(left, right, "i", "t", "s", "o", 5, how="left").first().o is None
 
 
+def test_poses_around_a_stamp_equal_brute_force(spark):
+    """Buckets beside each other, repeated stamps (the largest pose counts), nulls and stamps before zero."""
+    rng = random.Random(5)
+    poses = [(rng.choice(["a", "b", None]), rng.randrange(-300, 300), rng.randrange(1000) / 10) for _ in range(150)]
+    poses += [("a", 500, 1.0), ("a", 500, 5.0), ("b", 500, 5.0), ("b", 500, 1.0), ("a", None, 7.0), ("a", 510, None)]
+    left = [(i, rng.choice(["a", "b", None]), rng.randrange(-320, 320)) for i in range(200)] + [(900, "a", 500), (901, "b", 500), (902, "a", None), (903, "a", 505)]
+    found = asof.interpolated_pose(
+        spark.createDataFrame(left, "id long, by string, ns long"), spark.createDataFrame(poses, "by string, at long, v double"), "id", "ns", "at", ["v"], 7, ["by"]
+    )
+    for i, by, ns, v in found.collect():
+        near = [(at, x) for b, at, x in poses if b == by and by and at is not None and ns is not None and abs(at - ns) <= 7]
+        low = max((p for p in near if p[0] <= ns), key=lambda p: (p[0], -1 if p[1] is None else p[1]), default=None)
+        high = min((p for p in near if p[0] >= ns), key=lambda p: (p[0], 1 if p[1] is None else -p[1]), default=None)
+        want = None
+        if low and high and None not in (low[1], high[1]):
+            want = low[1] + (high[1] - low[1]) * ((ns - low[0]) / (high[0] - low[0]) if high[0] > low[0] else 0.0)
+        assert (v is None) == (want is None) and (v is None or abs(v - want) < 1e-9), (i, by, ns)
+    assert found.count() == len(left)
+
+
 def test_timing_report_arithmetic(spark):
     events = spark.createDataFrame([("sam_decoder", 0.125, 4)], "stage string, seconds double, calls int")
     report = semantics.timing_report(events, semantics.STAGES, 1.0, 2)
