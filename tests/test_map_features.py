@@ -297,6 +297,23 @@ def test_a_message_that_was_cut_off_is_not_read():
     assert len(recordings._heads(raw[:-1])) == 3 and len(recordings._heads(raw[:-8])) == 3 and recordings._heads(b"") == [0]
 
 
+def test_partitions_of_a_batch_do_not_grow_with_it(tmp_path):
+    """Messages are numbered by the counts beside the files; a file that was cut off is read instead."""
+    rows = [(i, b"x" * (i % 4)) for i in range(40_000)]
+    for n in range(8):
+        recordings.write_recording(rows[n * 5000 : n * 5000 + 5000], str(tmp_path / "r"), f"{n:03d}")
+    reader = recordings._Reader({"path": str(tmp_path / "r"), "progress": str(tmp_path / "p" / "o.json"), "max_messages": "39000"})
+    end = reader.latestOffset()
+    spans = reader.partitions({"message": 100}, end)
+    assert end == {"message": 39_000} and len(spans) <= recordings.PARTITIONS
+    got = [(r["stamp_ns"], r["data"]) for span in spans for batch in reader.read(span) for r in batch.to_pylist()]
+    assert got == rows[100:39_000]
+    last = tmp_path / "r" / "007.msg"
+    last.write_bytes(last.read_bytes()[:-1])
+    anew = recordings._Reader({"path": str(tmp_path / "r"), "progress": str(tmp_path / "p" / "o2.json"), "max_messages": "50000"})
+    assert anew.latestOffset() == {"message": 39_999}
+
+
 # --- stored voxels, counters
 
 

@@ -1,7 +1,8 @@
 """Recorded messages as a stream with offsets, partitions and a limit for each batch.
 
 A recording is a folder of files, read in the order of their names; a file is a run of
-messages, each a little-endian stamp (8 bytes), a size (4 bytes) and its bytes.
+messages, each a little-endian stamp (8 bytes), a size (4 bytes) and its bytes. A file beside
+it, ``.msg.count``, holds its number of messages, so that the driver need not read messages to number them.
 """
 
 from __future__ import annotations
@@ -19,13 +20,17 @@ from .snapshots import _listed, _put, file_system
 
 HEAD = struct.Struct("<qI")
 SCHEMA = "stamp_ns long, data binary"
+#: Partitions of a full batch, where ``partition_messages`` does not say how large they are.
+PARTITIONS = 64
 
 
 def write_recording(messages: Sequence[tuple[int, bytes]], path: str, name: str) -> None:
     """One file of a recording; it appears whole."""
     fs, root = file_system(path)
     fs.create_dir(root, recursive=True)
-    _put(fs, f"{root}/{name}.msg", b"".join(HEAD.pack(stamp, len(data)) + data for stamp, data in messages))
+    raw = b"".join(HEAD.pack(stamp, len(data)) + data for stamp, data in messages)
+    _put(fs, f"{root}/{name}.msg.count", json.dumps({"messages": len(messages), "bytes": len(raw)}).encode())
+    _put(fs, f"{root}/{name}.msg", raw)
 
 
 def _heads(raw: bytes) -> list[int]:
@@ -39,11 +44,20 @@ def _heads(raw: bytes) -> list[int]:
 
 @dataclass
 class Span(InputPartition):
-    """Bytes of one file that hold whole messages."""
+    """Messages ``first`` to ``last`` (excluded) of each of some files."""
 
-    file: str
-    start: int
-    stop: int
+    pieces: list[tuple[str, int, int]]
+
+
+def _count(fs, path: str, counted: bool) -> int:
+    """Whole messages of a file: as counted when it was written, unless it has been cut off since."""
+    if counted:
+        with fs.open_input_stream(f"{path}.count") as f:
+            known = json.loads(f.read())
+        if known["bytes"] == fs.get_file_info(path).size:
+            return known["messages"]
+    with fs.open_input_stream(path) as f:
+        return len(_heads(f.read())) - 1
 
 
 class _Reader(DataSourceStreamReader):
@@ -55,22 +69,22 @@ class _Reader(DataSourceStreamReader):
 
     def __init__(self, options: dict) -> None:
         self.path, self.progress = options["path"], options["progress"]
-        self.limit, self.size = int(options.get("max_messages", 1000)), int(options.get("partition_messages", 100))
-        self.known: dict[str, list[int]] = {}
+        self.limit, self.size = int(options.get("max_messages", 1000)), int(options.get("partition_messages", 0))
+        self.size = self.size or max(100, -(-self.limit // PARTITIONS))
+        self.known: dict[str, int] = {}
 
     def initialOffset(self) -> dict:  # noqa: N802
         return {"message": 0}
 
-    def _files(self) -> list[tuple[str, int, list[int]]]:
-        """Files with the number of their first message; new files are read once."""
+    def _files(self) -> list[tuple[str, int, int]]:
+        """Files with the number of their first message and how many they hold; new files are counted once."""
         fs, root = file_system(self.path)
-        found, first = [], 0
-        for path in sorted(p for p in _listed(fs, root) if p.endswith(".msg")):
+        found, first, listed = [], 0, set(_listed(fs, root))
+        for path in sorted(p for p in listed if p.endswith(".msg")):
             if path not in self.known:
-                with fs.open_input_stream(path) as f:
-                    self.known[path] = _heads(f.read())
+                self.known[path] = _count(fs, path, f"{path}.count" in listed)
             found.append((path, first, self.known[path]))
-            first += len(self.known[path]) - 1
+            first += self.known[path]
         return found
 
     def _planned(self) -> int:
@@ -81,7 +95,7 @@ class _Reader(DataSourceStreamReader):
             return json.loads(f.read())["message"]
 
     def latestOffset(self) -> dict:  # noqa: N802
-        there = sum(len(heads) - 1 for _, _, heads in self._files())
+        there = sum(n for _, _, n in self._files())
         return {"message": min(there, self._planned() + self.limit)}
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
@@ -90,22 +104,27 @@ class _Reader(DataSourceStreamReader):
             fs, path = file_system(self.progress)
             fs.create_dir(path.rpartition("/")[0], recursive=True)
             _put(fs, path, json.dumps(end).encode())
-        spans = []
-        for path, base, heads in self._files():
-            low, high = max(first - base, 0), min(last - base, len(heads) - 1)
-            spans += [Span(path, heads[i], heads[min(i + self.size, high)]) for i in range(low, high, self.size)]
+        spans, room = [], 0
+        for path, base, n in self._files():
+            low, high = max(first - base, 0), min(last - base, n)
+            while low < high:
+                if not room:
+                    spans.append(Span([]))
+                    room = self.size
+                take = min(room, high - low)
+                spans[-1].pieces.append((path, low, low + take))
+                low, room = low + take, room - take
         return spans
 
-    def read(self, partition: Span) -> Iterator[tuple]:
+    def read(self, partition: Span) -> Iterator[pa.RecordBatch]:
         fs, _ = file_system(self.path)
-        with fs.open_input_file(partition.file) as f:
-            f.seek(partition.start)
-            raw = f.read(partition.stop - partition.start)
-        at = 0
-        while at < len(raw):
-            stamp, size = HEAD.unpack_from(raw, at)
-            yield stamp, raw[at + HEAD.size : at + HEAD.size + size]
-            at += HEAD.size + size
+        for path, first, last in partition.pieces:
+            with fs.open_input_stream(path) as f:
+                raw = f.read()
+            ends = _heads(raw)[: last + 1]
+            stamps = [HEAD.unpack_from(raw, at)[0] for at in ends[first:last]]
+            data = [raw[at + HEAD.size : end] for at, end in zip(ends[first:last], ends[first + 1 :], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(stamps, pa.int64()), pa.array(data, pa.binary())], ["stamp_ns", "data"])
 
     def commit(self, end: dict) -> None:
         pass
