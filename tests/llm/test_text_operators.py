@@ -289,6 +289,30 @@ def test_links_connect_what_is_near(spark, node_rows):
     assert {f: got.get(f, f) for f in fps} == root
 
 
+def test_fingerprints_of_two_bits_pair_documents(spark):
+    """The near-duplicate stage compares what fingerprints link, whatever bands its samples share."""
+    rng = random.Random(12)
+    base = [rng.getrandbits(64) for _ in range(30)]
+    fps = [f ^ sum(1 << b for b in rng.sample(range(64), rng.choice([0, 1, 2, 3, 5]))) for f in base for _ in range(4)]
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    rows = spark.createDataFrame(list(enumerate(signed)), "rid long, fp long")
+    pairs = [tuple(r) for r in simhash.fingerprint_pairs(rows).collect()]
+    assert all(a < b for a, b in pairs)
+    root = list(range(len(fps)))
+    for near in (pairs, [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 2]):
+        label = root[:]
+        for _ in range(len(fps)):
+            for a, b in near:
+                label[a] = label[b] = min(label[a], label[b])
+        if near is pairs:
+            found = label
+    assert found == label
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(400)) for _ in range(3)]
+    texts.append(texts[0] + " one")
+    held = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "rid long, text binary")
+    assert {r.fp for r in simhash.band_fingerprints(held, 5).collect()} != {0}
+
+
 def test_near_copies_go_and_others_stay(spark):
     rng = random.Random(9)
     fresh = lambda n: [f"w{rng.randint(0, 10**7)}" for _ in range(n)]

@@ -242,7 +242,7 @@ def simhash_groups(
 
 
 def band_fingerprints(rows: DataFrame, size: int) -> DataFrame:
-    """``(rid, key, bands)``: SimHash fingerprints of min-wise samples of the distinct shingles; key: the text's hash.
+    """``(rid, key, fp, bands)``: SimHash fingerprints of the distinct shingles and of min-wise samples of them; key: the text's hash.
 
     Copies of similarity s agree on a whole band sample with probability s^5, so with
     20 bands a pair at 0.8 shares an equal band fingerprint in 99.96 % of cases.
@@ -253,7 +253,7 @@ def band_fingerprints(rows: DataFrame, size: int) -> DataFrame:
         mul = spread.integers(1, 1 << 63, BANDS * BAND_ROWS, np.uint64) * 2 + 1
         add = spread.integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64)
         for batch in batches:
-            rids, keys, bands = [], [], []
+            rids, keys, fps, bands = [], [], [], []
             for rid, text in zip(batch.column("rid").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 hashes = np.unique(shingle_hashes(text, size))
                 if not len(hashes):
@@ -270,14 +270,25 @@ def band_fingerprints(rows: DataFrame, size: int) -> DataFrame:
                 packed = np.packbits(2 * bits.sum(axis=1) > BAND_ROWS, axis=1)
                 rids.append(rid)
                 keys.append(xxhash.xxh64_intdigest(text, SEED))
+                fps.append(majority(hashes))
                 bands.append(np.ascontiguousarray(packed).view(">u8").ravel().astype(np.uint64).view(np.int64))
             flat = np.concatenate(bands) if bands else np.empty(0, np.int64)
             offsets = pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32))
             column = pa.ListArray.from_arrays(offsets, pa.array(flat))
-            key = pa.array(np.array(keys, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), key, column], ["rid", "key", "bands"])
+            key, fp = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (keys, fps))
+            yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), key, fp, column], ["rid", "key", "fp", "bands"])
 
-    return rows.mapInArrow(run, "rid long, key long, bands array<long>")
+    return rows.mapInArrow(run, "rid long, key long, fp long, bands array<long>")
+
+
+def fingerprint_pairs(rows: DataFrame, max_distance: int = 2) -> DataFrame:
+    """Pairs ``(a, b)`` of ``rows(rid, fp)`` that connect all rows whose fingerprints differ in ``max_distance`` bits or fewer."""
+    firsts = materialize(rows.groupBy("fp").agg(F.min("rid").alias("first")), "firsts")
+    near = materialize(links(firsts.select("fp"), max_distance), "near")
+    for end, name in (("a", "x"), ("b", "y")):
+        near = near.join(firsts.select(F.col("fp").alias(end), F.col("first").alias(name)), end)
+    equal = rows.join(firsts, "fp").where("rid <> first").select(F.col("first").alias("a"), F.col("rid").alias("b"))
+    return equal.unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
 
 
 def _shingle_sets(rows: DataFrame, size: int) -> DataFrame:
@@ -337,6 +348,8 @@ def prefix_pairs(sets: DataFrame, similarity: float, block_rows: int = PAIR_ROWS
 def similar_pairs(rows: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """Verified pairs ``(a, b)`` of ``rows(rid, text)`` that connect all pairs of a band group that are that similar.
 
+    Texts whose fingerprints differ in two bits or fewer are compared along the links that connect them. That finds
+    the closest copies; for the others, whose fingerprints differ more, samples have fingerprints of their own, the bands.
     Members of a band group are compared with two leaders, a pseudo-random one and of the others
     the one with most company over its bands (an original among its copies), which settles most
     groups at a bounded number of comparisons per member. Members of groups that fall into several
@@ -355,8 +368,8 @@ def similar_pairs(rows: DataFrame, size: int = 5, similarity: float = 0.8) -> Da
     seconds = grouped.where("rid <> leader and n > 2").join(company, "rid").groupBy("band", "fp").agg(best.alias("m"))
     seconds = materialize(seconds.select("band", "fp", F.col("m.second").alias("leader")), "seconds")
     pairs = grouped.select("rid", "leader").unionByName(grouped.drop("leader").join(seconds, ["band", "fp"]).select("rid", "leader"))
-    pairs = pairs.where("rid <> leader").select(F.least("rid", "leader").alias("a"), F.greatest("rid", "leader").alias("b")).distinct()
-    pairs = materialize(pairs, "pairs")
+    pairs = pairs.where("rid <> leader").select(F.least("rid", "leader").alias("a"), F.greatest("rid", "leader").alias("b"))
+    pairs = materialize(pairs.unionByName(fingerprint_pairs(bands.select("rid", "fp"))).distinct(), "pairs")
     members = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
     sets = materialize(_shingle_sets(rows.join(broadcast_if_small(members, ID_ROWS), "rid", "left_semi"), size), "sets")
     linked = materialize(_verified(pairs, sets, similarity), "linked")
