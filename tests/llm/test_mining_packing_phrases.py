@@ -169,6 +169,25 @@ def test_remembered_words_are_bounded(monkeypatch):
         assert len(known) <= 3 and len(known.old) <= 3 and b"z" * 100 not in known
 
 
+def test_new_words_are_encoded_together_and_once_whatever_their_case_and_marks():
+    known = packing.Ids(vocabulary(packing.VOCABULARY))
+    library, calls = known.tokenizer, []
+
+    class Counting:
+        def encode(self, text, **kw):
+            calls.append(text)
+            return library.encode(text, **kw)
+
+    known.tokenizer = Counting()
+    plain = "Ouanque, ouanque. (OUANQUE) don't Éaion éaion; 12 3.5 a\x1cb <|endoftext|> ß×"
+    texts = [plain.replace("×", ""), plain, "E\u0301 H\u0331 \u0301x ΑΣ \u0130 ﬁ\xa0b a\x85b \u3000", "\x85 a", "", "ouanque: Éaion!"]
+    for text in texts:
+        want = np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert known.of(text) == want == known.of(text)
+    assert len(calls) <= 2 * len(texts) and known.splits
+    assert calls[0].split().count("ouanque") == 1 and "ouanque" not in calls[-1]
+
+
 # --- phrases
 
 

@@ -11,6 +11,8 @@ and each finds its range by a binary search.
 from __future__ import annotations
 
 import functools
+import itertools
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -36,7 +38,14 @@ REMEMBERED, WORD_BYTES = 300_000, 48
 LOT = 100_000
 STRETCH = 1 << 20
 
+#: How the vocabulary splits normalized text (a fixed value; a vocabulary without it gets whole words).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: Characters beyond ASCII and the letters of Latin-1; without them a text is plain.
+_OTHER = re.compile("[^\\x00-\\x7FÀ-ÖØ-öø-ÿ]")
+#: ``PATTERN`` on words of plain text in lower case, where bytes beyond ASCII are those of letters.
+_MATCH = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xFF]+|[0-9]|[^\x20\x09-\x0Da-z0-9\x80-\xFF]+")
 
 
 def stretches(text: bytes, size: int = STRETCH) -> Iterator[bytes]:
@@ -52,7 +61,10 @@ class Ids(dict):
     """The ids of a word (bytes without ASCII white space) as little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space and never joins what it separates, so a text's ids are
-    those of its words one after another. Recent words are kept in two generations.
+    those of its words one after another. A plain text, which the normalizer only lower-cases,
+    is lower-cased here and its new words are taken apart into the matches of the vocabulary's
+    pattern, so that what differs in case or marks is encoded once. Recent words are kept in two
+    generations; what is new in a text is encoded together.
     """
 
     def __init__(self, path: str) -> None:
@@ -60,20 +72,52 @@ class Ids(dict):
         self.old: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.old.get(word)
-        if ids is None:
-            ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= WORD_BYTES:
-            if len(self) >= REMEMBERED:
-                self.old = dict(self)
-                self.clear()
-            self[word] = ids
-        return ids
+        with open(path, encoding="utf-8") as f:
+            self.splits = json.dumps(PATTERN) in f.read()
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """The ids of every word; in the joined text an id belongs to the word in which its characters start."""
+        texts = [word.decode() for word in words]
+        found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        after = np.cumsum([len(text) + 1 for text in texts])
+        ends = (4 * np.searchsorted([start for start, _ in found.offsets], after)).tolist()
+        raw = np.array(found.ids, "<u4").tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def learn(self, words: set[bytes], plain: bool) -> dict[bytes, bytes]:
+        """The ids of ``words``, which are remembered from now on, and of their matches."""
+        found, parts = {}, {}
+        for word in words:
+            if ids := self.old.get(word):
+                found[word] = ids
+            else:
+                parts[word] = _MATCH.findall(word) if plain else [word]
+        new = []
+        for part in set(itertools.chain.from_iterable(parts.values())).difference(found):
+            if ids := self.get(part) or self.old.get(part):
+                found[part] = ids
+            else:
+                new.append(part)
+        if new:
+            found.update(zip(new, self.encode(new), strict=True))
+        found.update([(word, b"".join([found[part] for part in own])) for word, own in parts.items() if len(own) > 1])
+        if len(self) + len(found) > REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+        self.update([(word, ids) for word, ids in itertools.islice(found.items(), REMEMBERED) if len(word) <= WORD_BYTES])
+        return found
 
     def of(self, text: str) -> bytes:
-        return b"".join([b"".join(map(self.__getitem__, part.split())) for part in stretches(text.encode())])
+        plain = self.splits and not _OTHER.search(text)
+        out = []
+        for part in stretches((text.lower() if plain else text).encode()):
+            words = part.split()
+            ids = list(map(self.get, words))
+            if unknown := {word for word, x in zip(words, ids, strict=True) if x is None}:
+                found = self.learn(unknown, plain)
+                ids = [found[word] if x is None else x for word, x in zip(words, ids, strict=True)]
+            out.append(b"".join(ids))
+        return b"".join(out)
 
 
 @functools.lru_cache(maxsize=2)
