@@ -136,6 +136,16 @@ def test_density_equals_bounded_clusters_where_the_bound_does_not_bind(spark):
     assert density.largest_density_cluster(df, 0.2, 3, "i", ["g"]).exceptAll(want).count() == 0
 
 
+def test_neighbours_of_dense_points_are_ranked_from_few_pairs(spark):
+    rng = np.random.default_rng(3)
+    xyz = np.concatenate([rng.uniform(0, 0.05, (600, 3)), np.tile([0.02, 0.02, 0.02], (100, 1)), [[5.0, 5.0, 5.0]]])
+    df = spark.createDataFrame([(0, i, *map(float, p)) for i, p in enumerate(xyz)], "g int, i long, x double, y double, z double")
+    d2 = ((xyz[:, None] - xyz[None]) ** 2) @ np.ones(3)
+    want = {(a, int(b)) for a in range(len(xyz)) for b in np.lexsort((np.arange(len(xyz)), d2[a]))[:8] if d2[a, b] < 0.12**2}
+    assert {(r.a, r.b) for r in spatial.bounded_knn(df, 0.12, 8, "i", ["g"]).collect()} == want
+    assert spatial.close_pairs(df, 0.12, 8, "i", ["g"]).count() < 4 * 8 * len(xyz)  # of 490,001 pairs
+
+
 def test_a_dense_cell_lists_no_pairs(spark):
     """Four thousand points in two neighbouring cells: sixteen million pairs, but one link."""
     rng = np.random.default_rng(6)

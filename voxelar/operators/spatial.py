@@ -22,6 +22,8 @@ from .voxels import CELLS, with_cells
 #: Neighbours a clustering looks at, and the size below which a cluster is not trusted (fixed values).
 NEIGHBOURS = 32
 LEAST_CLUSTER = 5
+#: Balls in which ``close_pairs`` counts, each of half the volume of the one before.
+HALVINGS = 18
 
 
 def cloud_bounds(points: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -94,13 +96,29 @@ def cloud_overlap(points: DataFrame, radius: float, label: str, order: str) -> D
     return shares.groupBy(low, high).agg(F.max("share").alias("overlap"))
 
 
+def close_pairs(points: DataFrame, eps: float, k: int, order: str, by: Sequence[str] = ()) -> DataFrame:
+    """``by, a, b, d2``: pairs within ``eps`` in the same group, about twice ``k`` for a point, its ``k`` nearest among them.
+
+    A point's pairs are first only counted in balls of falling volume; the smallest ball with
+    ``k`` of them bounds its pairs. Of equal points only the first ``k`` can be among anyone's nearest.
+    """
+    pts = materialize(points.select(*by, order, *AXES), "points")
+    copy = F.row_number().over(W.partitionBy(*by, *AXES).orderBy(order))
+    others = pts.withColumn("_copy", copy).where(F.col("_copy") <= k).drop("_copy")
+    balls = {f"_n{i}": eps * eps * 2 ** (-2 * i / 3) for i in range(HALVINGS, 0, -1)}
+    counts = radius_pairs(pts, others, eps, by, strict=True).groupBy(*by, F.col(f"a_{order}").alias(order)).agg(*[F.count_if(F.col("d2") < d2).alias(n) for n, d2 in balls.items()])
+    enough = F.coalesce(*[F.when(F.col(n) >= k, F.lit(d2)) for n, d2 in balls.items()])
+    bounded = pts.join(counts.select(*by, order, enough.alias("bound")), [*by, order], "left")
+    pairs = radius_pairs(bounded, others, eps, by, strict=True).where(F.col("a_bound").isNull() | (F.col("d2") < F.col("a_bound")))
+    return pairs.select(*by, F.col(f"a_{order}").alias("a"), F.col(f"b_{order}").alias("b"), "d2")
+
+
 def bounded_knn(points: DataFrame, eps: float, k: int, order: str, by: Sequence[str] = ()) -> DataFrame:
     """Up to ``k`` nearest points within ``eps`` in the same group, the point itself included.
 
     Columns ``by, a, b, d2, rank``; ties by ``order``.
     """
-    pts = points.select(*by, order, *AXES)
-    pairs = radius_pairs(pts, pts, eps, by, strict=True).select(*by, F.col(f"a_{order}").alias("a"), F.col(f"b_{order}").alias("b"), "d2")
+    pairs = close_pairs(points, eps, k, order, by)
     ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy(*by, "a").orderBy("d2", "b")))
     return ranked.where(F.col("rank") <= k)
 
