@@ -33,7 +33,7 @@ def _beside(cells: DataFrame, prefix: str = "n") -> DataFrame:
     return cells.hint("merge")
 
 
-def density_clusters(points: DataFrame, eps: float, least: int, order: str, by: Sequence[str] = ()) -> DataFrame:
+def density_clusters(points: DataFrame, eps: float, least: int, order: str, by: Sequence[str] = (), closed: bool = False) -> DataFrame:
     """``by, order, core, cluster``: exact density clusters, the smallest core ``order`` of each as its name.
 
     A core has ``least`` points nearer than ``eps`` in its group, itself included; cores
@@ -41,13 +41,15 @@ def density_clusters(points: DataFrame, eps: float, least: int, order: str, by:
     ``order``) or has a null cluster. ``order`` must be unique over all groups. No join lists
     the pairs of a dense cell: points of sparse cells (fewer than ``least``) meet those of
     cells around them, and cells are linked through the points of each that lie
-    nearest the other, by a semi-join where those do not decide.
+    nearest the other, by a semi-join where those do not decide. ``closed`` takes points
+    at ``eps`` for neighbours too. Coordinates must be finite.
     """
+    limit = math.nextafter(eps * eps, math.inf) if closed else eps * eps
     key = [*by, *CELLS]
     side = eps / math.sqrt(3) * (1 - SLACK)
     pts = materialize(with_cells(points.select(*by, order, *AXES), side), "points")
     cells = materialize(pts.groupBy(*key).agg(F.count("*").alias("n")), "cells")
-    near = F.col("d2") < eps * eps
+    near = F.col("d2") < limit
 
     sparse = pts.join(cells.where(F.col("n") < least).select(*key), key)
     # Only cells that are there: an equi-join of cells, then of the points of both.
@@ -66,7 +68,7 @@ def density_clusters(points: DataFrame, eps: float, least: int, order: str, by:
 
     nodes = cores.groupBy(*key).agg(F.min(order).alias("node"), *[f(F.col(a)).alias(f"{p}_{a}") for a in AXES for p, f in (("lo", F.min), ("hi", F.max))])
     nodes = materialize(nodes, "nodes")
-    links = materialize(_links(cores, nodes, eps, order, by), "links")
+    links = materialize(_links(cores, nodes, limit, order, by), "links")
     found = connected_components(links)
     named = nodes.join(found, "node", "left").select(*key, F.coalesce("component", "node").alias("cluster"))
     in_core = cores.join(named, key).select(*by, order, F.lit(True).alias("core"), "cluster")
@@ -78,13 +80,13 @@ def density_clusters(points: DataFrame, eps: float, least: int, order: str, by:
     return in_core.unionByName(border)
 
 
-def _links(cores: DataFrame, nodes: DataFrame, eps: float, order: str, by: Sequence[str]) -> DataFrame:
-    """``a, b``: nodes of cells with cores nearer than ``eps``."""
+def _links(cores: DataFrame, nodes: DataFrame, limit: float, order: str, by: Sequence[str]) -> DataFrame:
+    """``a, b``: nodes of cells with cores whose squared distance is below ``limit``."""
     key = [*by, *CELLS]
     box = [f"{p}_{a}" for p in ("lo", "hi") for a in AXES]
     other = nodes.select(*by, *[F.col(k).alias(f"n{k}") for k in CELLS], F.col("node").alias("b"), *[F.col(c).alias(f"b_{c}") for c in box])
     gap = sum((F.pow(F.greatest(F.lit(0.0), F.col(f"b_lo_{a}") - F.col(f"hi_{a}"), F.col(f"lo_{a}") - F.col(f"b_hi_{a}")), 2) for a in AXES), F.lit(0.0))
-    pairs = _beside(nodes.withColumnRenamed("node", "a")).join(other, [*by, *[f"n{k}" for k in CELLS]]).where("a < b").where(gap < eps * eps)
+    pairs = _beside(nodes.withColumnRenamed("node", "a")).join(other, [*by, *[f"n{k}" for k in CELLS]]).where("a < b").where(gap < limit)
     pairs = materialize(pairs, "cell-pairs")
 
     def nearest(to: str, at: Sequence[str], name: str) -> DataFrame:
@@ -96,7 +98,7 @@ def _links(cores: DataFrame, nodes: DataFrame, eps: float, order: str, by: Seque
 
     sides = nearest("b_", CELLS, "p").join(nearest("", [f"n{k}" for k in CELLS], "q"), ["a", "b"])
     d2 = sum((F.pow(F.col(f"p.{x}") - F.col(f"q.{x}"), 2) for x in AXES), F.lit(0.0))
-    sides = materialize(sides.select("a", "b", (d2 < eps * eps).alias("linked")), "sides")
+    sides = materialize(sides.select("a", "b", (d2 < limit).alias("linked")), "sides")
     open_ = pairs.join(sides.where("not linked").select("a", "b"), ["a", "b"])
 
     def beside(cell: Sequence[str], to: str) -> DataFrame:
@@ -104,11 +106,11 @@ def _links(cores: DataFrame, nodes: DataFrame, eps: float, order: str, by: Seque
         where_ = [F.col(c).alias(k) for c, k in zip(cell, CELLS, strict=True)]
         off = sum((F.pow(F.greatest(F.lit(0.0), F.col(f"{to}lo_{x}") - F.col(x), F.col(x) - F.col(f"{to}hi_{x}")), 2) for x in AXES), F.lit(0.0))
         asked = open_.select(*by, "a", "b", *where_, *[f"{to}{c}" for c in box]).join(cores.select(*key, *AXES), key)
-        return asked.where(off < eps * eps).select("a", "b", *AXES)
+        return asked.where(off < limit).select("a", "b", *AXES)
 
     left = beside(CELLS, "b_")
     right = beside([f"n{k}" for k in CELLS], "").select(F.col("a").alias("_a"), F.col("b").alias("_b"), *[F.col(x).alias(f"b_{x}") for x in AXES])
-    hits = left.join(right, [F.col("a") == F.col("_a"), F.col("b") == F.col("_b"), squared("", "b_") < eps * eps], "left_semi")
+    hits = left.join(right, [F.col("a") == F.col("_a"), F.col("b") == F.col("_b"), squared("", "b_") < limit], "left_semi")
     return sides.where("linked").select("a", "b").unionByName(hits.select("a", "b").distinct())
 
 
