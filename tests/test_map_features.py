@@ -136,6 +136,13 @@ def test_density_equals_bounded_clusters_where_the_bound_does_not_bind(spark):
     assert density.largest_density_cluster(df, 0.2, 3, "i", ["g"]).exceptAll(want).count() == 0
 
 
+def test_closed_clusters_link_points_at_the_radius(spark):
+    xyz = [(0.0, 0.0, 0.0), (0.05, 0.0, 0.0), (0.1000001, 0.0, 0.0)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(xyz)], "i long, x double, y double, z double")
+    got = {r.i: r.cluster for r in density.density_clusters(df, 0.05, 1, "i", closed=True).collect()}
+    assert got == {0: 0, 1: 0, 2: 2}
+
+
 def test_neighbours_of_dense_points_are_ranked_from_few_pairs(spark):
     rng = np.random.default_rng(3)
     xyz = np.concatenate([rng.uniform(0, 0.05, (600, 3)), np.tile([0.02, 0.02, 0.02], (100, 1)), [[5.0, 5.0, 5.0]]])
