@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from voxelar.operators import boxes, density, frames, raster, spatial, voxels
 from voxelar.plans.counters import RunCounters
 from voxelar.sources import recordings, snapshots
-from voxelar.streaming import live
+from voxelar.streaming import live, quarantine
 
 # --- frames
 
@@ -234,6 +234,23 @@ def test_live_pairs_keep_nanoseconds(spark, tmp_path):
     assert got == [("a", 0, first - 10**9, "evicted", "depth", None, None, None), ("a", 2, first + 1, "matched", "depth", 1, first, 1)]
 
 
+# --- quarantine
+
+
+def test_batches_are_flagged_by_earlier_ones_alone(spark, tmp_path):
+    ns = 1_700_000_000_000_000_000
+    batches = [[ns + 5_999_999, ns - 10**12], [ns - 4_000_001, ns - 5_000_001, ns - 5_000_000], [ns + 10**9, ns - 4_000_001]]
+    staged, marks = f"{tmp_path}/staged", f"{tmp_path}/marks"
+    sink = quarantine.flagging(spark, staged, marks, 10)
+    frames_ = [spark.createDataFrame([("cloud", i, v) for i, v in enumerate(b)], "side string, ref long, stamp_ns long") for b in batches]
+    for number in (0, 1, 2, 1, 0, 2):  # batches repeat after a failure
+        sink(frames_[number], number)
+    got = {(r.number, r.ref): r.late for r in quarantine.flagged(spark, staged).withColumn("number", F.expr("int(regexp_extract(input_file_name(), 'staged/([0-9]+)/', 1))")).collect()}
+    top = ns // 10**6 + 5
+    want = {(b, i): b > 0 and v // 10**6 <= top - 10 for b, vs in enumerate(batches) for i, v in enumerate(vs)}
+    assert got == want and set(got.values()) == {True, False}
+
+
 # --- snapshots
 
 

@@ -12,7 +12,7 @@ from voxelar.plans.counters import RunCounters
 from voxelar.plans.cut import materialize, new_path
 from voxelar.queries import _DIST2, _LAYOUT, NMS, ORACLES, VOXEL, E, P, V, _clean_objects, events, nms_boxes, points, query, read, rounded
 from voxelar.sources import recordings, snapshots
-from voxelar.streaming import live, quarantine
+from voxelar.streaming import joins, live, quarantine
 
 #: A chain of moving edges with samples of their own, and two fixed frames.
 _EDGES = (("map", "odom", "view"), ("odom", "base", "click"), ("base", "arm", "signup"))
@@ -266,14 +266,12 @@ def stamp_quarantine(spark, sf_dir):
     last = spark.range(2).select(F.when(F.col("id") == 0, "cloud").otherwise("meta").alias("side"), F.lit(-1).cast("long").alias("ref"), F.lit(_LAST).alias("stamp_ns"))
     last.coalesce(1).write.mode("append").parquet(source)
     messages = spark.readStream.schema(last.schema).option("maxFilesPerTrigger", lanes).parquet(source)
-    delay = f"{_DELAY_H} hours"
-    with live.rocksdb_state(spark, idle_batches=False):
-        first = quarantine.flagged(messages, delay).writeStream.option("checkpointLocation", new_path(spark, "offsets"))
-        first.outputMode("append").trigger(availableNow=True).start(staged).awaitTermination()
-    rows = spark.readStream.schema(quarantine.FLAGGED).parquet(staged)
-    second = quarantine.paired(rows, delay).writeStream.option("checkpointLocation", new_path(spark, "offsets"))
-    second.outputMode("append").trigger(availableNow=True).start(out).awaitTermination()
-    found = quarantine.outcomes(spark.read.schema(quarantine.FLAGGED).parquet(staged), spark.read.parquet(out))
+    sink = quarantine.flagging(spark, staged, new_path(spark, "marks"), _DELAY_H * 3_600_000)
+    joins.snapshots(messages, sink, new_path(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
+    second = quarantine.paired(quarantine.flagged(spark, staged, stream=True), f"{_DELAY_H} hours").writeStream
+    second = second.outputMode("append").option("checkpointLocation", new_path(spark, "offsets"))
+    second.trigger(availableNow=True).start(out).awaitTermination()
+    found = quarantine.outcomes(quarantine.flagged(spark, staged), spark.read.parquet(out))
     return found.where(F.col("stamp_ns") < _LAST)
 
 

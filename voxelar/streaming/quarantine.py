@@ -2,46 +2,41 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 
-#: Keys over which rows are spread to be compared with the watermark; they keep no state.
-LANES = 64
-
-
-class _Flag(StatefulProcessor):
-    """Marks rows that are not after the watermark of their batch. Under processing time Spark hands them over instead of dropping them."""
-
-    def init(self, handle) -> None:
-        pass
+FLAGGED = "side string, stamp_ns long, ref long, late boolean"
+_MARKS = "number long, stamp_ms long"
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        watermark = timerValues.getCurrentWatermarkInMs()
-        for frame in rows:
-            ms = frame["stamp_ns"] // 1_000_000
-            yield frame[["side", "stamp_ns", "ref"]].assign(late=ms <= watermark)
 
-    def close(self) -> None:
-        pass
+def flagging(spark: SparkSession, staged: str, marks: str, delay_ms: int) -> Callable[[DataFrame, int], None]:
+    """A sink of batches (``joins.snapshots``) that writes their ``side, stamp_ns, ref, late``, each batch to a folder of its number in ``staged``.
 
+    A batch: ``side``, ``stamp_ns``, ``ref``. A row is late if an earlier batch has seen a stamp
+    ``delay_ms`` after it (to the millisecond). Every batch leaves its highest stamp in
+    ``marks``; one that is repeated looks at those of lower numbers and replaces its folder
+    by the same rows, so a reader must not start on a batch before it has its mark.
+    """
+    spark.range(0).select(F.col("id").alias("number"), F.col("id").alias("stamp_ms")).write.mode("ignore").parquet(marks)
+    ms = F.expr("stamp_ns div 1000000")
 
-FLAGGED = "side string, stamp_ns long, ref long, late boolean"
+    def sink(batch: DataFrame, number: int) -> None:
+        own, path = batch.sparkSession, f"{staged}/{number}"
+        seen = own.read.schema(_MARKS).parquet(marks).where(F.col("number") < number).agg(F.max("stamp_ms")).first()[0]
+        late = F.lit(False) if seen is None else ms <= seen - delay_ms
+        batch.select("side", "stamp_ns", "ref", late.alias("late")).write.mode("overwrite").parquet(path)
+        top = own.read.schema(FLAGGED).parquet(path).agg(F.lit(number).cast("long").alias("number"), F.max(ms).alias("stamp_ms"))
+        top.write.mode("append").parquet(marks)
 
+    return sink
 
-def flagged(messages: DataFrame, delay: str) -> DataFrame:
-    """A stream of ``side, stamp_ns, ref, late``; ``messages``: ``side``, ``stamp_ns``, ``ref``.
 
-    A row is late if an earlier batch has seen a stamp ``delay`` after it (to the
-    millisecond). Needs the RocksDB state store and no idle batches (``live.rocksdb_state``).
-    """
-    timed = messages.select("side", "stamp_ns", "ref", F.timestamp_micros(F.expr("stamp_ns div 1000")).alias("ts")).withWatermark("ts", delay)
-    lane = F.pmod(F.xxhash64("side", "stamp_ns", "ref"), F.lit(LANES)).alias("lane")
-    dealt = timed.select(lane, "side", "stamp_ns", "ref", "ts").groupBy("lane")
-    return dealt.transformWithStateInPandas(_Flag(), outputStructType=FLAGGED, outputMode="Append", timeMode="ProcessingTime")
+def flagged(spark: SparkSession, staged: str, stream: bool = False) -> DataFrame:
+    """The rows that ``flagging`` has written, as a table or a stream."""
+    reader = spark.readStream if stream else spark.read
+    return reader.schema(FLAGGED).option("recursiveFileLookup", "true").parquet(staged)
 
 
 def paired(rows: DataFrame, delay: str) -> DataFrame:
