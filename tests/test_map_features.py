@@ -10,9 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxelar.operators import boxes, density, frames, raster, spatial, voxels
+from voxelar.operators.voxels import CELLS, with_cells
 from voxelar.plans.counters import RunCounters
 from voxelar.sources import recordings, snapshots
-from voxelar.streaming import live, quarantine
+from voxelar.streaming import live, quarantine, tracker
 
 # --- frames
 
@@ -153,6 +154,41 @@ def test_neighbours_of_dense_points_are_ranked_from_few_pairs(spark):
     assert spatial.close_pairs(df, 0.12, 8, "i", ["g"]).count() < 4 * 8 * len(xyz)  # of 490,001 pairs
 
 
+def test_dense_points_are_compared_within_a_radius_that_holds_their_neighbours(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    xyz = np.concatenate([rng.uniform(0, 0.2, (6000, 3)), rng.uniform(1, 1.1, (20, 3)), np.tile([0.1, 0.1, 0.1], (30, 1)), [[5.0, 5.0, 5.0]]])
+    df = spark.createDataFrame([(0, i, *map(float, p)) for i, p in enumerate(xyz)], "g int, i long, x double, y double, z double")
+    met, real = [], spatial.radius_pairs
+
+    def counted(left, right, radius, by=(), strict=False):
+        cells = [with_cells(side.select(*by, *"xyz"), radius).groupBy(*by, *CELLS).count() for side in (left, right)]
+        near = spatial.around(cells[1].withColumnRenamed("count", "n"))
+        met.append(cells[0].join(near, [*by, *CELLS]).agg(F.sum(F.col("count") * F.col("n"))).first()[0] or 0)
+        return real(left, right, radius, by, strict)
+
+    monkeypatch.setattr(spatial, "radius_pairs", counted)
+    got = {(r.a, r.b) for r in spatial.bounded_knn(df, 0.12, 8, "i", ["g"]).collect()}
+    want = set()
+    for a, p in enumerate(xyz):
+        d2 = ((xyz - p) ** 2) @ np.ones(3)
+        want |= {(a, int(b)) for b in np.lexsort((np.arange(len(xyz)), d2))[:8] if d2[b] < 0.12**2}
+    assert got == want
+    assert sum(met) < 0.5 * len(xyz) ** 2  # twice all pairs before
+
+
+def test_cores_by_counts_give_the_clusters_of_a_join(spark):
+    rng = np.random.default_rng(8)
+    xyz = np.concatenate([rng.normal(0, 0.02, (300, 3)), rng.normal(1, 0.02, (90, 3)), rng.uniform(-1, 2, (200, 3)), np.tile([2.0, 2.0, 2.0], (40, 1))])
+    rows = [(i % 3, i, *map(float, p)) for i, p in enumerate(xyz)]
+    df = spark.createDataFrame([*rows, (0, 9001, None, 0.0, 0.0), (1, 9002, float("nan"), 0.0, 0.0)], "g int, i long, x double, y double, z double")
+    got = {r.i: r.kept for r in spatial.largest_cluster(df, 0.12, 4, "i", ["g"]).collect()}
+    for g in range(3):
+        own = [r for r in rows if r[0] == g]
+        kept = tracker.main_cluster(np.array([r[2:] for r in own]), 0.12, 4).tolist()
+        assert kept == [got[r[1]] for r in own]
+    assert got[9001] is False and got[9002] is False
+
+
 def test_a_dense_cell_lists_no_pairs(spark):
     """Four thousand points in two neighbouring cells: sixteen million pairs, but one link."""
     rng = np.random.default_rng(6)

@@ -7,6 +7,8 @@ that spread the points; the distance is a residual filter.
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -24,6 +26,8 @@ NEIGHBOURS = 32
 LEAST_CLUSTER = 5
 #: Balls in which ``close_pairs`` counts, each of half the volume of the one before.
 HALVINGS = 18
+#: Radii, each half of the one before, at which ``by_reach`` looks.
+REACHES = 6
 
 
 def cloud_bounds(points: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -96,21 +100,63 @@ def cloud_overlap(points: DataFrame, radius: float, label: str, order: str) -> D
     return shares.groupBy(low, high).agg(F.max("share").alias("overlap"))
 
 
+def by_reach(points: DataFrame, eps: float, k: int, by: Sequence[str] = ()) -> list[tuple[float, DataFrame]]:
+    """``(radius, points)``: each point once, at ``eps`` or at a smaller radius that is sure to hold ``k`` points around it.
+
+    Cells are so small that the 27 around a point lie within half the radius; where they hold ``k`` points, that half
+    is tried in turn. ``points`` have ``_copy``, the place among equal points, of which ``k`` count.
+    """
+    keys, found, radius = [*by, *CELLS], [], eps
+    for _ in range(REACHES):
+        side = radius / 2 / math.sqrt(12) * (1 - 2**-10)
+        told_apart = F.greatest(*[F.abs(a) for a in AXES]) < side * 2.0**40  # beyond, cells are as coarse as the numbers
+        cells = with_cells(points, side)
+        held = cells.where((F.col("_copy") <= k) & told_apart).groupBy(*keys).agg(F.count("*").alias("_n"))
+        full = materialize(around(held).groupBy(*keys).agg(F.sum("_n").alias("_n")).where(F.col("_n") >= k), "full")
+        if full.isEmpty():
+            break
+        near = cells.join(full.hint("merge"), keys, "left").withColumn("_full", F.col("_n").isNotNull() & told_apart)
+        near = materialize(near.select(*points.columns, "_full"), "reach")
+        found.append((radius, near.where("not coalesce(_full, false)").drop("_full")))
+        points, radius = near.where("_full").drop("_full"), radius / 2
+    return [*found, (radius, points)]
+
+
+def _reached_pairs(points: DataFrame, eps: float, k: int, order: str, by: Sequence[str], least: int) -> list[DataFrame]:
+    """``close_pairs`` by radius, with ``a_core`` and ``b_core``: points with ``least`` others (``k`` at most) within ``eps``."""
+    copy = F.row_number().over(W.partitionBy(*by, *AXES).orderBy(order))
+    pts = materialize(points.select(*by, order, *AXES).withColumn("_copy", copy), "points")
+    others = pts.where(F.col("_copy") <= k).drop("_copy")
+    bounded, found = [], by_reach(pts, eps, k, by)
+    for radius, some in found:
+        balls = {f"_n{i}": radius * radius * 2 ** (-2 * i / 3) for i in range(HALVINGS, -1, -1)}
+        counts = radius_pairs(some, others, radius, by, strict=True).groupBy(*by, F.col(f"a_{order}").alias(order)).agg(*[F.count_if(F.col("d2") < d2).alias(n) for n, d2 in balls.items()])
+        enough = F.coalesce(*[F.when(F.col(n) >= k, F.lit(d2)) for n, d2 in balls.items()], F.lit(radius * radius))
+        told = counts.select(*by, order, enough.alias("_bound"), (F.col("_n0") >= least).alias("_core"), F.lit(radius).alias("_radius"))
+        bounded.append(some.join(told, [*by, order]))
+    bounded = materialize(functools.reduce(DataFrame.unionByName, bounded), "bounds")
+    others = bounded.where(F.col("_copy") <= k).select(*by, order, *AXES, "_core")
+    pairs = [radius_pairs(bounded.where(F.col("_radius") == radius), others, radius, by, strict=True).where("d2 < a__bound") for radius, _ in found]
+    names = {f"a_{order}": "a", f"b_{order}": "b", "d2": "d2", "a__core": "a_core", "b__core": "b_core"}
+    return [p.select(*by, *[F.col(c).alias(n) for c, n in names.items()]) for p in pairs]
+
+
 def close_pairs(points: DataFrame, eps: float, k: int, order: str, by: Sequence[str] = ()) -> DataFrame:
     """``by, a, b, d2``: pairs within ``eps`` in the same group, about twice ``k`` for a point, its ``k`` nearest among them.
 
-    A point's pairs are first only counted in balls of falling volume; the smallest ball with
-    ``k`` of them bounds its pairs. Of equal points only the first ``k`` can be among anyone's nearest.
+    A point is compared within a radius that holds ``k`` points (``by_reach``). Its pairs are first only counted in
+    balls of falling volume; the smallest ball with ``k`` of them bounds its pairs. Of equal points only the first ``k``
+    can be among anyone's nearest.
     """
-    pts = materialize(points.select(*by, order, *AXES), "points")
-    copy = F.row_number().over(W.partitionBy(*by, *AXES).orderBy(order))
-    others = pts.withColumn("_copy", copy).where(F.col("_copy") <= k).drop("_copy")
-    balls = {f"_n{i}": eps * eps * 2 ** (-2 * i / 3) for i in range(HALVINGS, 0, -1)}
-    counts = radius_pairs(pts, others, eps, by, strict=True).groupBy(*by, F.col(f"a_{order}").alias(order)).agg(*[F.count_if(F.col("d2") < d2).alias(n) for n, d2 in balls.items()])
-    enough = F.coalesce(*[F.when(F.col(n) >= k, F.lit(d2)) for n, d2 in balls.items()])
-    bounded = pts.join(counts.select(*by, order, enough.alias("bound")), [*by, order], "left")
-    pairs = radius_pairs(bounded, others, eps, by, strict=True).where(F.col("a_bound").isNull() | (F.col("d2") < F.col("a_bound")))
-    return pairs.select(*by, F.col(f"a_{order}").alias("a"), F.col(f"b_{order}").alias("b"), "d2")
+    pairs = _reached_pairs(points, eps, k, order, by, 1)
+    return functools.reduce(DataFrame.unionByName, pairs).drop("a_core", "b_core")
+
+
+def _nearest(points: DataFrame, eps: float, k: int, order: str, by: Sequence[str], least: int = 1) -> DataFrame:
+    rank = F.row_number().over(W.partitionBy(*by, "a").orderBy("d2", "b"))
+    # Ranked before the union: a task would hold the joins of all radii.
+    ranked = [p.withColumn("rank", rank).where(F.col("rank") <= k) for p in _reached_pairs(points, eps, k, order, by, least)]
+    return functools.reduce(DataFrame.unionByName, ranked)
 
 
 def bounded_knn(points: DataFrame, eps: float, k: int, order: str, by: Sequence[str] = ()) -> DataFrame:
@@ -118,9 +164,7 @@ def bounded_knn(points: DataFrame, eps: float, k: int, order: str, by: Sequence[
 
     Columns ``by, a, b, d2, rank``; ties by ``order``.
     """
-    pairs = close_pairs(points, eps, k, order, by)
-    ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy(*by, "a").orderBy("d2", "b")))
-    return ranked.where(F.col("rank") <= k)
+    return _nearest(points, eps, k, order, by).drop("a_core", "b_core")
 
 
 def largest_cluster(
@@ -137,13 +181,12 @@ def largest_cluster(
     size = points.groupBy(*by).agg(F.count("*").alias("size"))
     if eps <= 0:
         return points.select(*by, order, F.lit(True).alias("kept"))
-    near = materialize(bounded_knn(points, eps, max(least, neighbours), order, by), "neighbours")
-    cores = near.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("a")
-    to_core = near.join(cores.withColumnRenamed("a", "b"), "b")
-    edges = to_core.join(cores, "a").select("a", "b")
-    found = connected_components(edges)
+    near = _nearest(points, eps, max(least, neighbours), order, by, least).where("b_core")
+    near = materialize(near.select("a", "b", "a_core", "rank", F.when(~F.col("a_core"), F.col("d2")).alias("d2")), "neighbours")
+    found = connected_components(near.where("a_core"))
+    cores = near.where("a_core and rank = 1").select("a")  # nearest to a core is itself, or a core at the same place
     labels = cores.join(found.withColumnRenamed("node", "a"), "a", "left").select("a", F.coalesce("component", "a").alias("_label"))
-    border = to_core.join(cores, "a", "left_anti").groupBy(*by, "a").agg(F.min_by("b", F.struct("d2", "b")).alias("core"))
+    border = near.where("not a_core").groupBy("a").agg(F.min_by("b", F.struct("d2", "b")).alias("core"))
     beside = border.join(labels.withColumnRenamed("a", "core"), "core").select("a", "_label")
     every = materialize(labels.unionByName(beside), "labels")
     named = points.select(*by, F.col(order).alias("a")).join(every, "a", "left")
