@@ -1,3 +1,4 @@
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -147,6 +148,30 @@ def test_every_box_is_projected(spark):
     assert any(k % 50 for k in want)
 
 
+def test_equal_boxes_are_projected_once(spark, tmp_path, monkeypatch):
+    """Orders of few customers, some of a repeated key, give the rows of the SQL; each box of a frame is projected once."""
+    rng = np.random.default_rng(3)
+    # Keys below 32 twice or more, with boxes of their own.
+    orders = pd.DataFrame({"o_orderkey": np.r_[np.arange(400), np.arange(32)], "o_custkey": rng.integers(0, 5, 432) * 97})
+    items = pd.DataFrame({"l_orderkey": rng.integers(0, 64, 4000), "l_partkey": rng.integers(0, 640, 4000), "l_suppkey": rng.integers(0, 480, 4000)})
+    orders.to_parquet(tmp_path / "orders.parquet")
+    items.assign(l_quantity=rng.integers(1, 51, 4000) * 1.0).to_parquet(tmp_path / "lineitem.parquet")
+    con, given, project = duckdb.connect(), [], projection.project_boxes
+    for t in ("orders", "lineitem"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    monkeypatch.setattr(projection, "project_boxes", lambda boxes, *more: given.append(boxes) or project(boxes, *more))
+    got = queries.bbox_project_all(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(queries.ORACLES["bbox_project_all"]).fetchall()) and len(got) > 200
+    boxes = given[0].toPandas()
+    assert len(boxes) == len(boxes.drop_duplicates()) <= 5 * 16
+
+
+def test_a_box_is_computed_once_a_row(spark):
+    """Filters on a box and its corners do not repeat the expression, which would be too long to compile."""
+    found = queries._scaled(spark, "/root/testdata/sf0.001").where("box is not null and box.left < box.right").select("box.*")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("FLOOR") <= 4
+
+
 def test_whole_masks_erode_and_resize(spark, tmp_path):
     """Masks of 640 x 480 in several frames, as pixels of ``lineitem``, against numpy."""
     rng = np.random.default_rng(2)

@@ -19,18 +19,19 @@ def project_boxes(
 
     ``boxes``: ``frame_id, detection_id, left, top, right, bottom`` (right and bottom
     excluded); ``pixels``: ``frame_id, u, v, depth``. Boxes are dealt to the tiles they
-    touch, so one large box is spread over many keys. A box without valid pixels has no rows.
+    touch, so one large box is spread over many keys, and meet only the pixels on their grid. A box without valid pixels has no rows.
     Spark takes the dealt boxes for as small as the boxes, so they are merged lest they be broadcast.
     """
     stride = max(1, int(stride))
     tiles = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / TILE), F.floor((F.col(b) - 1) / TILE)))
+    grid = lambda a, b: {"_gx": F.pmod(F.col(a), F.lit(stride)), "_gy": F.pmod(F.col(b), F.lit(stride))}
     dealt = boxes.where("right > left and bottom > top").withColumn("_tx", tiles("left", "right")).withColumn("_ty", tiles("top", "bottom"))
     cells = pixels.where(valid_depth(F.col("depth"), low, high)).withColumns(
-        {"_tx": F.floor(F.col("u") / TILE), "_ty": F.floor(F.col("v") / TILE)}
+        {"_tx": F.floor(F.col("u") / TILE), "_ty": F.floor(F.col("v") / TILE)} | grid("u", "v")
     )
     inside = "u >= left and u < right and v >= top and v < bottom"
-    on_grid = ((F.col("u") - F.col("left")) % stride == 0) & ((F.col("v") - F.col("top")) % stride == 0)
-    joined = dealt.hint("merge").join(cells, ["frame_id", "_tx", "_ty"]).where(inside).where(on_grid).drop("_tx", "_ty")
+    keys = ["_tx", "_ty", "_gx", "_gy"]
+    joined = dealt.withColumns(grid("left", "top")).hint("merge").join(cells, ["frame_id", *keys]).where(inside).drop(*keys)
     return joined.withColumns(back_project(F.col("u"), F.col("v"), F.col("depth"), **camera))
 
 
