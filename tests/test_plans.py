@@ -1,4 +1,6 @@
+import math
 import random
+import time
 
 import pandas as pd
 import pytest
@@ -53,6 +55,46 @@ def test_materialized_rows_and_size_checks(spark):
     assert cut.broadcast_if_small(df, 9) is df
 
 
+def shuffle_files(spark):
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+    names = set()
+    while found.hasNext():
+        names.add(found.next().getName())
+    return {n for n in names if n.startswith("shuffle_")}
+
+
+def test_a_cut_leaves_no_shuffle_files(spark):
+    key = cut.SHUFFLE_CLEANUP
+    set_before, before = spark.conf.get(key, None), shuffle_files(spark)
+    grouped = spark.range(1000).groupBy((F.col("id") % 7).alias("g")).count()
+    again = cut.materialize(grouped.join(grouped.withColumnRenamed("count", "n").hint("merge"), "g"))
+    for _ in range(50):  # files go in the background
+        left = shuffle_files(spark) - before
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left and again.count() == 7 and spark.conf.get(key, None) == set_before
+
+
+@pytest.mark.parametrize("width", [1, 2, spatial.WIDE])
+def test_hits_do_not_depend_on_the_width_of_cells(spark, width):
+    rng = random.Random(4)
+    place = lambda: rng.choices([rng.uniform(-0.7, 0.7), rng.randrange(-4, 5) * 0.15, float("nan"), None], [20, 40, 1, 1])[0]
+    a, b = ([(i, rng.randrange(2), *(place() for _ in "xyz")) for i in range(n)] for n in (150, 220))
+    left, right = (spark.createDataFrame(t, "id long, g long, x double, y double, z double") for t in (a, b))
+    bare = lambda p: None in p or any(math.isnan(v) for v in p)
+    near = lambda p, q: not bare(p[2:] + q[2:]) and p[1] == q[1] and sum((u - v) ** 2 for u, v in zip(p[2:], q[2:], strict=True)) <= 0.15 * 0.15
+    want = sorted(p[0] for p in a if any(near(p, q) for q in b))
+    assert sorted(r.id for r in spatial.radius_hits(left, right, 0.15, ["g"], width).collect()) == want and 10 < len(want) < 150
+
+
+def test_clouds_meet_on_few_copies(spark):
+    """A point is copied to the cells its ball reaches: eight at most where cells are wide, 27 before."""
+    p = spark.range(3000).select("id", *[((F.rand(k) - 0.5) * 4).alias(a) for k, a in enumerate("xyz")])
+    copies = spatial.reached(p, 0.15, 0.15 * spatial.WIDE).groupBy("id").count().agg(F.avg("count"), F.max("count")).first()
+    assert copies[0] < 3.7 and copies[1] <= 8
+
+
 def test_batch_size_is_lowered_from_the_default_only(spark):
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     spark.conf.set(key, "10000")

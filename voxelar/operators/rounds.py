@@ -23,7 +23,7 @@ from voxelar.plans.cut import materialize
 
 from .boxes import assignment
 from .cleaning import LEAST_POINTS
-from .spatial import cloud_bounds, even_subsample, facing_boxes, largest_cluster, radius_hits
+from .spatial import WIDE, cloud_bounds, even_subsample, facing_boxes, largest_cluster, radius_hits
 from .voxels import CELLS, fold_clouds, voxel_mean, with_cells
 
 DETAILS = ("score", "overlap", "similarity", "box_overlap")
@@ -111,7 +111,7 @@ def cloud_shares(pairs: DataFrame, left: DataFrame, right: DataFrame, radius: fl
     out, clouds = pairs, (left, right)
     sides = [pairs.select(*key).join(p, _shared(key, p)) for p in clouds]
     for n, (a, b) in enumerate((sides, sides[::-1])):
-        hits = radius_hits(a, b, radius, key).groupBy(*key).agg(F.count("*").alias(f"hits{n}"))
+        hits = radius_hits(a, b, radius, key, WIDE).groupBy(*key).agg(F.count("*").alias(f"hits{n}"))
         names = _shared(key, clouds[n])
         sizes = clouds[n].groupBy(*names).agg(F.count("*").alias(f"n{n}"))
         out = out.join(hits, list(key), "left").join(sizes, names, "left")
