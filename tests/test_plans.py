@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxelar.plans import cut, groups, session
-from voxelar.operators import projection, spatial
+from voxelar.operators import projection, rounds, spatial
 from voxelar.plans.components import connected_components
 
 
@@ -95,6 +95,32 @@ def test_clouds_meet_on_few_copies(spark):
     assert copies[0] < 3.7 and copies[1] <= 8
 
 
+def test_points_of_a_pair_are_dealt_by_the_pair(spark):
+    """The copies of points in cells are not shuffled; where that is not asked for the rows are the same."""
+    key = ["session", "place", "track"]
+    cloud = lambda name, seed: spark.range(400).select(F.lit("s").alias("session"), (F.col("id") % 5).alias(name), *[F.rand(seed + k).alias(a) for k, a in enumerate("xyz")])
+    left, right = cut.materialize(cloud("place", 1)), cut.materialize(cloud("track", 4))
+    pairs = cut.materialize(spark.range(25).select(F.lit("s").alias("session"), (F.col("id") % 5).alias("place"), F.expr("id div 5").alias("track")))
+    again = rounds.cloud_shares(pairs, left, right, 0.1, key).collect()
+    with session.settings(spark, {cut.DEAL_AGAIN: "false"}):
+        shares = rounds.cloud_shares(pairs, left, right, 0.1, key)
+        assert sorted(shares.collect()) == sorted(again) and 0 < again[0].overlap < 1
+    dealt = [line for line in shares._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+    assert dealt and not any("kx" in line for line in dealt)
+    assert sorted(cut.materialize(shares, together=True).collect()) == sorted(again)
+
+
+def test_small_groups_cluster_as_others(spark):
+    """Sparse, dense and repeated points, groups of fewer and more points than neighbours are looked at."""
+    rng = random.Random(5)
+    rows = []
+    for g, (n, wide) in enumerate([(40, 0.12), (150, 0.2), (300, 0.1), (25, 0.08), (60, 0.02)]):
+        rows += [(g, *(round(rng.gauss(0, wide), 2) for _ in "xyz")) for _ in range(n)]
+    df = cut.materialize(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "ord long, g long, x double, y double, z double"))
+    a, b = (sorted(map(tuple, spatial.largest_cluster(df, 0.12, 4, "ord", ["g"], small=s).collect())) for s in (False, True))
+    assert a == b and len(a) == len(rows) and {kept for *_, kept in a} == {True, False}
+
+
 def test_batch_size_is_lowered_from_the_default_only(spark):
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     spark.conf.set(key, "10000")

@@ -28,7 +28,7 @@ def clean_observations(points: DataFrame, config: MapConfig = MapConfig(), key:
     # Numbers ascend by voxel within an observation, and are stored so that they never change.
     ordered = means.repartition(*key).sortWithinPartitions(*key, *CELLS)
     numbered = materialize(ordered.select(*key, *AXES, F.monotonically_increasing_id().alias("ord")), "voxels")
-    kept = largest_cluster(numbered, config.cluster_eps, config.cluster_min_points, "ord", list(key)).where("kept")
+    kept = largest_cluster(numbered, config.cluster_eps, config.cluster_min_points, "ord", list(key), small=True).where("kept")
     fine = numbered.join(kept.select("ord"), "ord", "left_semi")
     gathered = F.sort_array(F.collect_list(F.struct("ord", *AXES)))
     bare = F.transform(gathered, lambda p: F.struct(*[p[a].cast("float").alias(a) for a in AXES]))

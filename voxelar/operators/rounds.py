@@ -19,7 +19,7 @@ from voxelar.config import MapConfig
 from voxelar.functions.detection import similarity, status
 from voxelar.functions.geometry import AXES, growth_valid
 from voxelar.plans.components import connected_components
-from voxelar.plans.cut import materialize
+from voxelar.plans.cut import dealt, materialize
 
 from .boxes import assignment
 from .cleaning import LEAST_POINTS
@@ -106,10 +106,11 @@ def cloud_shares(pairs: DataFrame, left: DataFrame, right: DataFrame, radius: fl
     """``pairs`` of clouds with ``overlap``, the larger share of either's points that has a point of the other within ``radius``.
 
     ``left``, ``right``: points with the columns of ``key`` that name their clouds; a share is
-    counted over the points given.
+    counted over the points given. The points of a pair meet in one task, so that their copies are not
+    shuffled, where the result is cut by ``materialize(..., together=True)``.
     """
     out, clouds = pairs, (left, right)
-    sides = [pairs.select(*key).join(p, _shared(key, p)) for p in clouds]
+    sides = [dealt(pairs.select(*key).join(p, _shared(key, p)), key) for p in clouds]
     for n, (a, b) in enumerate((sides, sides[::-1])):
         hits = radius_hits(a, b, radius, key, WIDE).groupBy(*key).agg(F.count("*").alias(f"hits{n}"))
         names = _shared(key, clouds[n])
@@ -150,7 +151,7 @@ def _matched(live: Live, about: DataFrame, clouds: DataFrame, config: MapConfig)
     similar = similarity(F.col("class_id"), F.col("class_name"), F.col("t_class"), F.col("t_name"), F.col("scores"))
     scored = shares.join(told, ["session", "place"]).join(known, ["session", "track"]).withColumn("similarity", similar)
     scored = scored.withColumn("score", weight * F.col("overlap") + (1 - weight) * F.col("similarity")).where(F.col("score") >= config.association_threshold)
-    scored = materialize(scored.select("session", "place", "track", *DETAILS), "scored")
+    scored = materialize(scored.select("session", "place", "track", *DETAILS), "scored", together=True)
     chosen = assignment(scored, "session", "place", "track", "score").drop("score")
     best = scored.join(chosen, ["session", "place", "track"])
     is_new = F.col("track").isNull().alias("is_new")
@@ -236,7 +237,7 @@ def _merged(live: Live, config: MapConfig) -> tuple[Live, DataFrame | None]:
     near = materialize(facing.select("session", F.col("a_track").alias("a"), F.col("b_track").alias("b")), "near")
     looked = _searched(_in_cells(live.points, config), ["session", "track"], "ord", config)
     shares = cloud_shares(near, looked.withColumnRenamed("track", "a"), looked.withColumnRenamed("track", "b"), config.overlap_radius, ["session", "a", "b"])
-    doubles = materialize(shares.where(F.col("overlap") >= config.merge_overlap).select(F.struct("session", "a").alias("a"), F.struct("session", F.col("b").alias("a")).alias("b")), "doubles")
+    doubles = materialize(shares.where(F.col("overlap") >= config.merge_overlap).select(F.struct("session", "a").alias("a"), F.struct("session", F.col("b").alias("a")).alias("b")), "doubles", together=True)
     if doubles.isEmpty():
         return live, None
     found = connected_components(doubles)

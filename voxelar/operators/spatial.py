@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from voxelar.functions.geometry import AXES, bounds_near, box_overlap, voxel_key
 from voxelar.plans.components import connected_components
-from voxelar.plans.cut import materialize
+from voxelar.plans.cut import dealt, materialize
 
 from .voxels import CELLS, with_cells
 
@@ -59,15 +59,15 @@ def squared(a: str, b: str) -> Column:
 
 
 def radius_pairs(
-    left: DataFrame, right: DataFrame, radius: float, by: Sequence[str] = (), strict: bool = False
+    left: DataFrame, right: DataFrame, radius: float, by: Sequence[str] = (), strict: bool = False, width: int = 1
 ) -> DataFrame:
     """Pairs of ``left`` and ``right`` points within ``radius``, columns prefixed ``a_``/``b_``, with ``d2``.
 
-    ``by`` columns must be equal. The right side is the one copied to neighbour cells.
+    ``by`` columns must be equal. The right side is the one copied to neighbour cells, ``width`` as in ``radius_hits``.
     """
     keys = [*by, *CELLS]
-    a = prefixed(with_cells(left, radius), "a_", keys)
-    b = around(prefixed(with_cells(right, radius), "b_", keys))
+    a = prefixed(with_cells(left, radius * width), "a_", keys)
+    b = prefixed(reached(right, radius, radius * width), "b_", keys) if width > 1 else around(prefixed(with_cells(right, radius), "b_", keys))
     near = F.col("d2") < radius * radius if strict else F.col("d2") <= radius * radius
     return a.join(b, keys).withColumn("d2", squared("a_", "b_")).where(near)
 
@@ -115,18 +115,20 @@ def cloud_overlap(points: DataFrame, radius: float, label: str, order: str) -> D
     return shares.groupBy(low, high).agg(F.max("share").alias("overlap"))
 
 
-def by_reach(points: DataFrame, eps: float, k: int, by: Sequence[str] = ()) -> list[tuple[float, DataFrame]]:
+def by_reach(points: DataFrame, eps: float, k: int, by: Sequence[str] = (), small: bool = False) -> list[tuple[float, DataFrame]]:
     """``(radius, points)``: each point once, at ``eps`` or at a smaller radius that is sure to hold ``k`` points around it.
 
     Cells are so small that the 27 around a point lie within half the radius; where they hold ``k`` points, that half
-    is tried in turn. ``points`` have ``_copy``, the place among equal points, of which ``k`` count.
+    is tried in turn. ``points`` have ``_copy``, the place among equal points, of which ``k`` count. ``small`` groups
+    stay in a task each, and those of fewer than ``k`` points are not asked.
     """
     keys, found, radius = [*by, *CELLS], [], eps
     for _ in range(REACHES):
         side = radius / 2 / math.sqrt(12) * (1 - 2**-10)
         told_apart = F.greatest(*[F.abs(a) for a in AXES]) < side * 2.0**40  # beyond, cells are as coarse as the numbers
         cells = with_cells(points, side)
-        held = cells.where((F.col("_copy") <= k) & told_apart).groupBy(*keys).agg(F.count("*").alias("_n"))
+        asked = dealt(cells, by).withColumn("_size", F.count("*").over(W.partitionBy(*by))).where(F.col("_size") >= k) if small else cells
+        held = asked.where((F.col("_copy") <= k) & told_apart).groupBy(*keys).agg(F.count("*").alias("_n"))
         full = materialize(around(held).groupBy(*keys).agg(F.sum("_n").alias("_n")).where(F.col("_n") >= k), "full")
         if full.isEmpty():
             break
@@ -137,21 +139,21 @@ def by_reach(points: DataFrame, eps: float, k: int, by: Sequence[str] = ()) -> l
     return [*found, (radius, points)]
 
 
-def _reached_pairs(points: DataFrame, eps: float, k: int, order: str, by: Sequence[str], least: int) -> list[DataFrame]:
+def _reached_pairs(points: DataFrame, eps: float, k: int, order: str, by: Sequence[str], least: int, small: bool = False) -> list[DataFrame]:
     """``close_pairs`` by radius, with ``a_core`` and ``b_core``: points with ``least`` others (``k`` at most) within ``eps``."""
     copy = F.row_number().over(W.partitionBy(*by, *AXES).orderBy(order))
     pts = materialize(points.select(*by, order, *AXES).withColumn("_copy", copy), "points")
     others = pts.where(F.col("_copy") <= k).drop("_copy")
-    bounded, found = [], by_reach(pts, eps, k, by)
+    bounded, found, width = [], by_reach(pts, eps, k, by, small), WIDE if small else 1
     for radius, some in found:
         balls = {f"_n{i}": radius * radius * 2 ** (-2 * i / 3) for i in range(HALVINGS, -1, -1)}
-        counts = radius_pairs(some, others, radius, by, strict=True).groupBy(*by, F.col(f"a_{order}").alias(order)).agg(*[F.count_if(F.col("d2") < d2).alias(n) for n, d2 in balls.items()])
+        counts = radius_pairs(some, others, radius, by, True, width).groupBy(*by, F.col(f"a_{order}").alias(order)).agg(*[F.count_if(F.col("d2") < d2).alias(n) for n, d2 in balls.items()])
         enough = F.coalesce(*[F.when(F.col(n) >= k, F.lit(d2)) for n, d2 in balls.items()], F.lit(radius * radius))
         told = counts.select(*by, order, enough.alias("_bound"), (F.col("_n0") >= least).alias("_core"), F.lit(radius).alias("_radius"))
         bounded.append(some.join(told, [*by, order]))
     bounded = materialize(functools.reduce(DataFrame.unionByName, bounded), "bounds")
     others = bounded.where(F.col("_copy") <= k).select(*by, order, *AXES, "_core")
-    pairs = [radius_pairs(bounded.where(F.col("_radius") == radius), others, radius, by, strict=True).where("d2 < a__bound") for radius, _ in found]
+    pairs = [radius_pairs(bounded.where(F.col("_radius") == radius), others, radius, by, True, width).where("d2 < a__bound") for radius, _ in found]
     names = {f"a_{order}": "a", f"b_{order}": "b", "d2": "d2", "a__core": "a_core", "b__core": "b_core"}
     return [p.select(*by, *[F.col(c).alias(n) for c, n in names.items()]) for p in pairs]
 
@@ -167,10 +169,10 @@ def close_pairs(points: DataFrame, eps: float, k: int, order: str, by: Sequence[
     return functools.reduce(DataFrame.unionByName, pairs).drop("a_core", "b_core")
 
 
-def _nearest(points: DataFrame, eps: float, k: int, order: str, by: Sequence[str], least: int = 1) -> DataFrame:
+def _nearest(points: DataFrame, eps: float, k: int, order: str, by: Sequence[str], least: int = 1, small: bool = False) -> DataFrame:
     rank = F.row_number().over(W.partitionBy(*by, "a").orderBy("d2", "b"))
     # Ranked before the union: a task would hold the joins of all radii.
-    ranked = [p.withColumn("rank", rank).where(F.col("rank") <= k) for p in _reached_pairs(points, eps, k, order, by, least)]
+    ranked = [p.withColumn("rank", rank).where(F.col("rank") <= k) for p in _reached_pairs(points, eps, k, order, by, least, small)]
     return functools.reduce(DataFrame.unionByName, ranked)
 
 
@@ -183,20 +185,21 @@ def bounded_knn(points: DataFrame, eps: float, k: int, order: str, by: Sequence[
 
 
 def largest_cluster(
-    points: DataFrame, eps: float, least: int, order: str, by: Sequence[str], neighbours: int = NEIGHBOURS
+    points: DataFrame, eps: float, least: int, order: str, by: Sequence[str], neighbours: int = NEIGHBOURS, small: bool = False
 ) -> DataFrame:
     """``by, order, kept``: which points belong to their group's largest density cluster.
 
     Points with ``least`` bounded neighbours are cores; linked cores form components; a
     point beside a core joins its nearest one. Ties go to the component with the
     smallest core. Where a group has too few points, no core or only a small cluster,
-    all its points are kept. ``order`` must be unique over all groups.
+    all its points are kept. ``order`` must be unique over all groups. ``small``: groups are
+    single clouds, thinned to a point a voxel, of which a task can hold many.
     """
     least = max(1, least)
     size = points.groupBy(*by).agg(F.count("*").alias("size"))
     if eps <= 0:
         return points.select(*by, order, F.lit(True).alias("kept"))
-    near = _nearest(points, eps, max(least, neighbours), order, by, least).where("b_core")
+    near = _nearest(points, eps, max(least, neighbours), order, by, least, small).where("b_core")
     near = materialize(near.select("a", "b", "a_core", "rank", F.when(~F.col("a_core"), F.col("d2")).alias("d2")), "neighbours")
     found = connected_components(near.where("a_core"))
     cores = near.where("a_core and rank = 1").select("a")  # nearest to a core is itself, or a core at the same place
